@@ -23,10 +23,15 @@ WORDS, K = 5, 128
 SPACE = float(1 << 63)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sketch(text: Column, n: int = WORDS, k: int = K) -> Column:
     """The sketch as array<bigint>."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(_sketch_words(words, n, k))
+    return _let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(_sketch_words(w, n, k)))
 
 
 def _sketch_words(words: Column, n: int, k: int) -> Column:
@@ -42,8 +47,8 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Hashes in both sketches up to the largest of the k smallest of their union, over the number of these."""
-    union = merge(a, b, k)
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.greatest(F.size(union), F.lit(1)))
+    both = F.array_intersect(a, b)
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(_let(merge(a, b, k), lambda u: F.size(F.array_intersect(both, u)) / F.greatest(F.size(u), F.lit(1))))
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:

@@ -2,11 +2,13 @@
 
 Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets.  Two multinomials over the buckets are counted
 over all documents: that of the trusted ones and that of the whole corpus.  A document's score is the mean over its
-n-grams of ``log p_trusted - log p_raw``, so long and short documents compare; a document stays if its score is
-``THRESHOLD`` or more.  There is no sampling: equal texts have equal verdicts.
+n-grams of ``log p_trusted - log p_raw``, so long and short documents compare.  A document stays if its score is at least
+``THRESHOLD``, or at least what all but ``SPARE`` of the trusted documents reach, if that is lower: small trusted samples
+make noisier ratios, and the rule must not cost clean documents.  Nothing is sampled: equal texts have equal verdicts.
 
 The trusted counts are smoothed by ``PRIOR`` counts dealt as the raw corpus, so a bucket that the trusted sample says
-nothing about has ratio one.  Two passes over the documents; between them only the bucket counts (a fixed number) move.
+nothing about has ratio one.  The documents are read three times (counts, the trusted documents' scores, verdicts); between
+these only the bucket counts (a fixed number) and one quantile move.
 
 Base rules come first: fewer than 50 words, or more than half of the words inside repeated three-word windows.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm import core
 from tessera.llm.core import U64
 
-BUCKETS, PRIOR, THRESHOLD = 10_000, 10_000.0, -0.02
+BUCKETS, PRIOR, THRESHOLD, SPARE = 10_000, 10_000.0, -0.02, 0.002
 SYMBOLS = "#*$%&|<>"
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 SCHEMA = BASE + ", score double, kept boolean"
@@ -105,19 +107,33 @@ def _base(texts: list[str]) -> tuple[np.ndarray, ...]:
     return n_words, chars, symbols, dup, repeat
 
 
+def _score(texts: list[str], weights: np.ndarray, buckets: int) -> np.ndarray:
+    found, at = buckets_of(texts, buckets)
+    sums = np.bincount(np.repeat(np.arange(len(texts)), np.diff(at)), weights[found], len(texts))
+    return sums / np.maximum(np.diff(at), 1)
+
+
+def _scores(batches, weights: np.ndarray, buckets: int):
+    for batch in batches:
+        for _, texts in core.groups(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(_score(texts, weights, buckets))], ["score"])
+
+
 def rate(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Base figures, score and verdict of each document.  ``trusted``: doc_id of trusted documents."""
     core.small_batches(docs.sparkSession)
     rows = core.id_text(docs)
-    weights = log_ratios(*count_buckets(rows, trusted.select(F.col("doc_id").cast("long")).distinct(), buckets))
+    trusted = trusted.select(F.col("doc_id").cast("long")).distinct()
+    weights = log_ratios(*count_buckets(rows, trusted, buckets))
+    own = rows.join(trusted, "doc_id", "left_semi").mapInArrow(lambda it: _scores(it, weights, buckets), "score double")
+    floor = own.agg(F.percentile_approx("score", SPARE, 10_000)).first()[0]
+    threshold = threshold if floor is None else min(threshold, floor)
 
     def run(batches):
         for batch in batches:
             for ids, texts in core.groups(batch):
                 n_words, chars, symbols, dup, repeat = _base(texts)
-                found, at = buckets_of(texts, buckets)
-                sums = np.bincount(np.repeat(np.arange(len(texts)), np.diff(at)), weights[found], len(texts))
-                score = sums / np.maximum(np.diff(at), 1)
+                score = _score(texts, weights, buckets)
                 failed = (n_words < 50) | (100 * repeat > 50 * n_words)
                 columns = [pa.array(ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dup, repeat)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
