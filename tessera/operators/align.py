@@ -21,56 +21,60 @@ SCORES = 100
 
 
 class Targets:
-    """Columns of all targets, forward and reverse complement, side by side."""
+    """All targets, forward and reverse complement: their columns in a row, and where (target, position) is in it."""
 
     def __init__(self, motifs: list[np.ndarray]):
-        self.lengths = [m.shape[1] for m in motifs]
-        self.columns = np.concatenate([m.T for m in motifs]) if motifs else np.zeros((0, 4))
-        self.reverse = np.concatenate([m.T[::-1, ::-1] for m in motifs]) if motifs else np.zeros((0, 4))
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(int)
+        self.lengths = np.array([m.shape[1] for m in motifs], int)
+        self.columns = np.concatenate([m.T for m in motifs] + [m.T[::-1, ::-1] for m in motifs]) if motifs else np.zeros((0, 4))
+        ends = np.cumsum(np.tile(self.lengths, 2))
+        self.starts = (ends - np.tile(self.lengths, 2)).reshape(2, -1)
+
+
+def _tails(single: np.ndarray, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """P(sum over columns a .. b - 1 is at least s), for each s: products of Fourier transforms of the columns' nulls."""
+    size = 1 << int(len(single) * SCORES + 1).bit_length()
+    parts = np.fft.rfft(single, size, axis=1)
+    out = {}
+    for a, b in wanted:
+        pdf = np.maximum(np.fft.irfft(parts[a:b].prod(0), size)[: (b - a) * SCORES + 1], 0)
+        out[a, b] = np.minimum(pdf[::-1].cumsum()[::-1], 1)
+    return out
 
 
 def align(query: np.ndarray, targets: Targets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(p, score, offset, overlap, strand) against each target.  Offset: of the query's first column in the target (its
-    reverse complement, for strand 1)."""
-    n, q = len(targets.lengths), query.T
-    p, score, offset, overlap, strand = np.ones(n), np.zeros(n), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
-    if not n or not len(q):
-        return p, score, offset, overlap, strand
-    null = np.concatenate([targets.columns, targets.reverse])
-    raw = -np.linalg.norm(q[:, None, :] - null[None], axis=2)
+    reverse complement, for strand 1).  Of equal p-values the higher score, the forward strand, the lower offset wins."""
+    n, q, lengths = len(targets.lengths), query.T, targets.lengths
+    p, score, offset, overlap, strand = np.ones(n), np.full(n, -1), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
+    m = len(q)
+    if not n or not m:
+        return p, np.zeros(n, int), offset, overlap, strand
+    raw = -np.linalg.norm(q[:, None, :] - targets.columns[None], axis=2)
     low, high = raw.min(1, keepdims=True), raw.max(1, keepdims=True)
     bins = np.rint((raw - low) / np.where(high > low, high - low, 1) * SCORES).astype(int)
-    single = np.stack([np.bincount(b, minlength=SCORES + 1) / len(null) for b in bins])
-    tails: dict[tuple[int, int], np.ndarray] = {}
-
-    def tail(a: int, b: int) -> np.ndarray:
-        """P(sum of the columns a .. b - 1 is at least s), for each s."""
-        if (a, b) not in tails:
-            pdf = single[a] if b - a == 1 else np.convolve(pdfs[a, b - 1], single[b - 1])
-            pdfs[a, b] = pdf
-            tails[a, b] = np.minimum(pdf[::-1].cumsum()[::-1], 1)
-        return tails[a, b]
-
-    pdfs: dict[tuple[int, int], np.ndarray] = {}
-    for a in range(len(q)):
-        for b in range(a + 1, len(q) + 1):
-            tail(a, b)
-    m = len(targets.columns)
-    for t, length in enumerate(targets.lengths):
-        tried, best = 0, None
-        for s, base in ((0, targets.starts[t]), (1, m + targets.starts[t])):
-            part = bins[:, base : base + length]
-            for o in range(-len(q) + 1, length):
-                a, b = max(0, -o), min(len(q), length - o)
-                total = int(part[np.arange(a, b), np.arange(a, b) + o].sum())
-                tried += 1
-                key = (tails[a, b][total], -total, s, o)
-                if best is None or key < best[0]:
-                    best = key, b - a
-        (value, negative, strand[t], offset[t]), overlap[t] = best
-        p[t], score[t] = 1 - (1 - value) ** tried if value < 1 else 1.0, -negative
-    return p, score, offset, overlap, strand
+    single = np.stack([np.bincount(b, minlength=SCORES + 1) / len(b) for b in bins])
+    offsets = range(-m + 1, int(lengths.max()))
+    spans = {(max(0, -o), min(m, int(w) - o)) for w in np.unique(lengths) for o in offsets if o < w}
+    tails = _tails(single, spans)
+    best = np.full(n, np.inf)
+    steps = np.arange(m)
+    for s in (0, 1):
+        for o in offsets:
+            t = np.flatnonzero(lengths > o)
+            place = steps[None, :] + o
+            inside = (place >= 0) & (place < lengths[t, None])
+            at = targets.starts[s][t, None] + np.where(inside, place, 0)
+            totals = np.where(inside, bins[steps[None, :], at], 0).sum(1)
+            stop = np.minimum(m, lengths[t] - o)
+            values = np.empty(len(t))
+            for b in np.unique(stop):
+                here = stop == b
+                values[here] = tails[max(0, -o), int(b)][totals[here]]
+            better = (values < best[t]) | ((values == best[t]) & (totals > score[t]))
+            k = t[better]
+            best[k], score[k], offset[k], strand[k], overlap[k] = values[better], totals[better], o, s, (stop - max(0, -o))[better]
+    tried = 2 * (lengths + m - 1)
+    return 1 - (1 - best) ** tried, score, offset, overlap, strand
 
 
 def _matrix(rows: Iterable) -> np.ndarray:

@@ -439,10 +439,10 @@ def dbd_heatmap(spark, sf_dir):
 
 @query(
     "WITH s AS (SELECT event_id, user_id AS chrom, event_id % 480 - 10 AS lo, event_id % 480 + 22 AS hi FROM events WHERE event_type = 'click'), b AS (SELECT user_id AS chrom, event_id % 480 AS s, event_id % 480 + 12 AS e, value FROM events WHERE event_type <> 'click'), "
-    "m AS (SELECT s.event_id, sum(value * (least(hi, e) - greatest(greatest(lo, 0), b.s))) / sum(least(hi, e) - greatest(greatest(lo, 0), b.s)) AS signal FROM s JOIN b ON s.chrom = b.chrom AND least(hi, e) > greatest(greatest(lo, 0), b.s) GROUP BY ALL) SELECT s.event_id, round(signal, 4) AS signal FROM s LEFT JOIN m USING (event_id)"
+    "m AS (SELECT s.event_id, sum(value * (least(hi, e) - greatest(greatest(lo, 0), b.s))) / sum(least(hi, e) - greatest(greatest(lo, 0), b.s)) AS signal FROM s JOIN b ON s.chrom = b.chrom AND least(hi, e) > greatest(greatest(lo, 0), b.s) GROUP BY ALL) SELECT s.event_id, round(signal + 1e-7, 4) AS signal FROM s LEFT JOIN m USING (event_id)"
 )
 def signal_mean(spark, sf_dir):
     h = event_hits(spark, sf_dir).withColumnsRenamed({"example_idx": "chrom", "end": "stop", "attribution": "value"})
     spans = h.where("cluster_dbd = 'click'").select("seqlet_id", "chrom", "start", "stop")
     signal = h.where("cluster_dbd <> 'click'").select("chrom", "start", "stop", "value")
-    return relational.signal_mean(spans, signal, 10, 100).select(F.col("seqlet_id").alias("event_id"), F.round("signal", 4).alias("signal"))
+    return relational.signal_mean(spans, signal, 10, 100).select(F.col("seqlet_id").alias("event_id"), F.round(F.col("signal") + 1e-7, 4).alias("signal"))
