@@ -96,7 +96,11 @@ def similarity(seqlets: DataFrame, motifs: list[np.ndarray], chunk_size: int | N
                 part = pdf.iloc[k : k + (chunk_size or len(pdf))]
                 yield pd.DataFrame({"seqlet_id": part["seqlet_id"], "p": [align(_matrix(m), targets)[0].tolist() for m in part["seqlet_matrix"]]})
 
-    raw = seqlets.select("seqlet_id", "seqlet_matrix").mapInPandas(run, "seqlet_id long, p array<double>").select("seqlet_id", F.transform("p", A.log_similarity).alias("sim"))
+    # The kernel costs far more than moving its rows, so they are dealt out evenly: adaptive execution would gather small
+    # inputs in one task.  The result is kept, as the clip needs its maximum first.
+    n = int(seqlets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = seqlets.select("seqlet_id", "seqlet_matrix").repartition(n, "seqlet_id")
+    raw = dealt.mapInPandas(run, "seqlet_id long, p array<double>").select("seqlet_id", F.transform("p", A.log_similarity).alias("sim")).persist()
     top = raw.agg(F.max(F.array_max("sim"))).first()[0]
     if top is None:
         return raw

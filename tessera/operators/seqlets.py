@@ -142,6 +142,7 @@ def with_ids(seqlets: DataFrame) -> DataFrame:
 
     The numbers of a range of rows follow from the counts of the ranges before it, so the sort is not gathered in one task.
     """
+    seqlets = seqlets.persist()  # the sort's sample, the counts and the result all read it
     ordered = seqlets.sort("p_value", "example_idx", "start", "end")
     rows = ordered.withColumn("_at", F.monotonically_increasing_id())
     counts = {r[0]: r[1] for r in rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect()}  # one row per partition
