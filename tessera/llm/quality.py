@@ -7,8 +7,8 @@ n-grams of ``log p_trusted - log p_raw``, so long and short documents compare.
 make noisier ratios, and the rule must not cost clean documents.  Nothing is sampled: equal texts have equal verdicts.
 
 The trusted counts are smoothed by ``PRIOR`` counts dealt as the raw corpus, so a bucket that the trusted sample says
-nothing about has ratio one.  The documents are read three times (counts, the trusted documents' scores, verdicts); between
-these only the bucket counts (a fixed number) and one quantile move.
+nothing about has ratio one.  The documents are read three times (the trusted texts, which become a table, counts,
+verdicts); besides the trusted texts only the bucket counts (a fixed number) and one quantile move.
 
 Base rules come first: fewer than 50 words, or more than half of the words inside repeated three-word windows.
 
@@ -20,13 +20,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import core
 from tessera.llm.core import U64
 
 BUCKETS, PRIOR, THRESHOLD, SPARE = 10_000, 10_000.0, -0.02, 0.002
+#: Slots of the bitmap of trusted ids, to a power of two, and those of one of its segments (fixed by bitmap_construct_agg).
+FILTER_BITS, SEGMENT = 24, 32_768
 SYMBOLS = "#*$%&|<>"
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 SCHEMA = BASE + ", score double, kept boolean"
@@ -48,29 +50,57 @@ def buckets_of(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return out, ends
 
 
-def count_buckets(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(raw, trusted) n-gram counts by bucket.  ``trusted`` has doc_id, each once.
+def count_buckets(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts of n-grams by bucket.  ``texts`` has text alone.
 
     Each task sends at most ``buckets`` rows; the sums, as many rows, reach the driver.
     """
-    rows = docs.join(trusted.select("doc_id").withColumn("trusted", F.lit(True)), "doc_id", "left").select("trusted", "text")
 
     def run(batches):
-        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        counts = np.zeros(buckets, np.int64)
         for batch in batches:
-            for flags, texts in core.groups(batch):
-                found, at = buckets_of(texts, buckets)
-                raw += np.bincount(found, minlength=buckets)
-                mine = np.repeat(np.array([bool(f) for f in flags]), np.diff(at))
-                good += np.bincount(found[mine], minlength=buckets)
-        b = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(raw[b]), pa.array(good[b])], ["bucket", "raw", "good"])
+            for part in _texts(batch):
+                counts += np.bincount(buckets_of(part, buckets)[0], minlength=buckets)
+        b = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(counts[b])], ["bucket", "n"])
 
-    sums = rows.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    for b, r, g in sums:
-        raw[b], good[b] = r, g
-    return raw, good
+    out = np.zeros(buckets, np.int64)
+    for b, n in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[b] = n
+    return out
+
+
+def _texts(batch: pa.RecordBatch):
+    """The texts of a batch, its last column, in bounded groups."""
+    column = batch.column(batch.num_columns - 1)
+    for _, texts in core.groups(pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], ["key", "text"])):
+        yield texts
+
+
+def _slot(ids: Column) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(1 << FILTER_BITS))
+
+
+def trusted_texts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The texts of the trusted documents, as a table in the shared folder.
+
+    A bitmap of fixed size keeps most others out of the exchange; the join then decides.  It is a shuffled one at every
+    size: the trusted ids grow with the corpus.
+    """
+    slot = trusted.where("doc_id IS NOT NULL").select(_slot(F.col("doc_id")).alias("slot"))
+    parts = slot.groupBy(F.expr(f"slot DIV {SEGMENT}").alias("segment")).agg(F.expr(f"bitmap_construct_agg(slot % {SEGMENT})").alias("bits")).collect()
+    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for segment, part in parts:
+        bits[segment * SEGMENT >> 3 : (segment + 1) * SEGMENT >> 3] = np.frombuffer(part, np.uint8)
+    packed = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches):
+        known = np.unpackbits(np.frombuffer(packed.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[np.asarray(batch.column(0))])).select(["doc_id", "text"])
+
+    near = rows.select(_slot(F.col("doc_id")).alias("slot"), "doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return core.materialise(near.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select("text"), "quality-trusted")
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray, prior: float = PRIOR) -> np.ndarray:
@@ -115,30 +145,40 @@ def _score(texts: list[str], weights: np.ndarray, buckets: int) -> np.ndarray:
 
 def _scores(batches, weights: np.ndarray, buckets: int):
     for batch in batches:
-        for _, texts in core.groups(batch):
+        for texts in _texts(batch):
             yield pa.RecordBatch.from_arrays([pa.array(_score(texts, weights, buckets))], ["score"])
 
 
-def rate(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """Base figures, score and verdict of each document.  ``trusted``: doc_id of trusted documents."""
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> tuple[np.ndarray, float]:
+    """The log ratio of each bucket and the score that documents must reach."""
     core.small_batches(docs.sparkSession)
     rows = core.id_text(docs)
-    trusted = trusted.select(F.col("doc_id").cast("long")).distinct()
-    weights = log_ratios(*count_buckets(rows, trusted, buckets))
-    own = rows.join(trusted, "doc_id", "left_semi").mapInArrow(lambda it: _scores(it, weights, buckets), "score double")
-    floor = own.agg(F.percentile_approx("score", SPARE, 10_000)).first()[0]
-    threshold = threshold if floor is None else min(threshold, floor)
+    own = trusted_texts(rows, trusted.select(F.col("doc_id").cast("long")))
+    weights = log_ratios(count_buckets(rows.select("text"), buckets), count_buckets(own, buckets))
+    floor = own.mapInArrow(lambda it: _scores(it, weights, buckets), "score double").agg(F.percentile_approx("score", SPARE, 10_000)).first()[0]
+    return weights, threshold if floor is None else min(threshold, floor)
+
+
+def _judge(texts: list[str], weights: np.ndarray, threshold: float, buckets: int) -> tuple[np.ndarray, ...]:
+    """The base figures, base_failed, score and kept of each text."""
+    base = _base(texts)
+    score = _score(texts, weights, buckets)
+    failed = (base[0] < 50) | (100 * base[4] > 50 * base[0])
+    return *base, failed, score, ~failed & (score >= threshold)
+
+
+def rate(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """Base figures, score and verdict of each document.  ``trusted``: doc_id of trusted documents."""
+    weights, least = fit(docs, trusted, buckets, threshold)
 
     def run(batches):
         for batch in batches:
             for ids, texts in core.groups(batch):
-                n_words, chars, symbols, dup, repeat = _base(texts)
-                score = _score(texts, weights, buckets)
-                failed = (n_words < 50) | (100 * repeat > 50 * n_words)
-                columns = [pa.array(ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (n_words, chars, symbols, dup, repeat)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
+                *figures, failed, score, kept = _judge(texts, weights, least, buckets)
+                columns = [pa.array(ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in figures), pa.array(failed), pa.array(score), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return core.id_text(docs).mapInArrow(run, SCHEMA)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -146,8 +186,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
 
 
-def filter_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns.  A document goes if any row with its id is rejected; a null id is
-    an id like any other here."""
-    rejected = rate(docs.select("doc_id", "text"), trusted).where("NOT kept").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
+def filter_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that stay, with all their columns.  Each row is judged by its own text where it is, so no text moves;
+    rows that share an id, or have none, are judged apart."""
+    weights, least = fit(docs, trusted, buckets, threshold)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at).cast(pa.string()).fill_null("")
+            kept = [_judge(texts, weights, least, buckets)[-1] for texts in _texts(pa.RecordBatch.from_arrays([column], ["text"]))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
+
+    return docs.mapInArrow(run, docs.schema)
