@@ -216,7 +216,13 @@ def test_op5_base_and_scores(spark, docs, odd, empty, rows):
         assert not (failed and got[r[0]]["kept"])
     assert quality.rate(odd, trusted.limit(0)).count() == odd.count()
     assert quality.rate(empty, trusted).count() == 0
-    assert quality.filter_documents(docs, trusted).columns == docs.columns
+    kept = quality.filter_documents(docs, trusted)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["kept"])
+    assert quality.filter_documents(odd, trusted.limit(0)).columns == odd.columns
+    assert quality.filter_documents(empty, trusted).count() == 0
+    labels = spark.createDataFrame([(5,), (5,), (None,), (10**12,)], "doc_id long")  # repeated, null and unknown ids
+    assert quality.trusted_texts(docs.select("doc_id", "text"), labels).count() == docs.where("doc_id = 5").count()
 
 
 def katz_brute(rows):
