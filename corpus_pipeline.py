@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that are boilerplate of their source; n_chars is that of the text left."""
-    kept = line_dedup.drop_lines(docs, F.col("source")).drop("_n_lines", "_n_dropped")
+    kept = line_dedup.drop_lines(docs, F.col("source"), counts=False)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

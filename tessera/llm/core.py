@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points handled together; a longer document makes a group of its own.
@@ -76,6 +76,22 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``docs`` has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def groups(batch: pa.RecordBatch, limit: int = GROUP_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of a batch in groups of about ``limit`` code points."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -12,8 +12,8 @@ then an adaptive join splits a hot host.
 
 Defined results: lines are split at line feeds and compared trimmed (spaces, tabs and carriage returns); blank lines are
 never boilerplate and are kept; a null text stays null; pages with a null host form one host; a page that appears in
-several rows counts as several pages; an empty table gives an empty result.  Two lines are the same if their 64-bit digests
-are.
+several rows counts as several pages; an empty table gives an empty result; other columns pass through under any name, but
+the two counts replace columns of their names.  Two lines are the same if their 64-bit digests are.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import core
+
 RATIO, LEAST_PAGES = 0.1, 3
 
 
@@ -47,17 +49,18 @@ def frequent_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: i
     return both.where(F.col("_n") > F.col("_total") * ratio).groupBy("_host").agg(F.collect_set("_digest").alias("_common"))
 
 
-def drop_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST_PAGES, text: str = "text") -> DataFrame:
-    """``docs`` with boilerplate lines taken from ``text``, and _n_lines and _n_dropped."""
-    common = frequent_lines(docs, host, ratio, least, text).withColumnRenamed("_host", "_common_host")
-    joined = docs.withColumn("_host", host).join(common, F.col("_host").eqNullSafe(F.col("_common_host")), "left").drop("_host", "_common_host")
+def drop_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST_PAGES, text: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken from ``text``, and _n_lines and _n_dropped, if ``counts``."""
+    at, there, common, left = core.unused(docs, "_host", "_common_host", "_common", "_kept")
+    frequent = frequent_lines(docs, host, ratio, least, text).withColumnsRenamed({"_host": there, "_common": common})
+    joined = docs.withColumn(at, host).join(frequent, F.col(at).eqNullSafe(F.col(there)), "left").drop(at, there)
     lines = _lines(F.col(text))
-    kept = F.when(F.col("_common").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_common", _digest(x))))
-    out = joined.withColumn("_kept", kept)
+    kept = F.when(F.col(common).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(common, _digest(x))))
+    out = joined.withColumn(left, kept)
+    sizes = {"_n_lines": F.size(lines), "_n_dropped": F.size(lines) - F.size(left)} if counts else {}
     return out.select(
-        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias("_n_dropped"),
+        *(F.array_join(left, "\n").alias(c) if c.lower() == text.lower() else core.column(c) for c in docs.columns if c.lower() not in sizes),
+        *(F.coalesce(n, F.lit(0)).cast("long").alias(name) for name, n in sizes.items()),
     )
 
 

@@ -198,4 +198,5 @@ def filter_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS
             kept = [_judge(texts, weights, least, buckets)[-1] for texts in _texts(pa.RecordBatch.from_arrays([column], ["text"]))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow can't pass names with dots
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

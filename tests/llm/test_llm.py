@@ -129,6 +129,29 @@ def test_op2_lines(spark, empty):
     assert [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(line_dedup.page_host(F.col("u"))).collect()] == ["a.example.com", "b.org", None, None]
 
 
+def test_rows_pass_through_with_names_that_clash(spark):
+    names = ["_host", "_HOST_x", "_common", "_common_host", "__common", "_kept", "_n_lines", "gone_id", "slot", "score", "a.b", "class"]
+    long = " ".join(f"w{i}" for i in range(80))
+    data = [(i, f"menu\n{long if i < 2 else long.replace('w', f'v{i}x')}", "s", *[f"{n} {i}" for n in names]) for i in range(6)]
+    data.append((None, None, None, *[None] * len(names)))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    rest = [df.columns.index(n) for n in names]
+    own = {r[0]: [r[k] for k in rest] for r in data}
+
+    lines = line_dedup.drop_lines(df, F.col("source"), counts=False)
+    assert lines.columns == df.columns
+    assert {r[0]: [r[k] for k in rest] for r in lines.collect()} == own and not lines.where("text LIKE 'menu%'").count()
+    counted = line_dedup.drop_lines(df, F.col("source"))
+    assert counted.columns == [c for c in df.columns if c != "_n_lines"] + ["_n_lines", "_n_dropped"]
+    assert {r["doc_id"]: (r["_n_lines"], r["_n_dropped"]) for r in counted.collect()} == {i: (2, 1) for i in range(6)} | {None: (0, 0)}
+    one = jaccard_join.keep_one(df)
+    assert one.columns == df.columns
+    assert {r[0]: [r[k] for k in rest] for r in one.collect()} == {i: v for i, v in own.items() if i != 1}
+    good = quality.filter_documents(df, df.where("doc_id < 3").select("doc_id"), threshold=-9)
+    assert good.columns == df.columns
+    assert {r[0]: [r[k] for k in rest] for r in good.collect()} == {i: v for i, v in own.items() if i is not None}
+
+
 def test_op3_packing(docs, odd, empty, rows):
     got = packing.pack_documents(docs, P.path("word_bpe_49k.json"), capacity=256).collect()
     want = {r[0]: encoded("word_bpe_49k.json", r[1], 2) for r in rows}
