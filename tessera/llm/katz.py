@@ -25,6 +25,7 @@ probability one.
 
 from __future__ import annotations
 
+import logging
 import uuid
 import zlib
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from tessera.llm import core
 from tessera.llm.core import U64, mix
 
+log = logging.getLogger(__name__)
+
 BLOCK_TOKENS = 3_000_000
 #: Keys that a bucket gets from all blocks together, about.
 BUCKET_KEYS = 3_000_000
@@ -46,9 +49,9 @@ RARE = 1e-6
 BEGIN, END = (int(x) for x in mix(np.array([1, 2], U64)))
 
 BLOCKS = "block long, ids array<long>, lens binary, held binary, tokens binary, vocab binary"
-PARTS = "kind string, level int, bucket int, block long, keys binary, a binary, b binary, stats array<long>"
+PARTS = "kind string, level int, bucket int, block long, keys binary, a binary, b binary, r array<long>, n array<long>"
 NAMES = [x.split()[0] for x in PARTS.split(", ")]
-TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -132,7 +135,7 @@ def _send(batches, buckets: int):
                 for b in range(buckets):
                     s = slice(cut[b], cut[b + 1])
                     if cut[b] < cut[b + 1]:
-                        yield _rows([("ask", level, b, block, core.pack_sorted(keys[s]), core.pack_array(counts[s].astype("<u8")), None, None)])
+                        yield _rows([("ask", level, b, block, core.pack_sorted(keys[s]), core.pack_array(counts[s].astype("<u8")), None, None, None)])
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -150,46 +153,68 @@ def _count(table: pa.Table) -> pa.Table:
     owner[giver[np.unique(inverse[giver], return_index=True)[1]]] = True
     seen = total > 0
     real = total[seen & (keys != U64(BEGIN))] if level == 1 else total[seen]
-    stats = [int((real == c).sum()) for c in range(1, K + 2)] + [int(real.sum()), len(real)]
-    rows = [("model", level, bucket, None, core.pack_sorted(keys[seen]), core.pack_array(total[seen].astype("<u8")), None, stats)]
+    r, n = np.unique(real, return_counts=True)
+    rows = [("model", level, bucket, None, core.pack_sorted(keys[seen]), core.pack_array(total[seen].astype("<u8")), None, r.tolist(), n.tolist())]
     at = 0
     for i, a in zip(order, ask, strict=True):
         s = slice(at, at + len(a))
-        rows.append(("reply", level, bucket, table["block"][int(i)].as_py(), None, core.pack_array(total[inverse[s]].astype("<u8")), np.packbits(owner[s]).tobytes(), None))
+        rows.append(("reply", level, bucket, table["block"][int(i)].as_py(), None, core.pack_array(total[inverse[s]].astype("<u8")), np.packbits(owner[s]).tobytes(), None, None))
         at += len(a)
     return pa.Table.from_batches([_rows(rows)])
 
 
-def discounts(n: list[int]) -> np.ndarray:
-    """d(0), d(1) .. d(K), d(more), from the numbers of types seen 1 .. K + 1 times.
+def katz_factors(n: list) -> np.ndarray | None:
+    """d(1) .. d(K) by Katz's formula from n1 .. n(K + 1), or none if a number is zero or a factor outside 0 to 1."""
+    if min(n) <= 0:
+        return None
+    c = np.arange(1, K + 1)
+    cut = (K + 1) * n[K] / n[0]
+    if cut >= 1:
+        return None
+    d = ((c + 1) * np.array(n[1:]) / np.array(n[:K]) / c - cut) / (1 - cut)
+    return d if ((d > 0) & (d < 1)).all() else None
+
+
+def smoothed(table: dict[int, int]) -> list[float]:
+    """n1 .. n(K + 1) on the line of Simple Good-Turing (Gale & Sampson 1995): log of n_r, averaged over the gap between its
+    neighbours, by log r, fitted over all r."""
+    r = np.array(sorted(table), float)
+    n = np.array([table[int(x)] for x in r], float)
+    before, after = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - (r[-2] if len(r) > 1 else 0))
+    slope, start = np.polyfit(np.log(r), np.log(2 * n / (after - before)), 1)
+    return np.exp(start + slope * np.log(np.arange(1, K + 2))).tolist()
 
-    Where these are too few for Katz's formula (a zero, or a factor outside 0 to 1), one absolute discount, n1 / (n1 + 2 n2)
-    or a half, takes its place.
+
+def discounts(n: list[int], table: dict[int, int] | None = None) -> np.ndarray:
+    """d(0), d(1) .. d(K), d(more), from the numbers of types seen 1 .. K + 1 times and, in ``table``, any number of times.
+
+    Good-Turing's, from the numbers as they are if Katz's formula can use them and else from their smoothed line.  Only a
+    degenerate table, with a zero among the numbers or no more types seen once than twice, so that there is no falling line,
+    gets one absolute discount instead, n1 / (n1 + 2 n2) or a half.
     """
     c = np.arange(1, K + 1)
     out = np.full(K + 2, 1 - RARE)
     out[0] = 0
-    if min(n[: K + 1]) > 0:
-        star = (c + 1) * np.array(n[1 : K + 1]) / np.array(n[:K])
-        cut = (K + 1) * n[K] / n[0]
-        if cut < 1:
-            d = (star / c - cut) / (1 - cut)
-            if ((d > 0) & (d < 1)).all():
-                out[1 : K + 1] = d
-                return out
-    absolute = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    out[1 : K + 1] = (c - absolute) / c
+    rule, d = "Good-Turing", katz_factors(n[: K + 1])
+    if d is None and table and min(n[: K + 1]) > 0 and n[0] > n[1]:
+        rule, d = "smoothed Good-Turing", katz_factors(smoothed(table))
+    if d is None:
+        absolute = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        rule, d = "absolute", (c - absolute) / c
+    log.log(logging.WARNING if rule == "absolute" else logging.INFO, "%s discounts from n1 .. n%d = %s", rule, K + 1, n[: K + 1])
+    out[1 : K + 1] = d
     return out
 
 
 class Model:
-    """The numbers that all blocks share."""
-
-    def __init__(self, one: list[int], two: list[int]):
-        self.total, self.types = one[K + 1], one[K + 2]
-        self.d1, self.d2 = discounts(one), discounts(two)
-        left = sum(n * c * (1 - d) for n, c, d in zip(one[:K], range(1, K + 1), self.d1[1:], strict=False))
-        left += RARE * (self.total - sum(n * c for n, c in zip(one[:K], range(1, K + 1), strict=False)))
+    """The numbers that all blocks share, from the numbers of words and of pairs seen each number of times."""
+
+    def __init__(self, one: dict[int, int], two: dict[int, int]):
+        self.total, self.types = sum(r * n for r, n in one.items()), sum(one.values())
+        rare = [one.get(r, 0) for r in range(1, K + 2)]
+        self.d1, self.d2 = discounts(rare, one), discounts([two.get(r, 0) for r in range(1, K + 2)], two)
+        left = sum(n * c * (1 - d) for n, c, d in zip(rare[:K], range(1, K + 1), self.d1[1:], strict=False))
+        left += RARE * (self.total - sum(n * c for n, c in zip(rare[:K], range(1, K + 1), strict=False)))
         self.unknown = left / self.total if self.total else 1.0
 
     def factor(self, level: int, c: np.ndarray) -> np.ndarray:
@@ -298,9 +323,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
         asked = table.select("block", "lens", "held", "tokens", "vocab").mapInArrow(lambda it: _send(it, buckets), PARTS)
         counted = core.shared_dir(spark, "lm-counts")
         asked.groupBy("level", "bucket").applyInArrow(_count, PARTS).write.partitionBy("kind").parquet(counted)
-        sums = spark.read.schema(PARTS).parquet(counted).where("kind = 'model'").select("level", F.posexplode("stats")).groupBy("level", "pos").agg(F.sum("col").alias("n")).collect()  # 2 x 8 numbers
-        found = {(r["level"], r["pos"]): int(r["n"]) for r in sums}
-        model = Model(*([found.get((level, i), 0) for i in range(K + 3)] for level in (1, 2)))
+        seen = spark.read.schema(PARTS).parquet(counted).where("kind = 'model'").select("level", F.explode(F.arrays_zip("r", "n")).alias("_c"))
+        sums = seen.groupBy("level", "_c.r").agg(F.sum("_c.n").alias("n")).collect()  # distinct counts: fewer than sqrt(2 N) a level
+        model = Model(*({int(x["r"]): int(x["n"]) for x in sums if x["level"] == level} for level in (1, 2)))
         replies = spark.read.schema(PARTS).parquet(counted).where("kind = 'reply'").select("block", "level", "bucket", "a", "b")
         scored = core.shared_dir(spark, "lm-scores")
         joined = table.groupBy("block").cogroup(replies.groupBy("block"))

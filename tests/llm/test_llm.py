@@ -295,6 +295,32 @@ def test_op6_katz(docs, odd, empty, rows, monkeypatch):
     assert np.allclose(katz.discounts([10, 0, 0, 0, 0, 0, 10, 10])[1], 0.5)
 
 
+def test_op6_good_turing_runs_on_the_given_documents(spark, monkeypatch, caplog):
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(400)
+    used, real = [], katz.discounts
+    monkeypatch.setattr(katz, "discounts", lambda *a: used.append((a, real(*a))) or used[-1][1])
+    with caplog.at_level("INFO", "tessera.llm.katz"):
+        got = {r["doc_id"]: tuple(r)[1:] for r in katz.score_documents(given).collect()}
+    assert sum("Good-Turing discounts" in r.message for r in caplog.records) == 2
+    for (n, table), d in used:
+        c = np.arange(1, katz.K + 1)
+        assert ((d[1:-1] > 0) & (d[1:-1] < 1)).all() and (np.diff(d[1:-1]) > 0).all()
+        assert not np.allclose(d[1:-1], 1 - n[0] / (n[0] + 2 * n[1]) / c)  # the absolute discount
+        r = np.array(sorted(table))
+        gap = [(r[i + 1] if i + 1 < len(r) else 2 * r[i] - r[i - 1]) - (r[i - 1] if i else 0) for i in range(len(r))]
+        x, y = np.log(r), np.log([2 * table[k] / g for k, g in zip(r.tolist(), gap)])
+        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+        star, cut = (1 + 1 / c) ** (slope + 1), (katz.K + 1) ** (slope + 1)
+        assert np.allclose(d[1:-1], (star - cut) / (1 - cut))
+    mine = iter([d for _, d in used])
+    tables = []
+    monkeypatch.setattr(katz, "discounts", lambda n: tables.append(n) or next(mine))
+    want = katz_brute([tuple(r) for r in given.collect()])
+    assert [n[: katz.K + 1] for n in tables] == [a[0] for a, _ in used] and [sum(k * v for k, v in a[1].items()) for a, _ in used] == [n[katz.K + 1] for n in tables]
+    for k, w in want.items():
+        assert got[k][:4] == w[:4] and np.allclose(got[k][4:], w[4:], rtol=1e-9, atol=1e-6), k
+
+
 def shingles(text, n):
     ws = (text or "").lower().split()
     return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
