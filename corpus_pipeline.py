@@ -19,8 +19,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that are boilerplate of their source; n_chars is that of the text left."""
-    kept = line_dedup.drop_lines(docs, F.col("source"), counts=False)
+    """Drops lines that are boilerplate of their source; n_chars is that of the text left.
+
+    Copies count as one page here: they are for the next stage, which needs their text to keep one of them."""
+    kept = line_dedup.drop_lines(docs, F.col("source"), counts=False, copies=False)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 

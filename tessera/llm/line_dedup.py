@@ -12,7 +12,7 @@ then an adaptive join splits a hot host.
 
 Defined results: lines are split at line feeds and compared trimmed (spaces, tabs and carriage returns); blank lines are
 never boilerplate and are kept; a null text stays null; pages with a null host form one host; a page that appears in
-several rows counts as several pages; an empty table gives an empty result; other columns pass through under any name, but
+several rows counts as several pages, unless ``copies`` is off; an empty table gives an empty result; other columns pass through under any name, but
 the two counts replace columns of their names.  Two lines are the same if their 64-bit digests are.
 """
 
@@ -39,20 +39,25 @@ def _digest(line: Column) -> Column:
     return F.when(_trim(line) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(_trim(line)))
 
 
-def frequent_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST_PAGES, text: str = "text") -> DataFrame:
+def frequent_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST_PAGES, text: str = "text", copies: bool = True) -> DataFrame:
     """_host and _common: the digests of the lines that are boilerplate there."""
     digests = F.array_distinct(F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), _digest))
     pages = docs.select(host.alias("_host"), digests.alias("_digests"))
+    if not copies:
+        pages = pages.withColumn("_digests", F.array_remove("_digests", F.lit(0).cast("long"))).distinct()
     counts = pages.select("_host", F.explode("_digests").alias("_digest")).where("_digest <> 0").groupBy("_host", "_digest").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     totals = pages.groupBy("_host").agg(F.count("*").alias("_total"))
     both = counts.join(totals, counts["_host"].eqNullSafe(totals["_host"])).drop(totals["_host"])
     return both.where(F.col("_n") > F.col("_total") * ratio).groupBy("_host").agg(F.collect_set("_digest").alias("_common"))
 
 
-def drop_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST_PAGES, text: str = "text", counts: bool = True) -> DataFrame:
-    """``docs`` with boilerplate lines taken from ``text``, and _n_lines and _n_dropped, if ``counts``."""
+def drop_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST_PAGES, text: str = "text", counts: bool = True, copies: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken from ``text``, and _n_lines and _n_dropped, if ``counts``.
+
+    Without ``copies``, pages of a host with the same lines count as one page, so that a group of copies can't make its own
+    text boilerplate."""
     at, there, common, left = core.unused(docs, "_host", "_common_host", "_common", "_kept")
-    frequent = frequent_lines(docs, host, ratio, least, text).withColumnsRenamed({"_host": there, "_common": common})
+    frequent = frequent_lines(docs, host, ratio, least, text, copies).withColumnsRenamed({"_host": there, "_common": common})
     joined = docs.withColumn(at, host).join(frequent, F.col(at).eqNullSafe(F.col(there)), "left").drop(at, there)
     lines = _lines(F.col(text))
     kept = F.when(F.col(common).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(common, _digest(x))))

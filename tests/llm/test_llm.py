@@ -454,3 +454,27 @@ def test_sql_and_pipeline(spark):
     got = corpus_pipeline.run(spark, SF)
     want = {r["doc_id"]: len(encoded("word_bpe_49k.json", r["text"], 2)) for r in docs.collect()}
     assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    """Copies are a third of source a and all of source c; every page of a source has its menu."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda: "\n".join(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(2))
+    shared = {s: text() for s in "abc"}
+    data = [(i, f"menu of a\n{shared['a'] if i % 3 == 0 else text()}", "a") for i in range(30)]
+    data += [(i, f"menu of b\n{text()}", "b") for i in range(30, 60)] + [(i, shared["c"], "c") for i in range(60, 64)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+
+    pages = {s: {tuple(t.split("\n")) for _, t, x in data if x == s} for s in "abc"}
+    often = {s: {x for p in pages[s] for x in p if (n := sum(x in q for q in pages[s])) >= 3 and 10 * n > len(pages[s])} for s in "abc"}
+    assert often == {"a": {"menu of a"}, "b": {"menu of b"}, "c": set()}
+    lines = corpus_pipeline.site_lines(spark, docs, SF)
+    left = {i: "\n".join(x for x in t.split("\n") if x not in often[s]) for i, t, s in data}
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == left
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_duplicates(spark, lines, SF).collect()}
+    first = {}
+    for i in sorted(left):
+        first.setdefault(left[i], i)
+    assert kept == {i: t for t, i in first.items()} and kept[0] == shared["a"] and kept[60] == shared["c"]
