@@ -15,6 +15,9 @@ from tessera.operators.relational import mode_smallest
 
 INSTANCES = "leiden string, seqlet_id long, start int, end int, is_revcomp boolean, is_root boolean, seq_instance array<array<double>>, contrib array<array<double>>, hypothetical array<array<double>>"
 
+#: Seqlets that a task aligns to all of their cluster, about.
+BLOCK = 64
+
 
 def span(start: int, end: int, offset: int, root: int, reverse: bool) -> tuple[int, int]:
     """F8: the part of an example that lies under the root."""
@@ -30,12 +33,32 @@ def cut(m: np.ndarray, low: int, high: int) -> np.ndarray:
     return np.concatenate([part, np.zeros((high - low - len(part), m.shape[0]))])
 
 
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.stack([np.asarray(r, float) for r in m]) for m in pdf["seqlet_matrix"]]
+
+
+def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of a cluster against all of it: the sum of the p-values of each seqlet as a target, in order of ids."""
+    pdf = pdf.sort_values("seqlet_id")
+    matrices = _matrices(pdf)
+    targets = Targets(matrices)
+    total = np.zeros(len(matrices))
+    for i in np.flatnonzero(pdf["block"] == pdf["part"]):
+        total += align(matrices[i], targets)[0]
+    return pd.DataFrame({"leiden": pdf["leiden"].iloc[:1], "part": pdf["part"].iloc[:1], "ids": [pdf["seqlet_id"].tolist()], "sums": [total.tolist()]})
+
+
+def _root(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The first of the lowest mean p."""
+    at = int(np.sum(np.stack(list(pdf.sort_values("part")["sums"])), 0).argmin())
+    return pd.DataFrame({"leiden": pdf["leiden"].iloc[:1], "root_id": [int(pdf["ids"].iloc[0][at])]})
+
+
 def _align_cluster(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("seqlet_id").reset_index(drop=True)
-    matrices = [np.stack([np.asarray(r, float) for r in m]) for m in pdf["seqlet_matrix"]]
+    matrices = _matrices(pdf)
     targets = Targets(matrices)
-    results = [align(m, targets) for m in matrices]
-    root = int(np.stack([r[0] for r in results]).mean(0).argmin())  # A18: the first of the lowest mean p
+    root = int((pdf["seqlet_id"] == pdf["root_id"]).to_numpy().argmax())
     _, _, offsets, _, strands = align(matrices[root], targets)
     length, rows = matrices[root].shape[1], []
     for i, r in pdf.iterrows():
@@ -52,7 +75,7 @@ def _align_cluster(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def sample_clusters(obs: DataFrame, max_n: int, seed: int = 123) -> DataFrame:
-    """At most ``max_n`` seqlets of each cluster (a sampling operator: alignment is quadratic in the cluster)."""
+    """At most ``max_n`` seqlets of each cluster (alignment is quadratic in the cluster)."""
     w = Window.partitionBy("leiden").orderBy(F.xxhash64("seqlet_id", F.lit(seed)), "seqlet_id")
     return obs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_n).drop("_r")
 
@@ -62,11 +85,22 @@ def reference_sample(ids: list, max_n: int) -> list:
     return random.Random(123).sample(ids, max_n) if len(ids) > max_n else ids
 
 
-def align_instances(obs: DataFrame, examples: DataFrame, max_n: int | None = 1000) -> DataFrame:
-    """M9: aligned instances of the clusters with two seqlets or more; one task per cluster, bounded by ``max_n``."""
+def align_instances(obs: DataFrame, examples: DataFrame, max_n: int | None = None) -> DataFrame:
+    """M9: aligned instances of the clusters with two seqlets or more, all of them unless ``max_n`` is given.
+
+    The root is found all against all, in tasks of about ``BLOCK`` seqlets against their cluster; the instances of a cluster
+    are then cut in one task.
+    """
+    n = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sample_clusters(obs, max_n) if max_n else obs
-    big = rows.where(F.col("leiden").isNotNull()).groupBy("leiden").count().where("count >= 2").select("leiden")
-    joined = rows.join(big, "leiden", "left_semi").select("leiden", "seqlet_id", "example_idx", "start", "end", "seqlet_matrix").join(examples.select("example_idx", "oh", "contrib"), "example_idx")
+    big = rows.where(F.col("leiden").isNotNull()).groupBy("leiden").agg(F.count("*").alias("_size")).where("_size >= 2")
+    mine = rows.select("leiden", "seqlet_id", "example_idx", "start", "end", "seqlet_matrix").join(big, "leiden").persist()  # read twice
+    parts = F.ceil(F.col("_size") / BLOCK).cast("int")
+    dealt = mine.select("leiden", "seqlet_id", "seqlet_matrix", F.pmod(F.xxhash64("seqlet_id"), parts).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    # The kernel costs far more than moving its rows: adaptive execution would gather small inputs in one task.
+    sums = dealt.repartition(n, "leiden", "part").groupBy("leiden", "part").applyInPandas(_sums, "leiden string, part int, ids array<long>, sums array<double>")
+    roots = sums.groupBy("leiden").applyInPandas(_root, "leiden string, root_id long")
+    joined = mine.drop("_size").join(roots, "leiden").join(examples.select("example_idx", "oh", "contrib"), "example_idx")
     return joined.groupBy("leiden").applyInPandas(_align_cluster, INSTANCES)
 
 
@@ -78,7 +112,7 @@ def element_mean(instances: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("leiden").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda s: s["row"]).alias(column))
 
 
-def create_patterns(obs: DataFrame, examples: DataFrame, max_n: int | None = 1000) -> tuple[DataFrame, DataFrame]:
+def create_patterns(obs: DataFrame, examples: DataFrame, max_n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances).  A pattern has its PPM, mean contributions, information content, size and domain."""
     instances = align_instances(obs, examples, max_n)
     size = instances.groupBy("leiden").agg(F.count("*").alias("n_seqlets"))

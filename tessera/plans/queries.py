@@ -404,7 +404,7 @@ def examples_wide(spark, sf_dir):
 def seqlet_patterns(spark, sf_dir):
     wide = examples_wide(spark, sf_dir)
     obs = seqlets.extract_seqlets(wide, 0.1).join(wide.select("example_idx", "leiden"), "example_idx")
-    return patterns.create_patterns(obs, wide, max_n=30)[0].select("leiden", "n_seqlets", "mean_ic", A.consensus(F.col("ppm")).alias("consensus"))
+    return patterns.create_patterns(obs, wide)[0].select("leiden", "n_seqlets", "mean_ic", A.consensus(F.col("ppm")).alias("consensus"))
 
 
 def event_counts(spark, sf_dir):

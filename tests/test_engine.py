@@ -218,6 +218,24 @@ def test_clustering_separates_groups(spark):
         cluster.cluster_seqlets(obs, None)
 
 
+def test_patterns_are_made_of_all_seqlets(spark, examples, found, monkeypatch):
+    obs = found.withColumn("leiden", (F.col("seqlet_id") % 2).cast("string")).persist()
+    whole = {r["seqlet_id"]: tuple(r) for r in patterns.align_instances(obs, examples).collect()}
+    monkeypatch.setattr(patterns, "BLOCK", 20)
+    assert {r["seqlet_id"]: tuple(r) for r in patterns.align_instances(obs, examples).collect()} == whole
+    for leiden, pdf in obs.toPandas().sort_values("seqlet_id").groupby("leiden"):
+        matrices = patterns._matrices(pdf)
+        targets = align.Targets(matrices)
+        root = np.stack([align.align(m, targets)[0] for m in matrices]).mean(0).argmin()
+        assert [i for i, r in whole.items() if r[0] == leiden and r[5]] == [pdf["seqlet_id"].iloc[root]]
+    few = Q.table(spark, SF, "embeddings").where("label = 0").orderBy("vec_id").limit(14).persist()
+    monkeypatch.setattr(Q, "table", lambda *_: few)
+    wide = Q.examples_wide(spark, SF)
+    size = seqlets.extract_seqlets(wide, 0.1).join(wide.select("example_idx", "leiden"), "example_idx").groupBy("leiden").count().collect()
+    assert max(r["count"] for r in size) > 30
+    assert {r["leiden"]: r["n_seqlets"] for r in Q.QUERIES["seqlet_patterns"](spark, SF).collect()} == {r["leiden"]: r["count"] for r in size}
+
+
 def test_topics(spark):
     data = [(str(r), str(c), 1 + (r + c) % 3) for r in range(12) for c in range(5) if (r + c) % 2]
     counts = spark.createDataFrame(data, "region_id string, cluster string, n long")
