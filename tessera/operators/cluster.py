@@ -141,7 +141,7 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: in
     if n < 4:
         return np.zeros((n, 2))
     perplexity = min(perplexity, (n - 1) / 3)
-    d = ((x[:, None] - x[None]) ** 2).sum(2) if n <= 2000 else np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T, 0)
+    d = np.stack([((x - r) ** 2).sum(1) for r in x])
     p = np.zeros((n, n))
     for i in range(n):
         low, high, beta, row = 0.0, np.inf, 1.0, np.delete(d[i], i)

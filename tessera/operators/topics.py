@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
 from math import lgamma
 
 import numpy as np
@@ -31,20 +33,21 @@ def gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int, k: int
     np.add.at(dt, (docs, z), 1)
     np.add.at(tw, (z, words), 1)
     np.add.at(t, z, 1)
+    # Plain lists: arrays of k numbers cost more to call than to add up.
+    of_doc, of_word, t, z = dt.tolist(), tw.T.tolist(), t.tolist(), z.tolist()
+    tokens, prior = list(zip(docs.tolist(), words.tolist(), strict=True)), n_words * eta
     for _ in range(n_iter if k > 1 else 0):
-        draws = rng.random(len(docs))
-        for i in range(len(docs)):
-            d, w, old = docs[i], words[i], z[i]
-            dt[d, old] -= 1
-            tw[old, w] -= 1
+        for i, ((d, w), draw) in enumerate(zip(tokens, rng.random(len(docs)).tolist(), strict=True)):
+            a, b, old = of_doc[d], of_word[w], z[i]
+            a[old] -= 1
+            b[old] -= 1
             t[old] -= 1
-            p = np.cumsum((dt[d] + alpha) * (tw[:, w] + eta) / (t + n_words * eta))
-            new = int(np.searchsorted(p, draws[i] * p[-1]))
-            z[i] = new
-            dt[d, new] += 1
-            tw[new, w] += 1
+            p = list(accumulate([(x + alpha) * (y + eta) / (s + prior) for x, y, s in zip(a, b, t, strict=True)]))
+            z[i] = new = bisect_left(p, draw * p[-1])
+            a[new] += 1
+            b[new] += 1
             t[new] += 1
-    return dt, tw
+    return np.array(of_doc).reshape(n_docs, k), np.array(of_word).reshape(n_words, k).T
 
 
 def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mode: str = "exact") -> float:
@@ -95,7 +98,8 @@ def fit_topics(counts: DataFrame, ks: list[int], alpha: float = 50.0, eta: float
         rows += [(k, "cluster", c, t + 1, p_tw[t, j], ll) for j, c in enumerate(clusters) for t in range(k)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FITS.split(", ")])
 
-    return table.groupBy("k").applyInPandas(run, FITS)
+    # Adaptive execution would gather small tables in one task.
+    return table.repartition(len(ks), "k").groupBy("k").applyInPandas(run, FITS)
 
 
 def spark_topics(counts: DataFrame, k: int, n_iter: int = 50, seed: int = 123) -> DataFrame:

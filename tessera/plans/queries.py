@@ -413,22 +413,21 @@ def event_counts(spark, sf_dir):
 
 @query()
 def lda(spark, sf_dir):
-    return topics.region_topic(topics.fit_topics(event_counts(spark, sf_dir), [4], n_iter=5), 4)
+    return topics.region_topic(topics.fit_topics(event_counts(spark, sf_dir), [4]), 4)
 
 
 @query()
 def topic_eval(spark, sf_dir):
-    return topics.evaluate(topics.fit_topics(event_counts(spark, sf_dir), [2, 4], n_iter=5))
+    return topics.evaluate(topics.fit_topics(event_counts(spark, sf_dir), list(topics.K_VALUES)))
 
 
 @query()
 def tsne(spark, sf_dir):
-    """Points of the labels' mean vectors."""
-    e = table(spark, sf_dir, "embeddings")
-    means = e.select("label", F.posexplode(vector()).alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
-    local = cluster._to_driver(means, "t-SNE").sort_values("label")
-    xy = cluster.tsne(np.stack(local["v"]), iterations=200)
-    return spark.createDataFrame([(int(r), float(a), float(b)) for r, (a, b) in zip(local["label"], xy, strict=True)], "label int, x double, y double")
+    """Points of all vectors."""
+    local = cluster._to_driver(table(spark, sf_dir, "embeddings").select("vec_id", "label", vector().alias("v")), "t-SNE").sort_values("vec_id")
+    xy = cluster.tsne(np.stack(local["v"]))
+    rows = [(int(i), int(r), float(a), float(b)) for i, r, (a, b) in zip(local["vec_id"], local["label"], xy, strict=True)]
+    return spark.createDataFrame(rows, "vec_id long, label int, x double, y double")
 
 
 @query("SELECT region_id, cluster, n FROM (SELECT o_orderpriority AS region_id, o_orderstatus AS cluster, count(*) AS n FROM orders GROUP BY ALL)")

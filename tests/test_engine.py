@@ -236,6 +236,17 @@ def test_patterns_are_made_of_all_seqlets(spark, examples, found, monkeypatch):
     assert {r["leiden"]: r["n_seqlets"] for r in Q.QUERIES["seqlet_patterns"](spark, SF).collect()} == {r["leiden"]: r["count"] for r in size}
 
 
+def test_topic_and_tsne_queries_do_the_whole_job(spark, monkeypatch):
+    fits, sizes, real, embed = [], [], topics.fit_topics, cluster.tsne
+    monkeypatch.setattr(topics, "fit_topics", lambda c, ks, **kw: fits.append((list(ks), kw)) or real(c, [2], n_iter=2))
+    monkeypatch.setattr(cluster, "tsne", lambda x, **kw: sizes.append((len(x), kw)) or embed(x, iterations=2))
+    Q.QUERIES["lda"](spark, SF)
+    Q.QUERIES["topic_eval"](spark, SF)
+    assert fits == [([4], {}), (list(topics.K_VALUES), {})]
+    ids = [r[0] for r in Q.table(spark, SF, "embeddings").select("vec_id").collect()]
+    assert sorted(r["vec_id"] for r in Q.QUERIES["tsne"](spark, SF).collect()) == sorted(ids) and sizes == [(len(ids), {})]
+
+
 def test_topics(spark):
     data = [(str(r), str(c), 1 + (r + c) % 3) for r in range(12) for c in range(5) if (r + c) % 2]
     counts = spark.createDataFrame(data, "region_id string, cluster string, n long")
