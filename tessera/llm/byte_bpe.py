@@ -14,11 +14,12 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import core
-from tessera.llm.pretokens import Memo, split_bytes_pattern
+from tessera.llm.pretokens import Kinds, Memo, split_bytes_pattern
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pairs of tokens whose compatibility one worker remembers; when full, it starts again.
@@ -99,20 +100,30 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def joined(pattern: str, pairs: list[str]) -> list[bool]:
+    """Whether tiktoken leaves each pair of signs in one piece.  Other libraries' Unicode tables differ from its own, so it is
+    asked itself, with each pair as a token: a piece that is a token becomes that token."""
+    import tiktoken
+
+    tokens = {p.encode(): 256 + i for i, p in enumerate(pairs)}
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)} | tokens, special_tokens={})
+    return [probe.encode_ordinary(p) == [tokens[p.encode()]] for p in pairs]
+
+
 _CODECS: dict[str, tuple[ByteBpe, Memo]] = {}
 
 
 def codec(path: str, pattern: str) -> tuple[ByteBpe, Memo]:
     """The codec of this process and its memo of pre-tokens."""
     if path not in _CODECS:
-        import regex
-
-        bpe, find = ByteBpe.from_file(path), regex.compile(pattern).findall
-        memo = Memo(
-            lambda strings: [bpe.encode_piece(s.encode()) for s in strings],
-            split_bytes_pattern,
-            lambda text: [i for piece in find(text) for i in bpe.encode_piece(piece.encode())],
-        )
+        bpe = ByteBpe.from_file(path)
+
+        def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [bpe.encode_piece(s.encode()) for s in strings]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for y in ids for x in y), np.uint32, int(counts.sum())), counts
+
+        memo = Memo(encode, split_bytes_pattern, Kinds(lambda pairs: joined(pattern, pairs)))
         _CODECS[path] = bpe, memo
     return _CODECS[path]
 

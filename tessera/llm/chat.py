@@ -8,11 +8,12 @@ The template writes a turn as ``<|turn|>role<|text|>content<|end|>``.  Inside te
 ``<||`` and so is any run that could be read back as it: ``<`` and one or more bars gets one bar more.  Nothing inside a
 text can therefore read as control, and removing one bar restores it.  The loss mask covers the content of assistant turns.
 
-A conversation is never held whole: turns are sorted within partitions, formatted one at a time, parsed back from their
-formatted form one at a time, and hashed as they pass, so a conversation of any length takes the memory of one turn.
+A conversation is never held whole: turns are sorted within partitions and formatted one at a time.  Each has its place in
+its conversation, so stored turns can be read back from any files in any order: they are sorted by it, parsed one at a time,
+and hashed as they pass.  A conversation of any length takes the memory of one turn.
 
 Defined results: a null text is empty, a null role is written as an empty role; turns are ordered by turn (nulls first),
-then role, then text; rows with a null conv_id form one conversation; an empty table gives an empty result.
+then role, then parts; rows with a null conv_id form one conversation; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def parse(formatted: str) -> list[tuple[str, list[Part]]]:
 
 
 PART = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
-TURNS = "conv_id long, turn long, role string, formatted string, loss array<struct<start:int,stop:int>>, attachments array<struct<number:int,kind:string,ref:string,tokens:long>>, expanded_tokens long"
+TURNS = "conv_id long, place long, turn long, role string, formatted string, loss array<struct<start:int,stop:int>>, attachments array<struct<number:int,kind:string,ref:string,tokens:long>>, expanded_tokens long"
 
 
 def format_messages(messages: DataFrame) -> DataFrame:
@@ -146,22 +147,23 @@ def format_messages(messages: DataFrame) -> DataFrame:
     core.small_batches(messages.sparkSession)
     kind = F.coalesce(F.col("parts").cast(PART), F.array().cast(PART))
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), kind.alias("parts"))
-    rows = rows.withColumn("_text", F.to_json("parts")).repartition(core.tasks(messages.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "_text").drop("_text")
-    names = ["conv_id", "turn", "role", "formatted", "loss", "attachments", "expanded_tokens"]
+    rows = rows.repartition(core.tasks(messages.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
+    names = ["conv_id", "place", "turn", "role", "formatted", "loss", "attachments", "expanded_tokens"]
     span, ref = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), span, ref, pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span, ref, pa.int64()]
 
     def run(batches):
-        now, number = object(), 0
+        now, place, number = object(), 0, 0
         for batch in batches:
             out = []
             for conv, turn, role, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv != now:
-                    now, number = conv, 0
+                    now, place, number = conv, 0, 0
                 got = flatten((Part(**{k: v for k, v in p.items() if v is not None}) for p in parts if p is not None), number)
                 number += len(got.attachments)
                 formatted, (a, b) = format_turn(role, got.content)
-                out.append((conv, turn, role, formatted, [{"start": a, "stop": b}] if role == "assistant" else [], got.attachments, got.expanded_tokens))
+                out.append((conv, place, turn, role, formatted, [{"start": a, "stop": b}] if role == "assistant" else [], got.attachments, got.expanded_tokens))
+                place += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
@@ -169,8 +171,10 @@ def format_messages(messages: DataFrame) -> DataFrame:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of conversations, from formatted turns that lie in order in their partitions (as ``format_messages`` has
-    them); attachments have no text."""
+    """Digests of conversations, from formatted turns as ``format_messages`` makes them, stored in any order; attachments
+    have no text."""
+    core.small_batches(turns.sparkSession)
+    rows = turns.select("conv_id", "place", "formatted", "loss").repartition(core.tasks(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "place")
 
     def run(batches):
         now, state, done = object(), None, []
@@ -200,7 +204,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         if done:
             yield _digests(done)
 
-    return turns.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

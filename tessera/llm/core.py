@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Code points handled together; a longer document makes a group of its own.
 GROUP_CHARS = 1_000_000
-#: Rows of an Arrow batch between the JVM and Python, so that a batch of long documents stays small.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and Python; a longer document makes a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 U64 = np.uint64
 
@@ -61,6 +61,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -151,24 +152,50 @@ _RANDOM = mix(np.arange(0x3000, dtype=U64))
 _BASE = U64(0x9E6C63D0876A9A47)
 
 
-@functools.lru_cache(4)
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, U64)
+#: The inverse of _BASE modulo 2**64.
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+#: Code points that are hashed together.
+HASH_CHARS = 1 << 20
+
+
+@functools.lru_cache(2)
+def _powers(base: U64) -> np.ndarray:
+    out = np.full(HASH_CHARS, base, U64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _random(c: np.ndarray) -> np.ndarray:
+    return _RANDOM[c] if len(c) and c.max() < len(_RANDOM) else mix(c.astype(U64))
+
+
+def chunks(starts: np.ndarray, lengths: np.ndarray, limit: int = HASH_CHARS) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of ascending slices that lie within ``limit`` positions; a longer slice is a run of its own."""
+    ends, i = starts + lengths, 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + limit, "right")), i + 1)
+        yield i, j
+        i = j
+
+
 def hash_slices(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices that do not overlap, in ascending order; equal slices have equal hashes."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    ends = np.cumsum(lengths)
-    where = np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)
-    inside = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-    c = cps[where]
-    r = _RANDOM[c] if len(c) and c.max() < len(_RANDOM) else mix(c.astype(U64))
-    size = 1 << int(lengths.max()).bit_length()
-    sums = np.add.reduceat(r * _powers(size)[inside], ends - lengths)
+    """64-bit hashes of slices that do not overlap, in ascending order; equal slices have equal hashes.
+
+    A slice's polynomial is a difference of running sums, shifted back by its place; memory is bounded by HASH_CHARS."""
+    sums = np.zeros(len(starts), U64)
+    for i, j in chunks(starts, lengths):
+        lo, hi = int(starts[i]), int(starts[j - 1] + lengths[j - 1])
+        if hi - lo > HASH_CHARS:  # one slice
+            for k in range(lo, hi, HASH_CHARS):
+                part = _random(cps[k : min(k + HASH_CHARS, hi)])
+                shifted = int((part * _powers(_BASE)[: len(part)]).sum(dtype=U64)) * pow(int(_BASE), k - lo, 1 << 64)
+                sums[i] = (int(sums[i]) + shifted) & ((1 << 64) - 1)
+            continue
+        running = np.zeros(hi - lo + 1, U64)
+        np.cumsum(_random(cps[lo:hi]) * _powers(_BASE)[: hi - lo], out=running[1:])
+        at = starts[i:j] - lo
+        # An empty slice may begin behind the last code point.
+        sums[i:j] = (running[at + lengths[i:j]] - running[at]) * _powers(_INVERSE)[np.minimum(at, HASH_CHARS - 1)]
     return mix(sums ^ (lengths.astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 

@@ -6,9 +6,10 @@ is dropped from all of them; other lines keep their place.
 
 Plan: lines become (host, digest) pairs, each once a page, and are counted with partial aggregation before the shuffle, so
 a host with a third of all pages, or a line on all of them, is a few partial counts per task.  The host totals are counted
-the same way.  The frequent lines come back as one array per host: a host has at most ``1 / RATIO`` times its average
-number of lines per page of them, whatever its size.  Texts are not shuffled unless those arrays outgrow a broadcast, and
-then an adaptive join splits a hot host.
+the same way.  The frequent lines are written as one array per host: a host has at most ``1 / RATIO`` times its average
+number of lines per page of them, whatever its size.  Their number is then known: up to ``BROADCAST_LINES`` they are
+broadcast and no text is shuffled; beyond, each host's array meets its pages in ``SALT`` places, so that a host with a third
+of all pages is dealt to as many tasks.
 
 Defined results: lines are split at line feeds and compared trimmed (spaces, tabs and carriage returns); blank lines are
 never boilerplate and are kept; a null text stays null; pages with a null host form one host; a page that appears in
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm import core
 
 RATIO, LEAST_PAGES = 0.1, 3
+#: Frequent lines that are broadcast, at 8 bytes each and some more for each host.
+BROADCAST_LINES, SALT = 2_000_000, 32
 
 
 def _lines(text: Column) -> Column:
@@ -57,8 +60,17 @@ def drop_lines(docs: DataFrame, host: Column, ratio: float = RATIO, least: int =
     Without ``copies``, pages of a host with the same lines count as one page, so that a group of copies can't make its own
     text boilerplate."""
     at, there, common, left = core.unused(docs, "_host", "_common_host", "_common", "_kept")
-    frequent = frequent_lines(docs, host, ratio, least, text, copies).withColumnsRenamed({"_host": there, "_common": common})
-    joined = docs.withColumn(at, host).join(frequent, F.col(at).eqNullSafe(F.col(there)), "left").drop(at, there)
+    spark = docs.sparkSession
+    frequent = core.materialise(frequent_lines(docs, host, ratio, least, text, copies).withColumnsRenamed({"_host": there, "_common": common}), "frequent-lines")
+    n = frequent.agg(F.sum(F.size(common) + 8)).first()[0] or 0  # a host counts as eight lines
+    if n <= BROADCAST_LINES:
+        joined = docs.withColumn(at, host).join(F.broadcast(frequent), F.col(at).eqNullSafe(F.col(there)), "left").drop(at, there)
+    else:
+        salt, dealt = core.unused(docs, "_salt", "_dealt")
+        many = frequent.crossJoin(F.broadcast(spark.range(SALT).select(F.col("id").cast("int").alias(dealt))))
+        both = F.col(at).eqNullSafe(F.col(there)) & (F.col(salt) == F.col(dealt))
+        salted = docs.withColumns({at: host, salt: F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int")})
+        joined = salted.join(many.hint("shuffle_hash"), both, "left").drop(at, there, salt, dealt)
     lines = _lines(F.col(text))
     kept = F.when(F.col(common).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(common, _digest(x))))
     out = joined.withColumn(left, kept)

@@ -2,21 +2,24 @@
 
 Byte-pair merges never cross a pre-token, and the same few hundred thousand pre-tokens make up most text.  The kernel
 therefore finds pre-token boundaries with array operations, maps each pre-token to a row of a memo (by a 64-bit hash,
-confirmed code point by code point), and asks the encoder only for the rows that it has not met.  Texts with code points
-at or above U+0300, where normalisation and the libraries' Unicode tables start to matter, and texts that hold a special
-string go to the encoder whole.
+confirmed code point by code point), and asks the encoder only for the rows that it has not met.
+
+The kind of a code point from U+0300 on is asked of the library's own splitter when it first occurs, so texts of every
+script take this path.  Vocabularies with a normaliser compose such code points, so there these texts go to the encoder
+whole.  A text that holds special strings is cut at them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 
-from tessera.llm.core import U64, code_points, hash_slices, spread
+from tessera.llm.core import U64, chunks, code_points, hash_slices, spread
 
-#: Code points below this are classified here; a text with others is encoded whole by the library.
+#: Code points below this are classified here, others by the library's splitter.
 SAFE = 0x300
 #: Distinct pre-tokens that the memo of one Python worker holds; when full, it starts again.
 MEMO_ROWS = 400_000
@@ -41,6 +44,29 @@ CLASSES = _classes()
 _QUOTE = ord("'")
 
 
+class Kinds:
+    """Kinds of code points.  ``joins`` tells which of many pairs of neighbours the library leaves in one piece; without it
+    only code points below SAFE have kinds."""
+
+    def __init__(self, joins: Callable[[list[str]], list[bool]] | None):
+        self.joins, self.table = joins, np.full(0x110000, 255, np.uint8)
+        self.table[:SAFE] = CLASSES
+
+    def of(self, cps: np.ndarray) -> np.ndarray:
+        out = self.table[cps]
+        if (out == 255).any():
+            self._ask(np.unique(cps[out == 255]))
+            out = self.table[cps]
+        return out
+
+    def _ask(self, new: np.ndarray) -> None:
+        """A letter joins a letter before it, a number a number, another sign a sign; white space joins none."""
+        kinds = np.full(len(new), _BLANK, np.uint8)
+        for first, kind in (("a", _LETTER), ("1", _NUMBER), ("!", _OTHER)):
+            kinds[np.array(self.joins([first + chr(c) for c in new.tolist()]), bool)] = kind
+        self.table[new] = kinds
+
+
 def _contractions(cps: np.ndarray, free: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Apostrophes in ``free`` that start 's 't 'm 'd 're 've 'll; and the end of each.  ``ends``: end of each one's text."""
     n = len(cps)
@@ -52,12 +78,11 @@ def _contractions(cps: np.ndarray, free: np.ndarray, ends: np.ndarray) -> tuple[
     return free[hit], free[hit] + np.where(two[hit], 3, 2)
 
 
-def split_bytes_pattern(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_bytes_pattern(cps: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths by public_tokenizers.PATTERN; all of the text is covered."""
     n = len(cps)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = CLASSES[cps]
     first = np.zeros(n, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
     last = np.zeros(n, bool)
@@ -81,12 +106,11 @@ def split_bytes_pattern(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return starts, np.diff(starts, append=n)
 
 
-def split_words_pattern(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split_words_pattern(cps: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths by the pattern of word_bpe_49k: letters, single numbers, others; white space is dropped."""
     n = len(cps)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = CLASSES[cps]
     low = cps + ((cps >= 65) & (cps <= 90)).astype(np.uint32) * np.uint32(32)
     first = np.zeros(n, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
@@ -107,17 +131,30 @@ def split_words_pattern(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return edges[keep], lengths[keep]
 
 
+def _slices(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The code points of ascending slices, one after another."""
+    if len(starts) and starts[-1] + lengths[-1] - starts[0] == lengths.sum():
+        return cps[starts[0] : starts[-1] + lengths[-1]]
+    return cps[spread(starts, lengths)]
+
+
+Encoded = tuple[np.ndarray, np.ndarray]
+
+
 class Memo:
-    """What each distinct pre-token encodes to.  ``encode`` maps a list of strings to a list of lists of ids."""
+    """What each distinct pre-token encodes to.  ``encode`` maps a list of strings to their ids in a row and how many each
+    has; ``special`` has the ids of the strings that texts are cut at; ``whole``, which only a vocabulary with a normaliser
+    needs, maps a text to its ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list], split: Callable, whole: Callable[[str], list], special: tuple[str, ...] = (), rows: int = MEMO_ROWS):
-        self.encode, self.split, self.whole, self.special, self.rows = encode, split, whole, special, rows
+    def __init__(self, encode: Callable[[list[str]], Encoded], split: Callable, kinds: Kinds, special: dict[str, int] | None = None, whole: Callable[[str], list] | None = None, rows: int = MEMO_ROWS):
+        self.encode, self.split, self.kinds, self.special, self.whole, self.rows = encode, split, kinds, special or {}, whole, rows
+        self.cutter = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         self._clear()
 
     def _clear(self) -> None:
         self.hashes = np.zeros(0, U64)  # ascending
         self.order = np.zeros(0, np.int64)  # row of each hash
-        self.cps, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.cps, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _rows(self, cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -139,26 +176,24 @@ class Memo:
         return self.order[at][codes]
 
     def _add(self, cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
-        chars = cps[spread(starts, lengths)].astype(np.uint16)
-        text = chars.astype("<u4").tobytes().decode("utf-32-le")
+        chars = cps[spread(starts, lengths)]
+        text = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         ends = np.cumsum(lengths).tolist()
-        strings = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        ids = self.encode(strings)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, counts = self.encode([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])
         n = len(self.order)
         self.cps = np.concatenate([self.cps, chars])
         self.at = np.concatenate([self.at, self.at[-1] + np.asarray(ends, np.int64)])
-        self.ids = np.concatenate([self.ids, np.fromiter((x for y in ids for x in y), np.uint32, int(counts.sum()))])
+        self.ids = np.concatenate([self.ids, np.asarray(ids, np.uint32)])
         self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(counts)])
-        hashes, order = np.concatenate([self.hashes, hashes]), np.concatenate([self.order, n + np.arange(len(hashes))])
         by = np.argsort(hashes, kind="stable")
-        self.hashes, self.order = hashes[by], order[by]
+        where = np.searchsorted(self.hashes, hashes[by])
+        self.hashes, self.order = np.insert(self.hashes, where, hashes[by]), np.insert(self.order, where, n + by)
 
     def _differ(self, cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Pre-tokens whose code points are not those of their row: two strings with one hash."""
         same = self.at[rows + 1] - self.at[rows] == lengths
         if same.all():
-            bad = cps[spread(starts, lengths)] != self.cps[spread(self.at[rows], lengths)]
+            bad = _slices(cps, starts, lengths) != self.cps[spread(self.at[rows], lengths)]
             if not bad.any():
                 return np.zeros(0, np.int64)
             return np.unique(np.searchsorted(np.cumsum(lengths), np.flatnonzero(bad), "right"))
@@ -168,39 +203,127 @@ class Memo:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) of all texts and offsets (n + 1) of the texts in them."""
+        if self.special and any(s in t for t in texts for s in self.special):
+            return self._cut(texts)
         cps, offsets = code_points(texts)
         alone = np.zeros(len(texts), bool)
-        odd = np.flatnonzero((cps >= SAFE) | (cps == 0x130))  # U+0130 has two code points in lower case
-        alone[np.searchsorted(offsets, odd, "right") - 1] = True
-        for s in self.special:
-            for i, t in enumerate(texts):
-                if s in t:
-                    alone[i] = True
+        if self.whole:
+            odd = np.flatnonzero((cps >= SAFE) | (cps == 0x130))  # U+0130 has two code points in lower case
+            alone[np.searchsorted(offsets, odd, "right") - 1] = True
+            if alone.any():
+                return self._mixed(texts, alone)
+        starts, lengths = self.split(cps, offsets, self.kinds.of(cps))
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i, j in chunks(starts, lengths):
+            a, n = starts[i:j], lengths[i:j]
+            rows = self._rows(cps, a, n)
+            bad = self._differ(cps, a, n, rows)
+            alone[np.searchsorted(offsets, a[bad], "right") - 1] = True
+            counts.append(self.ids_at[rows + 1] - self.ids_at[rows])
+            flat.append(self.ids[spread(self.ids_at[rows], counts[-1])])
         if alone.any():
             return self._mixed(texts, alone)
-        starts, lengths = self.split(cps, offsets)
-        rows = self._rows(cps, starts, lengths)
-        counts = self.ids_at[rows + 1] - self.ids_at[rows]
-        bad = self._differ(cps, starts, lengths, rows)
-        if len(bad):
-            doc = np.unique(np.searchsorted(offsets, starts[bad], "right") - 1)
-            alone[doc] = True
-            return self._mixed(texts, alone)
-        flat = self.ids[spread(self.ids_at[rows], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        return flat, ends[np.searchsorted(starts, offsets)]
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.concatenate(flat), ends[np.searchsorted(starts, offsets)]
 
     def _mixed(self, texts: list[str], alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         flat, at = self.tokens([t for t, a in zip(texts, alone, strict=True) if not a])
         parts, k = [], 0
         for t, a in zip(texts, alone, strict=True):
             if a:
-                parts.append(np.asarray(self.whole(t), np.uint32))
+                parts.append(np.asarray(self.whole(t), np.uint32) if self.whole else self._direct(t))
             else:
                 parts.append(flat[at[k] : at[k + 1]])
                 k += 1
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        return np.concatenate(parts), offsets
+        return _joined(parts)
+
+    def _direct(self, text: str) -> np.ndarray:
+        """Ids of a text without the memo: two of its pre-tokens have one hash."""
+        cps, offsets = code_points([text])
+        starts, lengths = self.split(cps, offsets, self.kinds.of(cps))
+        return self.encode([text[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])[0]
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Special strings are tokens of their own; what lies between them is encoded apart, as the libraries do."""
+        pieces = [self.cutter.split(t) for t in texts]
+        found = [self.cutter.findall(t) for t in texts]
+        flat, at = self.tokens([p for ps in pieces for p in ps])
+        parts, k = [], 0
+        for ps, names in zip(pieces, found, strict=True):
+            mine = []
+            for i in range(len(ps)):
+                mine.append(flat[at[k + i] : at[k + i + 1]])
+                if i < len(names):
+                    mine.append(np.array([self.special[names[i]]], np.uint32))
+            k += len(ps)
+            parts.append(np.concatenate(mine))
+        return _joined(parts)
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+#: Pre-tokens that are encoded as one text.
+TOGETHER = 500
+
+
+def library_encoder(tokenizer) -> Callable[[list[str]], Encoded]:
+    """Ids of many pre-tokens, and how many each has.
+
+    Words of letters alone are encoded ``TOGETHER`` in one text, each after a space, where the splitter parts them again; the
+    ids are dealt back by the bytes that they stand for, or by the mark that ends a word.  A text whose ids don't end with
+    its words, and all other pre-tokens, are encoded one by one.
+    """
+    marks = tokenizer.normalizer is not None  # a vocabulary of words: spaces are dropped, ids that end words are marked
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    # In a byte-level vocabulary each letter of a token's string stands for one byte.
+    width = np.zeros(max(vocab.values()) + 1, np.int64)
+    for s, i in vocab.items():
+        width[i] = s.endswith("</w>") if marks else len(s)
+
+    def each(strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def encode(strings: list[str]) -> Encoded:
+        like = [s.isalpha() for s in strings] if marks else [s[0] == " " and s[1:].isalpha() for s in strings]
+        words = [i for i, x in enumerate(like) if x]
+        alone = [i for i, x in enumerate(like) if not x]
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        flat, counts, places = [np.zeros(0, np.uint32)], np.zeros(len(strings), np.int64), []
+        for group, found in zip(groups, each([(" " if marks else "").join([strings[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(found, np.uint32)
+            upto = np.cumsum(width[ids])
+            ends = np.cumsum([1 if marks else len(s) if s.isascii() else len(s.encode()) for s in [strings[i] for i in group]])
+            stops = np.searchsorted(upto, ends)
+            if len(upto) and upto[-1] == ends[-1] and (upto[stops] == ends).all():
+                flat.append(ids)
+                counts[group] = np.diff(stops, prepend=-1)
+                places += group
+            else:
+                alone += group
+        for i, ids in zip(alone, each([strings[i] for i in alone]), strict=True):
+            flat.append(np.array(ids, np.uint32))
+            counts[i] = len(ids)
+        ends = np.cumsum(counts[places + alone])
+        starts = np.empty(len(strings), np.int64)
+        starts[places + alone] = ends - counts[places + alone]
+        return np.concatenate(flat)[spread(starts, counts)], counts
+
+    return encode
+
+
+def splitter(tokenizer) -> Kinds:
+    if tokenizer.normalizer is not None:
+        return Kinds(None)
+    return Kinds(lambda pairs: [len(tokenizer.pre_tokenizer.pre_tokenize_str(p)) == 1 for p in pairs])
+
+
+def special_ids(tokenizer) -> dict[str, int]:
+    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    if any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("special tokens that take white space with them can't be cut out of a text")
+    return added
 
 
 _MEMOS: dict[str, Memo] = {}
@@ -215,12 +338,7 @@ def library_memo(path: str) -> Memo:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        special = tuple(x.content for x in t.get_added_tokens_decoder().values())
         split = split_words_pattern if t.normalizer is not None else split_bytes_pattern
-        _MEMOS[path] = Memo(
-            lambda strings: [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)],
-            split,
-            lambda text: t.encode(text, add_special_tokens=False).ids,
-            special,
-        )
+        whole = (lambda text: t.encode(text, add_special_tokens=False).ids) if t.normalizer is not None else None
+        _MEMOS[path] = Memo(library_encoder(t), split, splitter(t), special_ids(t), whole)
     return _MEMOS[path]

@@ -54,7 +54,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = core.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return chat.read_back(chat.format_messages(chat.text_messages(turns.unionByName(extra))))
+    return chat.read_back(core.materialise(chat.format_messages(chat.text_messages(turns.unionByName(extra))), "chat-turns"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

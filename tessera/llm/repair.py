@@ -2,7 +2,7 @@
 
 Per block of ids, frequent pairs of neighbours are replaced by new symbols, again and again: a round counts all pairs,
 makes a rule of each pair seen ``LEAST`` times or more, and replaces occurrences that do not overlap, more frequent pairs
-first.  Rounds end when no pair is frequent or a round saves less than ``GAIN`` of the sequence.
+first.  Rounds end when no pair is frequent.
 
 A block holds, in fixed-width arrays: its documents, the rules, the expansion length of each rule, the sequence, and the
 position in the expanded ids of every ``STEP``-th symbol.  A range of ids is decoded from the symbols that cover it.
@@ -20,6 +20,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,54 +30,96 @@ from tessera.llm import core
 from tessera.llm.pretokens import library_memo
 
 BLOCK_IDS = 1 << 19
-LEAST, GAIN, STEP = 6, 0.01, 64
+LEAST, STEP = 6, 64
 MAGIC = b"RPB1"
 BLOCKS = "shard int, block int, before long, n_ids long, payload binary"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def grammar(ids: np.ndarray, least: int = LEAST, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sequence, rules as pairs, first new symbol).  A rule's symbols are ids or earlier rules."""
-    seq = ids.astype(np.uint32)
-    first = int(seq.max()) + 1 if len(seq) else 0
-    rules = np.zeros((0, 2), np.uint32)
-    while len(seq) > 1:
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        at = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)  # a pair that is frequent is in a frequent slot
-        pairs, which, n = np.unique(keys[at], return_inverse=True, return_counts=True)
-        rank = np.full(len(pairs), np.iinfo(np.int64).max)
-        order = np.lexsort((pairs, -n))
-        order = order[n[order] >= least]
-        if not len(order):
+def _number(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """1, 2 .. for each distinct key that occurs ``least`` times or more, 0 for others; and the counts, that of 0 as 0."""
+    slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+    at = np.flatnonzero(np.bincount(slot, minlength=1 << 18)[slot] >= least)  # a frequent key is in a frequent slot
+    codes, found = pd.factorize(keys[at])
+    counts = np.bincount(codes, minlength=len(found))
+    often = counts >= least
+    out = np.zeros(len(keys), np.int64)
+    out[at] = np.where(often, np.cumsum(often), 0)[codes]
+    return out, np.concatenate([[0], counts[often]])
+
+
+def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sequence, rules as pairs, first new symbol).  A rule's symbols are ids or earlier rules.
+
+    Every pair left occurs fewer than ``least`` times (overlaps in a run of one symbol not counted), for any ``least`` of two
+    or more: in each round the most frequent pair wins all its places, so a round that makes no rule is the last.  A round
+    touches the places of frequent pairs and their neighbours only; symbols are linked, so nothing is moved.
+    """
+    least = max(least, 2)
+    n = len(ids)
+    symbol = ids.astype(np.int64)
+    first = int(symbol.max()) + 1 if n else 0
+    if n < 2:
+        return symbol.astype(np.uint32), np.zeros((0, 2), np.uint32), first
+    # The place after the last is a sentinel, before the first as after the last.
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[n] = before[0] = n
+    symbol = np.append(symbol, -1)
+    # The number of the pair that starts at a place; 0 for a rare one, as pairs never become more frequent.
+    pair = np.zeros(n + 1, np.int64)
+    pair[: n - 1], counts = _number(symbol[: n - 1] << 32 | symbol[1:n], least)
+    alive, marked, score = np.ones(n + 1, bool), np.zeros(n + 1, bool), np.full(n + 1, -1)
+    rules: list[np.ndarray] = []
+    made = first
+    places = np.flatnonzero(pair)
+    while len(places):
+        doubled = places[symbol[places] == symbol[after[places]]]
+        odd = doubled[:0]
+        if len(doubled):  # every other place of a run of one symbol
+            starts = np.ones(len(doubled), bool)
+            starts[1:] = after[doubled[:-1]] != doubled[1:]
+            run = np.maximum.accumulate(np.where(starts, np.arange(len(doubled)), 0))
+            odd = doubled[(np.arange(len(doubled)) - run) & 1 == 1]
+        free = counts - np.bincount(pair[odd], minlength=len(counts)) if len(odd) else counts
+        score[places] = free[pair[places]] << 32 | len(counts) - pair[places]  # the earlier pair of equally frequent ones
+        score[odd] = -1
+        mine = score[places]
+        taken = places[(mine > score[before[places]]) & (mine > score[after[places]]) & (free[pair[places]] >= least)]
+        score[places] = -1
+        used = np.bincount(pair[taken], minlength=len(counts))
+        good = used >= least
+        taken = taken[good[pair[taken]]]
+        if not len(taken):
             break
-        rank[order] = np.arange(len(order))
-        # A place takes part if its pair is more frequent than those it overlaps; of equal ones, the leftmost of a run
-        # of pairs at even distance from its start.
-        place = np.full(len(seq) + 1, np.iinfo(np.int64).max)
-        place[at + 1] = rank[which]
-        mine, left, right = place[1:-1], place[:-2], place[2:]
-        is_same = mine == left
-        run_start = np.maximum.accumulate(np.where(is_same, 0, np.arange(len(mine))))
-        even = ((np.arange(len(mine)) - run_start) & 1) == 0
-        take = (mine < np.iinfo(np.int64).max) & even & (mine <= left) & (mine <= right)
-        take[1:] &= ~take[:-1] | (mine[1:] != mine[:-1])
-        take[1:] &= ~take[:-1]
-        where = np.flatnonzero(take)
-        used = np.bincount(mine[where], minlength=len(order))
-        good = used >= max(2, least // 2)
-        where = where[good[mine[where]]]
-        if len(where) < gain * len(seq):
-            break
-        number = np.cumsum(good) - 1
-        made = pairs[order[good]]
-        seq = seq.copy()
-        seq[where] = first + len(rules) + number[mine[where]]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-    return seq, rules, first
+        number = (np.cumsum(good) - 1)[pair[taken]]
+        example = np.empty(int(good.sum()), np.int64)
+        example[number] = taken
+        rules.append(np.stack([symbol[example], symbol[after[example]]], 1))
+        gone = after[taken]
+        symbol[taken] = made + number
+        made += len(example)
+        follow = after[gone]
+        marked[taken] = marked[gone] = marked[before[taken]] = True
+        touched = np.flatnonzero(marked)
+        marked[touched] = False
+        counts -= np.bincount(pair[touched], minlength=len(counts))
+        after[taken], before[follow] = follow, taken
+        after[n] = n
+        alive[gone] = False
+        pair[touched] = 0
+        # What is touched and stays starts a pair with a new symbol, or the last place, which starts none.
+        fresh = touched[alive[touched] & (after[touched] < n)]
+        numbers, new = _number(symbol[fresh] << 32 | symbol[after[fresh]], least)
+        pair[fresh] = np.where(numbers > 0, numbers + len(counts) - 1, 0)
+        counts[0] = 0
+        counts = np.concatenate([counts, new[1:]])
+        fresh = fresh[numbers > 0]
+        places = places[alive[places] & (counts[pair[places]] >= least)]
+        marked[places] = marked[fresh] = True
+        places = np.flatnonzero(marked)
+        marked[places] = False
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2))
+    return symbol[:n][alive[:n]].astype(np.uint32), pairs.astype(np.uint32), first
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
@@ -153,14 +196,44 @@ class Block:
     def ids(self) -> np.ndarray:
         return expand(self.symbols(0, len(self.low)), self.rules, self.first)
 
+    def _width(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that each symbol stands for."""
+        rule = symbols >= self.first
+        return np.where(rule, self.lengths[np.where(rule, symbols - np.uint32(self.first), 0)], 1) if len(self.rules) else np.ones(len(symbols), np.int64)
+
+    def _cut(self, symbol: int, start: int, stop: int) -> list[int]:
+        """Symbols for the ids [start, stop) of one symbol: lengths say which children of a rule are needed whole, in part or
+        not at all, so nothing outside the range is expanded."""
+        out, stack = [], [(symbol, start, stop)]
+        while stack:
+            s, a, b = stack.pop()
+            width = int(self.lengths[s - self.first]) if s >= self.first else 1
+            a, b = max(a, 0), min(b, width)
+            if a >= b:
+                continue
+            if b - a == width:
+                out.append(s)
+                continue
+            left, right = (int(x) for x in self.rules[s - self.first])
+            half = int(self.lengths[left - self.first]) if left >= self.first else 1
+            stack += [(right, a - half, b - half), (left, a, b)]
+        return out
+
     def decode(self, start: int, stop: int) -> np.ndarray:
-        """Ids [start, stop) from the symbols that cover them."""
+        """Ids [start, stop): the marks lead to the run of symbols, the lengths to the symbols and the children in it."""
         if stop <= start:
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.marks, start, "right")) - 1
         b = int(np.searchsorted(self.marks, stop, "left"))
-        out = expand(self.symbols(a * STEP, min(b * STEP, len(self.low))), self.rules, self.first)
-        return out[start - int(self.marks[a]) : stop - int(self.marks[a])]
+        symbols = self.symbols(a * STEP, min(b * STEP, len(self.low)))
+        ends = int(self.marks[a]) + np.cumsum(self._width(symbols), dtype=np.int64)
+        lo, hi = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
+        begins = lambda k: int(ends[k - 1]) if k else int(self.marks[a])
+        if lo == hi:
+            middle = self._cut(int(symbols[lo]), start - begins(lo), stop - begins(lo))
+        else:
+            middle = [*self._cut(int(symbols[lo]), start - begins(lo), 1 << 40), *symbols[lo + 1 : hi].tolist(), *self._cut(int(symbols[hi]), 0, stop - begins(hi))]
+        return expand(np.array(middle, np.uint32), self.rules, self.first)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partitions: int | None = None) -> None:

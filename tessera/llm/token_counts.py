@@ -5,8 +5,8 @@ one of them counts 1 without any merge; only the other distinct pre-tokens are m
 their counts.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows give repeated results; an empty table gives an
-empty result; other columns are ignored.  A text that holds a special string, or code points outside the kernel's range,
-goes to the library whole, so special strings count as the library's default counts them.
+empty result; other columns are ignored.  A special string in a text is one token, as by the library's default, and what
+lies between special strings is counted apart.  Texts of every script take the same path.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import core
-from tessera.llm.pretokens import Memo, split_bytes_pattern
+from tessera.llm.pretokens import Memo, library_encoder, special_ids, split_bytes_pattern, splitter
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -42,16 +42,17 @@ def _counter(path: str, whole: frozenset) -> Memo:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        if t.normalizer is not None:
+            raise ValueError("the shortcut needs a byte-level vocabulary without a normaliser")
+        merge = library_encoder(t)
 
-        def encode(strings: list[str]) -> list:
-            out: list = [(1,)] * len(strings)
+        def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            out = np.ones(len(strings), np.uint32)
             rest = [i for i, s in enumerate(strings) if s not in whole]
-            for i, e in zip(rest, t.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = (len(e.ids),)
-            return out
+            out[rest] = merge([strings[i] for i in rest])[1]
+            return out, np.ones(len(strings), np.int64)
 
-        special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-        memo = Memo(encode, split_bytes_pattern, lambda s: (len(t.encode(s, add_special_tokens=False).ids),), special)
+        memo = Memo(encode, split_bytes_pattern, splitter(t), dict.fromkeys(special_ids(t), 1))
         _MEMO[path] = whole, memo
     return _MEMO[path][1]
 
