@@ -6,6 +6,7 @@ that word and pre-token boundaries, hashes and counts are NumPy passes and not P
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import shutil
@@ -40,7 +41,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Folders that this driver has made and not removed.
+_MADE: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this driver; results that were read from them must have been written before."""
+    for path in list(_MADE):
+        drop(spark, path)
 
 
 @functools.cache
@@ -52,11 +65,36 @@ def _local_base() -> str:
     return "file://" + path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: the lineage is cut and survives executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` as a table in the shared folder and reads it back: the lineage is cut and survives executors.  The path
+    is for ``drop`` when nothing will read the table again."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for a table that the result is read from; ``clean`` removes it."""
+    return stored(df, name)[0]
+
+
+#: Database of bucketed tables while a job needs them.
+SCRATCH = "tessera_scratch"
+
+
+@contextlib.contextmanager
+def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table bucketed by ``key``, so that what is grouped by the key can meet it without moving it; removed at
+    the end, with its files."""
+    spark = df.sparkSession
+    table, path = f"{SCRATCH}.{name}_{uuid.uuid4().hex}", shared_dir(spark, name)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH}")
+    df.write.bucketBy(tasks(spark), key).option("path", path).format("parquet").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        drop(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -253,6 +291,8 @@ def drop(spark: SparkSession, path: str) -> None:
     """Removes a table in the shared folder that nothing will read again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -182,12 +182,17 @@ def test_op1_grammar_and_random_access():
         repair.Block(b"none")
 
 
-def test_op2_lines(spark, empty):
+def test_op2_lines(spark, empty, monkeypatch):
     data = [(i, "h1" if i < 8 else None, f"menu\nown {i}\n\n menu\t\nfoot{i % 4}") for i in range(12)] + [(99, "h1", None)]
     df = spark.createDataFrame(data, "page_id long, source string, text string")
     got = {r["page_id"]: r for r in line_dedup.drop_lines(df, F.col("source"), ratio=0.5).collect()}
     assert got[0]["text"] == "own 0\n\nfoot0" and got[0]["_n_dropped"] == 2 and got[9]["text"] == "own 9\n\nfoot1"
     assert got[99]["text"] is None and got[99]["_n_dropped"] == 0
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)  # salted
+    again = line_dedup.drop_lines(df, F.col("source"), ratio=0.5)
+    assert {r["page_id"]: r for r in again.collect()} == got
+    twice = line_dedup.drop_lines(df.union(df), F.col("source"), ratio=0.5).collect()  # rows count as pages
+    assert sorted(map(str, twice)) == sorted(map(str, [*got.values(), *got.values()]))
     assert line_dedup.drop_lines(empty, F.col("source")).count() == 0
     urls = ["http://u:p@A.Example.com:80/x", "https://b.org", "nothing", None]
     assert [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(line_dedup.page_host(F.col("u"))).collect()] == ["a.example.com", "b.org", None, None]
@@ -392,7 +397,7 @@ def test_op6_good_turing_runs_on_the_given_documents(spark, monkeypatch, caplog)
 
 
 def shingles(text, n):
-    ws = (text or "").lower().split()
+    ws = split((text or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
 
 
@@ -441,6 +446,27 @@ def test_op8_chat(spark):
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nassistant\n<|end|> hi\nassistant\n<|end|> hi\n").hexdigest() and got[None]["loss_chars"] == 0
 
 
+def test_op8_stored_turns_read_back_in_any_order(spark, tmp_path):
+    parts = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
+    image = lambda ref: ("image", None, ref, 28, 14, None, None)
+    text = lambda t: ("text", t, None, None, None, None, None)
+    data = [(c, t, "assistant" if t % 2 else "user", [text(f"<|end|> {c} {t}"), image(f"r{t}"), text("tail")], "extra") for c in range(6) for t in range(8)]
+    data += [(None, None, None, None, None), (7, 0, "user", [], "x"), (8, 0, "assistant", [text("é" * 3_000_000)], "x")]
+    df = spark.createDataFrame(data, f"conv_id long, turn long, role string, parts {parts}, place string").repartition(5)
+    turns = chat.format_messages(df)
+    live = sorted(chat.read_back(turns).collect(), key=str)
+    turns.repartition(7, "formatted").write.parquet(str(tmp_path / "turns"))
+    stored = spark.read.parquet(str(tmp_path / "turns"))
+    assert sorted(chat.read_back(stored.repartition(3, "turn")).collect(), key=str) == live and len(live) == 9
+    got = {r["conv_id"]: r for r in live}
+    said = "".join(f"<|end|> 2 {t}tail" for t in range(1, 8, 2))
+    assert got[2]["n_turns"] == 8 and got[2]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[8]["loss_chars"] == 3_000_000
+    refs = [(a["number"], a["ref"]) for r in sorted(turns.where("conv_id = 3").collect(), key=lambda r: r["place"]) for a in r["attachments"]]
+    assert refs == [(i, f"r{i}") for i in range(8)]
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_messages(chat.text_messages(none))).count() == 0
+
+
 def components(rows, n, percent):
     sets = {r[0]: shingles(r[1], n) for r in rows}
     root = {k: k for k in sets}
@@ -459,20 +485,44 @@ def components(rows, n, percent):
     return {k: (len(sets[k]), find(k)) for k in keys}
 
 
-@pytest.mark.parametrize("n,percent,part", [(4, 85, 4_000_000), (5, 80, 4_000_000), (2, 60, 300)])
-def test_op9_join(docs, rows, n, percent, part, monkeypatch):
+@pytest.mark.parametrize("n,percent,part,few", [(4, 85, 4_000_000, 64), (5, 80, 4_000_000, 1), (2, 60, 300, 64)])
+def test_op9_join(docs, rows, n, percent, part, few, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", part)
+    monkeypatch.setattr(jaccard_join, "PART_SETS", few)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 500)
-    plain = [r for r in rows if not r[1] or r[1].isascii()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs, n, percent).collect()}
-    want = components(rows, n, percent)
-    assert {r[0]: got[r[0]] for r in plain} == {r[0]: want[r[0]] for r in plain}
+    assert got == components(rows, n, percent)
+
+
+def near_chain():
+    """Texts each near the next; of ids 1, none, none, 4: the ends are linked through rows without ids."""
+    words = [f"w{i}é" for i in range(100)]
+    out = []
+    for i, key in enumerate((1, None, None, 4)):
+        out.append((key, " ".join(words[3 * i : 3 * i + 85])))
+    return out
+
+
+def test_op9_rows_without_ids_link_like_others(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 50)
+    data = [*near_chain(), (None, "alone " * 9), (7, None), (None, None), (9, near_chain()[3][1]), (9, "another text of nine words or more than that")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = jaccard_join.join(df, 4, 85).collect()
+    numbered = components([(i, t) for i, (_, t) in enumerate(data)], 4, 85)
+    smallest = {}
+    for i, (key, _) in enumerate(data):
+        smallest.setdefault(numbered[i][1], []).append(key)
+    want = [(key, numbered[i][0], min((k for k in smallest[numbered[i][1]] if k is not None), default=None)) for i, (key, _) in enumerate(data)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and (None, 82, 1) in want and (4, 82, 1) in want
+    kept = jaccard_join.keep_one(df, 4, 85).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [data[0], data[4], data[5], data[6], data[8]]))
 
 
 def test_op9_edges(odd, empty):
     got = jaccard_join.join(odd, 4, 85).collect()
     assert len(got) == odd.count() and all(r["component_id"] is not None for r in got if r["doc_id"] is not None)
     assert jaccard_join.join(empty, 4, 85).count() == 0
+    assert jaccard_join.keep_one(empty).count() == 0
 
 
 def test_op9_tree_equals_brute_force():
