@@ -250,6 +250,48 @@ def test_op3_balances_cost():
     assert np.std(full) < 0.15 * np.mean(full)
 
 
+def packed_by_definition(lengths, capacity):
+    """Descending documents, each to the sequence of lowest cost that has room, by looking at all sequences every time."""
+    sizes = packing.sequence_sizes(sum(lengths), capacity)
+    used, spent, pieces, full = [0] * len(sizes), [0.0] * len(sizes), [], 0
+    todo = []
+
+    def place(doc, start, n, s):
+        pieces.append((doc, start, n, s, used[s]))
+        used[s] += n
+        spent[s] += packing.cost(n)
+
+    for doc, n in enumerate(lengths):
+        for k in range(n // capacity):
+            place(doc, k * capacity, capacity, full)
+            full += 1
+        if n % capacity:
+            todo.append((n % capacity, doc, n // capacity * capacity))
+    while todo:
+        todo.sort(key=lambda x: (-x[0], x[1], x[2]))
+        n, doc, start = todo.pop(0)
+        open_ones = [s for s in range(full, len(sizes)) if used[s] < sizes[s]]
+        fit = [s for s in open_ones if sizes[s] - used[s] >= n]
+        if fit:
+            place(doc, start, n, min(fit, key=lambda s: (spent[s], s)))
+        else:
+            s = min(open_ones, key=lambda s: (used[s] - sizes[s], s))
+            room = sizes[s] - used[s]
+            todo.append((n - room, doc, start + room))
+            place(doc, start, room, s)
+    return pieces, sizes
+
+
+def test_op3_each_document_goes_to_the_cheapest_sequence_with_room():
+    rng = random.Random(11)
+    for t in range(150):
+        capacity = rng.choice([8, 64, 256])
+        lengths = [rng.randint(1, rng.choice([4, capacity, 3 * capacity])) for _ in range(rng.randint(0, 60))]
+        lengths += [7] * rng.randint(0, 9)  # ties
+        pieces, sizes, _ = packing.pack(lengths, capacity)
+        assert (sorted(pieces), sizes) == (lambda p, s: (sorted(p), s))(*packed_by_definition(lengths, capacity))
+
+
 def test_op4_equals_tiktoken(docs, odd, empty, rows):
     import tiktoken
 
@@ -279,40 +321,51 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def test_op5_base_and_scores(spark, docs, odd, empty, rows):
-    trusted = spark.createDataFrame([(i,) for i in range(90, 180, 6)], "doc_id long")
-    got = {r["doc_id"]: r for r in quality.rate(docs, trusted).collect()}
-    raw, good, grams = Counter(), Counter(), {}
-    for r in rows:
-        ws = [w.translate({i: i + 32 for i in range(65, 91)}) for w in split(r[1])]
-        grams[r[0]] = ws + [(a, b) for a, b in zip(ws, ws[1:])]
-        found, at = quality.buckets_of([r[1] or ""])
-        assert len(found) == len(grams[r[0]])
-        raw.update(found.tolist())
-        if r[0] in range(90, 180, 6):
-            good.update(found.tolist())
+def rated(rows, trusted):
+    """Base figures, score and verdict of (id, text) rows by the definition; buckets come from the operator's hash."""
+    raw, good, found = Counter(), Counter(), []
+    for i, text in rows:
+        ws = [w.translate({i: i + 32 for i in range(65, 91)}) for w in split(text)]
+        mine = quality.buckets_of([text or ""])[0].tolist()
+        assert len(mine) == len(ws) + max(len(ws) - 1, 0)
+        found.append(mine)
+        raw.update(mine)
+        if i in trusted:
+            good.update(mine)
     n_raw, n_good = sum(raw.values()), sum(good.values())
-    B, M = quality.BUCKETS, quality.PRIOR * n_good
-    verdicts = Counter()
-    for r in rows:
-        ws, text = split(r[1]), r[1] or ""
+    B, M = quality.BUCKETS, max(quality.PRIOR * n_good, 1.0)
+    p = lambda b: (raw[b] + 1) / (n_raw + B)
+    out = []
+    for (_, text), mine in zip(rows, found):
+        ws, text = split(text), text or ""
         windows = Counter(zip(ws, ws[1:], ws[2:]))
         covered = {i + k for i in range(len(ws) - 2) if windows[tuple(ws[i : i + 3])] > 1 for k in range(3)}
         lines = [x for x in text.split("\n") if x.strip(BLANK)]
         failed = len(ws) < 50 or 100 * len(covered) > 50 * len(ws)
-        want = (len(ws), sum(map(len, ws)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed)
-        assert tuple(got[r[0]][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == want
-        found = quality.buckets_of([text])[0].tolist()
-        p = lambda b: (raw[b] + 1) / (n_raw + B)
-        score = sum(math.log((good[b] + M * p(b)) / (n_good + M)) - math.log(p(b)) for b in found) / max(len(found), 1)
-        assert math.isclose(got[r[0]]["score"], score, abs_tol=1e-9)
+        score = sum(math.log((good[b] + M * p(b)) / (n_good + M)) - math.log(p(b)) for b in mine) / max(len(mine), 1)
         assert abs(score - quality.THRESHOLD) > 1e-8
-        assert got[r[0]]["kept"] == (not failed and score >= quality.THRESHOLD)
-        verdicts[failed, got[r[0]]["kept"]] += 1
+        base = len(ws), sum(map(len, ws)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
+        out.append((base, score, not failed and score >= quality.THRESHOLD))
+    return out
+
+
+def test_op5_base_scores_and_verdicts(spark, docs, odd, empty, rows):
+    trusted = spark.createDataFrame([(i,) for i in range(90, 180, 6)], "doc_id long")
+    found = quality.rate(docs, trusted).collect()
+    got = {r["doc_id"]: r for r in found}
+    verdicts = Counter()
+    for (key, *_), (base, score, kept) in zip(rows, rated([r[:2] for r in rows], set(range(90, 180, 6)))):
+        r = got[key]
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == base
+        assert math.isclose(r["score"], score, abs_tol=1e-9) and r["kept"] == kept
+        verdicts[base[-1], kept] += 1
     assert len(verdicts) == 3  # rejected by the base rules, by the score, and kept
-    again = {r["doc_id"]: r for r in quality.rate(docs.repartition(7, "text"), trusted).collect()}
-    assert again == got
-    assert quality.rate(odd, trusted.limit(0)).count() == odd.count()
+    assert {r["doc_id"]: r for r in quality.rate(docs.repartition(7, "text"), trusted).collect()} == got  # to the last bit
+    pairs = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    mine = sorted((str(i), *base, kept) for (i, _), (base, _, kept) in zip(pairs, rated(pairs, {30, 36})))
+    rate = quality.rate(odd, spark.createDataFrame([(30,), (36,), (36,), (None,)], "doc_id long")).collect()
+    assert sorted((str(r[0]), *tuple(r)[1:7], r["kept"]) for r in rate) == mine
+    assert not any(r["kept"] == r["base_failed"] for r in quality.rate(odd, trusted.limit(0)).collect())  # all ratios are one
     assert quality.rate(empty, trusted).count() == 0
     kept = quality.filter_documents(docs, trusted)
     assert kept.columns == docs.columns
@@ -323,51 +376,82 @@ def test_op5_base_and_scores(spark, docs, odd, empty, rows):
     assert quality.trusted_texts(docs.select("doc_id", "text"), labels).count() == docs.where("doc_id = 5").count()
 
 
-def katz_brute(rows):
+def katz_brute(rows, order=2, scored=None):
+    """The model by its definition, with dictionaries; scores of ``scored`` or of the rows themselves."""
     token = lambda t: [w.translate({i: i + 32 for i in range(65, 91)}) for w in split(t)] + ["</s>"]
-    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows}
-    one, two, ctx = Counter(), Counter(), Counter()
+    is_held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    grams = [Counter() for _ in range(order + 1)]
+    contexts = [Counter() for _ in range(order + 1)]
     for r in rows:
-        if not held[r[0]]:
-            ws = token(r[1])
-            one.update(ws)
-            two.update(zip(["<s>", *ws], ws))
-            ctx.update(["<s>", *ws[:-1]])
-    stats = lambda c: [sum(1 for v in c.values() if v == k) for k in range(1, katz.K + 2)] + [sum(c.values()), len(c)]
-    d1, d2 = katz.discounts(stats(one)), katz.discounts(stats(two))
-    N, V = sum(one.values()), len(one)
-    unknown = 1 - sum(d1[min(c, katz.K + 1)] * c for c in one.values()) / N
-    p1 = lambda w: d1[min(one[w], katz.K + 1)] * one[w] / N if one[w] else unknown
-    after = {}
-    for (h, w), c in two.items():
-        after.setdefault(h, []).append((w, c))
+        if not is_held(r[0]):
+            ws = ["<s>", *token(r[1])]
+            for k in range(1, order + 1):
+                for i in range(1, len(ws)):
+                    if i - k + 1 >= 0:
+                        grams[k][tuple(ws[i - k + 1 : i + 1])] += 1
+                        contexts[k][tuple(ws[i - k + 1 : i])] += 1
+    stats = lambda c: ([sum(1 for v in c.values() if v == k) for k in range(1, katz.K + 2)], dict(Counter(c.values())))
+    d = [None, *(katz.discounts(*stats(grams[k])) for k in range(1, order + 1))]
+    N, V = sum(grams[1].values()), len(grams[1])
+    taken = lambda k, c: d[k][min(c, katz.K + 1)] * c
+    unknown = 1 - sum(taken(1, c) for c in grams[1].values()) / N
+    after = [{} for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            after[k].setdefault(g[:-1], []).append((g[-1], c))
+    weight = {}
 
     def p(h, w):
-        if h not in after:
-            return p1(w)
-        if two[h, w]:
-            return d2[min(two[h, w], katz.K + 1)] * two[h, w] / ctx[h]
-        return (1 - sum(d2[min(c, katz.K + 1)] * c for _, c in after[h]) / ctx[h]) / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
+        if not h:
+            c = grams[1][(w,)]
+            return taken(1, c) / N if c else unknown
+        k = len(h) + 1
+        if h not in after[k]:
+            return p(h[1:], w)
+        c = grams[k][(*h, w)]
+        if c:
+            return taken(k, c) / contexts[k][h]
+        if h not in weight:
+            left = 1 - sum(taken(k, c) for _, c in after[k][h]) / contexts[k][h]
+            weight[h] = left / (1 - sum(p(h[1:], x) for x, _ in after[k][h]))
+        return weight[h] * p(h[1:], w)
 
     out = {}
-    for r in rows:
-        ws = token(r[1])
-        out[r[0]] = held[r[0]], len(ws), sum(one[w] > 0 for w in ws), N, sum(math.log10((one[w] + 0.1) / (N + 0.1 * (V + 1))) for w in ws), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ws], ws))
-    for h in list(after)[:20]:
-        assert math.isclose(sum(p(h, w) for w in one) + p(h, object()), 1, rel_tol=1e-9)
+    for r in rows if scored is None else scored:
+        ws = ["<s>", *token(r[1])]
+        total = sum(math.log10(p(tuple(ws[max(0, i - order + 1) : i]), ws[i])) for i in range(1, len(ws)))
+        base = sum(math.log10((grams[1][(w,)] + 0.1) / (N + 0.1 * (V + 1))) for w in ws[1:])
+        out[r[0]] = is_held(r[0]), len(ws) - 1, sum(grams[1][(w,)] > 0 for w in ws[1:]), N, base, total
+    words = [g[0] for g in grams[1]]
+    for k in range(2, order + 1):
+        for h in list(after[k])[:12]:
+            assert math.isclose(sum(p(h, w) for w in words) + p(h, object()), 1, rel_tol=1e-9)
     return out
 
 
-def test_op6_katz(docs, odd, empty, rows, monkeypatch):
-    want = katz_brute(rows)
-    got = {r["doc_id"]: tuple(r)[1:] for r in katz.score_documents(docs).collect()}
+@pytest.mark.parametrize("order,tokens", [(2, 3_000_000), (3, 3_000_000), (3, 700), (4, 1500)])
+def test_op6_katz(docs, odd, empty, rows, monkeypatch, order, tokens):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", tokens)
+    want = katz_brute(rows, order)
+    got = {r["doc_id"]: tuple(r)[1:] for r in katz.score_documents(docs, order).collect()}
     assert got.keys() == want.keys()
     for k, w in want.items():
         assert got[k][:4] == w[:4]
         assert np.allclose(got[k][4:], w[4:], rtol=1e-9, atol=1e-6), k
-    assert katz.score_documents(odd).count() == odd.count()
-    assert katz.score_documents(empty).count() == 0
-    assert np.allclose(katz.discounts([10, 0, 0, 0, 0, 0, 10, 10])[1], 0.5)
+    if order == 2:
+        assert katz.score_documents(odd).count() == odd.count()
+        assert katz.score_documents(empty).count() == 0
+        assert np.allclose(katz.discounts([10, 0, 0, 0, 0, 0, 10, 10])[1], 0.5)
+
+
+def test_op6_stored_models_score_other_documents(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 900)
+    katz.train(docs, str(tmp_path / "lm"), 3)
+    other = [(i * 7 + 1, t, "", 0, "", "s", 1) for i, (_, t, *_) in enumerate(make(40, seed=9))]
+    df = spark.createDataFrame(other, SCHEMA)
+    got = {r["doc_id"]: tuple(r)[1:] for r in katz.score(df, str(tmp_path / "lm")).collect()}
+    for k, w in katz_brute(rows, 3, other).items():
+        assert got[k][:4] == w[:4] and np.allclose(got[k][4:], w[4:], rtol=1e-9, atol=1e-6), k
 
 
 def test_op6_good_turing_runs_on_the_given_documents(spark, monkeypatch, caplog):
@@ -389,9 +473,9 @@ def test_op6_good_turing_runs_on_the_given_documents(spark, monkeypatch, caplog)
         assert np.allclose(d[1:-1], (star - cut) / (1 - cut))
     mine = iter([d for _, d in used])
     tables = []
-    monkeypatch.setattr(katz, "discounts", lambda n: tables.append(n) or next(mine))
+    monkeypatch.setattr(katz, "discounts", lambda *a: tables.append(a) or next(mine))
     want = katz_brute([tuple(r) for r in given.collect()])
-    assert [n[: katz.K + 1] for n in tables] == [a[0] for a, _ in used] and [sum(k * v for k, v in a[1].items()) for a, _ in used] == [n[katz.K + 1] for n in tables]
+    assert [a[0] for a in tables] == [a[0] for a, _ in used] and [dict(a[1]) for a in tables] == [a[1] for a, _ in used]
     for k, w in want.items():
         assert got[k][:4] == w[:4] and np.allclose(got[k][4:], w[4:], rtol=1e-9, atol=1e-6), k
 
@@ -561,19 +645,87 @@ def test_op10_counts(docs, odd, empty, rows):
     assert token_counts.count_tokens(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_sql_and_pipeline(spark):
-    import corpus_pipeline
+def test_queries_equal_their_sql(spark):
     from tests.test_engine import compare
 
     compare(spark, queries.queries(), queries.oracle_sql(), queries.oracle_sql())
+
+
+def kept_lines(rows):
+    """(id, text) of (id, text, source) without the boilerplate of their source; texts with the same lines count once."""
+    trimmed = lambda x: x.strip(" \t\r")
+    pages = {}
+    for _, text, source in rows:
+        pages.setdefault(source, set()).add(frozenset(trimmed(x) for x in (text or "").split("\n")) - {""})
+    often = {s: {x for p in found for x in p if (n := sum(x in q for q in found)) >= 3 and n > 0.1 * len(found)} for s, found in pages.items()}
+    return [(i, None if t is None else "\n".join(x for x in t.split("\n") if trimmed(x) not in often[s])) for i, t, s in rows]
+
+
+def test_pipeline_equals_plain_python(spark):
+    import corpus_pipeline
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    stages = {"quality_rules": [], "line_dedup": [], "ngram_jaccard_join": []}
+    given = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        docs = spark.createDataFrame(out.toPandas(), docs.schema)
-    got = corpus_pipeline.run(spark, SF)
-    want = {r["doc_id"]: len(encoded("word_bpe_49k.json", r["text"], 2)) for r in docs.collect()}
-    assert {r["doc_id"]: r["n"] for r in got.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+        out = stage(spark, given, SF)
+        assert out.columns == docs.columns
+        stages[name] = {r["doc_id"]: r["text"] for r in out.collect()}
+        given = spark.createDataFrame(out.toPandas(), docs.schema)
+
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    verdicts = rated([r[:2] for r in rows], {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0})
+    rows = [r for r, (_, _, kept) in zip(rows, verdicts) if kept]
+    assert stages["quality_rules"] == {r[0]: r[1] for r in rows} and 0 < len(rows) < docs.count()
+    lines = kept_lines(rows)
+    assert stages["line_dedup"] == dict(lines)
+    found = components(lines, 5, 80)
+    left = {i: t for i, t in lines if found[i][1] == i}
+    assert stages["ngram_jaccard_join"] == left and len(left) < len(lines)
+
+    got = corpus_pipeline.run(spark, SF).collect()
+    want, seen, sequences = {i: encoded("word_bpe_49k.json", t, 2) for i, t in left.items()}, dict.fromkeys(left, 0), {}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
+        ids = want[r["doc_id"]]
+        assert r["start"] == seen[r["doc_id"]] and r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
+        seen[r["doc_id"]] += r["length"]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert seen == {i: len(x) for i, x in want.items()}
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, empty, rows):
+    import corpus_pipeline
+
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            n = out.count()
+            assert name == "packing" or out.columns == docs.columns
+            assert n == 0 if docs is empty else name == "quality_rules" or n > 0, name
+
+
+def test_a_text_of_many_megabytes(spark):
+    """Fifty million code points in one row, among short ones; the words are few, so the expected numbers are known."""
+    big = "lorem ipsum dolor sit amet " * 1_900_000 + "x" * 400_000
+    df = spark.createDataFrame([(1, big), (2, "short text"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(df, P.path("byte_bpe_50k.json")).collect()}
+    once = len(encoded("byte_bpe_50k.json", " lorem ipsum dolor sit amet"))
+    first = len(encoded("byte_bpe_50k.json", "lorem ipsum dolor sit amet"))
+    assert got[1]["n_bytes"] == len(big) and got[2]["n_tokens"] == 2
+    assert got[1]["n_tokens"] == first + once * 1_899_999 + len(encoded("byte_bpe_50k.json", " " + "x" * 400_000))
+    rate = {r["doc_id"]: r for r in quality.rate(df, df.where("doc_id = 2").select("doc_id")).collect()}
+    assert rate[1]["n_words"] == 9_500_001 and rate[1]["base_failed"]
+    joined = {r["doc_id"]: r for r in jaccard_join.join(df, 4, 85).collect()}
+    assert joined[1]["n_shingles"] == 6 and joined[3]["n_shingles"] == 0
+    pieces = packing.pack_documents(df, P.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("all")).collect()
+    assert all(r["n"] == r["all"] for r in pieces) and len(pieces) == 3
 
 
 def test_pipeline_keeps_one_of_many_copies(spark):
