@@ -122,16 +122,23 @@ def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray
     return symbol[:n][alive[:n]].astype(np.uint32), pairs.astype(np.uint32), first
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    seq = seq.astype(np.uint32)
-    while len(rules) and (new := seq >= first).any():
-        width = 1 + new
-        ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), np.uint32)
-        out[ends - width] = np.where(new, rules[np.where(new, seq - first, 0), 0], seq)
-        out[ends[new] - 1] = rules[seq[new] - first, 1]
-        seq = out
-    return seq
+def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Ids of a sequence.  Expansion lengths give every symbol its place at once, so only symbols that are still rules are
+    handled again."""
+    if not len(rules):
+        return seq.astype(np.uint32)
+    widths = np.concatenate([np.ones(first, np.int64), rule_lengths(rules, first) if lengths is None else lengths])
+    symbols = seq.astype(np.int64)
+    ends = np.cumsum(widths[symbols])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    places = ends - widths[symbols]
+    while len(symbols):
+        new = symbols >= first
+        plain = ~new
+        out[places[plain]] = symbols[plain]
+        pairs, places = rules[symbols[new] - first].astype(np.int64), places[new]
+        symbols, places = pairs.T.reshape(-1), np.concatenate([places, places + widths[pairs[:, 0]]])
+    return out
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -194,7 +201,7 @@ class Block:
         return self.low[lo:hi].astype(np.uint32) | self.high[lo:hi].astype(np.uint32) << 16
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols(0, len(self.low)), self.rules, self.first)
+        return expand(self.symbols(0, len(self.low)), self.rules, self.first, self.lengths)
 
     def _width(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol stands for."""
@@ -233,7 +240,7 @@ class Block:
             middle = self._cut(int(symbols[lo]), start - begins(lo), stop - begins(lo))
         else:
             middle = [*self._cut(int(symbols[lo]), start - begins(lo), 1 << 40), *symbols[lo + 1 : hi].tolist(), *self._cut(int(symbols[hi]), 0, stop - begins(hi))]
-        return expand(np.array(middle, np.uint32), self.rules, self.first)
+        return expand(np.array(middle, np.uint32), self.rules, self.first, self.lengths)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partitions: int | None = None) -> None:
@@ -267,7 +274,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, parti
         if parts:
             yield flush()
 
-    rows = core.id_text(docs).repartitionByRange(partitions or core.tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # A text's beginning follows its order, so the rows of one id, or of none, are spread as well.
+    order = ("doc_id", F.substring("text", 1, 32))
+    rows = core.id_text(docs).repartitionByRange(partitions or core.tasks(spark), *order).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
