@@ -11,7 +11,8 @@ of the remainder.  As a sequence needs no padding at a power of two, nothing is
 Nothing is shuffled; memory is bounded by ``shard_tokens`` and one document; a lost task packs its input split again.
 
 Defined results: a null text is empty, so its document is the end id alone; rows with a null or repeated id are packed
-like any other, each on its own; an empty table gives no pieces.
+like any other, each on its own; of documents with one length the earlier row goes first, and of sequences with one cost the
+one with the lowest number; an empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -78,18 +78,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2_SQL = r"""
 WITH p AS (
-  SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), ''), '') AS host,
+  SELECT row_number() OVER () AS row, page_id, coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), ''), '') AS host,
          html IS NULL AS missing, string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) AS lines
   FROM pages),
-l AS (SELECT page_id, host, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM p),
-t AS (SELECT page_id, host, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS body FROM l),
-n AS (SELECT host, body, count(DISTINCT page_id) AS n FROM t WHERE body <> '' GROUP BY ALL),
+l AS (SELECT row, page_id, host, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM p),
+t AS (SELECT row, page_id, host, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS body FROM l),
+n AS (SELECT host, body, count(DISTINCT row) AS n FROM t WHERE body <> '' GROUP BY ALL),
 s AS (SELECT host, count(*) AS total FROM p GROUP BY ALL),
 c AS (SELECT n.host, n.body FROM n JOIN s USING (host) WHERE n.n >= 3 AND n.n > s.total * 0.1),
 k AS (SELECT t.*, c.body IS NOT NULL AS gone FROM t LEFT JOIN c ON t.host = c.host AND t.body = c.body)
 SELECT page_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
        md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_md5
-FROM k GROUP BY page_id
+FROM k GROUP BY row, page_id
 UNION ALL
 SELECT page_id, 0, 0, NULL FROM p WHERE missing
 """
