@@ -164,19 +164,19 @@ def fingerprint(oh: Column) -> Column:
     return F.concat_ws("", F.transform(transpose(oh), lambda col: F.concat_ws(",", F.transform(col, lambda x: x.cast("int").cast("string")))))
 
 
-def aligned_span(start: Column, stop: Column, offset: Column, root_length: Column, reverse: Column) -> Column:
-    """F8: the span of a seqlet that lies under the root of its pattern."""
-    low = F.when(reverse, stop + offset - root_length).otherwise(start - offset)
-    return F.struct(low.alias("start"), (low + root_length).alias("stop"))
-
-
-def padded(m: Column, start: Column, stop: Column) -> Column:
-    """the columns of a (4, L) matrix with zeros where the span leaves it on the right; a span that begins before the
-    matrix begins at its first column."""
-    width = F.size(F.element_at(m, 1))
-    low = F.greatest(start, F.lit(0))
-    have = F.greatest(F.least(stop, width) - low, F.lit(0))
-    return F.transform(m, lambda row: F.concat(F.slice(row, low + 1, have), F.array_repeat(F.lit(0.0), stop - start - have)))
+def aligned_span(start: Column, stop: Column, offset: Column, longest: Column, reverse: Column) -> Column:
+    """F8: the span of a seqlet's example under its pattern's window of ``longest`` positions, whose root begins ``offset``
+    positions into the seqlet (from its end, on the reverse strand)."""
+    low = F.when(reverse, stop - offset - longest).otherwise(start + offset)
+    return F.struct(low.alias("start"), (low + longest).alias("stop"))
+
+
+def windowed(m: Column, start: Column, stop: Column, low: Column, longest: Column) -> Column:
+    """the ``longest`` columns of a (4, L) matrix from ``low`` on; where they leave the matrix, columns start .. stop - 1
+    with zeros to their right."""
+    inside = (low >= 0) & (low + longest <= F.size(F.element_at(m, 1)))
+    at, n = F.when(inside, low).otherwise(start), F.when(inside, longest).otherwise(stop - start)
+    return F.transform(m, lambda row: F.concat(F.slice(row, at + 1, n), F.array_repeat(F.lit(0.0), (longest - n).cast("int"))))
 
 
 def describe(cluster: Column, n: Column, text: Column, ic: Column) -> Column:

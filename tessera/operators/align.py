@@ -16,8 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.shared import materialise
 
 SCORES = 100
+#: A collection of 18,000 motifs of 12 positions has 7 MB.
+MOST_BYTES = 256 << 20
 
 
 class Targets:
@@ -84,9 +87,13 @@ def _matrix(rows: Iterable) -> np.ndarray:
 def similarity(seqlets: DataFrame, motifs: list[np.ndarray], chunk_size: int | None = None, n_nearest: int | None = None) -> DataFrame:
     """(seqlet_id, sim): clipped -log10 p against all motifs, in their order.
 
-    The motif collection, a fixed reference set, is sent to the tasks; the product of seqlets and motifs is never shuffled.
+    The motif collection, a fixed reference set of ``MOST_BYTES`` at most, is sent to the tasks; the product of seqlets and
+    motifs is never shuffled.  A larger collection is to be aligned part by part, as a seqlet's null is that of its targets.
     ``chunk_size`` is the number of seqlets handled at a time.  ``n_nearest`` keeps (motif_idx, sim) of the nearest only.
     """
+    size = sum(m.nbytes for m in motifs)
+    if size > MOST_BYTES:
+        raise ValueError(f"a motif collection of {size} bytes is too large for one task")
     shared = seqlets.sparkSession.sparkContext.broadcast(motifs)
 
     def run(batches):
@@ -100,13 +107,16 @@ def similarity(seqlets: DataFrame, motifs: list[np.ndarray], chunk_size: int | N
     # inputs in one task.  The result is kept, as the clip needs its maximum first.
     n = int(seqlets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = seqlets.select("seqlet_id", "seqlet_matrix").repartition(n, "seqlet_id")
-    raw = dealt.mapInPandas(run, "seqlet_id long, p array<double>").select("seqlet_id", F.transform("p", A.log_similarity).alias("sim")).persist()
+    raw = materialise(dealt.mapInPandas(run, "seqlet_id long, p array<double>").select("seqlet_id", F.transform("p", A.log_similarity).alias("sim")), "similarity")
     top = raw.agg(F.max(F.array_max("sim"))).first()[0]
     if top is None:
         return raw
     out = raw.select("seqlet_id", F.transform("sim", lambda x: A.clip(x, F.lit(top))).alias("sim"))
-    if n_nearest:
-        pairs = F.transform("sim", lambda x, i: F.struct((-x).alias("less"), i.alias("motif_idx")))
-        nearest = F.slice(F.array_sort(pairs), 1, n_nearest)
-        return out.select("seqlet_id", F.transform(nearest, lambda s: F.struct(s["motif_idx"].alias("motif_idx"), (-s["less"]).alias("sim"))).alias("nearest"))
-    return out
+    return nearest(out, n_nearest) if n_nearest else out
+
+
+def nearest(similarity: DataFrame, n: int) -> DataFrame:
+    """(seqlet_id, nearest): the ``n`` motifs most similar to a seqlet as (motif_idx, sim), the first of equals first."""
+    pairs = F.transform("sim", lambda x, i: F.struct((-x).alias("less"), i.alias("motif_idx")))
+    best = F.slice(F.array_sort(pairs), 1, n)
+    return similarity.select("seqlet_id", F.transform(best, lambda s: F.struct(s["motif_idx"].alias("motif_idx"), (-s["less"]).alias("sim"))).alias("nearest"))

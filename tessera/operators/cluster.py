@@ -1,4 +1,9 @@
-"""Clustering of similarity rows: PCA, nearest neighbours, Leiden communities, t-SNE, and domains per cluster."""
+"""Clustering of similarity rows: PCA, nearest neighbours, Leiden communities, t-SNE, and domains per cluster.
+
+Small tables are done exactly: neighbours block by block, Leiden and t-SNE on the driver behind checked row limits.  Beyond
+the limits neighbours come from an index of cells, communities are first merged by moves over a table of edges until the
+graph of communities fits the driver, and points are placed among landmarks.  No size is refused and every row has a result.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +13,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators.relational import mode_smallest
+from tessera.operators.relational import mode_smallest, without_noise
+from tessera.shared import materialise
 
-#: Rows that the driver's kernels (t-SNE, Leiden) take; more are refused rather than sampled.
-DRIVER_ROWS = 20_000
+#: Rows that are compared with all others, nodes that the driver's Leiden takes, points that its t-SNE takes.
+EXACT_ROWS, DRIVER_ROWS, TSNE_ROWS = 200_000, 20_000, 3_000
+#: Rows that the cells of the index are fitted on; every row is indexed.
+INDEX_SAMPLE = 50_000
+#: Queries that the number of cells to look in is set by, and the share of their neighbours that must be found.
+ASKED, RECALL = 256, 0.95
 
 
 def pca(rows: DataFrame, id_col: str, values: str, k: int = 50) -> DataFrame:
@@ -31,7 +41,40 @@ def pca(rows: DataFrame, id_col: str, values: str, k: int = 50) -> DataFrame:
     return model.transform(centred).select(id_col, F.zip_with(vector_to_array("p"), flip, lambda x, s: x * s).alias("pca"))
 
 
-def knn(rows: DataFrame, id_col: str, values: str, k: int = 15, block: int = 4096) -> DataFrame:
+NEAREST = "id long, neighbor long, distance double"
+
+
+def _nearest(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest candidates of each query of a block.  Products of matrices find who may be among them; distances and
+    their order are then computed on the vectors themselves."""
+    q, c = pdf[pdf.is_query], pdf[~pdf.is_query].sort_values("id")
+    if q.empty or c.empty:
+        return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
+    x, y, ids = np.stack(q.v), np.stack(c.v), c.id.to_numpy()
+    norms, out = (y**2).sum(1), []
+    slack = 1e-9 * (1 + max(float(norms.max()), float((x**2).sum(1).max())))
+    for lo in range(0, len(x), 256):
+        part, own = x[lo : lo + 256], q.id.to_numpy()[lo : lo + 256]
+        d = (part**2).sum(1)[:, None] + norms[None] - 2 * part @ y.T
+        d[own[:, None] == ids[None]] = np.inf
+        m = min(k, len(ids)) - 1
+        limit = np.partition(d, m, axis=1)[:, m] + slack
+        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((part[row] - y[col]) ** 2).sum(1))
+        order = np.lexsort((ids[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        out.append(pd.DataFrame({"id": own[row[keep]], "neighbor": ids[col[keep]], "distance": exact[keep]}))
+    return pd.concat(out)
+
+
+def _best(found: DataFrame, id_col: str, k: int) -> DataFrame:
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbor"))), 1, k).alias("_n"))
+    return best.select(F.col("id").alias(id_col), F.posexplode("_n").alias("rank", "_x")).select(id_col, F.col("_x.neighbor").alias("neighbor"), F.col("_x.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
+
+
+def knn(rows: DataFrame, id_col: str, values: str, k: int = 15, block: int = 16_384) -> DataFrame:
     """M5: exact nearest neighbours (id, neighbor, distance, rank) by Euclidean distance, ties by the smaller id.
 
     Rows are dealt to blocks; each task holds one block of queries against one block of candidates and keeps k per query, and
@@ -42,24 +85,79 @@ def knn(rows: DataFrame, id_col: str, values: str, k: int = 15, block: int = 409
     everyone = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = dealt.select("id", "v", F.col("b").alias("qb"), everyone.alias("cb"), F.lit(True).alias("is_query"))
     candidates = dealt.select("id", "v", everyone.alias("qb"), F.col("b").alias("cb"), F.lit(False).alias("is_query"))
+    found = queries.unionByName(candidates).groupBy("qb", "cb").applyInPandas(lambda pdf: _nearest(pdf, k), NEAREST)
+    return _best(found, id_col, k)
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf.is_query], pdf[~pdf.is_query].sort_values("id")
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
-        x, y = np.stack(q.v), np.stack(c.v)
-        ids, out = c.id.to_numpy(), []
-        for i, row in zip(q.id, x, strict=True):
-            d = np.sqrt(((y - row) ** 2).sum(1))
-            d[ids == i] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"id": i, "neighbor": ids[best], "distance": d[best]}))
-        return pd.concat(out)
-
-    found = queries.unionByName(candidates).groupBy("qb", "cb").applyInPandas(nearest, "id long, neighbor long, distance double")
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))), 1, k).alias("_n"))
-    return best.select(F.col("id").alias(id_col), F.posexplode("_n").alias("rank", "_x")).select(id_col, F.col("_x.neighbor").alias("neighbor"), F.col("_x.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
+
+def knn_index(rows: DataFrame, id_col: str, values: str, k: int = 15, cells: int | None = None, probes: int | None = None, queries: DataFrame | None = None, block: int = 16_384) -> DataFrame:
+    """M5 beyond ``EXACT_ROWS``: the nearest among the rows of the ``probes`` cells that lie nearest to a query.  Unless it is
+    given, their number is the least by which ``ASKED`` rows, compared with all others, find ``RECALL`` of their neighbours.
+
+    Cells are k-means centres (the square root of the number of rows, at most 4096) of a sample of ``INDEX_SAMPLE`` rows by a
+    hash of their ids; every row is in its nearest cell.  A cell over ``block`` rows is split, and its queries meet each part.
+    ``queries`` (id_col, values) default to all rows.
+    """
+    from pyspark.ml.clustering import KMeans
+
+    spark = rows.sparkSession
+    data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(values).cast("array<double>").alias("v"))
+    n = data.count()
+    cells = cells or max(1, min(4096, int(n**0.5)))
+    least = INDEX_SAMPLE / max(n, 1)
+    sample = data if least >= 1 else data.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(least * 1_000_000))
+    centres = np.stack(KMeans(k=cells, seed=7, maxIter=10, featuresCol="f").fit(sample.select(array_to_vector("v").alias("f"))).clusterCenters())
+    shared = spark.sparkContext.broadcast(centres)  # 4096 rows at most
+
+    def place(probes: int):
+        def run(batches):
+            c = shared.value
+            norms = (c**2).sum(1)
+            for pdf in batches:
+                if len(pdf):
+                    d = norms[None] - 2 * np.stack(pdf.v) @ c.T
+                    near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                    yield pd.DataFrame({"id": pdf.id, "v": pdf.v, "cells": [r.tolist() for r in near]})
+
+        return run
+
+    placed = "id long, v array<double>, cells array<int>"
+    candidates = materialise(data.mapInPandas(place(1), placed).select("id", "v", F.get("cells", F.lit(0)).alias("cell")), "knn-cells")
+    probes = probes or _probes(data, candidates, centres, k)
+    parts = candidates.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # a row per cell
+    asked = data if queries is None else queries.select(F.col(id_col).cast("long").alias("id"), F.col(values).cast("array<double>").alias("v"))
+    to = asked.mapInPandas(place(probes), placed).select("id", "v", F.explode("cells").alias("cell")).join(F.broadcast(parts), "cell")
+    to = to.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"))
+    held = candidates.join(F.broadcast(parts), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_query"))
+    # Queries of a hot cell are dealt too: each task has some of them and one part of the cell.
+    spread = to.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(8)).cast("int")).unionByName(held.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(7)))))
+    found = spread.groupBy("cell", "part", "deal").applyInPandas(lambda pdf: _nearest(pdf, k), NEAREST)
+    return _best(found, id_col, k)
+
+
+def _probes(data: DataFrame, candidates: DataFrame, centres: np.ndarray, k: int) -> int:
+    """Cells to look in: measured on rows with the smallest hashes of their ids, whose neighbours are found among all."""
+    local = data.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(ASKED).toPandas()
+    shared = data.sparkSession.sparkContext.broadcast(local)
+
+    def run(batches):
+        asked = shared.value.assign(is_query=True)
+        for pdf in batches:
+            if len(pdf):
+                yield _nearest(pd.concat([asked, pdf[["id", "v"]].assign(is_query=False)]), k)
+
+    true = _best(data.mapInPandas(run, NEAREST), "id", k).join(candidates.select(F.col("id").alias("neighbor"), "cell"), "neighbor").select("id", "cell").toPandas()  # ASKED * k rows
+    x = np.stack(local["v"])
+    order = np.argsort((centres**2).sum(1)[None] - 2 * x @ centres.T, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(len(centres))[None].repeat(len(x), 0), 1)
+    row = {i: r for r, i in enumerate(local["id"])}
+    ranks = np.sort([rank[row[i], c] for i, c in zip(true["id"], true["cell"], strict=True)])
+    return int(ranks[min(int(RECALL * len(ranks)), len(ranks) - 1)]) + 1 if len(ranks) else 1
+
+
+def neighbours(rows: DataFrame, id_col: str, values: str, k: int = 15) -> DataFrame:
+    """M5: exact up to ``EXACT_ROWS`` rows, by the index beyond."""
+    return (knn if rows.count() <= EXACT_ROWS else knn_index)(rows, id_col, values, k)
 
 
 def leiden(edges: np.ndarray, n: int, resolution: float = 1.0, seed: int = 0, weights: np.ndarray | None = None) -> np.ndarray:
@@ -68,14 +166,16 @@ def leiden(edges: np.ndarray, n: int, resolution: float = 1.0, seed: int = 0, we
     rng = np.random.default_rng(seed)
     w = np.ones(len(edges)) if weights is None else weights
     pairs: dict[tuple[int, int], float] = {}
+    loops = np.zeros(n)
     for (a, b), x in zip(edges.tolist(), w.tolist(), strict=True):
         if a != b:
             pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0.0) + x
+        elif weights is not None:  # what lies inside a node of a graph of communities
+            loops[a] += x
     graph: list[dict[int, float]] = [{} for _ in range(n)]
     for (a, b), x in pairs.items():
         graph[a][b] = graph[b][a] = x
-    loops = np.zeros(n)
-    members, total = np.arange(n), 2 * sum(pairs.values()) or 1.0
+    members, total = np.arange(n), 2 * (sum(pairs.values()) + loops.sum()) or 1.0
 
     def move(graph, loops, labels, inside=None):
         degree = np.array([sum(g.values()) for g in graph]) + 2 * loops
@@ -162,40 +262,120 @@ def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: in
     y = y / (y[:, 0].std() or 1) * 1e-4 + np.random.default_rng(seed).normal(0, 1e-6, (n, 2))
     velocity, rate = np.zeros_like(y), max(n / 12 / 4, 50)
     for t in range(iterations):
-        diff = y[:, None] - y[None]
-        num = 1 / (1 + (diff**2).sum(2))
+        square = (y**2).sum(1)
+        num = 1 / (1 + np.maximum(square[:, None] + square[None] - 2 * y @ y.T, 0))
         np.fill_diagonal(num, 0)
-        q = np.maximum(num / num.sum(), 1e-12)
-        grad = 4 * (((p * (12 if t < 150 else 1) - q) * num)[:, :, None] * diff).sum(1)
+        pull = (p * (12 if t < 150 else 1) - np.maximum(num / num.sum(), 1e-12)) * num
+        grad = 4 * (pull.sum(1)[:, None] * y - pull @ y)
         velocity = (0.5 if t < 150 else 0.8) * velocity - rate * grad
         y = y + velocity
     return y - y.mean(0)
 
 
-def _to_driver(rows: DataFrame, what: str) -> pd.DataFrame:
-    n = rows.count()
-    if n > DRIVER_ROWS:
-        raise ValueError(f"{what} takes {DRIVER_ROWS} rows at most, there are {n}")
-    return rows.toPandas()
+def embed(rows: DataFrame, id_col: str, values: str, seed: int = 42) -> DataFrame:
+    """M6: (id, x, y) of every row.  Up to ``TSNE_ROWS`` rows by t-SNE; beyond, that many rows, those with the smallest hashes
+    of their ids, are landmarks that t-SNE places, and each row lies at the mean of its three nearest landmarks, weighted by
+    the inverse of their distance (a landmark, at its own place)."""
+    spark, key = rows.sparkSession, dict(rows.dtypes)[id_col]
+    data = rows.select(F.col(id_col), F.col(values).cast("array<double>").alias("v"))
+    local = data.orderBy(F.xxhash64(id_col), id_col).limit(TSNE_ROWS).toPandas().sort_values(id_col)
+    if not len(local):
+        return spark.createDataFrame([], f"{id_col} {key}, x double, y double")
+    marks, places = np.stack(local["v"]), None
+    places = tsne(marks, seed=seed)
+    shared = spark.sparkContext.broadcast((marks, places))  # TSNE_ROWS rows
+
+    def run(batches):
+        marks, places = shared.value
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                x = np.stack(part["v"])
+                near = np.argsort((marks**2).sum(1)[None] - 2 * x @ marks.T, axis=1, kind="stable")[:, :3]
+                weight = 1 / (np.sqrt(((x[:, None] - marks[near]) ** 2).sum(2)) + 1e-12)
+                at = (places[near] * weight[:, :, None]).sum(1) / weight.sum(1)[:, None]
+                yield pd.DataFrame({id_col: part[id_col], "x": at[:, 0], "y": at[:, 1]})
+
+    if len(local) < TSNE_ROWS:
+        points = [(i.item() if hasattr(i, "item") else i, float(a), float(b)) for i, (a, b) in zip(local[id_col], places, strict=True)]
+        return spark.createDataFrame(points, f"{id_col} {key}, x double, y double")
+    return data.mapInPandas(run, f"{id_col} {key}, x double, y double")
+
+
+def _merge_round(edges: DataFrame, labels: DataFrame, total: float, resolution: float, seed: int, turn: int) -> DataFrame:
+    """One round of moves: (node, degree, label, moved).  Half of the nodes, by a hash that changes with the turn, go to the
+    neighbouring community of the highest gain, if it is higher than where they are."""
+    mass = labels.groupBy("label").agg(F.sum("degree").alias("mass"))
+    to = edges.where("a <> b").join(labels.select(F.col("node").alias("b"), F.col("label").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
+    own = labels.select(F.col("node").alias("a"), "degree", F.col("label").alias("here"))
+    at = to.join(own, "a").join(mass.withColumnRenamed("label", "to"), "to")
+    gain = F.col("w") - resolution * F.col("degree") * (F.col("mass") - F.when(F.col("to") == F.col("here"), F.col("degree")).otherwise(0.0)) / total
+    best = at.withColumn("gain", gain).groupBy("a").agg(F.max(F.struct("gain", (-F.col("to")).alias("less"))).alias("best"), F.max(F.when(F.col("to") == F.col("here"), F.col("gain"))).alias("stay"))
+    joined = labels.join(best.withColumnRenamed("a", "node"), "node", "left").join(mass, "label")
+    stay = F.coalesce("stay", -resolution * F.col("degree") * (F.col("mass") - F.col("degree")) / total)
+    moves = (F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2)) == 0) & (F.col("best.gain") > stay + 1e-12)
+    moved = F.coalesce(moves, F.lit(False))
+    return joined.select("node", "degree", F.when(moved, -F.col("best.less")).otherwise(F.col("label")).alias("label"), moved.alias("moved"))
+
+
+def _merged(edges: DataFrame, resolution: float, seed: int, turns: int = 12) -> tuple[DataFrame, DataFrame]:
+    """One level: (node, label), and the graph of the communities with what lies inside each as an edge to itself.
+
+    ``edges`` (a, b, w) hold both directions of each pair.  Rounds are tables; they end when fewer than one node in a hundred
+    moves."""
+    degree = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
+    labels = materialise(degree.select("node", "degree", F.col("node").alias("label")), "communities")
+    n, total = labels.agg(F.count("*"), F.sum("degree")).first()
+    for turn in range(turns):
+        labels = materialise(_merge_round(edges, labels.select("node", "degree", "label"), total, resolution, seed, turn), "communities")
+        if labels.where("moved").count() * 100 < n:
+            break
+    name = labels.select("node", "label")
+    a, b = (name.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    graph = edges.join(a, "a").join(b, "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w"))
+    return name, materialise(graph, "communities-graph")
 
 
 def communities(neighbors: DataFrame, id_col: str, resolution: float, seed: int = 0) -> DataFrame:
-    """M7 over k-NN edges; only the edge list reaches the driver, and its size is checked."""
-    n = neighbors.select(id_col).distinct().count()
-    if n > DRIVER_ROWS:
-        raise ValueError(f"Leiden takes {DRIVER_ROWS} nodes at most, there are {n}")
-    edges = neighbors.select(id_col, "neighbor").toPandas().sort_values([id_col, "neighbor"])
-    ids = np.unique(edges.to_numpy().reshape(-1))
-    labels = leiden(np.searchsorted(ids, edges.to_numpy()), len(ids), resolution, seed)
-    pairs = [(int(i), str(c)) for i, c in zip(ids, labels, strict=True)]
-    return neighbors.sparkSession.createDataFrame(pairs, f"{id_col} long, leiden string")
-
-
-def top_motif_dbd(similarity: DataFrame, id_col: str, values: str, dbd: list[str | None]) -> DataFrame:
-    """The domain of the motif that a seqlet is most similar to (the first of equals)."""
+    """M7 over k-NN edges: (id, leiden), larger communities first.
+
+    Up to ``DRIVER_ROWS`` nodes the edges go to the driver.  Beyond, nodes are merged into communities by moves over the table
+    of edges, level by level, until the graph of communities is as small, or no node moves.
+    """
+    spark = neighbors.sparkSession
+    pairs = neighbors.select(F.col(id_col).cast("long").alias("a"), F.col("neighbor").cast("long").alias("b"))
+    n = pairs.select("a").union(pairs.select("b")).distinct().count()
+    if n <= DRIVER_ROWS:
+        edges = pairs.toPandas().sort_values(["a", "b"]).to_numpy()
+        ids = np.unique(edges.reshape(-1))
+        labels = leiden(np.searchsorted(ids, edges), len(ids), resolution, seed)
+        return spark.createDataFrame([(int(i), str(c)) for i, c in zip(ids, labels, strict=True)], f"{id_col} long, leiden string")
+    once = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").cast("double").alias("w"))
+    graph = materialise(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "communities-graph")
+    members = None
+    while n > DRIVER_ROWS:
+        name, graph = _merged(graph, resolution, seed)
+        members = name if members is None else members.join(name.withColumnRenamed("node", "old"), F.col("label") == F.col("old")).select("node", name["label"])
+        members = materialise(members, "communities-members")
+        left = members.select("label").distinct().count()
+        if left == n:
+            break
+        n = left
+    if n <= DRIVER_ROWS:
+        edges = graph.where("a <= b").withColumn("w", F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(F.col("w"))).toPandas().sort_values(["a", "b"])
+        ids = np.unique(edges[["a", "b"]].to_numpy().reshape(-1))
+        labels = leiden(np.searchsorted(ids, edges[["a", "b"]].to_numpy()), len(ids), resolution, seed, edges["w"].to_numpy())
+        final = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, labels, strict=True)], "label long, c long")
+        members = members.join(final, "label").select("node", F.col("c").alias("label"))
+    rank = members.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("string").alias("leiden"))  # a row per community
+    return members.join(rank, "label").select(F.col("node").alias(id_col), "leiden")
+
+
+def top_motif_dbd(similarity: DataFrame, id_col: str, values: str, dbd: list[str | None], keep: list[str] | None = None) -> DataFrame:
+    """The domain of the motif that a seqlet is most similar to (the first of equals); and the columns ``keep``."""
     names = F.array(*map(F.lit, dbd)).cast("array<string>")
     at = A.first_argmax(F.col(values))
-    return similarity.select(id_col, at.alias("motif_idx"), F.get(names, at).alias("seqlet_dbd"))
+    return similarity.select(id_col, *(keep or []), at.alias("motif_idx"), F.get(names, at).alias("seqlet_dbd"))
 
 
 def cluster_dbd(obs: DataFrame) -> DataFrame:
@@ -207,11 +387,9 @@ def cluster_seqlets(obs: DataFrame, similarity: DataFrame | None, dbd: list[str
     """M8: obs with leiden, x, y, mean_contrib, seqlet_dbd and cluster_dbd."""
     if similarity is None:
         raise ValueError("clustering needs a similarity matrix")
-    reduced = pca(similarity, "seqlet_id", "sim")
-    labels = communities(knn(reduced, "seqlet_id", "pca", k), "seqlet_id", resolution, seed)
-    local = _to_driver(reduced, "t-SNE").sort_values("seqlet_id")
-    places = tsne(np.stack(local["pca"]), seed=42)
-    points = obs.sparkSession.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(local["seqlet_id"], places, strict=True)], "seqlet_id long, x double, y double")
+    reduced = materialise(pca(similarity, "seqlet_id", "sim"), "cluster-pca")
+    labels = communities(neighbours(reduced, "seqlet_id", "pca", k), "seqlet_id", resolution, seed)
+    points = embed(reduced, "seqlet_id", "pca")
     out = obs.join(labels, "seqlet_id", "left").join(points, "seqlet_id", "left")
     if "seqlet_matrix" in obs.columns:
         out = out.withColumn("mean_contrib", A.mean_abs(F.col("seqlet_matrix")))
@@ -224,11 +402,40 @@ def cluster_seqlets(obs: DataFrame, similarity: DataFrame | None, dbd: list[str
     return cluster_dbd(out.join(top_motif_dbd(similarity, "seqlet_id", "sim", dbd).drop("motif_idx"), "seqlet_id", "left"))
 
 
+def second_round(obs: DataFrame, similarity: DataFrame, dbd: list[str | None] | None = None, resolution: float = 10.0, only: str | None = None, **kw) -> DataFrame:
+    """Clusters the seqlets that have a domain (or this one) anew; the columns of the first round are replaced."""
+    first = ("leiden", "x", "y", "mean_contrib", "seqlet_dbd", "cluster_dbd")
+    kept = without_noise(obs, "cluster_dbd", only).drop(*first)
+    return cluster_seqlets(kept, similarity.join(kept.select("seqlet_id"), "seqlet_id", "left_semi"), dbd, resolution, **kw)
+
+
+def cluster_regions(region_topic_wide: DataFrame, resolution: float = 0.5, k: int = 15, seed: int = 0) -> DataFrame:
+    """(region_id, leiden) of regions by their topics, one column Topic_n each."""
+    names = [c for c in region_topic_wide.columns if c.startswith("Topic_")]
+    numbered = materialise(region_topic_wide.select("region_id", F.array(*names).alias("v")).withColumn("_id", F.monotonically_increasing_id()), "region-topics")
+    found = communities(neighbours(numbered, "_id", "v", k), "_id", resolution, seed)
+    return numbered.select("_id", "region_id").join(found, "_id").drop("_id")
+
+
+#: Rows and columns of a heatmap whose order is asked for.
+LINKED = 2_000
+
+
 def linkage_order(rows: np.ndarray) -> list[int]:
-    """Order of rows by average linkage."""
-    groups = [[i] for i in range(len(rows))]
+    """Order of rows by average linkage.  The closest pair is kept per group, so a merge costs one row of distances."""
+    n = len(rows)
+    if n > LINKED:
+        raise ValueError(f"a heatmap of {n} rows can't be read; order {LINKED} at most")
+    if n < 2:
+        return list(range(n))
     d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    groups, size = {i: [i] for i in range(n)}, np.ones(n)
     while len(groups) > 1:
-        _, a, b = min((d[np.ix_(x, y)].mean(), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+        a, b = sorted(divmod(int(d.argmin()), n))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        merged[[a, b]] = np.inf
+        d[a], d[:, a], d[b], d[:, b] = merged, merged, np.inf, np.inf
+        size[a] += size[b]
         groups[a] += groups.pop(b)
-    return groups[0] if groups else []
+    return next(iter(groups.values()))

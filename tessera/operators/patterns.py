@@ -12,27 +12,15 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.operators.align import Targets, align
 from tessera.operators.relational import mode_smallest
+from tessera.shared import materialise
 
-INSTANCES = "leiden string, seqlet_id long, start int, end int, is_revcomp boolean, is_root boolean, seq_instance array<array<double>>, contrib array<array<double>>, hypothetical array<array<double>>"
+ALIGNED = "leiden string, seqlet_id long, offset int, is_revcomp boolean, is_root boolean"
+INSTANCES = ["leiden", "seqlet_id", "start", "end", "is_revcomp", "is_root", "seq_instance", "contrib", "hypothetical"]
 
 #: Seqlets that a task aligns to all of their cluster, about.
 BLOCK = 64
 
 
-def span(start: int, end: int, offset: int, root: int, reverse: bool) -> tuple[int, int]:
-    """F8: the part of an example that lies under the root."""
-    low = end + offset - root if reverse else start - offset
-    return low, low + root
-
-
-def cut(m: np.ndarray, low: int, high: int) -> np.ndarray:
-    """columns low .. high - 1 as (L, 4), zero beyond the right end; before the left end, those from the first."""
-    if low < 0:
-        low, high = 0, high - low
-    part = m[:, low : min(high, m.shape[1])].T
-    return np.concatenate([part, np.zeros((high - low - len(part), m.shape[0]))])
-
-
 def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.stack([np.asarray(r, float) for r in m]) for m in pdf["seqlet_matrix"]]
 
@@ -55,53 +43,66 @@ def _root(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _align_cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Offset and strand of each seqlet of a cluster under its root."""
     pdf = pdf.sort_values("seqlet_id").reset_index(drop=True)
     matrices = _matrices(pdf)
-    targets = Targets(matrices)
     root = int((pdf["seqlet_id"] == pdf["root_id"]).to_numpy().argmax())
-    _, _, offsets, _, strands = align(matrices[root], targets)
-    length, rows = matrices[root].shape[1], []
-    for i, r in pdf.iterrows():
-        reverse = bool(strands[i])
-        # The root begins offsets[i] columns into the seqlet (as it lies on its strand).
-        low, high = span(r["start"], r["end"], -int(offsets[i]), length, reverse)
-        if reverse:
-            low, high = r["end"] - int(offsets[i]) - length, r["end"] - int(offsets[i])
-        oh, contrib = (cut(np.stack([np.asarray(x, float) for x in r[c]]), low, high) for c in ("oh", "contrib"))
-        if reverse:
-            oh, contrib = oh[::-1, ::-1], contrib[::-1, ::-1]
-        rows.append((r["leiden"], r["seqlet_id"], r["start"], r["end"], reverse, i == root, oh.tolist(), (oh * contrib).tolist(), contrib.tolist()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in INSTANCES.split(", ")])
+    _, _, offsets, _, strands = align(matrices[root], Targets(matrices))
+    return pd.DataFrame({"leiden": pdf["leiden"], "seqlet_id": pdf["seqlet_id"], "offset": offsets, "is_revcomp": strands.astype(bool), "is_root": np.arange(len(pdf)) == root})
 
 
 def sample_clusters(obs: DataFrame, max_n: int, seed: int = 123) -> DataFrame:
-    """At most ``max_n`` seqlets of each cluster (alignment is quadratic in the cluster)."""
-    w = Window.partitionBy("leiden").orderBy(F.xxhash64("seqlet_id", F.lit(seed)), "seqlet_id")
-    return obs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_n).drop("_r")
+    """Of each cluster with more than ``max_n`` seqlets, those at the places that Python's generator, seeded anew for
+    each cluster, draws from the list of its seqlets in order of their ids.
 
+    The places follow from the cluster's size alone, so only sizes reach the generator.
+    """
 
-def reference_sample(ids: list, max_n: int) -> list:
-    """O7 with the generator of Python's library, seeded anew for each cluster."""
-    return random.Random(123).sample(ids, max_n) if len(ids) > max_n else ids
+    def draw(batches):
+        for pdf in batches:
+            rows = [(c, i + 1) for c, n in zip(pdf["leiden"], pdf["n"], strict=True) for i in random.Random(seed).sample(range(n), max_n)]
+            yield pd.DataFrame(rows, columns=["leiden", "_r"])
+
+    sizes = obs.groupBy("leiden").agg(F.count("*").alias("n"))
+    drawn = sizes.where(F.col("n") > max_n).mapInPandas(draw, "leiden string, _r int")
+    numbered = obs.withColumn("_r", F.row_number().over(Window.partitionBy("leiden").orderBy("seqlet_id")))
+    small = obs.join(sizes.where(F.col("n") <= max_n).select(F.col("leiden").alias("_c")), F.col("leiden").eqNullSafe(F.col("_c")), "left_semi")
+    return small.unionByName(numbered.join(drawn, ["leiden", "_r"], "left_semi").drop("_r"))
+
+
+def aligned_instances(rows: DataFrame) -> DataFrame:
+    """The instance of each seqlet under its pattern's window, from (start, end, offset, is_revcomp,
+    longest, oh, contrib); columns of the arrays aside, all stay.
+
+    Where the window leaves the example, the seqlet stays where it is, with zeros to its right.
+    """
+    span = A.aligned_span(F.col("start"), F.col("end"), F.col("offset"), F.col("longest"), F.col("is_revcomp"))
+    out = rows.withColumn("_span", span)
+    cut = lambda c: A.windowed(F.col(c), F.col("start"), F.col("end"), F.col("_span.start"), F.col("longest"))
+    turned = lambda m: F.when(F.col("is_revcomp"), A.reverse_complement(m)).otherwise(m)
+    out = out.withColumns({"seq_instance": turned(A.transpose(cut("oh"))), "hypothetical": turned(A.transpose(cut("contrib")))})
+    return out.withColumn("contrib", A.product(F.col("seq_instance"), F.col("hypothetical"))).drop("_span", "oh")
 
 
 def align_instances(obs: DataFrame, examples: DataFrame, max_n: int | None = None) -> DataFrame:
     """M9: aligned instances of the clusters with two seqlets or more, all of them unless ``max_n`` is given.
 
-    The root is found all against all, in tasks of about ``BLOCK`` seqlets against their cluster; the instances of a cluster
-    are then cut in one task.
+    The root is found all against all, in tasks of about ``BLOCK`` seqlets against their cluster.  A window is as long as the
+    longest seqlet of its cluster; the instances are cut by array functions, example by example.
     """
     n = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sample_clusters(obs, max_n) if max_n else obs
-    big = rows.where(F.col("leiden").isNotNull()).groupBy("leiden").agg(F.count("*").alias("_size")).where("_size >= 2")
-    mine = rows.select("leiden", "seqlet_id", "example_idx", "start", "end", "seqlet_matrix").join(big, "leiden").persist()  # read twice
+    big = rows.where(F.col("leiden").isNotNull()).groupBy("leiden").agg(F.count("*").alias("_size"), F.max(F.col("end") - F.col("start")).alias("longest")).where("_size >= 2")
+    mine = rows.select("leiden", "seqlet_id", "example_idx", "start", "end", "seqlet_matrix").join(big, "leiden")
+    mine = materialise(mine, "pattern-seqlets")  # read three times
     parts = F.ceil(F.col("_size") / BLOCK).cast("int")
     dealt = mine.select("leiden", "seqlet_id", "seqlet_matrix", F.pmod(F.xxhash64("seqlet_id"), parts).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     # The kernel costs far more than moving its rows: adaptive execution would gather small inputs in one task.
     sums = dealt.repartition(n, "leiden", "part").groupBy("leiden", "part").applyInPandas(_sums, "leiden string, part int, ids array<long>, sums array<double>")
     roots = sums.groupBy("leiden").applyInPandas(_root, "leiden string, root_id long")
-    joined = mine.drop("_size").join(roots, "leiden").join(examples.select("example_idx", "oh", "contrib"), "example_idx")
-    return joined.groupBy("leiden").applyInPandas(_align_cluster, INSTANCES)
+    aligned = mine.select("leiden", "seqlet_id", "seqlet_matrix").join(roots, "leiden").groupBy("leiden").applyInPandas(_align_cluster, ALIGNED)
+    placed = mine.drop("_size", "seqlet_matrix").join(aligned, ["leiden", "seqlet_id"]).join(examples.select("example_idx", "oh", "contrib"), "example_idx")
+    return aligned_instances(placed).select(*INSTANCES)
 
 
 def element_mean(instances: DataFrame, column: str) -> DataFrame:
@@ -114,15 +115,16 @@ def element_mean(instances: DataFrame, column: str) -> DataFrame:
 
 def create_patterns(obs: DataFrame, examples: DataFrame, max_n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances).  A pattern has its PPM, mean contributions, information content, size and domain."""
-    instances = align_instances(obs, examples, max_n)
+    instances = materialise(align_instances(obs, examples, max_n), "pattern-instances")  # read five times
     size = instances.groupBy("leiden").agg(F.count("*").alias("n_seqlets"))
     patterns = size
     for c in ("seq_instance", "contrib", "hypothetical"):
         patterns = patterns.join(element_mean(instances, c), "leiden")
     patterns = patterns.withColumn("ppm", A.normalise_ppm(F.col("seq_instance"))).drop("seq_instance")
     patterns = patterns.withColumn("ic", A.information_content(F.col("ppm")))
-    if "seqlet_dbd" in obs.columns:
-        patterns = patterns.join(mode_smallest(obs, ["leiden"], "seqlet_dbd", "dbd"), "leiden", "left")
+    named = next((c for c in ("cluster_dbd", "seqlet_dbd") if c in obs.columns), None)
+    if named:
+        patterns = patterns.join(mode_smallest(obs, ["leiden"], named, "dbd"), "leiden", "left")
     else:
         patterns = patterns.withColumn("dbd", F.lit(None).cast("string"))
     return patterns.withColumn("mean_ic", A.total(F.col("ic")) / F.size("ic")), instances

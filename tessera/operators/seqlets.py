@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.shared import materialise
 
 BINS = 999
 SEQLETS = "example_idx long, start int, end int, attribution double, p_value double"
@@ -45,8 +46,6 @@ def background(found: DataFrame) -> DataFrame:
 
 def histogram(found: DataFrame, extremes: DataFrame, integer: bool = False) -> DataFrame:
     """Counts by (len, positive, bin) and p, the share of the side in higher bins."""
-    from pyspark.sql import Window
-
     side = F.when(F.col("s") > 0, F.col("xmax")).otherwise(F.col("xmin"))
     # Bins are quotients of numbers with one sign; a side whose extreme is zero has bin 0 only.
     scaled = F.expr("(999 * s) div CASE WHEN s > 0 THEN xmax ELSE nullif(xmin, 0) END") if integer else F.floor(F.try_divide(BINS * F.col("s"), side))
@@ -74,8 +73,13 @@ class Background:
         out = cls(shortest, longest, np.zeros(n), np.zeros(n), np.ones((2, n, BINS + 1)))
         for r in extremes.collect():  # one row per length
             out.xmax[r["len"]], out.xmin[r["len"]] = r["xmax"], r["xmin"]
+        seen = np.zeros(out.p.shape, bool)
         for r in histogram(found, extremes).collect():  # 1000 bins per side and length at most
-            out.p[int(r["positive"]), r["len"], r["bin"]] = r["p"]
+            at = int(r["positive"]), r["len"], r["bin"]
+            out.p[at], seen[at] = r["p"], True
+        # A bin that the background has no value in has the share of the bin before it.
+        last = np.maximum.accumulate(np.where(seen, np.arange(BINS + 1), 0), axis=2)
+        out.p = np.take_along_axis(out.p, last, 2)
         return out
 
 
@@ -140,30 +144,47 @@ def call_seqlets(examples: DataFrame, threshold: float = 0.01, shortest: int = 4
 def with_ids(seqlets: DataFrame) -> DataFrame:
     """Numbered by ascending p, then example and place.
 
-    The numbers of a range of rows follow from the counts of the ranges before it, so the sort is not gathered in one task.
+    The sorted rows are written once, each with its range and its place in it; what was written is numbered by the counts of
+    the ranges before, so the sort is not gathered in one task and no number depends on a second run of the plan.
     """
-    seqlets = seqlets.persist()  # the sort's sample, the counts and the result all read it
     ordered = seqlets.sort("p_value", "example_idx", "start", "end")
-    rows = ordered.withColumn("_at", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.shiftright("_at", 33).alias("part")).count().collect()}  # one row per partition
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    offsets = F.create_map(*(F.lit(x) for kv in before.items() for x in kv)) if before else None
-    number = (F.try_element_at(offsets, F.shiftright("_at", 33)) if before else F.lit(0)) + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return rows.select(number.cast("long").alias("seqlet_id"), *seqlets.columns)
+    kept = materialise(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "seqlets")
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    return kept.join(F.broadcast(starts), "_part").select((F.col("_before") + F.col("_at")).alias("seqlet_id"), *seqlets.columns)
 
 
-def extract_seqlets(examples: DataFrame, threshold: float = 0.05, flank: int = 3) -> DataFrame:
-    """M2: projects, calls, and cuts each seqlet's normalised, sign-corrected matrix out of its example."""
-    x = examples.select("example_idx", A.project(F.col("contrib"), F.col("oh")).alias("x"))
-    found = with_ids(call_seqlets(x, threshold, flank=flank))
+def cut_matrices(found: DataFrame, examples: DataFrame) -> DataFrame:
+    """Each seqlet's normalised, sign-corrected matrix and its one-hot, cut out of its example."""
     cut = found.join(examples.select("example_idx", "contrib", "oh"), "example_idx")
     part = A.slice_columns(F.col("contrib"), F.col("start"), F.col("end"))
     hot = A.slice_columns(F.col("oh"), F.col("start"), F.col("end"))
     return cut.withColumns({"_x": A.normalise(part), "seqlet_oh": hot}).withColumn("seqlet_matrix", A.sign_correct(F.col("_x"), F.col("seqlet_oh"))).drop("_x", "contrib", "oh")
 
 
+def extract_seqlets(examples: DataFrame, threshold: float = 0.05, flank: int = 3) -> DataFrame:
+    """M2: projects, calls, and cuts each seqlet's matrix."""
+    x = examples.select("example_idx", A.project(F.col("contrib"), F.col("oh")).alias("x"))
+    return cut_matrices(with_ids(call_seqlets(x, threshold, flank=flank)), examples)
+
+
+def span_p_values(examples: DataFrame, threshold: float, shortest: int = 4, longest: int = 25) -> DataFrame:
+    """(example_idx, len, start, p) of every span of (example_idx, x), under the background of all examples."""
+    bg = Background.of(examples, shortest, longest)
+
+    def run(batches):
+        for pdf in batches:
+            for i, x in zip(pdf["example_idx"], pdf["x"], strict=True):
+                x = np.asarray(x, float)
+                p = p_matrix(x, bg, threshold)
+                for j in range(shortest, min(longest, len(x)) + 1):
+                    n = len(x) - j + 1
+                    yield pd.DataFrame({"example_idx": i, "len": j, "start": np.arange(n), "p": p[j, :n]})
+
+    return examples.select("example_idx", "x").mapInPandas(run, "example_idx long, len int, start int, p double")
+
+
 def with_example_arrays(seqlets: DataFrame, examples: DataFrame) -> DataFrame:
     """The arrays of its example beside each seqlet; they are stored once per example and joined on demand."""
     return seqlets.join(examples.select("example_idx", F.col("oh").alias("example_oh"), F.col("contrib").alias("example_contrib")), "example_idx", "left")

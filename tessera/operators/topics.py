@@ -8,7 +8,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K_VALUES = (10, 15, 20, 25, 30, 35, 40, 50)
@@ -51,23 +51,26 @@ def gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int, k: int
 
 
 def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mode: str = "exact") -> float:
-    """M12.  ``exact``: log p(words, topics).  ``reference``: each part holds its last term only, as the survey records."""
-    k, w = tw.shape
-
-    def part(rows: np.ndarray, prior: float, n: int) -> float:
-        total = last = 0.0
-        for row in rows:
-            for c in row[row > 0]:
-                last = lgamma(c + prior)
-                total += last - lgamma(prior)
-            total += lgamma(n * prior) - lgamma(row.sum() + n * prior)
-            if not (row > 0).any():
-                last = last - lgamma(prior)
-        return total if mode == "exact" else last - lgamma(rows[-1].sum() + n * prior)
-
+    """M12.  ``exact``: log p(words, topics).  ``reference``: as ``exact``, but of the terms of the cells only the last one
+    counts, and the rows' terms only from the last row with a count on; results can so be compared with those of packages
+    that compute it this way."""
     if mode not in ("exact", "reference"):
         raise ValueError(f"no mode {mode!r}")
-    return part(tw, eta, w) + part(dt, alpha, k)
+
+    def part(rows: np.ndarray, prior: float) -> float:
+        n = rows.shape[1]
+        constant = n * lgamma(prior) - lgamma(n * prior)
+        if mode == "exact":
+            return sum(sum(lgamma(c + prior) - lgamma(prior) for c in row[row > 0]) + lgamma(n * prior) - lgamma(row.sum() + n * prior) for row in rows)
+        filled = np.flatnonzero((rows > 0).any(1))
+        value = 0.0
+        if len(filled):
+            last = rows[filled[-1]]
+            value = lgamma(last[last > 0][-1] + prior) - lgamma(last.sum() + n * prior)
+        after = len(rows) - (filled[-1] + 1 if len(filled) else 0)
+        return value - after * lgamma(n * prior) - len(rows) * constant
+
+    return part(tw, eta) + part(dt, alpha)
 
 
 FITS = "k int, kind string, row string, topic int, prob double, log_likelihood double"
@@ -116,6 +119,15 @@ def spark_topics(counts: DataFrame, k: int, n_iter: int = 50, seed: int = 123) -
     return model.transform(vectors).select("region_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "prob")).withColumn("topic", F.col("topic") + 1)
 
 
+def log_gamma(x: Column) -> Column:
+    """not among Spark's functions."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lgamma, na_action="ignore").astype(float)
+
+    return F.pandas_udf(run, "double")(x)
+
+
 def evaluate(fits: DataFrame) -> DataFrame:
     """(k, log_likelihood)."""
     return fits.groupBy("k").agg(F.first("log_likelihood").alias("log_likelihood"))

@@ -41,13 +41,13 @@ def logo(patterns: DataFrame, least_ic: float = 0.2, least_length: int = 4, whol
     return trimmed.withColumn("heights", F.slice(heights, F.col("_t.start") + 1, length)).withColumn("too_short", length < least_length).drop("_t")
 
 
-def tsne_logos(obs: DataFrame, patterns: DataFrame | None, color_by: str = "cluster_dbd") -> DataFrame:
+def tsne_logos(obs: DataFrame, patterns: DataFrame | None, color_by: str = "cluster_dbd", least_ic: float = 0.2) -> DataFrame:
     """V2: a centroid and a logo per cluster; an unknown color_by falls back to leiden."""
     if patterns is None:
         raise ValueError("logos need patterns")
     color_by = color_by if color_by in obs.columns else "leiden"
     colours = obs.groupBy("leiden").agg(F.min(color_by).alias("color"))
-    logos = logo(patterns, whole_if_empty=True).select("leiden", "heights")
+    logos = logo(patterns, least_ic, whole_if_empty=True).select("leiden", "heights")
     return centroids(obs).join(logos, "leiden").join(colours, "leiden")
 
 
@@ -122,14 +122,10 @@ def dbd_topic_heatmap(topic: DataFrame, obs: DataFrame, least: float = 0.005) ->
 
 def region_topic_tsne(region_topic_wide: DataFrame, k: int, show: list[int] | None = None) -> DataFrame:
     """Points of regions and scaled topic values in long form, ordered by intensity."""
-    import numpy as np
-
-    from tessera.operators.cluster import _to_driver, tsne
+    from tessera.operators.cluster import embed
 
     names = [f"Topic_{t}" for t in range(1, k + 1)]
-    local = _to_driver(region_topic_wide.select("region_id", *names), "t-SNE").sort_values("region_id")
-    xy = tsne(local[names].to_numpy(float), 30.0, 42)
-    points = region_topic_wide.sparkSession.createDataFrame([(r, float(a), float(b)) for r, (a, b) in zip(local["region_id"], np.asarray(xy), strict=True)], "region_id string, x double, y double")
+    points = embed(region_topic_wide.select("region_id", F.array(*names).alias("v")), "region_id", "v")
     scaled = R.minmax(region_topic_wide, names)
     pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(f"Topic_{t}_scaled").alias("value")) for t in show or range(1, k + 1))))
     return points.join(scaled.select("region_id", pairs.alias("_p")).select("region_id", "_p.*"), "region_id").orderBy("topic", "value")

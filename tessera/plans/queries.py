@@ -130,7 +130,7 @@ def top_motif_dbd(spark, sf_dir):
 def seqlet_dbd(spark, sf_dir):
     """The flagship: similarity rows to a domain per cluster."""
     e = table(spark, sf_dir, "embeddings")
-    named = cluster.top_motif_dbd(e, "vec_id", "embedding", [DBDS[i % 7] for i in range(64)]).join(e.select("vec_id", "label"), "vec_id")
+    named = cluster.top_motif_dbd(e, "vec_id", "embedding", [DBDS[i % 7] for i in range(64)], keep=["label"])
     size = named.groupBy("label").agg(F.count("*").alias("n_seqlets"))
     return relational.mode_smallest(named, ["label"], "seqlet_dbd", "cluster_dbd").join(size, "label")
 
@@ -424,10 +424,8 @@ def topic_eval(spark, sf_dir):
 @query()
 def tsne(spark, sf_dir):
     """Points of all vectors."""
-    local = cluster._to_driver(table(spark, sf_dir, "embeddings").select("vec_id", "label", vector().alias("v")), "t-SNE").sort_values("vec_id")
-    xy = cluster.tsne(np.stack(local["v"]))
-    rows = [(int(i), int(r), float(a), float(b)) for i, r, (a, b) in zip(local["vec_id"], local["label"], xy, strict=True)]
-    return spark.createDataFrame(rows, "vec_id long, label int, x double, y double")
+    e = table(spark, sf_dir, "embeddings")
+    return cluster.embed(e, "vec_id", "embedding").join(e.select("vec_id", "label"), "vec_id")
 
 
 @query("SELECT region_id, cluster, n FROM (SELECT o_orderpriority AS region_id, o_orderstatus AS cluster, count(*) AS n FROM orders GROUP BY ALL)")

@@ -70,6 +70,26 @@ def read_motifs(spark: SparkSession, folder: str, names: list[str] | None = None
     return kept.withColumn("motif_idx", F.row_number().over(Window.orderBy("motif_name")) - 1)
 
 
+def write_motifs(motifs: DataFrame, folder: str) -> None:
+    """The inverse of ``read_motifs``: (motif_name, cluster_name, at, ppm) as one ``.cb`` file per cluster_name, motifs in order
+    of ``at``.  Spark writes the files; the driver renames them, one per name of a reference collection."""
+    spark = motifs.sparkSession
+    lines = F.transform(A.transpose(F.col("ppm")), lambda r: F.concat_ws("\t", F.transform(r, lambda x: x.cast("string"))))
+    text = F.concat(F.lit(">"), F.col("motif_name"), F.lit("\n"), F.array_join(lines, "\n"))
+    files = motifs.groupBy("cluster_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda s: s["t"]), "\n").alias("value"))
+    files.repartition("cluster_name").write.partitionBy("cluster_name").text(f"{folder}/_written")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    top = path(f"{folder}/_written")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for place in fs.listStatus(top):
+        if place.isDirectory():
+            name = place.getPath().getName().split("=", 1)[1]
+            for f in fs.listStatus(place.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), path(f"{folder}/{name}.cb"))
+    fs.delete(top, True)
+
+
 ANNOTATION_COLUMNS = {"#motif_id": "motif_id", "gene_name": "gene_name", "motif_similarity_qvalue": "motif_similarity_qvalue", "orthologous_identity": "orthologous_identity", "description": "description"}
 
 
@@ -156,17 +176,22 @@ def read_modisco(seqlets: DataFrame, examples: DataFrame) -> DataFrame:
     return joined.withColumn("instance", F.when(ok, F.col("instance")).otherwise(F.raise_error(F.lit("a seqlet differs from its region")))).drop("oh")
 
 
-#: Species, versions and the files of their annotations.
-SPECIES = {"mus_musculus": "mgi", "homo_sapiens": "hgnc", "drosophila_melanogaster": "flybase"}
-VERSIONS = ["v9", "v10nr_clust"]
+#: The species that each version of the annotations has, and their long names.
+ANNOTATED = {"v8": ["flybase"], "v9": ["flybase", "hgnc", "mgi"], "v10nr_clust": ["chicken", "flybase", "hgnc", "mgi"]}
+SPECIES = {"mus_musculus": "mgi", "homo_sapiens": "hgnc", "drosophila_melanogaster": "flybase", "gallus_gallus": "chicken"}
+
+
+def annotation_path(species: str = "hgnc", version: str = "v10nr_clust", folder: str | None = None) -> str:
+    """Where a known annotation file lies; nothing is downloaded."""
+    short = SPECIES.get(species, species)
+    assert short in ANNOTATED.get(version, []), f"choose one of {[(s, v) for v, names in ANNOTATED.items() for s in names]}"
+    return os.path.join(folder or os.environ.get("TESSERA_CACHE", "."), f"motifs-{version}-nr.{short}-m0.001-o0.0.tbl")
 
 
-def annotation_path(species: str, version: str = "v10nr_clust", folder: str | None = None) -> str:
-    """Where a known annotation file lies; nothing is downloaded."""
-    options = [(s, v) for s in SPECIES for v in VERSIONS]
-    assert (species, version) in options, f"choose one of {options}"
-    tag = "v9" if version == "v9" else "v10nr_clust"
-    return os.path.join(folder or os.environ.get("TESSERA_CACHE", "."), f"motifs-{tag}-nr.{SPECIES[species]}-m0.001-o0.0.tbl")
+def cell_type_of(path, pattern: str):
+    """the cell type in a file's name, as a column; null where the name doesn't match from its start."""
+    base = F.element_at(F.split(path, "/"), -1)
+    return F.nullif(F.regexp_extract(base, "^" + pattern.replace("{cell_type}", "(.+?)"), 1), F.lit(""))
 
 
 def cell_type_mapping(spark: SparkSession, files: dict[str, str] | list[str], pattern: str | None = None) -> DataFrame:
