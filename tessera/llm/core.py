@@ -65,11 +65,24 @@ def _local_base() -> str:
     return "file://" + path
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: its shuffle files go as soon as it is complete, as nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes ``df`` as a table in the shared folder and reads it back: the lineage is cut and survives executors.  The path
     is for ``drop`` when nothing will read the table again."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -89,7 +102,8 @@ def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
     spark = df.sparkSession
     table, path = f"{SCRATCH}.{name}_{uuid.uuid4().hex}", shared_dir(spark, name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH}")
-    df.write.bucketBy(tasks(spark), key).option("path", path).format("parquet").saveAsTable(table)
+    with tidy(spark):
+        df.write.bucketBy(tasks(spark), key).option("path", path).format("parquet").saveAsTable(table)
     try:
         yield spark.table(table)
     finally:

@@ -29,7 +29,6 @@ probability one.
 from __future__ import annotations
 
 import functools
-import gc
 import json
 import logging
 import zlib
@@ -423,12 +422,6 @@ def _scores(ids: list, held: np.ndarray, n_tokens: np.ndarray, known: np.ndarray
     )
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that are done: it does so once their plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _scorer(model: Model, buckets: int, k: int):
     return lambda block, reply: _score(model, buckets, k, block, reply)
 
@@ -449,9 +442,8 @@ def _fit(docs: DataFrame, order: int, path: str) -> tuple[DataFrame, Model]:
         buckets = max(n, -(-size * BLOCK_TOKENS // BUCKET_KEYS))
         for k in range(1, order + 1):
             asked = table.select("block", "lens", "held", "tokens", "vocab").mapInArrow(lambda it, k=k: _send(it, k, buckets), PARTS)
-            asked.groupBy("bucket").applyInArrow(_count, PARTS).write.partitionBy("kind").parquet(f"{path}/counts/order={k}")
-            del asked
-            _release(spark)
+            with core.tidy(spark):
+                asked.groupBy("bucket").applyInArrow(_count, PARTS).write.partitionBy("kind").parquet(f"{path}/counts/order={k}")
         counts = _every([spark.read.schema(PARTS).parquet(f"{path}/counts/order={k}") for k in range(1, order + 1)])
         seen = counts.where("kind = 'model'").select("level", F.explode(F.arrays_zip("r", "n")).alias("_c"))
         sums = seen.groupBy("level", "_c.r").agg(F.sum("_c.n").alias("n")).collect()  # distinct counts: fewer than sqrt(2 N) an order
@@ -464,17 +456,15 @@ def _fit(docs: DataFrame, order: int, path: str) -> tuple[DataFrame, Model]:
                 known = spark.read.schema(WEIGHTS).parquet(f"{path}/weights/order={j}").where("kind = 'reply'")
                 mine = mine.unionByName(known.select("block", F.lit("weight").alias("kind"), F.lit(j).alias("level"), "bucket", F.col("weights").alias("a"), F.lit(None).cast("binary").alias("b")))
             joined = table.groupBy("block").cogroup(mine.groupBy("block"))
-            joined.applyInArrow(_scorer(model, buckets, k), DOCS).write.partitionBy("kind").parquet(here)
-            del joined, mine
-            _release(spark)
+            with core.tidy(spark):
+                joined.applyInArrow(_scorer(model, buckets, k), DOCS).write.partitionBy("kind").parquet(here)
             parts = spark.read.schema(DOCS).parquet(here)
             own = parts.where("kind = 'own'").select(F.lit("own").alias("kind"), "bucket", "block", "keys", F.col("left_mass").alias("weights"))
             weighed = parts.where("kind = 'sums'").select("bucket", "block", "keys", "left_mass", "lower_mass", "wanted").groupBy("bucket").applyInArrow(_weigh, WEIGHTS)
-            weighed.unionByName(own).write.partitionBy("kind").parquet(f"{path}/weights/order={k}")
-            del parts, own, weighed
+            with core.tidy(spark):
+                weighed.unionByName(own).write.partitionBy("kind").parquet(f"{path}/weights/order={k}")
             for kind in ("sums", "own"):
                 core.drop(spark, f"{here}/kind={kind}")
-            _release(spark)
     for k in range(1, order + 1):
         core.drop(spark, f"{path}/counts/order={k}/kind=reply")
     about = spark.createDataFrame([(json.dumps({"order": order, "buckets": buckets, "seen": [sorted(t.items()) for t in tables]}),)], "about string")

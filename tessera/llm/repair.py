@@ -277,7 +277,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, parti
     # A text's beginning follows its order, so the rows of one id, or of none, are spread as well.
     order = ("doc_id", F.substring("text", 1, 32))
     rows = core.id_text(docs).repartitionByRange(partitions or core.tasks(spark), *order).sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
+    with core.tidy(spark):
+        rows.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:
