@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from itertools import accumulate
+import functools
 from math import lgamma
 
 import numpy as np
@@ -11,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import materialise
+
+#: Tokens that one task samples; ``models`` turns to variational inference beyond.
+MOST_TOKENS = 20_000_000
 K_VALUES = (10, 15, 20, 25, 30, 35, 40, 50)
 
 
@@ -25,29 +28,46 @@ def count_table(obs: DataFrame, filter_unknown: bool = True) -> DataFrame:
     return rows.where(F.col("region_id").isNotNull() & F.col("cluster").isNotNull()).groupBy("region_id", "cluster").agg(F.count("*").alias("n"))
 
 
+#: Tokens that are drawn side by side.
+SIDE = 512
+
+
 def gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int, k: int, alpha: float, eta: float, n_iter: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Griffiths & Steyvers 2004.  Tokens are (docs[i], words[i]).  Counts of (document, topic) and (topic, word)."""
+    """Collapsed Gibbs sampling (Griffiths & Steyvers 2004).  Tokens are (docs[i], words[i]).  Counts of (document, topic) and
+    (topic, word).
+
+    Up to ``SIDE`` tokens, each of another document, are drawn side by side: a document's counts are those of the plain
+    sampler, those of words lack the changes of the same batch (Newman et al. 2009).
+    """
     rng = np.random.default_rng(seed)
+    order = np.argsort(docs, kind="stable")
+    place = np.empty(len(docs), np.int64)
+    place[order] = np.arange(len(docs)) - np.searchsorted(docs[order], docs[order])
+    order = np.lexsort((docs, place))
+    docs, words, place = docs[order], words[order], place[order]
+    edges = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
+    batches = [(lo, min(lo + SIDE, b)) for a, b in zip(edges[:-1], edges[1:], strict=True) for lo in range(a, b, SIDE)]
     z = rng.integers(0, k, len(docs))
-    dt, tw, t = np.zeros((n_docs, k)), np.zeros((k, n_words)), np.zeros(k)
+    dt, wt = np.zeros((n_docs, k)), np.zeros((n_words, k))
     np.add.at(dt, (docs, z), 1)
-    np.add.at(tw, (z, words), 1)
-    np.add.at(t, z, 1)
-    # Plain lists: arrays of k numbers cost more to call than to add up.
-    of_doc, of_word, t, z = dt.tolist(), tw.T.tolist(), t.tolist(), z.tolist()
-    tokens, prior = list(zip(docs.tolist(), words.tolist(), strict=True)), n_words * eta
+    np.add.at(wt, (words, z), 1)
+    t = wt.sum(0)
     for _ in range(n_iter if k > 1 else 0):
-        for i, ((d, w), draw) in enumerate(zip(tokens, rng.random(len(docs)).tolist(), strict=True)):
-            a, b, old = of_doc[d], of_word[w], z[i]
-            a[old] -= 1
-            b[old] -= 1
-            t[old] -= 1
-            p = list(accumulate([(x + alpha) * (y + eta) / (s + prior) for x, y, s in zip(a, b, t, strict=True)]))
-            z[i] = new = bisect_left(p, draw * p[-1])
-            a[new] += 1
-            b[new] += 1
-            t[new] += 1
-    return np.array(of_doc).reshape(n_docs, k), np.array(of_word).reshape(n_words, k).T
+        draws = rng.random(len(docs))
+        for a, b in batches:
+            d, w, old, row = docs[a:b], words[a:b], z[a:b].copy(), np.arange(b - a)
+            own, word, total = dt[d] + alpha, wt[w] + eta, np.repeat(t[None] + n_words * eta, b - a, 0)
+            for x in (own, word, total):
+                x[row, old] -= 1
+            p = (own * word / total).cumsum(1)
+            new = np.minimum((p < draws[a:b, None] * p[:, -1:]).sum(1), k - 1)
+            z[a:b] = new
+            dt[d, old] -= 1
+            dt[d, new] += 1
+            np.add.at(wt, (w, old), -1)
+            np.add.at(wt, (w, new), 1)
+            t += np.bincount(new, minlength=k) - np.bincount(old, minlength=k)
+    return dt, wt.T.copy()
 
 
 def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mode: str = "exact") -> float:
@@ -76,14 +96,14 @@ def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mod
 FITS = "k int, kind string, row string, topic int, prob double, log_likelihood double"
 
 
-def fit_topics(counts: DataFrame, ks: list[int], alpha: float = 50.0, eta: float = 0.1, n_iter: int = 150, seed: int = 123, mode: str = "exact", max_tokens: int = 20_000_000) -> DataFrame:
+def fit_topics(counts: DataFrame, ks: list[int], alpha: float = 50.0, eta: float = 0.1, n_iter: int = 150, seed: int = 123, mode: str = "exact", max_tokens: int | None = None) -> DataFrame:
     """One task per number of topics, so all models train side by side.
 
-    A sampler needs the whole count table; its number of tokens is checked against ``max_tokens`` first, and ``spark_topics``
-    is there for more.
+    A sampler needs the whole count table; its number of tokens is checked first, and ``models`` goes to ``spark_topics`` for
+    more.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    if total > max_tokens:
+    if total > (MOST_TOKENS if max_tokens is None else max_tokens):
         raise ValueError(f"{total} tokens are too many for one sampler; use spark_topics")
     table = counts.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
 
@@ -105,18 +125,40 @@ def fit_topics(counts: DataFrame, ks: list[int], alpha: float = 50.0, eta: float
     return table.repartition(len(ks), "k").groupBy("k").applyInPandas(run, FITS)
 
 
-def spark_topics(counts: DataFrame, k: int, n_iter: int = 50, seed: int = 123) -> DataFrame:
-    """M10 at scale: variational LDA of Spark ML; one topic has probability one everywhere."""
+def spark_topics(counts: DataFrame, ks: list[int], n_iter: int = 50, seed: int = 123) -> DataFrame:
+    """M10, M11 at scale: variational LDA of Spark ML in the form of ``fit_topics``; with one topic, its probability is one.
+
+    The matrix of clusters by topic, which is as large as the number of clusters, is what reaches the driver."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
+    spark = counts.sparkSession
     docs = counts.groupBy("region_id").agg(F.flatten(F.collect_list(F.array_repeat("cluster", F.col("n").cast("int")))).alias("words"))
-    if k == 1:
-        return docs.select("region_id", F.lit(1).alias("topic"), F.lit(1.0).alias("prob"))
-    vectors = CountVectorizer(inputCol="words", outputCol="features").fit(docs).transform(docs)
-    model = LDA(k=k, maxIter=n_iter, seed=seed).fit(vectors)
-    return model.transform(vectors).select("region_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "prob")).withColumn("topic", F.col("topic") + 1)
+    fitted = CountVectorizer(inputCol="words", outputCol="features").fit(docs)
+    vectors = materialise(fitted.transform(docs).select("region_id", "features"), "topic-vectors")
+    parts = []
+    for k in ks:
+        model = LDA(k=max(k, 2), maxIter=n_iter, seed=seed).fit(vectors)
+        ll = float(model.logLikelihood(vectors))
+        found = model.transform(vectors).select("region_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "prob"))
+        weights = model.topicsMatrix().toArray()
+        if k == 1:
+            found = vectors.select("region_id", F.lit(0).alias("topic"), F.lit(1.0).alias("prob"))
+            weights = weights.sum(1, keepdims=True)
+        weights = weights / weights.sum(0)
+        rows = [(k, "cluster", c, t + 1, float(weights[i, t]), ll) for i, c in enumerate(fitted.vocabulary) for t in range(k)]
+        regions = found.select(F.lit(k).alias("k"), F.lit("region").alias("kind"), F.col("region_id").alias("row"), (F.col("topic") + 1).alias("topic"), "prob", F.lit(ll).alias("log_likelihood"))
+        parts.append(regions.unionByName(spark.createDataFrame(rows, FITS)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def models(counts: DataFrame, ks: list[int] | None = None, **options) -> DataFrame:
+    """By Gibbs sampling where one task can hold the tokens, else by Spark's variational models."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if total <= MOST_TOKENS:
+        return fit_topics(counts, list(ks or K_VALUES), **options)
+    return spark_topics(counts, list(ks or K_VALUES), options.get("n_iter", 50), options.get("seed", 123))
 
 
 def log_gamma(x: Column) -> Column:

@@ -410,7 +410,7 @@ def region_contributions(spark, sf_dir):
     e = examples(spark, sf_dir)
     first = e.agg(F.min("example_idx")).first()[0]
     hits = cut_places(spark, sf_dir).withColumns({"attribution": F.lit(1.0), "cluster_dbd": F.lit("Ets")})
-    cells, _ = plotdata.region_contributions(e, hits, first, (2, 12))
+    cells, *_ = plotdata.region_contributions(e, hits, first, zoom=(2, 12))
     return cells.select("position", *(F.round(b, 6).alias(b) for b in A.BASES))
 
 

@@ -56,15 +56,21 @@ def region_hits(seqlets: DataFrame, length: int, example_idx: int | None = None,
     a, b = zoom
     if (a is None) != (b is None):
         raise ValueError("give both ends of the zoom window or neither")
-    if a is not None and (a < 0 or a >= b or b > length):
-        raise ValueError("the zoom window must lie inside the region and not be empty")
+    if a is not None and (a < 0 or b < 0):
+        raise ValueError("the zoom window must not begin or end before the region")
+    if a is not None and a >= b:
+        raise ValueError("the zoom window must not be empty")
+    if a is not None and b > length:
+        raise ValueError(f"the zoom window must end inside the region of {length} positions")
     if (example_idx is None) == (region_name is None):
         raise ValueError("name the region by its index or by its name")
     if region_name is not None:
         _need(seqlets, "region_name")
         row = seqlets.where(F.col("region_name") == region_name).agg(F.min("example_idx")).first()
         example_idx = row[0]
-    hits = seqlets.where(F.col("example_idx") == example_idx) if example_idx is not None else seqlets.limit(0)
+        if example_idx is None:
+            raise ValueError(f"no region is named {region_name!r}")
+    hits = seqlets.where(F.col("example_idx") == example_idx)
     if hits.isEmpty():
         raise ValueError("the region has no hits")
     if least is not None:
@@ -77,31 +83,48 @@ def region_hits(seqlets: DataFrame, length: int, example_idx: int | None = None,
 
 
 def dedupe_labels(hits: DataFrame, threshold: float = 25, group: str = "example_idx") -> DataFrame:
-    """A label is kept unless one of its domain that was kept has its centre within ``threshold``; kept ones take turns
-    below and above.  A fold over the hits of a region in order of their start."""
+    """A hit's domain is its label; a label is kept unless one of its domain that was kept has its centre nearer than
+    ``threshold``; kept ones take turns below and above.  A fold over the hits of a region in order of their start."""
     state = F.struct(F.array().cast("array<struct<dbd:string,centre:double>>").alias("kept"), F.array().cast("array<struct<id:bigint,y:double>>").alias("out"))
 
     def step(s, h):
-        near = F.exists(s["kept"], lambda k: k["dbd"].eqNullSafe(h["dbd"]) & (F.abs(k["centre"] - h["centre"]) <= threshold))
+        near = F.exists(s["kept"], lambda k: (k["dbd"] == h["dbd"]) & (F.abs(k["centre"] - h["centre"]) < threshold))
         y = F.when(F.size(s["out"]) % 2 == 0, F.lit(-0.2)).otherwise(F.lit(0.2))
         more = F.struct(F.concat(s["kept"], F.array(F.struct(h["dbd"].alias("dbd"), h["centre"].alias("centre")))).alias("kept"), F.concat(s["out"], F.array(F.struct(h["id"].alias("id"), y.alias("y")))).alias("out"))
         return F.when(near, s).otherwise(more)
 
-    rows = hits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("start", F.col("seqlet_id").alias("id"), ((F.col("start") + F.col("end")) / 2).alias("centre"), F.col("cluster_dbd").alias("dbd")))).alias("_h"))
+    rows = hits.where(F.col("cluster_dbd").isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("start", F.col("seqlet_id").alias("id"), ((F.col("start") + F.col("end")) / 2).alias("centre"), F.col("cluster_dbd").alias("dbd")))).alias("_h"))
     return rows.select(group, F.explode(F.aggregate("_h", state, step)["out"]).alias("_o")).select(group, F.col("_o.id").alias("seqlet_id"), F.col("_o.y").alias("y"))
 
 
-def region_contributions(examples: DataFrame, seqlets: DataFrame, example_idx: int, zoom: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
-    """V3: the logo matrix (position, A, C, G, T) of a region and its hits."""
-    row = examples.where(F.col("example_idx") == example_idx)
+def region_contributions(
+    examples: DataFrame,
+    seqlets: DataFrame,
+    example_idx: int | None = None,
+    region_name: str | None = None,
+    zoom: tuple[int | None, int | None] = (None, None),
+    least: float | None = None,
+    show_unannotated: bool = False,
+    threshold: float = 25,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """V3: the logo matrix (position, A, C, G, T) of a region; the stretches of its hits, with a domain or, if
+    ``show_unannotated``, without; and the labels (seqlet_id, y)."""
+    _need(examples, "example_idx", "contrib", "oh")
+    _need(seqlets, "example_idx", "start", "end", "cluster_dbd", "attribution")
+    if example_idx is None and region_name is not None:
+        _need(seqlets, "region_name")
+    key = F.col("example_idx") == example_idx if example_idx is not None else F.col("example_idx").isin([r[0] for r in seqlets.where(F.col("region_name") == region_name).select("example_idx").limit(1).collect()] if region_name is not None else [])
+    row = examples.where(key)
+    size = row.select(F.size(F.element_at("contrib", 1))).first()
+    hits = region_hits(seqlets, size[0] if size else 1 << 31, example_idx, region_name, zoom, least)
+    if size is None:
+        raise ValueError("the region is not among the examples")
     matrix = A.transpose(A.product(F.col("contrib"), F.col("oh")))
     cells = row.select(F.posexplode(matrix).alias("position", "_v")).select("position", *(F.element_at("_v", i + 1).alias(b) for i, b in enumerate(A.BASES)))
-    first = row.select(F.size(F.element_at("contrib", 1))).first()
-    if first is None:
-        raise ValueError("no such region")
     if zoom[0] is not None and zoom[1] is not None:
         cells = cells.where((F.col("position") >= zoom[0]) & (F.col("position") < zoom[1])).withColumn("position", F.col("position") - zoom[0])
-    return cells, region_hits(seqlets, first[0], example_idx, zoom=zoom)
+    shown = hits if show_unannotated else hits.where(F.col("cluster_dbd").isNotNull())
+    return cells, shown, dedupe_labels(hits, threshold)
 
 
 def dbd_heatmap(obs: DataFrame, row: str = "cell_type", column: str = "cluster_dbd") -> tuple[DataFrame, DataFrame]:

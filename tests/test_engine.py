@@ -378,7 +378,7 @@ def test_labels_are_deduped_as_by_a_loop(spark):
     for region in range(4):
         kept = []
         for i, _, a, b, dbd in sorted((h for h in hits if h[1] == region), key=lambda h: (h[2], h[0])):
-            if not any(d == dbd and abs(c - (a + b) / 2) <= 25 for d, c in kept):
+            if dbd is not None and not any(d == dbd and abs(c - (a + b) / 2) < 25 for d, c in kept):
                 want[i] = 0.2 if len(kept) % 2 else -0.2
                 kept.append((dbd, (a + b) / 2))
     assert {r["seqlet_id"]: r["y"] for r in plotdata.dedupe_labels(df).collect()} == want
@@ -431,6 +431,42 @@ def test_topic_and_tsne_queries_do_the_whole_job(spark, monkeypatch):
     assert sorted(r["vec_id"] for r in Q.QUERIES["tsne"](spark, SF).collect()) == sorted(ids) and [n for n, _ in sizes] == [len(ids)]
 
 
+def test_a_region_is_drawn_or_refused(spark):
+    ones = [[1.0] * 40] * 4
+    e = spark.createDataFrame([(0, ones, ones), (1, ones, ones)], readers.EXAMPLES)
+    hits = spark.createDataFrame([(1, 0, "r", 5, 15, 1.0, "Ets"), (2, 0, "r", 8, 18, 0.1, None), (3, 0, "r", 31, 40, -1.0, "Ets"), (4, 9, "gone", 1, 2, 1.0, None)], "seqlet_id long, example_idx long, region_name string, start long, end long, attribution double, cluster_dbd string")
+    draw = plotdata.region_contributions
+    cells, shown, labels = draw(e, hits, region_name="r")
+    assert cells.count() == 40 and [r["seqlet_id"] for r in shown.collect()] == [1, 3] and {r["seqlet_id"]: r["y"] for r in labels.collect()} == {1: -0.2, 3: 0.2}
+    assert draw(e, hits, 0, show_unannotated=True)[1].count() == 3
+    assert [(r["seqlet_id"], r["start"], r["end"]) for r in draw(e, hits, 0, zoom=(10, 35), least=0.5)[1].collect()] == [(1, 0, 5), (3, 21, 25)]
+    for bad in ({}, {"example_idx": 0, "region_name": "r"}, {"example_idx": 0, "zoom": (1, None)}, {"example_idx": 0, "zoom": (-1, 4)}, {"example_idx": 0, "zoom": (4, 4)}, {"example_idx": 0, "zoom": (4, 41)}, {"region_name": "none"}, {"example_idx": 1}, {"example_idx": 7}, {"region_name": "gone"}):
+        with pytest.raises(ValueError):
+            draw(e, hits, **bad)
+    for column in ("contrib", "oh"):
+        with pytest.raises(ValueError):
+            draw(e.drop(column), hits, 0)
+    for column in ("cluster_dbd", "region_name"):
+        with pytest.raises(ValueError):
+            draw(e, hits.drop(column), region_name="r")
+
+
+def test_topics_by_both_engines_tell_groups_apart(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(f"r{i}", f"c{5 * (i % 2) + j}", int(rng.integers(2, 6))) for i in range(40) for j in range(5)]
+    counts = spark.createDataFrame(data, "region_id string, cluster string, n long")
+    for limit in (10**6, 0):
+        monkeypatch.setattr(topics, "MOST_TOKENS", limit)
+        fits = topics.models(counts, [1, 2], n_iter=40).toPandas()
+        assert set(fits.columns) == {c.split()[0] for c in topics.FITS.split(", ")} and np.isfinite(fits["log_likelihood"]).all()
+        assert np.allclose(fits[fits.kind == "cluster"].groupby(["k", "topic"])["prob"].sum(), 1) and np.allclose(fits[(fits.k == 1) & (fits.kind == "region")]["prob"], 1)
+        two = fits[(fits.k == 2) & (fits.kind == "region")].sort_values("prob").groupby("row")["topic"].last()
+        assert len({two[f"r{i}"] for i in range(0, 40, 2)}) == 1 and len(set(two)) == 2
+    monkeypatch.setattr(topics, "SIDE", 1)
+    plain = topics.gibbs(np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 1]), 2, 2, 2, 1.0, 0.1, 5, 1)
+    assert plain[0].sum() == plain[1].sum() == 5 and (plain[0] >= 0).all() and (plain[0].sum(1) == [2, 3]).all()
+
+
 def test_topics(spark):
     data = [(str(r), str(c), 1 + (r + c) % 3) for r in range(12) for c in range(5) if (r + c) % 2]
     counts = spark.createDataFrame(data, "region_id string, cluster string, n long")
