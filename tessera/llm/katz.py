@@ -44,7 +44,7 @@ from tessera.llm.core import U64, mix
 
 log = logging.getLogger(__name__)
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Keys that a bucket gets from all blocks together, about.
 BUCKET_KEYS = 3_000_000
 K, ORDER = 5, 2
