@@ -158,6 +158,21 @@ def groups(batch: pa.RecordBatch, limit: int = GROUP_CHARS) -> Iterator[tuple[li
         yield ids[lo:], texts[lo:]
 
 
+def give_back() -> None:
+    """Returns memory that arrays have freed to the system, where the C library can: a worker that waits for its next task
+    should not keep what its last one needed most."""
+    trim = _trimmer()
+    if trim is not None:
+        trim(0)
+
+
+@functools.cache
+def _trimmer():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 # ---------------------------------------------------------------- code points
 
 def code_points(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:

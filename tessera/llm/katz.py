@@ -85,6 +85,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             row = [base + n], [ids], [core.pack_array(np.array(lens, "<u4"))], [held.tobytes()], [core.pack_array(tokens[:-2].astype("<u4"))], [core.pack_sorted(vocab)]
             kinds = pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()
             n, ids, hashes, lens, total = n + 1, [], [], [], 0
+            core.give_back()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -159,6 +160,8 @@ def _send(batches, k: int, buckets: int):
                 s = slice(cut[b], cut[b + 1])
                 if cut[b] < cut[b + 1]:
                     yield _rows([("ask", k, b, block, core.pack_sorted(keys[s]), core.pack_array(counts[s].astype("<u8")), None, None, None)])
+            del w, keys, counts
+            core.give_back()
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -423,7 +426,23 @@ def _scores(ids: list, held: np.ndarray, n_tokens: np.ndarray, known: np.ndarray
 
 
 def _scorer(model: Model, buckets: int, k: int):
-    return lambda block, reply: _score(model, buckets, k, block, reply)
+    def run(block: pa.Table, reply: pa.Table) -> pa.Table:
+        out = _score(model, buckets, k, block, reply)
+        core.give_back()
+        return out
+
+    return run
+
+
+def _light(kernel):
+    """A kernel of one table that leaves no freed memory behind."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = kernel(table)
+        core.give_back()
+        return out
+
+    return run
 
 
 def _every(frames: list[DataFrame]) -> DataFrame:
@@ -443,7 +462,7 @@ def _fit(docs: DataFrame, order: int, path: str) -> tuple[DataFrame, Model]:
         for k in range(1, order + 1):
             asked = table.select("block", "lens", "held", "tokens", "vocab").mapInArrow(lambda it, k=k: _send(it, k, buckets), PARTS)
             with core.tidy(spark):
-                asked.groupBy("bucket").applyInArrow(_count, PARTS).write.partitionBy("kind").parquet(f"{path}/counts/order={k}")
+                asked.groupBy("bucket").applyInArrow(_light(_count), PARTS).write.partitionBy("kind").parquet(f"{path}/counts/order={k}")
         counts = _every([spark.read.schema(PARTS).parquet(f"{path}/counts/order={k}") for k in range(1, order + 1)])
         seen = counts.where("kind = 'model'").select("level", F.explode(F.arrays_zip("r", "n")).alias("_c"))
         sums = seen.groupBy("level", "_c.r").agg(F.sum("_c.n").alias("n")).collect()  # distinct counts: fewer than sqrt(2 N) an order
@@ -460,7 +479,7 @@ def _fit(docs: DataFrame, order: int, path: str) -> tuple[DataFrame, Model]:
                 joined.applyInArrow(_scorer(model, buckets, k), DOCS).write.partitionBy("kind").parquet(here)
             parts = spark.read.schema(DOCS).parquet(here)
             own = parts.where("kind = 'own'").select(F.lit("own").alias("kind"), "bucket", "block", "keys", F.col("left_mass").alias("weights"))
-            weighed = parts.where("kind = 'sums'").select("bucket", "block", "keys", "left_mass", "lower_mass", "wanted").groupBy("bucket").applyInArrow(_weigh, WEIGHTS)
+            weighed = parts.where("kind = 'sums'").select("bucket", "block", "keys", "left_mass", "lower_mass", "wanted").groupBy("bucket").applyInArrow(_light(_weigh), WEIGHTS)
             with core.tidy(spark):
                 weighed.unionByName(own).write.partitionBy("kind").parquet(f"{path}/weights/order={k}")
             for kind in ("sums", "own"):
