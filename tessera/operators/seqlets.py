@@ -175,12 +175,19 @@ def span_p_values(examples: DataFrame, threshold: float, shortest: int = 4, long
 
     def run(batches):
         for pdf in batches:
-            for i, x in zip(pdf["example_idx"], pdf["x"], strict=True):
-                x = np.asarray(x, float)
-                p = p_matrix(x, bg, threshold)
-                for j in range(shortest, min(longest, len(x)) + 1):
-                    n = len(x) - j + 1
-                    yield pd.DataFrame({"example_idx": i, "len": j, "start": np.arange(n), "p": p[j, :n]})
+            for lo in range(0, len(pdf), 64):
+                ids, lens, starts, values = [], [], [], []
+                for i, x in zip(pdf["example_idx"].iloc[lo : lo + 64], pdf["x"].iloc[lo : lo + 64], strict=True):
+                    x = np.asarray(x, float)
+                    p = p_matrix(x, bg, threshold)
+                    for j in range(shortest, min(longest, len(x)) + 1):
+                        n = len(x) - j + 1
+                        starts.append(np.arange(n))
+                        lens.append(np.full(n, j))
+                        ids.append(np.full(n, i))
+                        values.append(p[j, :n])
+                if ids:
+                    yield pd.DataFrame({"example_idx": np.concatenate(ids), "len": np.concatenate(lens), "start": np.concatenate(starts), "p": np.concatenate(values)})
 
     return examples.select("example_idx", "x").mapInPandas(run, "example_idx long, len int, start int, p double")
 
