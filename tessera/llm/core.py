@@ -192,9 +192,9 @@ def is_blank(cps: np.ndarray) -> np.ndarray:
     return (cps == 32) | ((cps >= 9) & (cps <= 13))
 
 
-def words(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of the words of all texts, and the text each belongs to."""
-    solid = ~is_blank(cps)
+def words(cps: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the words of all texts, and the text each belongs to.  ``solid``: which code points make words."""
+    solid = ~is_blank(cps) if solid is None else solid
     edge = np.zeros(len(cps), bool)
     inner = offsets[:-1][offsets[:-1] < len(cps)]
     edge[inner] = True  # a word never crosses into the next text
