@@ -2,23 +2,24 @@
 
 Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets.  Two multinomials over the buckets are counted
 over all documents: that of the trusted ones and that of the whole corpus.  A document's score is the mean over its
-n-grams of ``log p_trusted - log p_raw``, so long and short documents compare.  A document stays if its score is at least
-``THRESHOLD``, a fixed number.  Counts are whole numbers and a score adds its document's terms in their order, so a verdict
+n-grams of ``log p_trusted - log p_raw``, so long and short documents compare.  A document stays if its score is at least a
+threshold.  Counts are whole numbers and a score adds its document's terms in their order, so a verdict
 doesn't depend on how rows are dealt; nothing is sampled, and equal texts have equal verdicts.
 
 The trusted counts are smoothed by as many counts as ``PRIOR`` times their sum, dealt as the raw corpus, so a bucket that
 the trusted sample says nothing about is no worse than ``log(PRIOR / (1 + PRIOR))`` at any size of the sample.  The documents
-are read three times (the trusted texts, which become a table, counts, verdicts); besides the trusted texts only the bucket
-counts (a fixed number) move.
+are read three times (the trusted texts, which become a table, counts, verdicts); besides the trusted texts and their scores
+only the bucket counts (a fixed number) move.
 
-``THRESHOLD`` was set on trusted documents held out of the fit (one in five) that pass the base rules: of 2,940 of a table
-of 51,000 documents all score above -0.012, of 588 of 10,000 documents two in a thousand score below -0.016, and the best of
-the documents labelled bad score -0.019 and -0.033.
+The threshold comes from the trusted texts themselves, at any number of them.  They are dealt to ``FOLDS`` folds by a hash of
+the text, so copies stay together; each is scored by a fit without its fold, and of those that pass the base rules the score of
+rank ``floor(QUANTILE * n)``, counted from the lowest, is the threshold.  So about one good document in a hundred is lost,
+whatever the size of the table.  It is one number for all documents, and exact: nothing is sampled.
 
 Base rules come first: fewer than 50 words, or more than half of the words inside repeated three-word windows.
 
 Defined results: a null or empty text has no words, so it fails the base rules and is not kept; without trusted documents
-all ratios are one and the base rules decide; labels of unknown documents have no effect, repeated labels count once.
+all ratios are one and the base rules decide, as they do if no trusted document passes them; labels of unknown documents have no effect, repeated labels count once.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import core
 from tessera.llm.core import U64
+from tessera.llm.ranks import ranked
 
-BUCKETS, PRIOR, THRESHOLD = 10_000, 0.5, -0.018
+BUCKETS, PRIOR, FOLDS, QUANTILE = 10_000, 0.5, 5, 0.01
 #: Slots of the bitmap for each trusted id, the most it may have (32 MB), and those of a segment (fixed by bitmap_construct_agg).
 SLOTS, MOST_SLOTS, SEGMENT = 16, 1 << 28, 32_768
 SYMBOLS = "#*$%&|<>"
@@ -55,31 +57,32 @@ def buckets_of(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return out, ends
 
 
-def count_buckets(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of n-grams by bucket.  ``texts`` has text alone.
+def count_buckets(texts: DataFrame, buckets: int = BUCKETS, folds: int = 1) -> np.ndarray:
+    """Counts of n-grams by fold and bucket.  ``texts`` has fold, if there are several, and text.
 
-    Each task sends at most ``buckets`` rows; the sums, as many rows, reach the driver.
+    Each task sends at most ``folds * buckets`` rows; the sums, as many rows, reach the driver.
     """
 
     def run(batches):
-        counts = np.zeros(buckets, np.int64)
+        counts = np.zeros((folds, buckets), np.int64)
         for batch in batches:
-            for part in _texts(batch):
-                counts += np.bincount(buckets_of(part, buckets)[0], minlength=buckets)
+            for fold, part in _texts(batch):
+                found, at = buckets_of(part, buckets)
+                place = np.repeat(np.array(fold, np.int64), np.diff(at)) if folds > 1 else 0
+                counts += np.bincount(place * buckets + found, minlength=folds * buckets).reshape(folds, buckets)
         b = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(counts[b])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(counts.reshape(-1)[b])], ["bucket", "n"])
 
-    out = np.zeros(buckets, np.int64)
+    out = np.zeros(folds * buckets, np.int64)
     for b, n in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[b] = n
-    return out
+    return out.reshape(folds, buckets)
 
 
 def _texts(batch: pa.RecordBatch):
-    """The texts of a batch, its last column, in bounded groups."""
+    """The texts of a batch, its last column, in bounded groups, and the first column beside them."""
     column = batch.column(batch.num_columns - 1)
-    for _, texts in core.groups(pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], ["key", "text"])):
-        yield texts
+    yield from core.groups(pa.RecordBatch.from_arrays([batch.column(0), column], ["key", "text"]))
 
 
 def trusted_texts(rows: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -152,25 +155,50 @@ def _score(texts: list[str], weights: np.ndarray, buckets: int) -> np.ndarray:
     return sums / np.maximum(np.diff(at), 1)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The log ratio of each bucket."""
+def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, folds: int = FOLDS, quantile: float = QUANTILE) -> tuple[np.ndarray, float]:
+    """The log ratio of each bucket, and the threshold."""
     core.small_batches(docs.sparkSession)
     rows = core.id_text(docs)
-    own = trusted_texts(rows, trusted.select(F.col("doc_id").cast("long")))
-    return log_ratios(count_buckets(rows.select("text"), buckets), count_buckets(own, buckets))
+    own = trusted_texts(rows, trusted.select(F.col("doc_id").cast("long"))).select(F.pmod(F.xxhash64("text"), F.lit(folds)).alias("fold"), "text")
+    raw = count_buckets(rows.select("text"), buckets)[0]
+    good = count_buckets(own, buckets, folds)
+    return log_ratios(raw, good.sum(0)), _threshold(own, raw, good, quantile)
+
+
+def _threshold(own: DataFrame, raw: np.ndarray, good: np.ndarray, quantile: float) -> float:
+    """The score of rank ``floor(quantile * n)`` of the trusted texts that pass the base rules, each without its fold."""
+    folds, buckets = good.shape
+    weights = np.stack([log_ratios(raw, good.sum(0) - g) for g in good])
+
+    def run(batches):
+        for batch in batches:
+            for fold, texts in _texts(batch):
+                fold, failed = np.array(fold, np.int64), _failed(_base(texts))
+                for k in range(folds):
+                    mine = [t for t, f, bad in zip(texts, fold, failed, strict=True) if f == k and not bad]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(mine), np.int64)), pa.array(_score(mine, weights[k], buckets))], ["all", "score"])
+
+    placed, _, path = ranked(own.mapInArrow(run, "all long, score double"), ["all"], ["score"], "quality-scores")
+    found = placed.where(F.col("_at") == int(quantile * placed.count())).select("score").collect()  # one row at most
+    core.drop(own.sparkSession, path)
+    return found[0][0] if found else -np.inf
+
+
+def _failed(base: tuple[np.ndarray, ...]) -> np.ndarray:
+    return (base[0] < 50) | (100 * base[4] > 50 * base[0])
 
 
 def _judge(texts: list[str], weights: np.ndarray, threshold: float, buckets: int) -> tuple[np.ndarray, ...]:
     """The base figures, base_failed, score and kept of each text."""
     base = _base(texts)
     score = _score(texts, weights, buckets)
-    failed = (base[0] < 50) | (100 * base[4] > 50 * base[0])
+    failed = _failed(base)
     return *base, failed, score, ~failed & (score >= threshold)
 
 
-def rate(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def rate(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE) -> DataFrame:
     """Base figures, score and verdict of each document.  ``trusted``: doc_id of trusted documents."""
-    weights = fit(docs, trusted, buckets)
+    weights, threshold = fit(docs, trusted, buckets, quantile=quantile)
 
     def run(batches):
         for batch in batches:
@@ -187,16 +215,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
 
 
-def filter_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def filter_documents(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE) -> DataFrame:
     """The documents that stay, with all their columns.  Each row is judged by its own text where it is, so no text moves;
     rows that share an id, or have none, are judged apart."""
-    weights = fit(docs, trusted, buckets)
+    weights, threshold = fit(docs, trusted, buckets, quantile=quantile)
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for batch in batches:
             column = batch.column(at).cast(pa.string()).fill_null("")
-            kept = [_judge(texts, weights, threshold, buckets)[-1] for texts in _texts(pa.RecordBatch.from_arrays([column], ["text"]))]
+            kept = [_judge(texts, weights, threshold, buckets)[-1] for _, texts in _texts(pa.RecordBatch.from_arrays([column], ["text"]))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
 
     numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow can't pass names with dots

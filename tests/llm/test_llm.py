@@ -216,7 +216,7 @@ def test_rows_pass_through_with_names_that_clash(spark):
     one = jaccard_join.keep_one(df)
     assert one.columns == df.columns
     assert {r[0]: [r[k] for k in rest] for r in one.collect()} == {i: v for i, v in own.items() if i != 1}
-    good = quality.filter_documents(df, df.where("doc_id < 3").select("doc_id"), threshold=-9)
+    good = quality.filter_documents(df, df.select("doc_id"))
     assert good.columns == df.columns
     assert {r[0]: [r[k] for k in rest] for r in good.collect()} == {i: v for i, v in own.items() if i is not None}
 
@@ -321,10 +321,12 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def rated(rows, trusted):
-    """Base figures, score and verdict of (id, text) rows by the definition; buckets come from the operator's hash."""
-    raw, good, found = Counter(), Counter(), []
-    for i, text in rows:
+def rated(spark, rows, trusted, quantile=quality.QUANTILE):
+    """Base figures, score and verdict of (id, text) rows by the definition; buckets and folds come from the operator's hash."""
+    raw, good, found, part = Counter(), Counter(), [], [Counter() for _ in range(quality.FOLDS)]
+    texts = spark.createDataFrame([(k, text or "") for k, (_, text) in enumerate(rows)], "k long, text string")
+    folds = {r[0]: r[1] for r in texts.select("k", F.pmod(F.xxhash64("text"), F.lit(quality.FOLDS))).collect()}
+    for k, (i, text) in enumerate(rows):
         ws = [w.translate({i: i + 32 for i in range(65, 91)}) for w in split(text)]
         mine = quality.buckets_of([text or ""])[0].tolist()
         assert len(mine) == len(ws) + max(len(ws) - 1, 0)
@@ -332,42 +334,50 @@ def rated(rows, trusted):
         raw.update(mine)
         if i in trusted:
             good.update(mine)
-    n_raw, n_good = sum(raw.values()), sum(good.values())
-    B, M = quality.BUCKETS, max(quality.PRIOR * n_good, 1.0)
+            part[folds[k]].update(mine)
+    n_raw, B = sum(raw.values()), quality.BUCKETS
     p = lambda b: (raw[b] + 1) / (n_raw + B)
-    out = []
-    for (_, text), mine in zip(rows, found):
+
+    def mean(mine, good):
+        n = sum(good.values())
+        m = max(quality.PRIOR * n, 1.0)
+        return sum(math.log((good[b] + m * p(b)) / (n + m)) - math.log(p(b)) for b in mine) / max(len(mine), 1)
+
+    out, held = [], []
+    for k, ((i, text), mine) in enumerate(zip(rows, found)):
         ws, text = split(text), text or ""
         windows = Counter(zip(ws, ws[1:], ws[2:]))
         covered = {i + k for i in range(len(ws) - 2) if windows[tuple(ws[i : i + 3])] > 1 for k in range(3)}
         lines = [x for x in text.split("\n") if x.strip(BLANK)]
         failed = len(ws) < 50 or 100 * len(covered) > 50 * len(ws)
-        score = sum(math.log((good[b] + M * p(b)) / (n_good + M)) - math.log(p(b)) for b in mine) / max(len(mine), 1)
-        assert abs(score - quality.THRESHOLD) > 1e-8
+        if i in trusted and not failed:
+            held.append(mean(mine, good - part[folds[k]]))
         base = len(ws), sum(map(len, ws)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed
-        out.append((base, score, not failed and score >= quality.THRESHOLD))
-    return out
+        out.append((base, mean(mine, good)))
+    threshold = sorted(held)[int(quantile * len(held))] if held else -math.inf
+    assert all(abs(score - threshold) > 1e-8 for base, score in out if not base[-1])
+    return [(base, score, not base[-1] and score >= threshold) for base, score in out]
 
 
 def test_op5_base_scores_and_verdicts(spark, docs, odd, empty, rows):
     trusted = spark.createDataFrame([(i,) for i in range(90, 180, 6)], "doc_id long")
-    found = quality.rate(docs, trusted).collect()
+    found = quality.rate(docs, trusted, quantile=0.6).collect()
     got = {r["doc_id"]: r for r in found}
     verdicts = Counter()
-    for (key, *_), (base, score, kept) in zip(rows, rated([r[:2] for r in rows], set(range(90, 180, 6)))):
+    for (key, *_), (base, score, kept) in zip(rows, rated(spark, [r[:2] for r in rows], set(range(90, 180, 6)), 0.6)):
         r = got[key]
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == base
         assert math.isclose(r["score"], score, abs_tol=1e-9) and r["kept"] == kept
         verdicts[base[-1], kept] += 1
     assert len(verdicts) == 3  # rejected by the base rules, by the score, and kept
-    assert {r["doc_id"]: r for r in quality.rate(docs.repartition(7, "text"), trusted).collect()} == got  # to the last bit
+    assert {r["doc_id"]: r for r in quality.rate(docs.repartition(7, "text"), trusted, quantile=0.6).collect()} == got  # to the last bit
     pairs = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    mine = sorted((str(i), *base, kept) for (i, _), (base, _, kept) in zip(pairs, rated(pairs, {30, 36})))
+    mine = sorted((str(i), *base, kept) for (i, _), (base, _, kept) in zip(pairs, rated(spark, pairs, {30, 36})))
     rate = quality.rate(odd, spark.createDataFrame([(30,), (36,), (36,), (None,)], "doc_id long")).collect()
     assert sorted((str(r[0]), *tuple(r)[1:7], r["kept"]) for r in rate) == mine
     assert not any(r["kept"] == r["base_failed"] for r in quality.rate(odd, trusted.limit(0)).collect())  # all ratios are one
     assert quality.rate(empty, trusted).count() == 0
-    kept = quality.filter_documents(docs, trusted)
+    kept = quality.filter_documents(docs, trusted, quantile=0.6)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in got.items() if r["kept"])
     assert quality.filter_documents(odd, trusted.limit(0)).columns == odd.columns
@@ -675,7 +685,7 @@ def test_pipeline_equals_plain_python(spark):
         given = spark.createDataFrame(out.toPandas(), docs.schema)
 
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
-    verdicts = rated([r[:2] for r in rows], {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0})
+    verdicts = rated(spark, [r[:2] for r in rows], {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0})
     rows = [r for r, (_, _, kept) in zip(rows, verdicts) if kept]
     assert stages["quality_rules"] == {r[0]: r[1] for r in rows} and 0 < len(rows) < docs.count()
     lines = kept_lines(rows)
