@@ -113,7 +113,10 @@ def prove(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     own = [F.col(c) for c in FIELDS]
     shown = F.lit(None).cast("string") if changed is None else F.when(changed.isNotNull(), leaf_hash(*own[:-1], changed))
     leaves = docs.select(F.col("source").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), leaf_hash(*own).alias("node"), shown.alias("shown"))
+    # A sort over ranges reads its input twice, the texts should be read once.
+    leaves, digests = core.stored(leaves, "merkle-digests")
     placed, _, places = ranked(leaves, ["key"], ["doc_id", "node"], "merkle-leaves")
+    core.drop(docs.sparkSession, digests)
     rounds = _grow(placed.withColumnRenamed("_at", "at").drop("_group"), ["doc_id", "shown"], "merkle-blocks")
     core.drop(docs.sparkSession, places)
     subroots = rounds[-1][0].select(F.lit(0).alias("key"), F.col("key").alias("source"), _top().alias("node"))
