@@ -120,6 +120,61 @@ def fasta_one_hot(spark, sf_dir):
     return got.select("p_partkey", A.consensus(A.transpose(F.col("oh")), instance=True).alias("bases"))
 
 
+@query(
+    "WITH p AS (SELECT p_partkey, 'c' || (p_partkey % 7) AS chrom, p_partkey // 7 AS at FROM part WHERE p_partkey % 7 < 6), "
+    "s AS (SELECT chrom, string_agg(translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY p_partkey) AS bases FROM p GROUP BY chrom), "
+    "r AS (SELECT p_partkey, 'c' || (p_partkey % 7) AS chrom, p_partkey * 3 - 20 AS start, p_partkey * 3 - 20 + 40 + p_partkey % 60 AS stop FROM part) "
+    "SELECT p_partkey, rpad(repeat('N', CAST(least(greatest(-start, 0), stop - start) AS INT)) || coalesce(substring(bases, greatest(start, 0) + 1, CAST(greatest(stop - greatest(start, 0), 0) AS INT)), ''), CAST(stop - start AS INT), 'N') AS bases FROM r LEFT JOIN s USING (chrom)"
+)
+def fasta_regions(spark, sf_dir):
+    """Long records, read by ranges of bytes and cut to chunks that regions lie across; regions off their record are N."""
+    from tessera.sources import sequences
+
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("c"))
+    lines = p.where("c < 6").select("c", "p_partkey", F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("value"))
+    heads = p.where("c < 6").select("c").distinct().select("c", F.lit(-1).cast("long").alias("p_partkey"), F.concat(F.lit(">c"), "c", F.lit(" of parts")).alias("value"))
+    path = shared_dir(spark, "genome")
+    # A file per record, its lines in order.
+    lines.withColumn("p_partkey", F.col("p_partkey").cast("long")).unionByName(heads).repartition("c").sortWithinPartitions("c", "p_partkey").select("value").write.text(path)
+    chunks = sequences.read_fasta(spark, path, width=64, part_bytes=4096)
+    at = F.col("p_partkey") * 3 - 20
+    regions = p.select("p_partkey", F.concat(F.lit("c"), "c").alias("chrom"), at.alias("start"), (at + 40 + F.col("p_partkey") % 60).alias("stop"))
+    return sequences.fetch(regions, chunks, width=64).select("p_partkey", F.col("sequence").alias("bases"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, count(*) OVER () AS n_rows FROM embeddings")
+def array_files(spark, sf_dir):
+    """Vectors as arrays in npz files, read by ranges of rows; each row has a number of its own through all files."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label"), "label").alias("name"), F.concat(F.array(F.col("vec_id").cast("double")), vector()).alias("x"))
+    path = shared_dir(spark, "arrays")
+    readers.write_npz(rows, path, "name")
+    back = readers.read_npz(spark, path, part_bytes=16 << 10)
+    numbered = back.crossJoin(F.broadcast(back.agg(F.count_distinct("example_idx").alias("n_rows"))))
+    return numbered.select(F.get("contrib", F.lit(0)).cast("long").alias("vec_id"), F.round(A.total(F.slice("contrib", 2, 64)), 6).alias("total"), "n_rows")
+
+
+@query("WITH n AS (SELECT 'T' || label AS cell_type, 'label' || label || '.npz' AS f, count(*) AS n FROM embeddings GROUP BY ALL), r AS (SELECT cell_type, sum(n) OVER (ORDER BY f) AS hi, n FROM n) SELECT replace(cell_type, 'T', '') AS cell_type, CAST(hi - n AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM r")
+def cell_type_files(spark, sf_dir):
+    """Which rows of a folder of arrays are of which cell type, from the files' names and headers."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("label"), "label").alias("name"), vector().alias("x"))
+    path = shared_dir(spark, "arrays")
+    readers.write_npz(rows, path, "name")
+    return readers.cell_type_mapping(spark, path, "label{cell_type}.npz")
+
+
+@query(
+    "WITH s AS (SELECT event_id, user_id AS chrom, event_id % 480 - 10 AS lo, event_id % 480 + 22 AS hi FROM events WHERE event_type = 'click'), b AS (SELECT user_id AS chrom, event_id % 480 AS s, event_id % 480 + 12 AS e, CAST(value AS FLOAT)::DOUBLE AS value FROM events WHERE event_type <> 'click'), "
+    "m AS (SELECT s.event_id, sum(value * (least(hi, e) - greatest(greatest(lo, 0), b.s))) / sum(least(hi, e) - greatest(greatest(lo, 0), b.s)) AS signal FROM s JOIN b ON s.chrom = b.chrom AND least(hi, e) > greatest(greatest(lo, 0), b.s) GROUP BY ALL) SELECT s.event_id, round(signal + 1e-7, 4) AS signal FROM s LEFT JOIN m USING (event_id)"
+)
+def signal_files(spark, sf_dir):
+    """As signal_mean, with the signal in bigWig files."""
+    h = event_hits(spark, sf_dir).select("seqlet_id", F.concat(F.lit("user"), "example_idx").alias("chrom"), "start", F.col("end").alias("stop"), F.col("attribution").alias("value"), "cluster_dbd")
+    path = shared_dir(spark, "signal")
+    readers.write_signal(h.where("cluster_dbd <> 'click'"), path)
+    spans = h.where("cluster_dbd = 'click'").select("seqlet_id", "chrom", "start", "stop")
+    return relational.signal_mean(spans, readers.read_signal(spark, path), 10, 100).select(F.col("seqlet_id").alias("event_id"), F.round(F.col("signal") + 1e-7, 4).alias("signal"))
+
+
 ONE_HOT = f"{CELLS}, o AS (SELECT vec_id, string_agg(['A', 'C', 'G', 'T'][list_position(v, list_max(v))], '' ORDER BY p) AS bases FROM c GROUP BY vec_id)"
 
 

@@ -2,66 +2,33 @@
 
 from __future__ import annotations
 
-import io
+import functools
 import os
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.sources import motif_files, store
+from tessera.sources.sequences import fetch_one_hot, read_fasta  # noqa: F401
 
-MOTIFS = "motif_name string, cluster_name string, ppm array<array<double>>"
 EXAMPLES = "example_idx bigint, contrib array<array<double>>, oh array<array<double>>"
 
 
 def parse_motifs(text: str) -> list[tuple[str, list[list[float]]]]:
     """(name, (4, L) matrix) of each motif.  Each position is divided by its sum; a zero sum gives NaN."""
-    lines = text.splitlines()
-    if not lines or not lines[0].startswith(">"):
-        raise ValueError("a motif file starts with '>'")
-    found: list[tuple[str, list]] = []
-    for line in lines:
-        if line.startswith(">"):
-            found.append((line.strip().replace(">", ""), []))
-        elif line.strip():
-            found[-1][1].append([float(x) for x in line.split()])
-    out = []
-    for name, rows in found:
-        m = np.array(rows, float)
-        if m.ndim != 2 or m.shape[1] != 4:
-            raise ValueError(f"motif {name} does not have four columns")
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out.append((name, (m / m.sum(1, keepdims=True)).T.tolist()))
-    return out
+    return [(name, motif_files.probabilities(m)) for name, m in motif_files.sections(text)]
 
 
 def read_motifs(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
     """Motifs of all ``.cb`` files of a folder, with the file's name as cluster_name.
 
     Malformed files are skipped whole; of motifs with one name the one in the last file (by path) stays; unknown names in
-    ``names`` are ignored; motif_idx follows the name.
+    ``names`` are ignored, and only motifs of these names leave the parser; motif_idx follows the name.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cb").load(folder)
-    except AnalysisException as e:
-        raise FileNotFoundError(folder) from e
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    found = parse_motifs(bytes(content).decode())
-                except (ValueError, IndexError):
-                    continue
-                rows += [(n, os.path.basename(path).removesuffix(".cb"), m, path, i) for i, (n, m) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["motif_name", "cluster_name", "ppm", "path", "at"])
-
-    motifs = files.select("path", "content").mapInPandas(run, MOTIFS + ", path string, at int")
+    store.register(spark)
+    store.files(folder, ".cb")  # an absent folder is told now
+    motifs = spark.read.format("motif_files").load(folder)
     if names is not None:
         motifs = motifs.where(F.col("motif_name").isin(names))
     last = Window.partitionBy("motif_name").orderBy(F.desc("path"), F.desc("at"))
@@ -111,32 +78,38 @@ def normalise_null(column):
     return F.when(F.lower(column.cast("string")) == "nan", None).otherwise(column)
 
 
-def read_npz(spark: SparkSession, contrib: str, oh: str | None = None) -> DataFrame:
-    """Arrays of shape (n, 4, L) from npz files: key arr_0, or the only key.  Files are read by Spark, then unpacked in
-    tasks, so any file system will do; example_idx runs through the files by path."""
+def read_npz(spark: SparkSession, contrib: str, oh: str | None = None, part_bytes: int = store.PART_BYTES) -> DataFrame:
+    """Arrays of shape (n, 4, L) from npz files: key arr_0, or the only key.  Files are read by ranges of rows;
+    example_idx runs through the files by path."""
+    store.register(spark)
 
     def load(folder: str, name: str) -> DataFrame:
-        def run(batches):
-            for pdf in batches:
-                for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                    with np.load(io.BytesIO(bytes(content))) as z:
-                        key = "arr_0" if "arr_0" in z.files else z.files[0] if len(z.files) == 1 else None
-                        if key is None:
-                            raise ValueError(f"{path} has neither arr_0 nor a single array")
-                        data = z[key]
-                    for k in range(0, len(data), 256):
-                        part = data[k : k + 256]
-                        yield pd.DataFrame({"path": path, "at": np.arange(k, k + len(part)), name: [m.astype(float).tolist() for m in part]})
+        return spark.read.format("npz").option("partBytes", part_bytes).load(folder).select("example_idx", F.col("value").alias(name))
 
-        return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, f"path string, at long, {name} array<array<double>>")
+    out = load(contrib, "contrib")
+    return out.join(load(oh, "oh"), "example_idx") if oh else out
 
-    def numbered(rows: DataFrame, name: str) -> DataFrame:
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"))  # one row per file
-        before = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return rows.join(F.broadcast(sizes.select("path", before.alias("before"))), "path").select((F.col("before") + F.col("at")).alias("example_idx"), name)
 
-    out = numbered(load(contrib, "contrib"), "contrib")
-    return out.join(numbered(load(oh, "oh"), "oh"), "example_idx") if oh else out
+def write_npz(rows: DataFrame, path: str, name_column: str | None = None) -> None:
+    """The inverse of ``read_npz`` for one array column: a file for each partition, or for each value of ``name_column``."""
+    store.register(rows.sparkSession)
+    dealt = rows.repartition(name_column) if name_column else rows
+    writer = dealt.write.format("npz").mode("append")
+    (writer.option("nameColumn", name_column) if name_column else writer).save(path)
+
+
+def read_signal(spark: SparkSession, path: str, chroms: list[str] | None = None) -> DataFrame:
+    """(chrom, start, stop, value) of bigWig files; only blocks of ``chroms`` are read."""
+    store.register(spark)
+    rows = spark.read.format("bigwig").load(path)
+    return rows if chroms is None else rows.where(F.col("chrom").isin(chroms))
+
+
+def write_signal(rows: DataFrame, path: str) -> None:
+    """(chrom, start, stop, value) as bigWig files, each of some chromosomes."""
+    store.register(rows.sparkSession)
+    dealt = rows.select("chrom", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("value").cast("double").alias("value"))
+    dealt.repartition("chrom").write.format("bigwig").mode("append").save(path)
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -150,23 +123,6 @@ def write_bed(rows: DataFrame, path: str, columns: list[str]) -> None:
     rows.select(*columns).orderBy(*columns[:2]).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence) of a FASTA file with one record per name."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    return records.select(name.alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))
-
-
-def fetch_one_hot(regions: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(4, L) one-hot of regions; bases outside their chromosome are zero columns."""
-    joined = regions.join(sequences, "chrom", "left")
-    left = F.repeat(F.lit("N"), F.greatest(-F.col("start"), F.lit(0)).cast("int"))
-    low = F.greatest(F.col("start"), F.lit(0)).cast("int")
-    inside = F.substring(F.coalesce("sequence", F.lit("")), low + 1, F.greatest(F.col("stop").cast("int") - low, F.lit(0)))
-    text = F.rpad(F.concat(left, inside), (F.col("stop") - F.col("start")).cast("int"), F.lit("N"))
-    return joined.withColumn("oh", A.one_hot(text)).drop("sequence")
-
-
 def read_modisco(seqlets: DataFrame, examples: DataFrame) -> DataFrame:
     """Checks that each stored instance equals the slice of its example, or the slice's reverse complement."""
     joined = seqlets.join(examples.select("example_idx", "oh"), "example_idx")
@@ -194,33 +150,31 @@ def cell_type_of(path, pattern: str):
     return F.nullif(F.regexp_extract(base, "^" + pattern.replace("{cell_type}", "(.+?)"), 1), F.lit(""))
 
 
-def cell_type_mapping(spark: SparkSession, files: dict[str, str] | list[str], pattern: str | None = None) -> DataFrame:
-    """(cell_type, lo, hi) from npz files: a dict keeps its order, a list is sorted by path.
+def cell_type_mapping(spark: SparkSession, files: dict[str, str] | list[str] | str, pattern: str | None = None) -> DataFrame:
+    """(cell_type, lo, hi) from npz files: a dict keeps its order, a list or a folder is sorted by path.
 
     In ``pattern`` the text {cell_type} stands for the name; it is matched from the start of the file's name, its other
-    characters as a regular expression.
+    characters as a regular expression.  Only the files' headers are read, by tasks.
     """
     import re
 
+    store.register(spark)
     if isinstance(files, dict):
         named = list(files.items())
+        for _, path in named:
+            store.files(path)
+        places = [store.files(path)[0] for _, path in named]
     else:
+        places = store.files(files, ".npz") if isinstance(files, str) else [store.files(p)[0] for p in sorted(files)]
         named = []
-        for path in sorted(files):
-            base = os.path.basename(path)
-            m = re.match((pattern or "{cell_type}.npz").replace("{cell_type}", "(.+?)"), base)
+        for place in places:
+            m = re.match((pattern or "{cell_type}.npz").replace("{cell_type}", "(.+?)"), place.name)
             if not m:
-                raise ValueError(f"{base} does not match {pattern}")
-            named.append((m[1], path))
-    rows, at = [], 0
-    for name, path in named:
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
-        with np.load(path) as z:
-            key = "arr_0" if "arr_0" in z.files else z.files[0] if len(z.files) == 1 else None
-            if key is None:
-                raise ValueError(f"{path} has neither arr_0 nor a single array")
-            n = len(z[key])
-        rows.append((name, at, at + n))
-        at += n
-    return spark.createDataFrame(rows, "cell_type string, lo bigint, hi bigint")
+                raise ValueError(f"{place.name} does not match {pattern}")
+            named.append((m[1], place.path))
+    order = spark.createDataFrame([(k, name, place.path) for k, ((name, _), place) in enumerate(zip(named, places, strict=True))], "at int, cell_type string, path string")
+    folders = sorted({place.root for place in places})
+    sizes = functools.reduce(DataFrame.unionByName, (spark.read.format("npz_sizes").load(f) for f in folders)).distinct()
+    # One row per file, so adding them up in one task is fine.
+    upto = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return order.join(sizes, "path").select("cell_type", (upto - F.col("n")).alias("lo"), upto.alias("hi"))
