@@ -4,6 +4,13 @@ The score of two columns is the negative Euclidean distance, shifted and binned
 columns of all targets as its null.  An ungapped alignment's score is the sum over the columns of the query that overlap the
 target; its null is the convolution of those columns' nulls, and its p-value the upper tail.  A target keeps its best offset
 over both strands, corrected for the number of offsets tried.  A query's result depends on the targets only.
+
+A query is scored against all targets at once.  Equal columns of targets are numbered once; the targets lie in one row with
+gaps between them, so that the scores of all offsets are as many shifted sums as the query has columns; the tails of all spans
+are one table that the scores look up.
+
+The null needs the extremes of each query column and then its histogram.  Both add up over parts of the targets, so targets too
+many for one task are met part by part: ``extremes``, ``binned`` and ``histogram``, ``score``.  ``align`` does all three with the targets at hand.
 """
 
 from __future__ import annotations
@@ -21,63 +28,163 @@ from tessera.shared import materialise
 SCORES = 100
 #: A collection of 18,000 motifs of 12 positions has 7 MB.
 MOST_BYTES = 256 << 20
+#: Lengths of queries that the targets are laid out for at a time.
+LAYOUTS = 4
+#: Different columns of targets that are compared at a time.
+CHUNK = 4096
+
+
+class Layout:
+    """The targets for queries of ``m`` columns: in a row, with m - 1 gaps before, between and behind them.
+
+    Place p stands for one offset of one target: ``columns[s, p + i]`` is the column (of strand s) under the query's column i,
+    or the gap.  Places of a target follow each other from ``begins`` on, by ascending offset.
+    """
+
+    def __init__(self, targets: Targets, m: int):
+        lengths = targets.lengths
+        places = lengths + m - 1
+        ends = np.cumsum(places)
+        self.begins = ends - places
+        self.columns = np.full((2, int(ends[-1]) + m - 1), len(targets.distinct), np.int32)
+        at = np.repeat(self.begins + m - 1 - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        self.columns[:, at] = targets.numbers
+        owner = np.repeat(np.arange(len(lengths)), places)
+        self.offsets = np.arange(int(ends[-1])) - self.begins[owner] - m + 1
+        self.first = np.maximum(0, -self.offsets)
+        self.stop = np.minimum(m, lengths[owner] - self.offsets)
+        self.owner = owner
+        self.spans, span = np.unique(self.first * (m + 1) + self.stop, return_inverse=True)
+        self.row = span.astype(np.int64) * (m * SCORES + 1)  # of the table of tails
 
 
 class Targets:
-    """All targets, forward and reverse complement: their columns in a row, and where (target, position) is in it."""
+    """All targets, forward and reverse complement: their different columns, how often each occurs, and the column at each
+    position of either strand."""
 
     def __init__(self, motifs: list[np.ndarray]):
         self.lengths = np.array([m.shape[1] for m in motifs], int)
-        self.columns = np.concatenate([m.T for m in motifs] + [m.T[::-1, ::-1] for m in motifs]) if motifs else np.zeros((0, 4))
-        ends = np.cumsum(np.tile(self.lengths, 2))
-        self.starts = (ends - np.tile(self.lengths, 2)).reshape(2, -1)
+        columns = np.concatenate([m.T for m in motifs] + [m.T[::-1, ::-1] for m in motifs]) if motifs else np.zeros((0, 4))
+        self.distinct, numbers = np.unique(columns, axis=0, return_inverse=True)
+        self.numbers = numbers.reshape(2, -1)
+        self.counts = np.bincount(numbers.reshape(-1), minlength=len(self.distinct))
+        self.bases = np.ascontiguousarray(self.distinct.T)
+        self._layouts: dict[int, Layout] = {}
+
+    def layout(self, m: int) -> Layout:
+        if m not in self._layouts:
+            if len(self._layouts) >= LAYOUTS:
+                self._layouts.pop(next(iter(self._layouts)))
+            self._layouts[m] = Layout(self, m)
+        return self._layouts[m]
+
+
+def _scores(query: np.ndarray, targets: Targets) -> np.ndarray:
+    """Of each column of the query (4, m) with each different column of the targets: the negative distance."""
+    out = np.empty((query.shape[1], len(targets.distinct)))
+    for lo in range(0, out.shape[1], CHUNK):  # what is at work stays in the cache
+        here = out[:, lo : lo + CHUNK]
+        for base, (own, theirs) in enumerate(zip(query, targets.bases[:, lo : lo + CHUNK], strict=True)):
+            d = own[:, None] - theirs[None]
+            if base:
+                here += np.multiply(d, d, out=d)
+            else:
+                np.multiply(d, d, out=here)
+        np.negative(np.sqrt(here, out=here), out=here)
+    return out
 
 
-def _tails(single: np.ndarray, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
-    """P(sum over columns a .. b - 1 is at least s), for each s: products of Fourier transforms of the columns' nulls."""
-    size = 1 << int(len(single) * SCORES + 1).bit_length()
-    parts = np.fft.rfft(single, size, axis=1)
-    out = {}
-    for a, b in wanted:
-        pdf = np.maximum(np.fft.irfft(parts[a:b].prod(0), size)[: (b - a) * SCORES + 1], 0)
-        out[a, b] = np.minimum(pdf[::-1].cumsum()[::-1], 1)
+def _bins(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Binned scores; a last column of zeros stands for a gap."""
+    width = np.where(high > low, high - low, 1)
+    out = np.zeros((len(raw), raw.shape[1] + 1), np.int16)
+    for lo in range(0, raw.shape[1], CHUNK):
+        x = raw[:, lo : lo + CHUNK] - low[:, None]
+        x /= width[:, None]
+        x *= SCORES
+        out[:, lo : lo + x.shape[1]] = np.rint(x, out=x)
     return out
 
 
-def align(query: np.ndarray, targets: Targets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(p, score, offset, overlap, strand) against each target.  Offset: of the query's first column in the target (its
-    reverse complement, for strand 1).  Of equal p-values the higher score, the forward strand, the lower offset wins."""
-    n, q, lengths = len(targets.lengths), query.T, targets.lengths
-    p, score, offset, overlap, strand = np.ones(n), np.full(n, -1), np.zeros(n, int), np.zeros(n, int), np.zeros(n, int)
-    m = len(q)
+def extremes(query: np.ndarray, targets: Targets) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest and the highest score of each column of the query."""
+    raw = _scores(query, targets)
+    return raw.min(1), raw.max(1)
+
+
+def binned(query: np.ndarray, targets: Targets, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return _bins(_scores(query, targets), low, high)
+
+
+def histogram(bins: np.ndarray, targets: Targets) -> np.ndarray:
+    """Counts of the targets' columns by binned score, for each column of the query."""
+    return np.stack([np.bincount(b, targets.counts, SCORES + 1) for b in bins[:, :-1]]).astype(np.int64)
+
+
+def _tails(counts: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """P(sum over columns a .. b - 1 is at least s), a row for each span a * (m + 1) + b, for each s: products of Fourier
+    transforms of the columns' nulls."""
+    m = len(counts)
+    single = counts / counts[0].sum()
+    size = 1 << int(m * SCORES + 1).bit_length()
+    parts = np.fft.rfft(single, size, axis=1)
+    first, stop = np.divmod(spans, m + 1)
+    products = np.empty((len(spans), parts.shape[1]), complex)
+    at = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(first, stop, strict=True))}
+    for a in np.unique(first).tolist():
+        running = parts[a]
+        for b in range(a + 1, m + 1):
+            if b > a + 1:
+                running = running * parts[b - 1]
+            if (a, b) in at:
+                products[at[a, b]] = running
+    pdf = np.maximum(np.fft.irfft(products, size, axis=1)[:, : m * SCORES + 1], 0)
+    pdf[np.arange(m * SCORES + 1)[None] > ((stop - first) * SCORES)[:, None]] = 0
+    return np.minimum(pdf[:, ::-1].cumsum(1)[:, ::-1], 1)
+
+
+def score(bins: np.ndarray, targets: Targets, counts: np.ndarray, places: bool = True) -> tuple[np.ndarray, ...]:
+    """(p, score, offset, overlap, strand) of a query, binned, against each target under a null, or (p,) without ``places``.
+
+    Offset: of the query's first column in the target (its reverse complement, for strand 1).  Of equal p-values the higher
+    score, the forward strand, the lower offset wins."""
+    m = len(bins)
+    at = targets.layout(m)
+    tails = _tails(counts, at.spans).reshape(-1)
+    best = None
+    for strand in (0, 1):
+        columns, n = at.columns[strand], len(at.offsets)
+        totals = np.zeros(n, np.int16 if m * SCORES < 1 << 15 else np.int32)
+        for i in range(m):
+            totals += bins[i].take(columns[i : i + n])
+        values = tails.take(at.row + totals)
+        p = np.minimum.reduceat(values, at.begins)
+        if not places:
+            best = p if best is None else np.minimum(best, p)
+            continue
+        lowest = values == p[at.owner]
+        top = np.maximum.reduceat(np.where(lowest, totals, -1), at.begins)
+        where = np.minimum.reduceat(np.where(lowest & (totals == top[at.owner]), np.arange(n), n), at.begins)
+        found = np.stack([top, at.offsets[where], (at.stop - at.first)[where], np.full(len(p), strand)])
+        if best is None:
+            best = p, found
+        else:
+            other = (p < best[0]) | ((p == best[0]) & (top > best[1][0]))
+            best = np.where(other, p, best[0]), np.where(other, found, best[1])
+    tried = 2 * (targets.lengths + m - 1)
+    if not places:
+        return (1 - (1 - best) ** tried,)
+    return 1 - (1 - best[0]) ** tried, *best[1]
+
+
+def align(query: np.ndarray, targets: Targets, places: bool = True) -> tuple[np.ndarray, ...]:
+    """``score`` under the null that the targets make; empty queries and empty collections give p-values of one."""
+    n, m = len(targets.lengths), query.shape[1]
     if not n or not m:
-        return p, np.zeros(n, int), offset, overlap, strand
-    raw = -np.linalg.norm(q[:, None, :] - targets.columns[None], axis=2)
-    low, high = raw.min(1, keepdims=True), raw.max(1, keepdims=True)
-    bins = np.rint((raw - low) / np.where(high > low, high - low, 1) * SCORES).astype(int)
-    single = np.stack([np.bincount(b, minlength=SCORES + 1) / len(b) for b in bins])
-    offsets = range(-m + 1, int(lengths.max()))
-    spans = {(max(0, -o), min(m, int(w) - o)) for w in np.unique(lengths) for o in offsets if o < w}
-    tails = _tails(single, spans)
-    best = np.full(n, np.inf)
-    steps = np.arange(m)
-    for s in (0, 1):
-        for o in offsets:
-            t = np.flatnonzero(lengths > o)
-            place = steps[None, :] + o
-            inside = (place >= 0) & (place < lengths[t, None])
-            at = targets.starts[s][t, None] + np.where(inside, place, 0)
-            totals = np.where(inside, bins[steps[None, :], at], 0).sum(1)
-            stop = np.minimum(m, lengths[t] - o)
-            values = np.empty(len(t))
-            for b in np.unique(stop):
-                here = stop == b
-                values[here] = tails[max(0, -o), int(b)][totals[here]]
-            better = (values < best[t]) | ((values == best[t]) & (totals > score[t]))
-            k = t[better]
-            best[k], score[k], offset[k], strand[k], overlap[k] = values[better], totals[better], o, s, (stop - max(0, -o))[better]
-    tried = 2 * (lengths + m - 1)
-    return 1 - (1 - best) ** tried, score, offset, overlap, strand
+        return (np.ones(n), *(np.zeros(n, int) for _ in range(4)))[: 5 if places else 1]
+    raw = _scores(query, targets)
+    bins = _bins(raw, raw.min(1), raw.max(1))
+    return score(bins, targets, histogram(bins, targets), places)
 
 
 def _matrix(rows: Iterable) -> np.ndarray:
@@ -101,7 +208,11 @@ def similarity(seqlets: DataFrame, motifs: list[np.ndarray], chunk_size: int | N
         for pdf in batches:
             for k in range(0, len(pdf), chunk_size or len(pdf) or 1):
                 part = pdf.iloc[k : k + (chunk_size or len(pdf))]
-                yield pd.DataFrame({"seqlet_id": part["seqlet_id"], "p": [align(_matrix(m), targets)[0].tolist() for m in part["seqlet_matrix"]]})
+                queries = [_matrix(m) for m in part["seqlet_matrix"]]
+                found: list = [None] * len(queries)
+                for i in sorted(range(len(queries)), key=lambda i: queries[i].shape[1]):  # so that layouts are used again
+                    found[i] = align(queries[i], targets, places=False)[0].tolist()
+                yield pd.DataFrame({"seqlet_id": part["seqlet_id"], "p": found})
 
     # The kernel costs far more than moving its rows, so they are dealt out evenly: adaptive execution would gather small
     # inputs in one task.  The result is kept, as the clip needs its maximum first.

@@ -6,49 +6,153 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators.align import Targets, align
+from tessera.operators.align import SCORES, Targets, binned, extremes, histogram, score
 from tessera.operators.relational import mode_smallest
 from tessera.shared import materialise
 
 ALIGNED = "leiden string, seqlet_id long, offset int, is_revcomp boolean, is_root boolean"
 INSTANCES = ["leiden", "seqlet_id", "start", "end", "is_revcomp", "is_root", "seq_instance", "contrib", "hypothetical"]
 
-#: Seqlets that a task aligns to all of their cluster, about.
-BLOCK = 64
+#: Seqlets of a cluster that a task holds; all others of the cluster pass by it.
+BLOCK = 256
+#: Targets that are laid out together as they pass.
+PASSING = 512
 
 
-def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [np.stack([np.asarray(r, float) for r in m]) for m in pdf["seqlet_matrix"]]
+def _matrices(rows: list) -> list[np.ndarray]:
+    return [np.array(m, float) for m in rows]
 
 
-def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of a cluster against all of it: the sum of the p-values of each seqlet as a target, in order of ids."""
-    pdf = pdf.sort_values("seqlet_id")
-    matrices = _matrices(pdf)
-    targets = Targets(matrices)
-    total = np.zeros(len(matrices))
-    for i in np.flatnonzero(pdf["block"] == pdf["part"]):
-        total += align(matrices[i], targets)[0]
-    return pd.DataFrame({"leiden": pdf["leiden"].iloc[:1], "part": pdf["part"].iloc[:1], "ids": [pdf["seqlet_id"].tolist()], "sums": [total.tolist()]})
+class _Query:
+    """A seqlet against whose null the others are aligned; ``low`` and ``high``, ``counts`` as far as they are known."""
 
+    def __init__(self, row: dict):
+        self.id, self.matrix = row["seqlet_id"], np.array(row["seqlet_matrix"], float)
+        m = self.matrix.shape[1]
+        known = lambda c: row.get(c) is not None
+        self.low = np.array(row["low"]) if known("low") else np.full(m, np.inf)
+        self.high = np.array(row["high"]) if known("high") else np.full(m, -np.inf)
+        self.counts = np.array(row["counts"]).reshape(m, -1) if known("counts") else np.zeros((m, SCORES + 1), np.int64)
 
-def _root(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The first of the lowest mean p."""
-    at = int(np.sum(np.stack(list(pdf.sort_values("part")["sums"])), 0).argmin())
-    return pd.DataFrame({"leiden": pdf["leiden"].iloc[:1], "root_id": [int(pdf["ids"].iloc[0][at])]})
 
+def _passes(step, result):
+    """An Arrow kernel over rows sorted by (leiden, part, asked first): the seqlets that a part asks for are held, and all of
+    its cluster pass by in bounded groups: ``step(queries, targets, ids, sums)`` sees each group, ``result`` gives the rows of a part."""
 
-def _align_cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Offset and strand of each seqlet of a cluster under its root."""
-    pdf = pdf.sort_values("seqlet_id").reset_index(drop=True)
-    matrices = _matrices(pdf)
-    root = int((pdf["seqlet_id"] == pdf["root_id"]).to_numpy().argmax())
-    _, _, offsets, _, strands = align(matrices[root], Targets(matrices))
-    return pd.DataFrame({"leiden": pdf["leiden"], "seqlet_id": pdf["seqlet_id"], "offset": offsets, "is_revcomp": strands.astype(bool), "is_root": np.arange(len(pdf)) == root})
+    def run(batches):
+        part, queries, waiting, sums = None, [], [], {}
+
+        def flush():
+            if waiting:
+                targets = Targets(_matrices([r["seqlet_matrix"] for r in waiting]))
+                step(queries, targets, [r["seqlet_id"] for r in waiting], sums)
+                waiting.clear()
+
+        def finish():
+            flush()
+            return result(part, queries, sums)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["leiden"], row["part"]) != part:
+                    if part is not None:
+                        yield finish()
+                    part, queries, sums = (row["leiden"], row["part"]), [], {}
+                if row["asked"]:
+                    queries.append(_Query(row))
+                waiting.append(row)
+                # Those asked for come first, so all are known before any target is looked at.
+                if len(waiting) >= PASSING and not row["asked"]:
+                    flush()
+        if part is not None:
+            yield finish()
+
+    return run
+
+
+def _see_extremes(queries, targets, ids, sums):
+    for q in queries:
+        low, high = extremes(q.matrix, targets)
+        q.low, q.high = np.minimum(q.low, low), np.maximum(q.high, high)
+
+
+def _see_counts(queries, targets, ids, sums):
+    for q in queries:
+        q.counts += histogram(binned(q.matrix, targets, q.low, q.high), targets)
+
+
+def _see_scores(queries, targets, ids, sums):
+    total = np.zeros(len(ids))
+    for q in sorted(queries, key=lambda q: q.matrix.shape[1]):
+        total += score(binned(q.matrix, targets, q.low, q.high), targets, q.counts, places=False)[0]
+    for i, x in zip(ids, total.tolist(), strict=True):
+        sums[i] = x
+
+
+def _nulls(part, queries, sums) -> pa.RecordBatch:
+    columns = [pa.array([part[0]] * len(queries)), pa.array([q.id for q in queries], pa.int64())]
+    columns += [pa.array([x.tolist() for x in c], kind) for c, kind in (([q.low for q in queries], pa.list_(pa.float64())), ([q.high for q in queries], pa.list_(pa.float64())), ([q.counts.reshape(-1) for q in queries], pa.list_(pa.int64())))]
+    return pa.RecordBatch.from_arrays(columns, ["leiden", "seqlet_id", "low", "high", "counts"])
+
+
+def _sums(part, queries, sums) -> pa.RecordBatch:
+    columns = [pa.array([part[0]] * len(sums)), pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, ["leiden", "seqlet_id", "total"])
+
+
+NULLS = "leiden string, seqlet_id long, low array<double>, high array<double>, counts array<long>"
+
+
+def _dealt(seqlets: DataFrame, block: int) -> DataFrame:
+    """Each seqlet once for each part of its cluster; ``asked`` in its own part."""
+    n = int(seqlets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("_size") / block).cast("int")
+    own = F.pmod(F.xxhash64("seqlet_id"), parts).cast("int")
+    rows = seqlets.select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = rows.withColumn("asked", F.col("_own") == F.col("part")).drop("_own", "_size")
+    known = [c for c in ("low", "high", "counts") if c in rows.columns]
+    rows = rows.withColumns({c: F.when(F.col("asked"), F.col(c)) for c in known})  # a passing seqlet needs its matrix only
+    # The kernel costs far more than moving its rows: adaptive execution would gather small inputs in one task.
+    return rows.repartition(n, "leiden", "part").sortWithinPartitions("leiden", "part", F.desc("asked"), "seqlet_id")
+
+
+def find_roots(seqlets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(leiden, root_id, root_matrix, low, high, counts): of each cluster the seqlet with the lowest mean p-value as a
+    target of all, the first of equals, and its null.  ``seqlets``: leiden, seqlet_id, seqlet_matrix, _size.
+
+    All against all in three passes (extremes, histograms, p-values), each in parts of ``block`` seqlets that the cluster
+    passes by.  Sums of p-values are added part by part, and to nine digits, so that ties don't hang on their order."""
+    rows = seqlets.select("leiden", "seqlet_id", "seqlet_matrix", "_size")
+    for k, step in enumerate((_see_extremes, _see_counts)):
+        found = _dealt(rows, block).mapInArrow(_passes(step, _nulls), NULLS)
+        keep = found.select("leiden", "seqlet_id", "low", "high", *(["counts"] if k else []))
+        rows = materialise(seqlets.select("leiden", "seqlet_id", "seqlet_matrix", "_size").join(keep, ["leiden", "seqlet_id"]), "pattern-nulls")
+    sums = _dealt(rows, block).mapInArrow(_passes(_see_scores, _sums), "leiden string, seqlet_id long, total double")
+    means = sums.groupBy("leiden", "seqlet_id").agg(F.round(F.sum("total"), 9).alias("total"))
+    roots = means.groupBy("leiden").agg(F.min_by("seqlet_id", F.struct("total", "seqlet_id")).alias("root_id"))
+    own = rows.withColumnRenamed("seqlet_id", "root_id")
+    return own.join(roots, ["leiden", "root_id"]).select("leiden", "root_id", F.col("seqlet_matrix").alias("root_matrix"), "low", "high", "counts")
+
+
+def _align_to_root(batches):
+    """Offset and strand of each seqlet under its cluster's root, from the root's null."""
+    for batch in batches:
+        out, groups = [], {}
+        for row in batch.to_pylist():
+            groups.setdefault((row["leiden"], row["root_id"]), []).append(row)
+        for (leiden, root_id), rows in groups.items():
+            root, null = np.array(rows[0]["root_matrix"], float), rows[0]
+            targets = Targets(_matrices([r["seqlet_matrix"] for r in rows]))
+            bins = binned(root, targets, np.array(null["low"]), np.array(null["high"]))
+            _, _, offsets, _, strands = score(bins, targets, np.array(null["counts"]).reshape(root.shape[1], -1))
+            out += [(leiden, r["seqlet_id"], o, bool(x), r["seqlet_id"] == root_id) for r, o, x in zip(rows, offsets.tolist(), strands.tolist(), strict=True)]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in ALIGNED.split(", ")])
 
 
 def sample_clusters(obs: DataFrame, max_n: int, seed: int = 123) -> DataFrame:
@@ -87,20 +191,16 @@ def aligned_instances(rows: DataFrame) -> DataFrame:
 def align_instances(obs: DataFrame, examples: DataFrame, max_n: int | None = None) -> DataFrame:
     """M9: aligned instances of the clusters with two seqlets or more, all of them unless ``max_n`` is given.
 
-    The root is found all against all, in tasks of about ``BLOCK`` seqlets against their cluster.  A window is as long as the
-    longest seqlet of its cluster; the instances are cut by array functions, example by example.
+    The root is found all against all, see ``find_roots``; every seqlet then meets its root and the root's null, a row each.
+    No task holds a cluster.  A window is as long as the longest seqlet of its cluster; the instances are cut by array
+    functions, example by example.
     """
-    n = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sample_clusters(obs, max_n) if max_n else obs
     big = rows.where(F.col("leiden").isNotNull()).groupBy("leiden").agg(F.count("*").alias("_size"), F.max(F.col("end") - F.col("start")).alias("longest")).where("_size >= 2")
     mine = rows.select("leiden", "seqlet_id", "example_idx", "start", "end", "seqlet_matrix").join(big, "leiden")
-    mine = materialise(mine, "pattern-seqlets")  # read three times
-    parts = F.ceil(F.col("_size") / BLOCK).cast("int")
-    dealt = mine.select("leiden", "seqlet_id", "seqlet_matrix", F.pmod(F.xxhash64("seqlet_id"), parts).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    # The kernel costs far more than moving its rows: adaptive execution would gather small inputs in one task.
-    sums = dealt.repartition(n, "leiden", "part").groupBy("leiden", "part").applyInPandas(_sums, "leiden string, part int, ids array<long>, sums array<double>")
-    roots = sums.groupBy("leiden").applyInPandas(_root, "leiden string, root_id long")
-    aligned = mine.select("leiden", "seqlet_id", "seqlet_matrix").join(roots, "leiden").groupBy("leiden").applyInPandas(_align_cluster, ALIGNED)
+    mine = materialise(mine, "pattern-seqlets")  # read again and again
+    roots = materialise(find_roots(mine, BLOCK), "pattern-roots")
+    aligned = mine.select("leiden", "seqlet_id", "seqlet_matrix").join(roots, "leiden").mapInArrow(_align_to_root, ALIGNED)
     placed = mine.drop("_size", "seqlet_matrix").join(aligned, ["leiden", "seqlet_id"]).join(examples.select("example_idx", "oh", "contrib"), "example_idx")
     return aligned_instances(placed).select(*INSTANCES)
 

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -160,6 +161,51 @@ def test_alignment_finds_itself_its_reverse_and_a_shift():
         assert p.argmin() == i and strand[i] == 0 and offset[i] == 2
 
 
+def plain_alignment(query, motifs):
+    """(p, score, offset, overlap, strand) of each motif by loops over offsets and strands."""
+    q, m = query.T, query.shape[1]
+    columns = np.concatenate([x.T for x in motifs] + [x.T[::-1, ::-1] for x in motifs])
+    raw = -np.linalg.norm(q[:, None, :] - columns[None], axis=2)
+    low, high = raw.min(1, keepdims=True), raw.max(1, keepdims=True)
+    bins = np.rint((raw - low) / np.where(high > low, high - low, 1) * align.SCORES).astype(int)
+    single = np.stack([np.bincount(b, minlength=align.SCORES + 1) / len(b) for b in bins])
+    size = 1 << int(m * align.SCORES + 1).bit_length()
+    parts = np.fft.rfft(single, size, axis=1)
+    out, at = [], np.cumsum([0] + [x.shape[1] for x in motifs] * 2)
+    for t, x in enumerate(motifs):
+        best = None
+        for strand in (0, 1):
+            own = bins[:, at[t + strand * len(motifs)] :][:, : x.shape[1]]
+            for o in range(-m + 1, x.shape[1]):
+                a, b = max(0, -o), min(m, x.shape[1] - o)
+                total = sum(int(own[i, i + o]) for i in range(a, b))
+                pdf = np.maximum(np.fft.irfft(parts[a:b].prod(0), size)[: (b - a) * align.SCORES + 1], 0)
+                p = min(pdf[::-1].cumsum()[::-1][total], 1)
+                if best is None or (p, -total) < (best[0], -best[1]):
+                    best = p, total, o, b - a, strand
+        out.append(best)
+    p, *places = (np.array(c) for c in zip(*out))
+    return [1 - (1 - p) ** (2 * (np.array([x.shape[1] for x in motifs]) + m - 1)), *places]
+
+
+def test_alignment_equals_loops():
+    rng = np.random.default_rng(6)
+    ms = [rng.dirichlet(np.full(4, 0.3), int(n)).T for n in rng.integers(1, 15, 40)]
+    ms += [ms[0], np.eye(4), np.round(ms[3], 1)]  # equal motifs and equal columns
+    targets = align.Targets(ms)
+    for m in (1, 2, 7, 12, 25, 31):
+        query = rng.normal(size=(4, m)) if m % 2 else np.round(rng.dirichlet(np.ones(4), m).T, 1)
+        got, want = align.align(query, targets), plain_alignment(query, ms)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+        assert np.array_equal(align.align(query, targets, places=False)[0], want[0])
+        low = np.min([align.extremes(query, align.Targets(ms[k : k + 5]))[0] for k in range(0, len(ms), 5)], 0)
+        high = np.max([align.extremes(query, align.Targets(ms[k : k + 5]))[1] for k in range(0, len(ms), 5)], 0)
+        parts = [align.Targets(ms[k : k + 5]) for k in range(0, len(ms), 5)]
+        counts = sum(align.histogram(align.binned(query, t, low, high), t) for t in parts)
+        p = np.concatenate([align.score(align.binned(query, t, low, high), t, counts)[0] for t in parts])
+        assert np.array_equal(p, want[0]), "part by part"
+
+
 def test_similarity_is_the_same_in_chunks(found):
     few = found.limit(12).persist()
     whole = {r[0]: r[1] for r in align.similarity(few, motifs()).collect()}
@@ -407,10 +453,15 @@ def test_patterns_are_made_of_all_seqlets(spark, examples, found, monkeypatch):
     monkeypatch.setattr(patterns, "BLOCK", 20)
     assert {r["seqlet_id"]: tuple(r) for r in patterns.align_instances(obs, examples).collect()} == whole
     for leiden, pdf in obs.toPandas().sort_values("seqlet_id").groupby("leiden"):
-        matrices = patterns._matrices(pdf)
+        matrices = patterns._matrices([np.stack(m) for m in pdf["seqlet_matrix"]])
         targets = align.Targets(matrices)
         root = np.stack([align.align(m, targets)[0] for m in matrices]).mean(0).argmin()
         assert [i for i, r in whole.items() if r[0] == leiden and r[5]] == [pdf["seqlet_id"].iloc[root]]
+        _, _, offsets, _, strands = align.align(matrices[root], targets)
+        placed = patterns.find_roots(obs.withColumn("_size", F.count("*").over(Window.partitionBy("leiden"))), 20)
+        assert placed.where(F.col("leiden") == leiden).first()["root_id"] == pdf["seqlet_id"].iloc[root]
+        turned = {i: (r["is_revcomp"]) for r in patterns.align_instances(obs.where(F.col("leiden") == leiden), examples).collect() for i in [r["seqlet_id"]]}
+        assert turned == {int(i): bool(x) for i, x in zip(pdf["seqlet_id"], strands, strict=True)}
     few = Q.table(spark, SF, "embeddings").where("label = 0").orderBy("vec_id").limit(14).persist()
     monkeypatch.setattr(Q, "table", lambda *_: few)
     wide = Q.examples_wide(spark, SF)
