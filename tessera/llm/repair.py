@@ -30,7 +30,7 @@ from tessera.llm import core
 from tessera.llm.pretokens import library_memo
 
 BLOCK_IDS = 1 << 19
-LEAST, STEP = 6, 64
+LEAST, STEP = 5, 64
 MAGIC = b"RPB1"
 BLOCKS = "shard int, block int, before long, n_ids long, payload binary"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
