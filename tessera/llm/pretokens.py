@@ -21,8 +21,9 @@ from tessera.llm.core import U64, chunks, code_points, hash_slices, spread
 
 #: Code points below this are classified here, others by the library's splitter.
 SAFE = 0x300
-#: Distinct pre-tokens that the memo of one Python worker holds; when full, it starts again.
-MEMO_ROWS = 400_000
+#: Distinct pre-tokens that the memo of one Python worker holds, and bytes of their code points and tokens; when either is
+#: reached, it starts again with the next group of texts.
+MEMO_ROWS, MEMO_BYTES = 400_000, 64 << 20
 
 _BLANK, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -162,7 +163,7 @@ class Memo:
         hashes = hash_slices(cps, starts, lengths)
         codes, uniques = pd.factorize(hashes)
         uniques = np.asarray(uniques, U64)
-        if len(self.hashes) + len(uniques) > self.rows:
+        if len(self.hashes) + len(uniques) > self.rows or self.cps.nbytes + self.ids.nbytes > MEMO_BYTES:
             self._clear()
         at = np.searchsorted(self.hashes, uniques)
         known = np.zeros(len(uniques), bool)

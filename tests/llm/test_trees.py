@@ -275,3 +275,24 @@ def test_automaton_knows_all_substrings():
         windows = {tuple(h[i : i + min(4, len(h))].tolist()) for _, h in pieces for i in range(len(h) - min(4, len(h)) + 1)}
         want = {(s + i, s + i + m) for s in (0, 30) for m in range(1, 5) for i in range(30 - m + 1) if tuple(text[s + i : s + i + m].tolist()) in windows}
         assert spans == want
+
+
+def test_long_runs_leave_the_memo(monkeypatch):
+    """Runs without blanks, of one kind each, are long pre-tokens; the memo starts again once they fill it."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tessera.llm import pretokens
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    memo = pretokens.Memo(pretokens.library_encoder(library), pretokens.split_bytes_pattern, pretokens.splitter(library), pretokens.special_ids(library))
+    monkeypatch.setattr(pretokens, "MEMO_BYTES", 50_000)
+    rng, held = random.Random(5), []
+    for k in range(12):
+        texts = ["".join(rng.choice("abcdefgh") for _ in range(5_000)) + f" word {k}", "a word"]
+        flat, at = memo.tokens(texts)
+        for i, t in enumerate(texts):
+            assert flat[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+        held.append(memo.cps.nbytes + memo.ids.nbytes)
+    assert max(held) < 50_000 + 2 * 5_000 * 8 and min(held[4:]) < max(held)
