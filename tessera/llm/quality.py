@@ -178,9 +178,11 @@ def _threshold(own: DataFrame, raw: np.ndarray, good: np.ndarray, quantile: floa
                     mine = [t for t, f, bad in zip(texts, fold, failed, strict=True) if f == k and not bad]
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(mine), np.int64)), pa.array(_score(mine, weights[k], buckets))], ["all", "score"])
 
-    placed, _, path = ranked(own.mapInArrow(run, "all long, score double"), ["all"], ["score"], "quality-scores")
+    scores, scored = core.stored(own.mapInArrow(run, "all long, score double"), "quality-scores")
+    placed, _, path = ranked(scores, ["all"], ["score"], "quality-places")
     found = placed.where(F.col("_at") == int(quantile * placed.count())).select("score").collect()  # one row at most
     core.drop(own.sparkSession, path)
+    core.drop(own.sparkSession, scored)
     return found[0][0] if found else -np.inf
 
 
