@@ -1,8 +1,8 @@
 """Clustering of similarity rows: PCA, nearest neighbours, Leiden communities, t-SNE, and domains per cluster.
 
-Small tables are done exactly: neighbours block by block, Leiden and t-SNE on the driver behind checked row limits.  Beyond
-the limits neighbours come from an index of cells, communities are first merged by moves over a table of edges until the
-graph of communities fits the driver, and points are placed among landmarks.  No size is refused and every row has a result.
+Communities are found over tables of edges, by the same steps at every size.  Neighbours are exact, block by block, up to a limit,
+and come from an index of cells beyond; t-SNE runs on the driver up to a limit, and beyond it points are placed among landmarks.
+No size is refused and every row has a result.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.operators.relational import mode_smallest, without_noise
-from tessera.shared import materialise
+from tessera.shared import drop, materialise, stored
 
-#: Rows that are compared with all others, nodes that the driver's Leiden takes, points that its t-SNE takes.
-EXACT_ROWS, DRIVER_ROWS, TSNE_ROWS = 200_000, 20_000, 3_000
+#: Rows that are compared with all others, points that the driver's t-SNE takes.
+EXACT_ROWS, TSNE_ROWS = 200_000, 3_000
 #: Rows that the cells of the index are fitted on; every row is indexed.
 INDEX_SAMPLE = 50_000
 #: Queries that the number of cells to look in is set by, and the share of their neighbours that must be found.
@@ -160,81 +160,6 @@ def neighbours(rows: DataFrame, id_col: str, values: str, k: int = 15) -> DataFr
     return (knn if rows.count() <= EXACT_ROWS else knn_index)(rows, id_col, values, k)
 
 
-def leiden(edges: np.ndarray, n: int, resolution: float = 1.0, seed: int = 0, weights: np.ndarray | None = None) -> np.ndarray:
-    """M7: communities of an undirected graph by modularity with a resolution (Traag et al. 2019): local moves, refinement
-    inside communities, aggregation, until nothing moves.  Labels by size, descending."""
-    rng = np.random.default_rng(seed)
-    w = np.ones(len(edges)) if weights is None else weights
-    pairs: dict[tuple[int, int], float] = {}
-    loops = np.zeros(n)
-    for (a, b), x in zip(edges.tolist(), w.tolist(), strict=True):
-        if a != b:
-            pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0.0) + x
-        elif weights is not None:  # what lies inside a node of a graph of communities
-            loops[a] += x
-    graph: list[dict[int, float]] = [{} for _ in range(n)]
-    for (a, b), x in pairs.items():
-        graph[a][b] = graph[b][a] = x
-    members, total = np.arange(n), 2 * (sum(pairs.values()) + loops.sum()) or 1.0
-
-    def move(graph, loops, labels, inside=None):
-        degree = np.array([sum(g.values()) for g in graph]) + 2 * loops
-        mass = np.bincount(labels, degree, len(graph))
-        queue, waiting = list(rng.permutation(len(graph))), set(range(len(graph)))
-        moved = False
-        while queue:
-            v = int(queue.pop())
-            waiting.discard(v)
-            to: dict[int, float] = {}
-            for u, x in graph[v].items():
-                if inside is None or inside[u] == inside[v]:
-                    to[labels[u]] = to.get(labels[u], 0.0) + x
-            here = labels[v]
-            mass[here] -= degree[v]
-            gain = lambda c: to.get(c, 0.0) - resolution * degree[v] * mass[c] / total
-            best = max(sorted({here, *to}), key=lambda c: (gain(c), c == here))
-            if gain(best) <= gain(here) + 1e-12:
-                best = here
-            mass[best] += degree[v]
-            if best != here:
-                labels[v], moved = best, True
-                for u in graph[v]:
-                    if labels[u] != best and u not in waiting:
-                        waiting.add(u)
-                        queue.insert(0, u)
-        return moved
-
-    start = np.arange(n)
-    while True:
-        labels = start.copy()
-        moved = move(graph, loops, labels)
-        result = labels[members]
-        if not moved or len(np.unique(labels)) == len(graph):
-            break
-        fine = np.arange(len(graph))
-        move(graph, loops, fine, inside=labels)
-        names, fine = np.unique(fine, return_inverse=True)
-        coarse = np.zeros(len(names), int)
-        coarse[fine] = labels
-        bigger: list[dict[int, float]] = [{} for _ in names]
-        loop2 = np.bincount(fine, loops, len(names))
-        for v, g in enumerate(graph):
-            for u, x in g.items():
-                if fine[u] == fine[v]:
-                    loop2[fine[v]] += x / 2
-                else:
-                    bigger[fine[v]][fine[u]] = bigger[fine[v]].get(fine[u], 0.0) + x
-        members, loops = fine[members], loop2
-        if len(bigger) == len(graph):
-            break
-        graph = bigger
-        start = np.unique(coarse, return_inverse=True)[1]
-    names, inverse, sizes = np.unique(result, return_inverse=True, return_counts=True)
-    rank = np.empty(len(names), int)
-    rank[np.lexsort((names, -sizes))] = np.arange(len(names))
-    return rank[inverse]
-
-
 def tsne(x: np.ndarray, perplexity: float = 30.0, seed: int = 42, iterations: int = 500) -> np.ndarray:
     """M6: exact t-SNE (van der Maaten & Hinton 2008) from the first two principal components."""
     n = len(x)
@@ -302,73 +227,136 @@ def embed(rows: DataFrame, id_col: str, values: str, seed: int = 42) -> DataFram
     return data.mapInPandas(run, f"{id_col} {key}, x double, y double")
 
 
-def _merge_round(edges: DataFrame, labels: DataFrame, total: float, resolution: float, seed: int, turn: int) -> DataFrame:
-    """One round of moves: (node, degree, label, moved).  Half of the nodes, by a hash that changes with the turn, go to the
-    neighbouring community of the highest gain, if it is higher than where they are."""
-    mass = labels.groupBy("label").agg(F.sum("degree").alias("mass"))
-    to = edges.where("a <> b").join(labels.select(F.col("node").alias("b"), F.col("label").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
-    own = labels.select(F.col("node").alias("a"), "degree", F.col("label").alias("here"))
-    at = to.join(own, "a").join(mass.withColumnRenamed("label", "to"), "to")
-    gain = F.col("w") - resolution * F.col("degree") * (F.col("mass") - F.when(F.col("to") == F.col("here"), F.col("degree")).otherwise(0.0)) / total
+#: Turns of moves per level, and the share of nodes that two turns together must still move for another.
+TURNS, STILL = 40, 0.005
+
+
+def _hash_bit(seed: int, turn: int) -> Column:
+    """Half of the nodes, another half in each turn."""
+    return F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+
+
+def _turn(edges: DataFrame, state: DataFrame, total: float, resolution: float, seed: int, turn: int, refine: bool) -> DataFrame:
+    """One turn of moves over ``edges`` (a, b, w), both directions of each pair: (node, degree, label, inside, moved).
+
+    Half of the nodes go to the neighbouring label of the highest gain, the smallest of equals, if it is higher than where they
+    are.  To refine, only nodes that are alone under their label move, and only to labels inside their community (``inside``)
+    that a neighbour has who stays in this turn: what they join is connected to them and keeps being so.
+    """
+    mass = state.groupBy("label").agg(F.sum("degree").alias("mass"), F.count("*").alias("n"))
+    there = state.select(F.col("node").alias("b"), F.col("label").alias("to"), F.col("inside").alias("_in"), _hash_bit(seed, turn).alias("_goes"))
+    own = state.select(F.col("node").alias("a"), "degree", F.col("label").alias("here"), F.col("inside").alias("_own"))
+    met = edges.where("a <> b").join(there, "b")
+    if refine:
+        met = met.where("NOT _goes").join(own.select("a", "_own"), "a").where("_in = _own")
+    at = met.groupBy("a", "to").agg(F.sum("w").alias("w")).join(own, "a").join(mass.withColumnRenamed("label", "to"), "to")
+    rest = F.col("mass") - F.when(F.col("to") == F.col("here"), F.col("degree")).otherwise(0.0)
+    gain = F.col("w") - resolution * F.col("degree") * rest / total
     best = at.withColumn("gain", gain).groupBy("a").agg(F.max(F.struct("gain", (-F.col("to")).alias("less"))).alias("best"), F.max(F.when(F.col("to") == F.col("here"), F.col("gain"))).alias("stay"))
-    joined = labels.join(best.withColumnRenamed("a", "node"), "node", "left").join(mass, "label")
+    joined = state.select("node", "degree", "label", "inside").join(best.withColumnRenamed("a", "node"), "node", "left").join(mass, "label")
     stay = F.coalesce("stay", -resolution * F.col("degree") * (F.col("mass") - F.col("degree")) / total)
-    moves = (F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2)) == 0) & (F.col("best.gain") > stay + 1e-12)
-    moved = F.coalesce(moves, F.lit(False))
-    return joined.select("node", "degree", F.when(moved, -F.col("best.less")).otherwise(F.col("label")).alias("label"), moved.alias("moved"))
+    goes = _hash_bit(seed, turn) & (F.col("best.gain") > stay + 1e-12)
+    moved = F.coalesce(goes & (F.col("n") == 1) if refine else goes, F.lit(False))
+    return joined.select("node", "degree", F.when(moved, -F.col("best.less")).otherwise(F.col("label")).alias("label"), "inside", moved.alias("moved"))
+
+
+def _settle(edges: DataFrame, state: DataFrame, n: int, total: float, resolution: float, seed: int, refine: bool) -> tuple[DataFrame, str, int]:
+    """Turns until the halves that two turns ask hardly move; the last state, its path, and how many moved in all."""
+    spark, path, before, moves = edges.sparkSession, None, n, 0
+    for turn in range(TURNS):
+        seen = Observation()
+        step, to = stored(_turn(edges, state, total, resolution, seed + refine, turn, refine).observe(seen, F.count_if("moved").alias("moved")), "communities")
+        if path:
+            drop(spark, path)
+        state, path = step, to
+        now = seen.get["moved"]
+        moves += now
+        if before + now <= STILL * n:
+            break
+        before = now
+    return state, path, moves
 
 
-def _merged(edges: DataFrame, resolution: float, seed: int, turns: int = 12) -> tuple[DataFrame, DataFrame]:
-    """One level: (node, label), and the graph of the communities with what lies inside each as an edge to itself.
+def _joined(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) with the parts of each label that no edge connects under labels of their own, the smallest node's."""
+    spark = edges.sparkSession
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    near, near_at = stored(edges.where("a <> b").join(a, "a").join(b, "b").where("la = lb").select("a", "b"), "communities-inside")
+    parts, path = stored(labels.select("node", F.col("node").alias("label")), "communities-parts")
+    while True:
+        low = near.join(parts.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
+        step = parts.join(low.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label"))
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        made, to = stored(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "communities-parts")
+        drop(spark, path)
+        parts, path = made.select("node", "label"), to
+        if made.where("label <> old").isEmpty():
+            drop(spark, near_at)
+            return parts, path
 
-    ``edges`` (a, b, w) hold both directions of each pair.  Rounds are tables; they end when fewer than one node in a hundred
-    moves."""
-    degree = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
-    labels = materialise(degree.select("node", "degree", F.col("node").alias("label")), "communities")
-    n, total = labels.agg(F.count("*"), F.sum("degree")).first()
-    for turn in range(turns):
-        labels = materialise(_merge_round(edges, labels.select("node", "degree", "label"), total, resolution, seed, turn), "communities")
-        if labels.where("moved").count() * 100 < n:
-            break
-    name = labels.select("node", "label")
-    a, b = (name.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    graph = edges.join(a, "a").join(b, "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w"))
-    return name, materialise(graph, "communities-graph")
+
+def _renamed(members: DataFrame, names: DataFrame) -> DataFrame:
+    """``members`` (node, label) with the names (node, label) that their labels have got."""
+    to = names.select(F.col("node").alias("_old"), F.col("label").alias("_new"))
+    return members.join(to, F.col("label") == F.col("_old")).select("node", F.col("_new").alias("label"))
 
 
 def communities(neighbors: DataFrame, id_col: str, resolution: float, seed: int = 0) -> DataFrame:
     """M7 over k-NN edges: (id, leiden), larger communities first.
 
-    Up to ``DRIVER_ROWS`` nodes the edges go to the driver.  Beyond, nodes are merged into communities by moves over the table
-    of edges, level by level, until the graph of communities is as small, or no node moves.
+    Leiden's steps over tables, the same at every size: nodes move to neighbouring communities in turns, each community is
+    refined into parts that its edges connect, the parts become the nodes of a smaller graph that begins with the communities
+    found, and so on.  Where no two parts join any more, whole communities are the nodes, each told apart first if no edges hold it
+    together, until none joins another.  A turn is a few joins and one table; only counts reach the driver.
     """
     spark = neighbors.sparkSession
     pairs = neighbors.select(F.col(id_col).cast("long").alias("a"), F.col("neighbor").cast("long").alias("b"))
-    n = pairs.select("a").union(pairs.select("b")).distinct().count()
-    if n <= DRIVER_ROWS:
-        edges = pairs.toPandas().sort_values(["a", "b"]).to_numpy()
-        ids = np.unique(edges.reshape(-1))
-        labels = leiden(np.searchsorted(ids, edges), len(ids), resolution, seed)
-        return spark.createDataFrame([(int(i), str(c)) for i, c in zip(ids, labels, strict=True)], f"{id_col} long, leiden string")
     once = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").cast("double").alias("w"))
-    graph = materialise(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "communities-graph")
-    members = None
-    while n > DRIVER_ROWS:
-        name, graph = _merged(graph, resolution, seed)
-        members = name if members is None else members.join(name.withColumnRenamed("node", "old"), F.col("label") == F.col("old")).select("node", name["label"])
-        members = materialise(members, "communities-members")
-        left = members.select("label").distinct().count()
-        if left == n:
-            break
-        n = left
-    if n <= DRIVER_ROWS:
-        edges = graph.where("a <= b").withColumn("w", F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(F.col("w"))).toPandas().sort_values(["a", "b"])
-        ids = np.unique(edges[["a", "b"]].to_numpy().reshape(-1))
-        labels = leiden(np.searchsorted(ids, edges[["a", "b"]].to_numpy()), len(ids), resolution, seed, edges["w"].to_numpy())
-        final = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, labels, strict=True)], "label long, c long")
-        members = members.join(final, "label").select("node", F.col("c").alias("label"))
-    rank = members.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("string").alias("leiden"))  # a row per community
-    return members.join(rank, "label").select(F.col("node").alias(id_col), "leiden")
+    once = once.withColumn("w", F.lit(1.0))  # neighbours of each other count once
+    edges, edges_at = stored(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "communities-graph")
+    degree = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree"))
+    state, state_at = stored(degree.select("node", "degree", F.col("node").alias("label"), F.col("node").alias("inside")), "communities")
+    n, total = state.agg(F.count("*"), F.sum("degree")).first()
+    if not n:
+        return state.select(F.col("node").alias(id_col), F.lit(None).cast("string").alias("leiden"))
+    members, members_at = None, None
+    while True:
+        found, found_at, _ = _settle(edges, state, n, total, resolution, seed, False)
+        alone = found.select("node", "degree", F.col("node").alias("label"), F.col("label").alias("inside"))
+        fine, fine_at, merged = _settle(edges, alone, n, total, resolution, seed, True)
+        drop(spark, state_at)
+        if not merged:  # whole communities may still join others
+            drop(spark, fine_at)
+            whole, fine_at = _joined(found.select("node", "label"), edges)
+            if whole.select("label").distinct().count() == n:
+                break
+            fine = whole.join(found.select("node", "degree"), "node").withColumn("inside", F.col("label"))
+        name = fine.select("node", "label")
+        step = name if members is None else _renamed(members, name)
+        step, step_at = stored(step, "communities-members")
+        a, b = (name.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        smaller, smaller_at = stored(edges.join(a, "a").join(b, "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")), "communities-graph")
+        # A part begins in the community that it was found in, named by one of the community's parts.
+        parts = fine.groupBy("label").agg(F.sum("degree").alias("degree"), F.first("inside").alias("inside"))
+        first = parts.groupBy("inside").agg(F.min("label").alias("label"))
+        begin = parts.select(F.col("label").alias("node"), "degree", "inside").join(first, "inside").select("node", "degree", "label", F.col("node").alias("inside"))
+        state, state_at = stored(begin, "communities")
+        drop(spark, edges_at, found_at, fine_at, *([members_at] if members_at else []))
+        members, members_at, edges, edges_at, n = step, step_at, smaller, smaller_at, state.count()
+    whole = materialise(whole if members is None else _renamed(members, whole), "communities-found")
+    drop(spark, edges_at, found_at, fine_at, *([members_at] if members_at else []))
+    rank = whole.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("string").alias("leiden"))  # a row per community
+    return whole.join(rank, "label").select(F.col("node").alias(id_col), "leiden")
+
+
+def modularity(neighbors: DataFrame, labels: DataFrame, id_col: str, resolution: float = 1.0) -> float:
+    """Of the communities ``labels`` (id, leiden) of the graph of ``neighbors``: what lies inside less what chance would put there."""
+    pairs = neighbors.where(F.col(id_col) != F.col("neighbor")).select(F.least(id_col, "neighbor").alias("a"), F.greatest(id_col, "neighbor").alias("b")).distinct()
+    a, b = (labels.select(F.col(id_col).alias(x), F.col("leiden").alias(f"l{x}")) for x in "ab")
+    met = pairs.join(a, "a").join(b, "b")
+    m, inside = met.agg(F.count("*"), F.count_if(F.col("la") == F.col("lb"))).first()
+    mass = met.select("la").union(met.select("lb")).groupBy("la").agg((F.count("*") / (2.0 * max(m, 1))).alias("share"))
+    return inside / max(m, 1) - resolution * (mass.agg(F.sum(F.col("share") * F.col("share"))).first()[0] or 0.0)
 
 
 def top_motif_dbd(similarity: DataFrame, id_col: str, values: str, dbd: list[str | None], keep: list[str] | None = None) -> DataFrame:

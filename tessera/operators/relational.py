@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.shared import materialise
+
 
 def mode_smallest(df: DataFrame, keys: list[str], value: str, name: str = "mode") -> DataFrame:
     """A4: the most frequent value of each group, the smallest of equally frequent; nulls don't count, and a group of nulls
@@ -232,3 +234,15 @@ def signal_mean(spans: DataFrame, signal: DataFrame, pad: int = 10, bin_size: in
     mean = hit.groupBy("_c", "_s0", "_s1").agg((F.sum(F.col("value") * shared) / F.sum(shared)).alias("signal"))
     back = (F.col("chrom") == F.col("_c")) & (F.col("start") == F.col("_s0")) & (F.col("stop") == F.col("_s1"))
     return spans.join(mean, back, "left").drop("_c", "_s0", "_s1")
+
+
+def in_order(ordered: DataFrame) -> DataFrame:
+    """A sorted table with ``position``, the place of each row from 0.
+
+    The sorted rows are written once, each with its range and its place in it; what was written is numbered by the counts of
+    the ranges before, so the sort is not gathered in one task and no number depends on a second run of the plan."""
+    kept = materialise(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "in-order")
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    return kept.join(F.broadcast(starts), "_part").select(*ordered.columns, (F.col("_before") + F.col("_at")).alias("position"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.operators.relational import in_order
 from tessera.shared import materialise
 
 BINS = 999
@@ -44,13 +45,18 @@ def background(found: DataFrame) -> DataFrame:
     )
 
 
-def histogram(found: DataFrame, extremes: DataFrame, integer: bool = False) -> DataFrame:
-    """Counts by (len, positive, bin) and p, the share of the side in higher bins."""
+def binned(found: DataFrame, extremes: DataFrame, integer: bool = False) -> DataFrame:
+    """A2: spans with positive, their bin of the side, and the extremes and counts of their length."""
     side = F.when(F.col("s") > 0, F.col("xmax")).otherwise(F.col("xmin"))
     # Bins are quotients of numbers with one sign; a side whose extreme is zero has bin 0 only.
     scaled = F.expr("(999 * s) div CASE WHEN s > 0 THEN xmax ELSE nullif(xmin, 0) END") if integer else F.floor(F.try_divide(BINS * F.col("s"), side))
-    binned = found.join(F.broadcast(extremes), "len").select("len", (F.col("s") > 0).alias("positive"), F.coalesce(scaled, F.lit(0)).cast("int").alias("bin"), F.when(F.col("s") > 0, F.col("n_pos")).otherwise(F.col("n_neg")).alias("side_n"))
-    counts = binned.groupBy("len", "positive", "bin").agg(F.count("*").alias("n"), F.first("side_n").alias("side_n"))
+    return found.join(F.broadcast(extremes), "len").withColumns({"positive": F.col("s") > 0, "bin": F.coalesce(scaled, F.lit(0)).cast("int")})
+
+
+def histogram(found: DataFrame, extremes: DataFrame, integer: bool = False) -> DataFrame:
+    """Counts by (len, positive, bin) and p, the share of the side in higher bins."""
+    sides = binned(found, extremes, integer).select("len", "positive", "bin", F.when(F.col("s") > 0, F.col("n_pos")).otherwise(F.col("n_neg")).alias("side_n"))
+    counts = sides.groupBy("len", "positive", "bin").agg(F.count("*").alias("n"), F.first("side_n").alias("side_n"))
     running = F.sum("n").over(Window.partitionBy("len", "positive").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("p", 1 - running / F.col("side_n")).drop("side_n")
 
@@ -142,17 +148,9 @@ def call_seqlets(examples: DataFrame, threshold: float = 0.01, shortest: int = 4
 
 
 def with_ids(seqlets: DataFrame) -> DataFrame:
-    """Numbered by ascending p, then example and place.
-
-    The sorted rows are written once, each with its range and its place in it; what was written is numbered by the counts of
-    the ranges before, so the sort is not gathered in one task and no number depends on a second run of the plan.
-    """
-    ordered = seqlets.sort("p_value", "example_idx", "start", "end")
-    kept = materialise(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "seqlets")
-    counts = kept.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_before"))
-    return kept.join(F.broadcast(starts), "_part").select((F.col("_before") + F.col("_at")).alias("seqlet_id"), *seqlets.columns)
+    """Numbered by ascending p, then example and place; see ``relational.in_order``."""
+    numbered = in_order(seqlets.sort("p_value", "example_idx", "start", "end"))
+    return numbered.select(F.col("position").alias("seqlet_id"), *seqlets.columns)
 
 
 def cut_matrices(found: DataFrame, examples: DataFrame) -> DataFrame:
@@ -170,26 +168,21 @@ def extract_seqlets(examples: DataFrame, threshold: float = 0.05, flank: int = 3
 
 
 def span_p_values(examples: DataFrame, threshold: float, shortest: int = 4, longest: int = 25) -> DataFrame:
-    """(example_idx, len, start, p) of every span of (example_idx, x), under the background of all examples."""
-    bg = Background.of(examples, shortest, longest)
+    """(example_idx, len, start, p) of every span of (example_idx, x), under the background of all examples.
 
-    def run(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), 64):
-                ids, lens, starts, values = [], [], [], []
-                for i, x in zip(pdf["example_idx"].iloc[lo : lo + 64], pdf["x"].iloc[lo : lo + 64], strict=True):
-                    x = np.asarray(x, float)
-                    p = p_matrix(x, bg, threshold)
-                    for j in range(shortest, min(longest, len(x)) + 1):
-                        n = len(x) - j + 1
-                        starts.append(np.arange(n))
-                        lens.append(np.full(n, j))
-                        ids.append(np.full(n, i))
-                        values.append(p[j, :n])
-                if ids:
-                    yield pd.DataFrame({"example_idx": np.concatenate(ids), "len": np.concatenate(lens), "start": np.concatenate(starts), "p": np.concatenate(values)})
-
-    return examples.select("example_idx", "x").mapInPandas(run, "example_idx long, len int, start int, p double")
+    Examples, not their spans, are dealt by id; an example's spans arise, meet the histogram (22,000 rows on either side at
+    most, broadcast) and are capped where the example lies.  A span whose shorter span at the same start fails has p of the
+    threshold: any shorter one, as what is capped fails too.
+    """
+    dealt = examples.select("example_idx", "x").repartition("example_idx")
+    extremes = background(spans(examples, shortest, longest))
+    extremes = materialise(extremes, "span-extremes")  # one row per length
+    shares = materialise(histogram(spans(examples, shortest, longest), extremes).select("len", "positive", "bin", "p"), "span-shares")
+    met = binned(spans(dealt, shortest, longest), extremes).join(F.broadcast(shares), ["len", "positive", "bin"])
+    p = F.when(~F.col("positive") & (F.col("xmin") == 0), 1.0).otherwise(F.col("p"))
+    shorter = Window.partitionBy("example_idx", "start").orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
+    capped = F.when(F.max("p").over(shorter) >= threshold, F.lit(float(max(threshold, 0)))).otherwise(F.col("p"))
+    return met.select("example_idx", "len", "start", p.alias("p")).select("example_idx", "len", "start", capped.alias("p"))
 
 
 def with_example_arrays(seqlets: DataFrame, examples: DataFrame) -> DataFrame:

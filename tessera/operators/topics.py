@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import functools
 from math import lgamma
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.shared import materialise
+from tessera.shared import drop, stored
 
-#: Tokens that one task samples; ``models`` turns to variational inference beyond.
-MOST_TOKENS = 20_000_000
 K_VALUES = (10, 15, 20, 25, 30, 35, 40, 50)
 
 
@@ -30,29 +28,29 @@ def count_table(obs: DataFrame, filter_unknown: bool = True) -> DataFrame:
 
 #: Tokens that are drawn side by side.
 SIDE = 512
+#: Tokens of a shard, shards at least, and sweeps over a shard between two merges of the counts of words.
+SHARD_TOKENS, SHARDS, MERGE = 200_000, 4, 10
 
 
-def gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int, k: int, alpha: float, eta: float, n_iter: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Collapsed Gibbs sampling (Griffiths & Steyvers 2004).  Tokens are (docs[i], words[i]).  Counts of (document, topic) and
-    (topic, word).
+def gibbs(docs: np.ndarray, words: np.ndarray, z: np.ndarray, n_docs: int, wt: np.ndarray, alpha: float, eta: float, sweeps: int, rng: np.random.Generator) -> np.ndarray:
+    """Collapsed Gibbs sampling (Griffiths & Steyvers 2004) of the topics ``z`` of tokens (docs[i], words[i]), which it returns.
+    ``wt``: counts of (word, topic), those of other shards included; a copy is kept up to date.
 
     Up to ``SIDE`` tokens, each of another document, are drawn side by side: a document's counts are those of the plain
-    sampler, those of words lack the changes of the same batch (Newman et al. 2009).
+    sampler, those of words lack the changes of the same batch, and of other shards since the last merge (Newman et al. 2009).
     """
-    rng = np.random.default_rng(seed)
+    n_words, k = wt.shape
     order = np.argsort(docs, kind="stable")
     place = np.empty(len(docs), np.int64)
     place[order] = np.arange(len(docs)) - np.searchsorted(docs[order], docs[order])
     order = np.lexsort((docs, place))
-    docs, words, place = docs[order], words[order], place[order]
+    docs, words, place, z, back = docs[order], words[order], place[order], z[order].astype(np.int64), np.argsort(order)
     edges = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
     batches = [(lo, min(lo + SIDE, b)) for a, b in zip(edges[:-1], edges[1:], strict=True) for lo in range(a, b, SIDE)]
-    z = rng.integers(0, k, len(docs))
-    dt, wt = np.zeros((n_docs, k)), np.zeros((n_words, k))
+    dt, wt = np.zeros((n_docs, k)), wt.astype(float)
     np.add.at(dt, (docs, z), 1)
-    np.add.at(wt, (words, z), 1)
     t = wt.sum(0)
-    for _ in range(n_iter if k > 1 else 0):
+    for _ in range(sweeps if k > 1 else 0):
         draws = rng.random(len(docs))
         for a, b in batches:
             d, w, old, row = docs[a:b], words[a:b], z[a:b].copy(), np.arange(b - a)
@@ -67,7 +65,19 @@ def gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int, k: int
             np.add.at(wt, (w, old), -1)
             np.add.at(wt, (w, new), 1)
             t += np.bincount(new, minlength=k) - np.bincount(old, minlength=k)
-    return dt, wt.T.copy()
+    return z[back]
+
+
+def plain_gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int, k: int, alpha: float, eta: float, n_iter: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (document, topic) and (topic, word) by one sampler over all tokens."""
+    rng = np.random.default_rng(seed)
+    z, wt = rng.integers(0, k, len(docs)), np.zeros((n_words, k))
+    np.add.at(wt, (words, z), 1)
+    z = gibbs(docs, words, z, n_docs, wt, alpha, eta, n_iter, rng)
+    dt, tw = np.zeros((n_docs, k)), np.zeros((k, n_words))
+    np.add.at(dt, (docs, z), 1)
+    np.add.at(tw, (z, words), 1)
+    return dt, tw
 
 
 def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mode: str = "exact") -> float:
@@ -77,88 +87,136 @@ def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mod
     if mode not in ("exact", "reference"):
         raise ValueError(f"no mode {mode!r}")
 
-    def part(rows: np.ndarray, prior: float) -> float:
-        n = rows.shape[1]
-        constant = n * lgamma(prior) - lgamma(n * prior)
-        if mode == "exact":
-            return sum(sum(lgamma(c + prior) - lgamma(prior) for c in row[row > 0]) + lgamma(n * prior) - lgamma(row.sum() + n * prior) for row in rows)
-        filled = np.flatnonzero((rows > 0).any(1))
-        value = 0.0
-        if len(filled):
-            last = rows[filled[-1]]
-            value = lgamma(last[last > 0][-1] + prior) - lgamma(last.sum() + n * prior)
-        after = len(rows) - (filled[-1] + 1 if len(filled) else 0)
-        return value - after * lgamma(n * prior) - len(rows) * constant
+    terms = [(_row_terms(row, prior), row.shape[0]) for rows, prior in ((tw, eta), (dt, alpha)) for row in rows]
+    cut = len(tw)
+    return _total(terms[:cut], eta, mode) + _total(terms[cut:], alpha, mode)
 
-    return part(tw, eta) + part(dt, alpha)
+
+def _row_terms(row: np.ndarray, prior: float) -> tuple[float, float | None]:
+    """Of a row of counts: its term of the log-likelihood, and that by its last cell above zero, None if it has none."""
+    n, cells = len(row), row[row > 0]
+    end = lgamma(float(row.sum()) + n * prior)
+    exact = sum(lgamma(float(c) + prior) - lgamma(prior) for c in cells) + lgamma(n * prior) - end
+    return exact, (lgamma(float(cells[-1]) + prior) - end if len(cells) else None)
+
+
+def _total(terms: list, prior: float, mode: str) -> float:
+    """Rows' terms, in their order, as one number."""
+    if mode == "exact" or not terms:
+        return sum(t[0] for t, _ in terms)
+    filled = [i for i, (t, _) in enumerate(terms) if t[1] is not None]
+    n = terms[0][1] if terms else 0
+    constant = n * lgamma(prior) - lgamma(n * prior) if n else 0.0
+    after = len(terms) - (filled[-1] + 1 if filled else 0)
+    return (terms[filled[-1]][0][1] if filled else 0.0) - after * lgamma(n * prior) - len(terms) * constant
 
 
 FITS = "k int, kind string, row string, topic int, prob double, log_likelihood double"
+SHARD = "shard int, regions array<string>, docs binary, words binary"
+
+
+def _shards(counts: DataFrame, names: list[str], shards: int) -> DataFrame:
+    """Each shard's regions in order, and the place of the region and of the cluster of each of its tokens."""
+    shared = counts.sparkSession.sparkContext.broadcast({c: i for i, c in enumerate(names)})
+
+    def pack(table: pa.Table) -> pa.Table:
+        number = shared.value
+        regions, docs = np.unique(np.array(table["region_id"].to_pylist(), object).astype(str), return_inverse=True)
+        words = np.array([number[c] for c in table["cluster"].to_pylist()], np.int64)
+        order = np.lexsort((words, docs))
+        n = table["n"].to_numpy()[order]
+        rows = [table["shard"][0].as_py(), regions.tolist(), np.repeat(docs[order], n).astype("<i4").tobytes(), np.repeat(words[order], n).astype("<i4").tobytes()]
+        return pa.table([pa.array([x], kind) for x, kind in zip(rows, (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in SHARD.split(", ")])
+
+    dealt = counts.withColumn("shard", F.pmod(F.xxhash64("region_id"), F.lit(shards)).cast("int"))
+    return dealt.groupBy("shard").applyInArrow(pack, SHARD)
 
 
-def fit_topics(counts: DataFrame, ks: list[int], alpha: float = 50.0, eta: float = 0.1, n_iter: int = 150, seed: int = 123, mode: str = "exact", max_tokens: int | None = None) -> DataFrame:
-    """One task per number of topics, so all models train side by side.
+def fit_topics(counts: DataFrame, ks: list[int] | None = None, alpha: float = 50.0, eta: float = 0.1, n_iter: int = 150, seed: int = 123, mode: str = "exact", shard_tokens: int = SHARD_TOKENS, shards: int = SHARDS, merge: int = MERGE) -> DataFrame:
+    """Topics of regions and clusters by collapsed Gibbs sampling, for each number of topics, with the likelihood.
 
-    A sampler needs the whole count table; its number of tokens is checked first, and ``models`` goes to ``spark_topics`` for
-    more.
+    Regions are dealt to shards of about ``shard_tokens`` tokens, ``shards`` at least.  A task samples a shard for one number of
+    topics; after ``merge`` sweeps the counts of clusters by topic, which are all that shards share, are added up and sent out
+    again (Newman et al. 2009).  It is one method at every size; a shard's draws follow from the seed, its number and the turn.
+    All numbers of topics go on side by side, a table per turn.  Clusters by topic, whose number doesn't grow with the regions,
+    reach the driver.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total > (MOST_TOKENS if max_tokens is None else max_tokens):
-        raise ValueError(f"{total} tokens are too many for one sampler; use spark_topics")
-    table = counts.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
-        pdf = pdf.sort_values(["region_id", "cluster"])
-        regions, d = np.unique(pdf["region_id"], return_inverse=True)
-        clusters, w = np.unique(pdf["cluster"], return_inverse=True)
-        n = pdf["n"].to_numpy()
-        dt, tw = gibbs(np.repeat(d, n), np.repeat(w, n), len(regions), len(clusters), k, alpha / k, eta, n_iter, seed)
-        ll = log_likelihood(dt, tw, alpha / k, eta, mode)
-        p_dt = (dt + alpha / k) / (dt + alpha / k).sum(1, keepdims=True)
-        p_tw = (tw + eta) / (tw + eta).sum(1, keepdims=True)
-        rows = [(k, "region", r, t + 1, p_dt[i, t], ll) for i, r in enumerate(regions) for t in range(k)]
-        rows += [(k, "cluster", c, t + 1, p_tw[t, j], ll) for j, c in enumerate(clusters) for t in range(k)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FITS.split(", ")])
-
-    # Adaptive execution would gather small tables in one task.
-    return table.repartition(len(ks), "k").groupBy("k").applyInPandas(run, FITS)
-
-
-def spark_topics(counts: DataFrame, ks: list[int], n_iter: int = 50, seed: int = 123) -> DataFrame:
-    """M10, M11 at scale: variational LDA of Spark ML in the form of ``fit_topics``; with one topic, its probability is one.
-
-    The matrix of clusters by topic, which is as large as the number of clusters, is what reaches the driver."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    spark = counts.sparkSession
-    docs = counts.groupBy("region_id").agg(F.flatten(F.collect_list(F.array_repeat("cluster", F.col("n").cast("int")))).alias("words"))
-    fitted = CountVectorizer(inputCol="words", outputCol="features").fit(docs)
-    vectors = materialise(fitted.transform(docs).select("region_id", "features"), "topic-vectors")
-    parts = []
-    for k in ks:
-        model = LDA(k=max(k, 2), maxIter=n_iter, seed=seed).fit(vectors)
-        ll = float(model.logLikelihood(vectors))
-        found = model.transform(vectors).select("region_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "prob"))
-        weights = model.topicsMatrix().toArray()
-        if k == 1:
-            found = vectors.select("region_id", F.lit(0).alias("topic"), F.lit(1.0).alias("prob"))
-            weights = weights.sum(1, keepdims=True)
-        weights = weights / weights.sum(0)
-        rows = [(k, "cluster", c, t + 1, float(weights[i, t]), ll) for i, c in enumerate(fitted.vocabulary) for t in range(k)]
-        regions = found.select(F.lit(k).alias("k"), F.lit("region").alias("kind"), F.col("region_id").alias("row"), (F.col("topic") + 1).alias("topic"), "prob", F.lit(ll).alias("log_likelihood"))
-        parts.append(regions.unionByName(spark.createDataFrame(rows, FITS)))
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-def models(counts: DataFrame, ks: list[int] | None = None, **options) -> DataFrame:
-    """By Gibbs sampling where one task can hold the tokens, else by Spark's variational models."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total <= MOST_TOKENS:
-        return fit_topics(counts, list(ks or K_VALUES), **options)
-    return spark_topics(counts, list(ks or K_VALUES), options.get("n_iter", 50), options.get("seed", 123))
+    ks, spark = sorted(set(ks or K_VALUES)), counts.sparkSession
+    kept, kept_at = stored(counts.where("n > 0").select(F.col("region_id").cast("string").alias("region_id"), F.col("cluster").cast("string").alias("cluster"), F.col("n").cast("long").alias("n")), "topic-counts")
+    names = sorted(r[0] for r in kept.select("cluster").distinct().collect())
+    tokens = kept.agg(F.sum("n")).first()[0] or 0
+    if not tokens:
+        return spark.createDataFrame([], FITS)
+    parts = max(shards, -(-tokens // shard_tokens))
+    fixed, fixed_at = stored(_shards(kept, names, parts), "topic-shards")
+    models = fixed.select("shard").crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in ks], "k int")))
+    state, state_at = models.withColumn("z", F.lit(None).cast("binary")), None
+    total: dict[int, np.ndarray] = {}
+    turns = [min(merge, n_iter - at) for at in range(0, n_iter, merge)]
+    for turn, sweeps in enumerate([0, *turns]):
+        step, step_at = stored(_turn(fixed, state, len(names), total, alpha, eta, sweeps, seed + 1000 * turn), "topic-turn")
+        if state_at:
+            drop(spark, state_at)
+        state, state_at = step.select("k", "shard", "z"), step_at
+        total = {k: np.zeros((len(names), k)) for k in ks}
+        for k, cell, n in step.select("k", F.posexplode("own").alias("cell", "n")).where("n > 0").groupBy("k", "cell").agg(F.sum("n")).collect():  # clusters times topics
+            total[k].reshape(-1)[cell] = n
+    regions, regions_at = stored(_regions(fixed, state, alpha), "topic-regions")
+    found = regions.groupBy("k").agg(F.sum("exact").alias("exact"), F.max_by("last", "row").alias("last"), F.count("*").alias("n")).collect()  # a row per model
+    likelihood, rows = {}, []
+    for k, exact, last, n in found:
+        prior = alpha / k
+        own = exact if mode == "exact" else last - n * (k * lgamma(prior) - lgamma(k * prior))
+        likelihood[k] = log_likelihood(np.zeros((0, k)), total[k].T, prior, eta, mode) + own
+        share = (total[k] + eta) / (total[k] + eta).sum(0)
+        rows += [(k, "cluster", c, t + 1, float(share[i, t]), likelihood[k]) for i, c in enumerate(names) for t in range(k)]
+    drop(spark, kept_at, fixed_at, state_at)
+    known = spark.createDataFrame(list(likelihood.items()), "k int, log_likelihood double")
+    by_region = regions.join(F.broadcast(known), "k").select("k", F.lit("region").alias("kind"), "row", F.posexplode("probs").alias("topic", "prob"), "log_likelihood").withColumn("topic", F.col("topic") + 1)
+    return by_region.select(*(c.split()[0] for c in FITS.split(", "))).unionByName(spark.createDataFrame(rows, FITS))
+
+
+def _places(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<i4").astype(np.int64)
+
+
+def _turn(fixed: DataFrame, state: DataFrame, n_words: int, total: dict[int, np.ndarray], alpha: float, eta: float, sweeps: int, seed: int) -> DataFrame:
+    """(k, shard, z, own): the topics of each shard's tokens after some sweeps, and their counts by cluster and topic."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, docs, words = row["k"], _places(row["docs"]), _places(row["words"])
+                rng = np.random.default_rng([seed, k, row["shard"]])
+                if row["z"] is None:
+                    z = rng.integers(0, k, len(docs))
+                else:
+                    z = gibbs(docs, words, np.frombuffer(row["z"], "<i2"), len(row["regions"]), total[k], alpha / k, eta, sweeps, rng)
+                own = np.bincount(words * k + z, minlength=n_words * k)
+                columns = [pa.array([k], pa.int32()), pa.array([row["shard"]], pa.int32()), pa.array([z.astype("<i2").tobytes()]), pa.array([own.tolist()], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "shard", "z", "own"])
+
+    # A row is a shard of one model: the sampler costs far more than moving it, and small rows would be gathered in one task.
+    n = int(fixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = state.join(fixed, "shard").select("k", "shard", "z", "regions", "docs", "words").repartition(n, "k", "shard")
+    return met.mapInArrow(run, "k int, shard int, z binary, own array<long>")
+
+
+def _regions(fixed: DataFrame, state: DataFrame, alpha: float) -> DataFrame:
+    """(k, row, probs, exact, last): each region's topics and its terms of the likelihood."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, docs = row["k"], _places(row["docs"])
+                counts = np.bincount(docs * k + np.frombuffer(row["z"], "<i2"), minlength=len(row["regions"]) * k).reshape(-1, k)
+                terms = [_row_terms(c, alpha / k) for c in counts]
+                probs = (counts + alpha / k) / (counts + alpha / k).sum(1, keepdims=True)
+                columns = [pa.array([k] * len(counts), pa.int32()), pa.array(row["regions"]), pa.array(probs.tolist(), pa.list_(pa.float64())), pa.array([t[0] for t in terms]), pa.array([t[1] for t in terms], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "row", "probs", "exact", "last"])
+
+    met = state.join(fixed, "shard").select("k", "shard", "z", "regions", "docs")
+    return met.mapInArrow(run, "k int, row string, probs array<double>, exact double, last double")
 
 
 def log_gamma(x: Column) -> Column:

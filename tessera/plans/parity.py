@@ -16,9 +16,7 @@ from tessera.shared import shared_dir
 from tessera.sources import readers
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """The place of each row of a sorted, small result: partitions are joined in their order."""
-    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id())
+in_order = relational.in_order
 
 
 def per_base(m, *keys) -> list:
@@ -87,6 +85,18 @@ def bed_files(spark, sf_dir):
     return readers.read_bed(spark, path).groupBy("chrom", "start", "stop").agg(F.count("*").alias("n"))
 
 
+@query("SELECT DISTINCT 'chr' || user_id AS chrom, event_id % 480 AS start, rank() OVER (ORDER BY 'chr' || user_id, event_id % 480) - 1 AS place FROM events")
+def bed_order(spark, sf_dir):
+    """Lines in the order that they stand in the files: a place of the file is the number of lines before it."""
+    hits = event_hits(spark, sf_dir).select(F.concat(F.lit("chr"), "example_idx").alias("chrom"), "start", F.col("end").alias("stop"), F.lit("+").alias("strand"))
+    path = shared_dir(spark, "bed")
+    readers.write_bed(hits, path, ["chrom", "start", "stop", "strand"])
+    lines = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    parts = F.split("value", "\t")
+    placed = in_order(lines.orderBy("file_name", "file_block_start", "at").select(parts[0].alias("chrom"), parts[1].cast("long").alias("start")))
+    return placed.groupBy("chrom", "start").agg(F.min("position").alias("place"))
+
+
 @query("SELECT vec_id AS seqlet_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, 'motif_' || (list_position(embedding, list_max(embedding)) - 1) AS motif_name FROM embeddings")
 def container_files(spark, sf_dir):
     """A container is made, saved, loaded, and joined with its motifs."""
@@ -99,11 +109,17 @@ def container_files(spark, sf_dir):
     return back.obs.join(best, "seqlet_id").join(back.var, "motif_idx").select("seqlet_id", "label", F.round(A.total(F.flatten("seqlet_matrix")), 6).alias("total"), "motif_name")
 
 
-@query("SELECT * FROM (VALUES ('v8', 'flybase'), ('v9', 'flybase'), ('v9', 'hgnc'), ('v9', 'mgi'), ('v10nr_clust', 'chicken'), ('v10nr_clust', 'flybase'), ('v10nr_clust', 'hgnc'), ('v10nr_clust', 'mgi')) t(version, species), (SELECT 'x/motifs-' AS head) h WHERE head = 'x/motifs-'".replace("SELECT * FROM", "SELECT version, species, head || version || '-nr.' || species || '-m0.001-o0.0.tbl' AS path FROM"))
+REGISTRY = "['flybase v8', 'drosophila_melanogaster v9', 'homo_sapiens v9', 'mgi v9', 'gallus_gallus v10nr_clust', 'flybase v10nr_clust', 'hgnc v10nr_clust', 'mus_musculus v10nr_clust']"
+SHORT = "replace(replace(replace(replace(split_part(k, ' ', 1), 'drosophila_melanogaster', 'flybase'), 'homo_sapiens', 'hgnc'), 'gallus_gallus', 'chicken'), 'mus_musculus', 'mgi')"
+
+
+@query(f"WITH p AS (SELECT p_partkey, {REGISTRY}[p_partkey % 8 + 1] AS k FROM part) SELECT p_partkey, 'x/motifs-' || split_part(k, ' ', 2) || '-nr.' || {SHORT} || '-m0.001-o0.0.tbl' AS path, CASE WHEN split_part(k, ' ', 2) = 'v9' THEN 'y/motifs-v9-nr.' || {SHORT} || '-m0.001-o0.0.tbl' END AS usual FROM p")
 def annotation_registry(spark, sf_dir):
-    """All eight files."""
-    known = [(v, s, readers.annotation_path(s, v, "x")) for v, names in readers.ANNOTATED.items() for s in names]
-    return spark.createDataFrame(known, "version string, species string, path string")
+    """The files of species (short or long names) and versions that rows of a table name; v9 is the usual version."""
+    k = F.get(F.array(*map(F.lit, [x.strip("' ") for x in REGISTRY.strip("[]").split(",")])), (F.col("p_partkey") % 8).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.split_part(k, F.lit(" "), F.lit(1)).alias("species"), F.split_part(k, F.lit(" "), F.lit(2)).alias("version"))
+    usual = readers.annotation_paths(rows.where("version = 'v9'").select("p_partkey", "species"), "species", folder="y").select("p_partkey", F.col("path").alias("usual"))
+    return readers.annotation_paths(rows, "species", "version", "x").join(usual, "p_partkey", "left").select("p_partkey", "path", "usual")
 
 
 SEQUENCE = "translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
@@ -425,21 +441,21 @@ def label_patterns(spark, sf_dir) -> DataFrame:
     return p.select(F.col("label").cast("string").alias("leiden"), F.concat(F.lit("d"), (F.col("label") / 3).cast("int")).alias("dbd"), "ppm", "ic", F.round(A.total(F.col("ic")) / F.size("ic"), 9).alias("mean_ic"), F.lit(1).cast("long").alias("n_seqlets"))
 
 
-TRIM = f"{IC}, z AS (SELECT label, p, ic >= 1.0 AS b, lead(ic >= 1.0) OVER (PARTITION BY label ORDER BY p) AS n FROM i), x AS (SELECT label, coalesce(min(p) FILTER (b <> n), 0) AS s, coalesce(max(p) FILTER (b <> n) + 1, 0) AS e FROM z GROUP BY ALL), y AS (SELECT label, CASE WHEN s = e THEN 0 ELSE s END AS s, CASE WHEN s = e THEN 16 ELSE e END AS e FROM x)"
+TRIM = f"{IC}, z AS (SELECT label, p, ic >= 0.4 AS b, lead(ic >= 0.4) OVER (PARTITION BY label ORDER BY p) AS n FROM i), x AS (SELECT label, coalesce(min(p) FILTER (b <> n), 0) AS s, coalesce(max(p) FILTER (b <> n) + 1, 0) AS e FROM z GROUP BY ALL), y AS (SELECT label, CASE WHEN s = e THEN 0 ELSE s END AS s, CASE WHEN s = e THEN 16 ELSE e END AS e FROM x)"
 HEIGHTS = "CAST(i.p - {t}.s AS INT) AS pos, round(a * ic, 6) AS a, round(c * ic, 6) AS c, round(g * ic, 6) AS g, round(t * ic, 6) AS t FROM i JOIN {t} ON i.label = {t}.label AND i.p >= {t}.s AND i.p < {t}.e"
 
 
 @query(f"WITH {TRIM} SELECT CAST(i.label AS VARCHAR) AS leiden, {HEIGHTS.format(t='x')}")
 def logos(spark, sf_dir):
     """trimmed heights."""
-    return spell(plotdata.logo(label_patterns(spark, sf_dir), 1.0).select(*per_base(F.col("heights"), "leiden")), "leiden")
+    return spell(plotdata.logo(label_patterns(spark, sf_dir), 0.4).select(*per_base(F.col("heights"), "leiden")), "leiden")
 
 
 @query(f"WITH {TRIM}, q AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS cx, avg(CAST(embedding[2] AS DOUBLE)) AS cy FROM embeddings GROUP BY label), h AS (SELECT label, s, e FROM y) SELECT CAST(i.label AS VARCHAR) AS leiden, round(cx, 6) AS x, round(cy, 6) AS y, 'd' || (i.label // 3) AS color, {HEIGHTS.format(t='h')} JOIN q ON q.label = i.label")
 def tsne_logos(spark, sf_dir):
     """V2: centroid, colour and logo of each cluster; an unknown colour falls back to the cluster, and an empty trim to all."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("leiden"), F.get(vector(), F.lit(0)).alias("x"), F.get(vector(), F.lit(1)).alias("y"), F.concat(F.lit("d"), (F.col("label") / 3).cast("int")).alias("cluster_dbd"))
-    made = plotdata.tsne_logos(e, label_patterns(spark, sf_dir), least_ic=1.0)
+    made = plotdata.tsne_logos(e, label_patterns(spark, sf_dir), least_ic=0.4)
     return spell(made.select(*per_base(F.col("heights"), "leiden", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "color")), "leiden", "x", "y", "color")
 
 
@@ -469,6 +485,35 @@ def region_contributions(spark, sf_dir):
     return cells.select("position", *(F.round(b, 6).alias(b) for b in A.BASES))
 
 
+@query(
+    "WITH h AS (SELECT event_id AS seqlet_id, event_id % 480 - 40 AS s, event_id % 480 - 28 AS e, value, CASE WHEN event_id % 3 > 0 THEN event_type END AS dbd FROM events WHERE user_id = (SELECT min(user_id) FROM events)) "
+    "SELECT seqlet_id, greatest(s, 0) AS start, least(e, 300) AS stop, coalesce(dbd, 'none') AS dbd FROM h WHERE e > 0 AND s < 300 AND abs(value) >= 20"
+)
+def region_boxes(spark, sf_dir):
+    """The stretches drawn under a region's logo, those without a domain too."""
+    hits = event_hits(spark, sf_dir).withColumn("cluster_dbd", F.when(F.col("seqlet_id") % 3 > 0, F.col("cluster_dbd")))
+    first = hits.agg(F.min("example_idx")).first()[0]
+    flat = F.array(*(F.array_repeat(F.lit(1.0), 480) for _ in range(4)))
+    e = hits.select("example_idx").distinct().select("example_idx", flat.alias("contrib"), flat.alias("oh"))
+    _, shown, _ = plotdata.region_contributions(e, hits, first, zoom=(40, 340), least=20, show_unannotated=True)
+    return shown.select("seqlet_id", "start", F.col("end").alias("stop"), F.coalesce("cluster_dbd", F.lit("none")).alias("dbd"))
+
+
+@query(
+    "WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings), l AS (SELECT vec_id, string_agg(['A', 'C', 'G', 'T'][CAST((i + floor(abs(CAST(v AS DOUBLE)) * 50)) % 4 AS INT) + 1], '' ORDER BY i) AS bases, sum(CAST(v AS DOUBLE) * CASE WHEN (i + floor(abs(CAST(v AS DOUBLE)) * 50)) % 2 = 1 THEN 1 ELSE 0.9 END) FILTER (i >= 3 AND i < 28) AS total FROM x GROUP BY vec_id) "
+    "SELECT vec_id AS example_idx, 'Pattern(cluster ' || vec_id || ', 1 seqlets, ' || bases[1:20] || '..., mean IC 2.00)' AS pattern, 'Seqlet(3-28' || CASE WHEN vec_id % 2 = 1 THEN '(-)' ELSE '(+)' END || ', mean contrib ' || printf('%.3f', round(total / 25, 3) + 0.0) || ')' AS seqlet FROM l"
+)
+def long_texts(spark, sf_dir):
+    """patterns longer than twenty letters are cut; a seqlet in one line."""
+    from tessera.plans.queries import examples_wide
+
+    e = examples_wide(spark, sf_dir)
+    text = A.consensus(A.transpose(F.col("oh")), instance=True)
+    part = A.slice_columns(A.product(F.col("contrib"), F.col("oh")), F.lit(3), F.lit(28))
+    line = A.seqlet_label(F.lit(3), F.lit(28), F.col("example_idx") % 2 == 1, part)
+    return e.select("example_idx", A.describe(F.col("example_idx").cast("string"), F.lit(1), text, F.array(F.lit(2.0))).alias("pattern"), F.replace(line, F.lit("contrib -0.000"), F.lit("contrib 0.000")).alias("seqlet"))
+
+
 @query(
     f"WITH {TOPIC}, n AS (SELECT topic, count(*) FILTER (prob > 0.17) AS n_active FROM d GROUP BY topic), a AS (SELECT topic, n_active, row_number() OVER (ORDER BY n_active DESC, topic) - 1 AS topic_at FROM n), "
     "b AS (SELECT dbd, topic, row_number() OVER (PARTITION BY dbd ORDER BY prob DESC, topic) AS r FROM d) SELECT d.dbd, d.topic, round(d.prob, 6) AS prob, a.n_active, CAST(a.topic_at AS INT) AS topic_at, CAST(x.topic_at AS INT) AS best_at FROM d JOIN a ON a.topic = d.topic JOIN b ON b.dbd = d.dbd AND b.r = 1 JOIN a x ON x.topic = b.topic"
@@ -488,11 +533,12 @@ def topic_clusters(spark, sf_dir):
     return topics.wide(topics.cluster_topic(fits, 6), "cluster", 6)
 
 
-@query("WITH t AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS region_id, 1 + o_orderkey % 3 AS topic, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL), s AS (SELECT region_id, topic, (v - min(v) OVER (PARTITION BY topic)) / nullif(max(v) OVER (PARTITION BY topic) - min(v) OVER (PARTITION BY topic), 0) AS s, v FROM t) SELECT region_id, CAST(topic AS INT) AS topic, round(coalesce(s, v), 6) AS value FROM s")
+@query("WITH t AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS region_id, 1 + o_orderkey % 3 AS topic, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL), s AS (SELECT region_id, topic, (v - min(v) OVER (PARTITION BY topic)) / nullif(max(v) OVER (PARTITION BY topic) - min(v) OVER (PARTITION BY topic), 0) AS s, v FROM t) SELECT region_id, CAST(topic AS INT) AS topic, round(coalesce(s, v), 6) AS value, row_number() OVER (ORDER BY topic, coalesce(s, v), region_id) - 1 AS position FROM s")
 def topic_points(spark, sf_dir):
-    """Scaled topic values of the points of regions (the points' places are checked in tests only)."""
+    """Scaled topic values of the points of regions, in order of intensity (where the points lie is checked in
+    tests only)."""
     n = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).cast("string").alias("region_id"), (1 + F.col("o_orderkey") % 3).cast("int").alias("topic")).agg(F.count("*").cast("double").alias("prob"))
-    return plotdata.region_topic_tsne(topics.wide(n, "region_id", 3), 3).select("region_id", "topic", F.round("value", 6).alias("value"))
+    return in_order(plotdata.region_topic_tsne(topics.wide(n, "region_id", 3), 3).select("region_id", "topic", F.round("value", 6).alias("value")))
 
 
 # A window of twelve over a seqlet of seven, at both edges and inside.

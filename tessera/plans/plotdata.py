@@ -151,7 +151,7 @@ def region_topic_tsne(region_topic_wide: DataFrame, k: int, show: list[int] | No
     points = embed(region_topic_wide.select("region_id", F.array(*names).alias("v")), "region_id", "v")
     scaled = R.minmax(region_topic_wide, names)
     pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(f"Topic_{t}_scaled").alias("value")) for t in show or range(1, k + 1))))
-    return points.join(scaled.select("region_id", pairs.alias("_p")).select("region_id", "_p.*"), "region_id").orderBy("topic", "value")
+    return points.join(scaled.select("region_id", pairs.alias("_p")).select("region_id", "_p.*"), "region_id").orderBy("topic", "value", "region_id")
 
 
 def dbd_logos(patterns: DataFrame) -> tuple[DataFrame, tuple[int, int]]:

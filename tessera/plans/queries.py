@@ -271,9 +271,9 @@ def info_content(spark, sf_dir):
     return label_ppm(spark, sf_dir).select("label", F.posexplode(A.information_content(F.col("ppm"))).alias("pos", "ic")).withColumn("ic", F.round("ic", 6))
 
 
-@query(f"WITH {IC}, k AS (SELECT label, p, ic >= 1.0 AS b, lead(ic >= 1.0) OVER (PARTITION BY label ORDER BY p) AS n FROM i), x AS (SELECT label, min(p) FILTER (b <> n) AS s, max(p) FILTER (b <> n) + 1 AS e FROM k GROUP BY ALL) SELECT label, CAST(coalesce(s, 0) AS INT) AS start, CAST(coalesce(e, 0) AS INT) AS stop FROM x")
+@query(f"WITH {IC}, k AS (SELECT label, p, ic >= 0.4 AS b, lead(ic >= 0.4) OVER (PARTITION BY label ORDER BY p) AS n FROM i), x AS (SELECT label, min(p) FILTER (b <> n) AS s, max(p) FILTER (b <> n) + 1 AS e FROM k GROUP BY ALL) SELECT label, CAST(coalesce(s, 0) AS INT) AS start, CAST(coalesce(e, 0) AS INT) AS stop FROM x")
 def ic_trim(spark, sf_dir):
-    t = label_ppm(spark, sf_dir).select("label", A.ic_trim(A.information_content(F.col("ppm")), 1.0).alias("t"))
+    t = label_ppm(spark, sf_dir).select("label", A.ic_trim(A.information_content(F.col("ppm")), 0.4).alias("t"))
     return t.select("label", F.col("t.start").cast("int").alias("start"), F.col("t.stop").cast("int").alias("stop"))
 
 
@@ -301,7 +301,13 @@ def region_hits_zoom(spark, sf_dir):
     return plotdata.region_hits(hits, 500, hits.agg(F.min("example_idx")).first()[0], zoom=(100, 350), least=10).select("seqlet_id", "start", F.col("end").alias("stop"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE h AS (SELECT user_id, event_id, event_id % 480 + 6.0::DOUBLE AS c, event_type AS dbd, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 480, event_id) AS i FROM events WHERE event_type IS NOT NULL), "
+    "r AS (SELECT user_id, 0::BIGINT AS i, CAST([] AS STRUCT(dbd VARCHAR, c DOUBLE)[]) AS kept, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS y FROM (SELECT DISTINCT user_id FROM h) "
+    "UNION ALL SELECT h.user_id, h.i, CASE WHEN near THEN kept ELSE list_append(kept, struct_pack(dbd := h.dbd, c := h.c)) END, CASE WHEN near THEN NULL ELSE h.event_id END, CASE WHEN len(kept) % 2 = 0 THEN -0.2 ELSE 0.2 END "
+    "FROM (SELECT r.*, len(list_filter(r.kept, lambda k: k.dbd = g.dbd AND abs(k.c - g.c) < 25)) > 0 AS near FROM r JOIN h g ON g.user_id = r.user_id AND g.i = r.i + 1) r JOIN h ON h.user_id = r.user_id AND h.i = r.i + 1) "
+    "SELECT user_id AS example_idx, event_id AS seqlet_id, y FROM r WHERE event_id IS NOT NULL"
+)
 def label_dedupe(spark, sf_dir):
     return plotdata.dedupe_labels(event_hits(spark, sf_dir))
 
@@ -379,16 +385,19 @@ def leiden(spark, sf_dir):
     return cluster.communities(cluster.knn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", 1.0)
 
 
-def motif_set() -> list[np.ndarray]:
-    """A small fixed motif collection from a seeded generator."""
-    rng = np.random.default_rng(7)
-    return [rng.dirichlet(np.full(4, 0.3), int(n)).T for n in rng.integers(6, 13, 12)]
+def motif_set(spark: SparkSession, sf_dir: str) -> list[np.ndarray]:
+    """A motif collection made of the vectors: mean weights of up to 400 groups of them, a (4, 6) to (4, 13) matrix each."""
+    group, width = F.concat("label", F.lit("."), F.col("vec_id") % 40), 6 + F.col("vec_id") % 8
+    rows = examples(spark, sf_dir).withColumnRenamed("example_idx", "vec_id")
+    weights = rows.select(group.alias("leiden"), F.transform(F.slice(A.transpose(F.col("contrib")), 1, width.cast("int")), lambda r: F.transform(r, lambda x: F.exp(20 * x))).alias("w"))
+    means = patterns.element_mean(weights, "w").select("leiden", A.transpose(A.normalise_ppm(F.col("w"))).alias("ppm"))
+    return [np.array(r["ppm"], float) for r in means.orderBy("leiden").collect()]  # a reference set of bounded size
 
 
 @query()
 def motif_similarity(spark, sf_dir):
     found = seqlets.extract_seqlets(examples_wide(spark, sf_dir), 0.1)
-    return align.similarity(found, motif_set())
+    return align.similarity(found, motif_set(spark, sf_dir))
 
 
 def examples_wide(spark, sf_dir):

@@ -22,7 +22,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _local_base()
-    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Folders that this driver has made and not removed.
+_MADE: list[str] = []
 
 
 @functools.cache
@@ -34,8 +40,28 @@ def _local_base() -> str:
     return "file://" + path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once and read back: its rows are the same for all that use it, and survive executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once and read back: its rows are the same for all that use it, and survive executors.  The path is for
+    ``drop`` when nothing will read the table again."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for a table that the result is read from; ``clean`` removes it."""
+    return stored(df, name)[0]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Removes tables in the shared folder that nothing will read again."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this driver; results that are read from them must have been written before."""
+    drop(spark, *list(_MADE))

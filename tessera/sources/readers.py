@@ -144,6 +144,19 @@ def annotation_path(species: str = "hgnc", version: str = "v10nr_clust", folder:
     return os.path.join(folder or os.environ.get("TESSERA_CACHE", "."), f"motifs-{version}-nr.{short}-m0.001-o0.0.tbl")
 
 
+def annotation_paths(rows: DataFrame, species: str, version: str | None = None, folder: str = ".") -> DataFrame:
+    """``rows`` with ``path``, that of the annotations of the species and version that two of its columns name (short
+    or long names; v9 without a column); a pair that there is no file for is an error that lists those there are."""
+    known = [(n, v, s) for v, names in ANNOTATED.items() for s in names for n in {s, *(long for long, short in SPECIES.items() if short == s)}]
+    registry = rows.sparkSession.createDataFrame(known, "_name string, _version string, _short string")
+    wanted = F.col(version) if version else F.lit("v9")
+    met = rows.join(F.broadcast(registry), (F.col(species) == F.col("_name")) & (wanted == F.col("_version")), "left")
+    listed = ", ".join(f"{s} {v}" for v, names in ANNOTATED.items() for s in names)
+    path = F.concat(F.lit(folder + "/motifs-"), "_version", F.lit("-nr."), "_short", F.lit("-m0.001-o0.0.tbl"))
+    found = F.when(F.col("_short").isNotNull(), path).otherwise(F.raise_error(F.concat(F.lit("choose one of " + listed + ", not "), F.coalesce(F.col(species), F.lit("null")))))
+    return met.select(*rows.columns, found.alias("path"))
+
+
 def cell_type_of(path, pattern: str):
     """the cell type in a file's name, as a column; null where the name doesn't match from its start."""
     base = F.element_at(F.split(path, "/"), -1)

@@ -4,6 +4,7 @@ import glob
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -80,6 +81,21 @@ def test_sign_zero_gives_zero_matrix(spark):
     assert not np.any(df.select(A.sign_correct(F.col("m"), F.col("o")).alias("s")).first()["s"])
 
 
+def test_span_p_values_equal_the_callers(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, (rng.normal(size=n) * (i != 3)).tolist()) for i, n in enumerate([40, 26, 25, 30, 7, 4, 3, 0])]
+    df = spark.createDataFrame(data, "example_idx long, x array<double>")
+    bg = seqlets.Background.of(df)
+    want = {}
+    for i, x in data:
+        p = seqlets.p_matrix(np.array(x), bg, 0.05)
+        want |= {(i, j, k): p[j, k] for j in range(4, min(25, len(x)) + 1) for k in range(len(x) - j + 1)}
+    made = seqlets.span_p_values(df, 0.05)
+    assert {(r["example_idx"], r["len"], r["start"]): r["p"] for r in made.collect()} == want
+    plan = made._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_seqlets(found):
     local = found.toPandas()
     assert len(local) > 20
@@ -230,6 +246,28 @@ def test_container(spark, found, tmp_path):
     assert back.examples is None and back.obs.count() == meta.count() and back.similarity.columns == ["seqlet_id", "sim"]
 
 
+def test_a_failed_save_leaves_the_version_before(spark, tmp_path):
+    path = str(tmp_path / "d")
+    ids = lambda d: sorted(r[0] for r in d.obs.collect())
+    make = lambda n, **kw: dataset.SeqletDataset(spark.range(n).toDF("seqlet_id"), spark.range(2).toDF("motif_idx"), **kw)
+    with pytest.raises(FileNotFoundError):
+        dataset.SeqletDataset.load(spark, path)
+    assert make(3).save(path) == 1
+    bad = spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")).alias("seqlet_id"))
+    with pytest.raises(Exception, match="lost"):
+        make(5, similarity=bad).save(path)
+    assert ids(dataset.SeqletDataset.load(spark, path)) == [0, 1, 2]
+    assert make(4).save(path) == 2
+    (tmp_path / "d/manifests/00000002/_SUCCESS").unlink()  # as if the manifest's writer had died
+    assert ids(dataset.SeqletDataset.load(spark, path)) == [0, 1, 2]
+    assert make(6).save(path) == 3 and ids(dataset.SeqletDataset.load(spark, path)) == list(range(6))
+    assert ids(dataset.SeqletDataset.load(spark, path, 1)) == [0, 1, 2]
+    dataset.prune(spark, path)
+    assert ids(dataset.SeqletDataset.load(spark, path)) == list(range(6))
+    with pytest.raises(FileNotFoundError):
+        dataset.SeqletDataset.load(spark, path, 1)
+
+
 def test_patterns(spark, examples, found):
     obs = found.withColumn("leiden", F.when(F.col("start").between(12, 24), "0").otherwise("1")).withColumn("seqlet_dbd", F.lit("Ets"))
     one = obs.limit(1).withColumn("leiden", F.lit("9")).withColumn("seqlet_id", F.lit(10**6).cast("long"))
@@ -246,6 +284,81 @@ def test_patterns(spark, examples, found):
         patterns.sort_patterns(made, "colour")
 
 
+def plain_leiden(edges: np.ndarray, n: int, resolution: float = 1.0, seed: int = 0, weights: np.ndarray | None = None) -> np.ndarray:
+    """Communities of an undirected graph by modularity with a resolution (Traag et al. 2019): local moves, refinement
+    inside communities, aggregation, until nothing moves.  Labels by size, descending."""
+    rng = np.random.default_rng(seed)
+    w = np.ones(len(edges)) if weights is None else weights
+    pairs: dict[tuple[int, int], float] = {}
+    loops = np.zeros(n)
+    for (a, b), x in zip(edges.tolist(), w.tolist(), strict=True):
+        if a != b:
+            pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0.0) + x
+        elif weights is not None:  # what lies inside a node of a graph of communities
+            loops[a] += x
+    graph: list[dict[int, float]] = [{} for _ in range(n)]
+    for (a, b), x in pairs.items():
+        graph[a][b] = graph[b][a] = x
+    members, total = np.arange(n), 2 * (sum(pairs.values()) + loops.sum()) or 1.0
+
+    def move(graph, loops, labels, inside=None):
+        degree = np.array([sum(g.values()) for g in graph]) + 2 * loops
+        mass = np.bincount(labels, degree, len(graph))
+        queue, waiting = list(rng.permutation(len(graph))), set(range(len(graph)))
+        moved = False
+        while queue:
+            v = int(queue.pop())
+            waiting.discard(v)
+            to: dict[int, float] = {}
+            for u, x in graph[v].items():
+                if inside is None or inside[u] == inside[v]:
+                    to[labels[u]] = to.get(labels[u], 0.0) + x
+            here = labels[v]
+            mass[here] -= degree[v]
+            gain = lambda c: to.get(c, 0.0) - resolution * degree[v] * mass[c] / total
+            best = max(sorted({here, *to}), key=lambda c: (gain(c), c == here))
+            if gain(best) <= gain(here) + 1e-12:
+                best = here
+            mass[best] += degree[v]
+            if best != here:
+                labels[v], moved = best, True
+                for u in graph[v]:
+                    if labels[u] != best and u not in waiting:
+                        waiting.add(u)
+                        queue.insert(0, u)
+        return moved
+
+    start = np.arange(n)
+    while True:
+        labels = start.copy()
+        moved = move(graph, loops, labels)
+        result = labels[members]
+        if not moved or len(np.unique(labels)) == len(graph):
+            break
+        fine = np.arange(len(graph))
+        move(graph, loops, fine, inside=labels)
+        names, fine = np.unique(fine, return_inverse=True)
+        coarse = np.zeros(len(names), int)
+        coarse[fine] = labels
+        bigger: list[dict[int, float]] = [{} for _ in names]
+        loop2 = np.bincount(fine, loops, len(names))
+        for v, g in enumerate(graph):
+            for u, x in g.items():
+                if fine[u] == fine[v]:
+                    loop2[fine[v]] += x / 2
+                else:
+                    bigger[fine[v]][fine[u]] = bigger[fine[v]].get(fine[u], 0.0) + x
+        members, loops = fine[members], loop2
+        if len(bigger) == len(graph):
+            break
+        graph = bigger
+        start = np.unique(coarse, return_inverse=True)[1]
+    names, inverse, sizes = np.unique(result, return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), int)
+    rank[np.lexsort((names, -sizes))] = np.arange(len(names))
+    return rank[inverse]
+
+
 def test_clustering_separates_groups(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 5, (3, 6))
@@ -259,7 +372,7 @@ def test_clustering_separates_groups(spark):
     assert out["leiden"].nunique() == 3 and np.isfinite(out[["x", "y"]].to_numpy()).all()
     assert (out.groupby("leiden")["cluster_dbd"].nunique() <= 1).all()
     edges = cluster.knn(sim, "seqlet_id", "sim").toPandas()[["seqlet_id", "neighbor"]].to_numpy()
-    sizes = [len(set(cluster.leiden(edges, 60, r))) for r in (0.3, 1.0, 4.0)]
+    sizes = [len(set(plain_leiden(edges, 60, r))) for r in (0.3, 1.0, 4.0)]
     assert sizes == sorted(sizes)
     with pytest.raises(ValueError):
         cluster.cluster_seqlets(obs, None)
@@ -393,7 +506,7 @@ def test_clustering_beyond_the_limits_of_the_driver(spark, monkeypatch):
     centres = rng.normal(0, 8, (6, 8))
     points = [(i, (centres[i % 6] + rng.normal(0, 0.4, 8)).tolist()) for i in range(600)]
     sim = spark.createDataFrame(points, "seqlet_id long, sim array<double>")
-    for name, value in (("EXACT_ROWS", 100), ("DRIVER_ROWS", 150), ("TSNE_ROWS", 120)):
+    for name, value in (("EXACT_ROWS", 100), ("TSNE_ROWS", 120)):
         monkeypatch.setattr(cluster, name, value)
     obs = sim.select("seqlet_id")
     with pytest.warns(UserWarning):
@@ -407,6 +520,33 @@ def test_clustering_beyond_the_limits_of_the_driver(spark, monkeypatch):
     assert cluster.cluster_regions(wide, 0.3).groupBy("leiden").count().count() == 6
 
 
+def test_communities_of_overlapping_groups(spark):
+    """As good as one sequential run, and each held together by its edges."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 1.6, (6, 6))
+    points = [(3 * i, (centres[i % 6] + rng.normal(0, 1, 6)).tolist()) for i in range(360)]
+    near = cluster.materialise(cluster.knn(spark.createDataFrame(points, "id long, v array<double>"), "id", "v"), "near")
+    edges = near.toPandas()[["id", "neighbor"]].to_numpy() // 3
+    found = cluster.materialise(cluster.communities(near, "id", 1.0), "found")
+    labels = {r["id"]: r["leiden"] for r in found.collect()}
+    assert sorted(labels) == [i for i, _ in points]
+    plain = spark.createDataFrame([(3 * i, str(c)) for i, c in enumerate(plain_leiden(edges, 360))], "id long, leiden string")
+    assert cluster.modularity(near, found, "id") > 0.99 * cluster.modularity(near, plain, "id")
+    sizes = [sum(x == str(c) for x in labels.values()) for c in range(len(set(labels.values())))]
+    assert sizes == sorted(sizes, reverse=True)
+    for name in set(labels.values()):
+        own = {i for i, x in labels.items() if x == name}
+        seen, todo = set(), [min(own)]
+        while todo:
+            i = todo.pop()
+            if i not in seen:
+                seen.add(i)
+                todo += [3 * b for a, b in edges if 3 * a == i and 3 * b in own] + [3 * a for a, b in edges if 3 * b == i and 3 * a in own]
+        assert seen == own, "held together"
+    two = spark.createDataFrame([(1, 2), (2, 1), (5, 6), (9, 9)], "id long, neighbor long")
+    assert {r["id"]: r["leiden"] for r in cluster.communities(two, "id", 1.0).collect()} == {1: "0", 2: "0", 5: "1", 6: "1"}
+
+
 def test_linkage_order():
     rows = np.array([[0.0], [10.0], [0.1], [10.2], [5.0]])
     order = cluster.linkage_order(rows)
@@ -502,20 +642,54 @@ def test_a_region_is_drawn_or_refused(spark):
             draw(e, hits.drop(column), region_name="r")
 
 
-def test_topics_by_both_engines_tell_groups_apart(spark, monkeypatch):
+def held_out(fits, counts, k):
+    """Mean log probability of counts under fitted topics of regions and clusters."""
+    own = fits[fits.k == k]
+    region = own[own.kind == "region"].pivot(index="row", columns="topic", values="prob")
+    clusters = own[own.kind == "cluster"].pivot(index="row", columns="topic", values="prob")
+    p = (region.loc[[r for r, _, _ in counts]].to_numpy() * clusters.loc[[c for _, c, _ in counts]].to_numpy()).sum(1)
+    n = np.array([x for _, _, x in counts])
+    return float((n * np.log(p)).sum() / n.sum())
+
+
+def test_topics_of_shards_are_as_good_as_those_of_one_sampler(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    data = [(f"r{i}", f"c{5 * (i % 2) + j}", int(rng.integers(2, 6))) for i in range(40) for j in range(5)]
+    true = rng.dirichlet(np.full(30, 0.1), 5)
+    tables = []
+    for _ in range(2):
+        tables.append([(f"r{i}", f"c{j}", int(n)) for i in range(120) for j, n in enumerate(rng.multinomial(60, np.random.default_rng(i).dirichlet(np.full(5, 0.2)) @ true)) if n])
+    train, test = tables
+    counts = spark.createDataFrame(train, "region_id string, cluster string, n long")
+    fits = topics.fit_topics(counts, [1, 5], alpha=1.0).toPandas()
+    assert set(fits.columns) == {c.split()[0] for c in topics.FITS.split(", ")} and np.isfinite(fits["log_likelihood"]).all()
+    assert np.allclose(fits[fits.kind == "cluster"].groupby(["k", "topic"])["prob"].sum(), 1) and np.allclose(fits[(fits.k == 1) & (fits.kind == "region")]["prob"], 1)
+    assert fits[fits.kind == "region"].groupby("k")["row"].nunique().tolist() == [120, 120]
+
+    monkeypatch.setattr(topics, "SIDE", 1)  # the plain sampler, token by token
+    regions, d = np.unique([r for r, _, _ in train], return_inverse=True)
+    names, w = np.unique([c for _, c, _ in train], return_inverse=True)
+    n = [x for _, _, x in train]
+    dt, tw = topics.plain_gibbs(np.repeat(d, n), np.repeat(w, n), len(regions), len(names), 5, 0.2, 0.1, 150, 7)
+    assert dt.sum() == tw.sum() == sum(n) and (dt >= 0).all() and (tw >= 0).all()
+    plain = [(5, "region", r, t + 1, p) for r, row in zip(regions, (dt + 0.2) / (dt + 0.2).sum(1, keepdims=True)) for t, p in enumerate(row)]
+    plain += [(5, "cluster", c, t + 1, p) for c, row in zip(names, ((tw + 0.1) / (tw + 0.1).sum(1, keepdims=True)).T) for t, p in enumerate(row)]
+    plain = pd.DataFrame(plain, columns=["k", "kind", "row", "topic", "prob"])
+    known = [x for x in test if x[1] in set(names)]
+    a, b = held_out(fits, known, 5), held_out(plain, known, 5)
+    assert abs(a - b) < 0.01 * abs(b) and a > held_out(fits, known, 1) + 0.1
+    # The likelihood, added up over regions, is that of the whole tables of counts.
+    assert abs(fits[fits.k == 5]["log_likelihood"].iloc[0] - topics.log_likelihood(dt, tw, 0.2, 0.1)) < 0.02 * abs(topics.log_likelihood(dt, tw, 0.2, 0.1))
+
+
+def test_likelihood_of_shards_is_that_of_the_whole(spark):
+    data = [(f"r{r:02}", f"c{c}", 1 + (r * c) % 3) for r in range(11) for c in range(6) if (r + c) % 3]
     counts = spark.createDataFrame(data, "region_id string, cluster string, n long")
-    for limit in (10**6, 0):
-        monkeypatch.setattr(topics, "MOST_TOKENS", limit)
-        fits = topics.models(counts, [1, 2], n_iter=40).toPandas()
-        assert set(fits.columns) == {c.split()[0] for c in topics.FITS.split(", ")} and np.isfinite(fits["log_likelihood"]).all()
-        assert np.allclose(fits[fits.kind == "cluster"].groupby(["k", "topic"])["prob"].sum(), 1) and np.allclose(fits[(fits.k == 1) & (fits.kind == "region")]["prob"], 1)
-        two = fits[(fits.k == 2) & (fits.kind == "region")].sort_values("prob").groupby("row")["topic"].last()
-        assert len({two[f"r{i}"] for i in range(0, 40, 2)}) == 1 and len(set(two)) == 2
-    monkeypatch.setattr(topics, "SIDE", 1)
-    plain = topics.gibbs(np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 1]), 2, 2, 2, 1.0, 0.1, 5, 1)
-    assert plain[0].sum() == plain[1].sum() == 5 and (plain[0] >= 0).all() and (plain[0].sum(1) == [2, 3]).all()
+    for mode in ("exact", "reference"):
+        one = topics.fit_topics(counts, [1], mode=mode, n_iter=2).toPandas()["log_likelihood"].iloc[0]  # with one topic, counts are known
+        dt = np.array([[sum(n for r, _, n in data if r == x)] for x in sorted({r for r, _, _ in data})], float)
+        tw = np.array([[sum(n for _, c, n in data if c == x) for x in sorted({c for _, c, _ in data})]], float)
+        assert np.isclose(one, topics.log_likelihood(dt, tw, 50.0, 0.1, mode)), mode
+    assert topics.fit_topics(counts.limit(0), [2]).count() == 0
 
 
 def test_topics(spark):
@@ -524,14 +698,15 @@ def test_topics(spark):
     a = topics.fit_topics(counts, [1, 3], n_iter=10).toPandas()
     b = topics.fit_topics(counts, [1, 3], n_iter=10).toPandas()
     key = ["k", "kind", "row", "topic"]
+    assert list(a.columns) == list(b.columns)
     assert np.allclose(a.sort_values(key)["prob"], b.sort_values(key)["prob"], atol=1e-10)
     assert np.allclose(a[(a.k == 1) & (a.kind == "region")]["prob"], 1)
     assert np.allclose(a[a.kind == "region"].groupby(["k", "row"])["prob"].sum(), 1, atol=1e-5)
     assert np.allclose(a[a.kind == "cluster"].groupby(["k", "topic"])["prob"].sum(), 1, atol=1e-5)
     with pytest.raises(ValueError):
         topics.count_table(counts)
-    with pytest.raises(ValueError):
-        topics.fit_topics(counts, [2], max_tokens=3)
+    other = topics.fit_topics(counts, [3], n_iter=10, shards=2).toPandas()
+    assert len(other) == len(a[a.k == 3])
 
 
 def test_mode_prefers_the_smallest_and_ignores_null(spark):
