@@ -330,8 +330,8 @@ def special_ids(tokenizer) -> dict[str, int]:
 _MEMOS: dict[str, Memo] = {}
 
 
-def library_memo(path: str) -> Memo:
-    """The memo of this process for a vocabulary file of the tokenizers library."""
+def library_memo(path: str, rows: int = MEMO_ROWS) -> Memo:
+    """The memo of this process for a vocabulary file of the tokenizers library; ``rows``: as it holds when it is made."""
     if path not in _MEMOS:
         import os
 
@@ -341,5 +341,5 @@ def library_memo(path: str) -> Memo:
         t = Tokenizer.from_file(path)
         split = split_words_pattern if t.normalizer is not None else split_bytes_pattern
         whole = (lambda text: t.encode(text, add_special_tokens=False).ids) if t.normalizer is not None else None
-        _MEMOS[path] = Memo(library_encoder(t), split, splitter(t), special_ids(t), whole)
+        _MEMOS[path] = Memo(library_encoder(t), split, splitter(t), special_ids(t), whole, rows)
     return _MEMOS[path]

@@ -31,6 +31,8 @@ from tessera.llm.pretokens import library_memo
 
 BLOCK_IDS = 1 << 19
 LEAST, STEP = 5, 64
+#: Distinct pre-tokens that a worker remembers here, some 70 MB.
+MEMO_ROWS = 1_000_000
 MAGIC = b"RPB1"
 BLOCKS = "shard int, block int, before long, n_ids long, payload binary"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -249,7 +251,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, parti
     core.small_batches(spark)
 
     def run(batches):
-        memo, shard = library_memo(tokenizer), TaskContext.get().partitionId()
+        memo, shard = library_memo(tokenizer, MEMO_ROWS), TaskContext.get().partitionId()
         ids: list = []
         parts: list[np.ndarray] = []
         held = before = block = 0
