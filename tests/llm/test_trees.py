@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import core, decontaminate, merkle, prefix_trie, ranks
+from tessera.llm import core, decontaminate, line_dedup, merkle, prefix_trie, ranks
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, leaf string, key int, path string, _at long"  # with clashing names
 
@@ -296,3 +296,11 @@ def test_long_runs_leave_the_memo(monkeypatch):
             assert flat[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
         held.append(memo.cps.nbytes + memo.ids.nbytes)
     assert max(held) < 50_000 + 2 * 5_000 * 8 and min(held[4:]) < max(held)
+
+
+def test_a_line_at_exactly_the_ratio_stays(spark):
+    """On three of thirty pages it is at a tenth; on four it is above."""
+    rows = [(i, "h", "\n".join([f"own {i}", *(["at the ratio"] if i < 3 else []), *(["above it"] if i < 4 else [])])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df, F.col("host")).collect()}
+    assert got == {i: t.replace("\nabove it", "") for i, _, t in rows}
