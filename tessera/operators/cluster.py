@@ -228,12 +228,12 @@ def embed(rows: DataFrame, id_col: str, values: str, seed: int = 42) -> DataFram
 
 
 #: Turns of moves per level, and the share of nodes that two turns together must still move for another.
-TURNS, STILL = 40, 0.005
+TURNS, STILL = 16, 0.02
 
 
 def _hash_bit(seed: int, turn: int) -> Column:
-    """Half of the nodes, another half in each turn."""
-    return F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+    """Half of the nodes in one turn and the other half in the next; then another half."""
+    return F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn // 2)), F.lit(2)) == turn % 2
 
 
 def _turn(edges: DataFrame, state: DataFrame, total: float, resolution: float, seed: int, turn: int, refine: bool) -> DataFrame:
@@ -262,7 +262,7 @@ def _turn(edges: DataFrame, state: DataFrame, total: float, resolution: float, s
 
 def _settle(edges: DataFrame, state: DataFrame, n: int, total: float, resolution: float, seed: int, refine: bool) -> tuple[DataFrame, str, int]:
     """Turns until the halves that two turns ask hardly move; the last state, its path, and how many moved in all."""
-    spark, path, before, moves = edges.sparkSession, None, n, 0
+    spark, path, before, moves = edges.sparkSession, None, 0, 0
     for turn in range(TURNS):
         seen = Observation()
         step, to = stored(_turn(edges, state, total, resolution, seed + refine, turn, refine).observe(seen, F.count_if("moved").alias("moved")), "communities")
@@ -271,7 +271,7 @@ def _settle(edges: DataFrame, state: DataFrame, n: int, total: float, resolution
         state, path = step, to
         now = seen.get["moved"]
         moves += now
-        if before + now <= STILL * n:
+        if turn % 2 and before + now <= STILL * n:  # both halves were asked
             break
         before = now
     return state, path, moves

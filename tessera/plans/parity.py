@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.operators import align, annotations, cluster, dataset, patterns, relational, seqlets, topics
 from tessera.plans import plotdata
-from tessera.plans.queries import ANNOT, CELLS, DBD_SQL, DBDS, IC, LETTERS, PATTERN_ROWS, PPM, TOPIC, WIDE, annotation_rows, event_hits, examples, label_ppm, matrix, micro, micro_vectors, order_topics, part_patterns, query, table, vector
+from tessera.plans.queries import ANNOT, CELLS, DBD_SQL, DBDS, IC, LETTERS, PATTERN_ROWS, PPM, SPANNED, TOPIC, WIDE, annotation_rows, event_hits, examples, label_ppm, matrix, micro, micro_vectors, order_topics, part_patterns, query, table, vector
 from tessera.shared import shared_dir
 from tessera.sources import readers
 
@@ -404,17 +404,6 @@ def nearest_motifs(spark, sf_dir):
     return align.nearest(e, 3).select("seqlet_id", F.posexplode("nearest").alias("rank", "n")).select("seqlet_id", F.col("n.motif_idx").cast("int").alias("motif_idx"), F.round("n.sim", 6).alias("sim"), "rank")
 
 
-SPANNED = """x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings),
-q AS (SELECT vec_id, i, CAST(round(CAST(v AS DOUBLE) * 1000000) AS BIGINT) AS v FROM x),
-u AS (SELECT vec_id, i + 1 AS i, CAST(sum(v) OVER (PARTITION BY vec_id ORDER BY i) AS BIGINT) AS c FROM q UNION ALL SELECT vec_id, 0, 0 FROM embeddings),
-s AS (SELECT a.vec_id, l.len, a.i AS start, b.c - a.c AS s FROM u a, (SELECT unnest(range(4, 26)) AS len) l, u b WHERE b.vec_id = a.vec_id AND b.i = a.i + l.len),
-g AS (SELECT len, coalesce(max(s) FILTER (s > 0), 0) AS xmax, coalesce(min(s) FILTER (s <= 0), 0) AS xmin, count(*) FILTER (s > 0) AS n_pos, count(*) FILTER (s <= 0) AS n_neg FROM s GROUP BY len),
-h AS (SELECT s.vec_id, s.len, s.start, s > 0 AS positive, coalesce(999 * s // CASE WHEN s > 0 THEN xmax ELSE nullif(xmin, 0) END, 0) AS bin, CASE WHEN s > 0 THEN n_pos ELSE n_neg END AS side FROM s JOIN g ON s.len = g.len),
-k AS (SELECT len, positive, bin, side, count(*) AS n FROM h GROUP BY ALL),
-t AS (SELECT len, positive, bin, 1 - sum(n) OVER (PARTITION BY len, positive ORDER BY bin) / side AS p FROM k),
-r AS (SELECT h.vec_id, h.len, h.start, t.p, max(t.p) OVER (PARTITION BY h.vec_id, h.start ORDER BY h.len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h JOIN t ON h.len = t.len AND h.positive = t.positive AND h.bin = t.bin)"""
-
-
 @query(f"WITH {SPANNED} SELECT vec_id AS example_idx, CAST(len AS INT) AS len, CAST(start AS INT) AS start, round(CASE WHEN before >= 0.05 THEN 0.05 ELSE p END, 6) AS p FROM r")
 def span_p_values(spark, sf_dir):
     """P of every span, capped where a shorter one failed.  In units of a millionth, so sums are exact."""

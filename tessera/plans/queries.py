@@ -93,10 +93,35 @@ def span_histogram(spark, sf_dir):
     return seqlets.histogram(found, seqlets.background(found), integer=True).withColumn("p", F.round("p", 6))
 
 
-@query()
+SPANNED = """x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings),
+q AS (SELECT vec_id, i, CAST(round(CAST(v AS DOUBLE) * 1000000) AS BIGINT) AS v FROM x),
+u AS (SELECT vec_id, i + 1 AS i, CAST(sum(v) OVER (PARTITION BY vec_id ORDER BY i) AS BIGINT) AS c FROM q UNION ALL SELECT vec_id, 0, 0 FROM embeddings),
+s AS (SELECT a.vec_id, l.len, a.i AS start, b.c - a.c AS s FROM u a, (SELECT unnest(range(4, 26)) AS len) l, u b WHERE b.vec_id = a.vec_id AND b.i = a.i + l.len),
+g AS (SELECT len, coalesce(max(s) FILTER (s > 0), 0) AS xmax, coalesce(min(s) FILTER (s <= 0), 0) AS xmin, count(*) FILTER (s > 0) AS n_pos, count(*) FILTER (s <= 0) AS n_neg FROM s GROUP BY len),
+h AS (SELECT s.vec_id, s.len, s.start, s > 0 AS positive, coalesce(999 * s // CASE WHEN s > 0 THEN xmax ELSE nullif(xmin, 0) END, 0) AS bin, CASE WHEN s > 0 THEN n_pos ELSE n_neg END AS side FROM s JOIN g ON s.len = g.len),
+k AS (SELECT len, positive, bin, side, count(*) AS n FROM h GROUP BY ALL),
+t AS (SELECT len, positive, bin, 1 - sum(n) OVER (PARTITION BY len, positive ORDER BY bin) / side AS p FROM k),
+r AS (SELECT h.vec_id, h.len, h.start, t.p, max(t.p) OVER (PARTITION BY h.vec_id, h.start ORDER BY h.len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h JOIN t ON h.len = t.len AND h.positive = t.positive AND h.bin = t.bin)"""
+
+
+# A span is a candidate if the spans one position right of it, each one shorter, are significant too and its right neighbour is
+# not asked before it; from long to short, the most significant first, it is taken if none of the starts that it needs is closed.
+@query(
+    f"""WITH RECURSIVE {SPANNED},
+low AS (SELECT vec_id, len, start, p FROM r WHERE p < 0.05 AND coalesce(before, 0) < 0.05),
+diag AS (SELECT a.vec_id, a.len, a.start, a.p, count(b.start) AS n, min(CASE WHEN b.start = a.start + 1 THEN b.p END) AS beside FROM low a LEFT JOIN low b ON b.vec_id = a.vec_id AND b.start > a.start AND b.start <= a.start + a.len - 4 AND b.len = a.len - (b.start - a.start - 1) GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY len DESC, p, start) AS i FROM diag WHERE n = len - 4 AND (len = 4 OR beside >= p)),
+w AS (SELECT vec_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS taken, false AS got, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS len, CAST(0 AS DOUBLE) AS p FROM (SELECT DISTINCT vec_id FROM v)
+  UNION ALL SELECT vec_id, i, CASE WHEN free THEN list_append(taken, struct_pack(a := start, b := least(start + len, 63))) ELSE taken END, free, start, len, p
+  FROM (SELECT v.vec_id, v.i, w.taken, v.start, v.len, v.p, len(list_filter(w.taken, lambda t: t.a <= v.start + v.len - 4 AND t.b > v.start)) = 0 AS free FROM w JOIN v ON v.vec_id = w.vec_id AND v.i = w.i + 1)),
+took AS (SELECT vec_id, greatest(start - 3, 0) AS s, least(start + len + 3, 63) AS e, p FROM w WHERE got)
+SELECT row_number() OVER (ORDER BY took.p, took.vec_id, took.s, took.e) - 1 AS seqlet_id, took.vec_id AS example_idx, CAST(took.s AS INT) AS start, CAST(took.e AS INT) AS "end", CAST(y.c - x.c AS DOUBLE) AS attribution, round(took.p, 6) AS p_value
+FROM took JOIN u x ON x.vec_id = took.vec_id AND x.i = took.s JOIN u y ON y.vec_id = took.vec_id AND y.i = took.e"""
+)
 def seqlet_calls(spark, sf_dir):
-    x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("example_idx"), vector().alias("x"))
-    return seqlets.with_ids(seqlets.call_seqlets(x, threshold=0.05, flank=3))
+    """Called, flanked by three positions, numbered.  In units of a millionth, so sums are exact."""
+    x = micro_vectors(spark, sf_dir).select("example_idx", F.transform("x", lambda v: v.cast("double")).alias("x"))
+    return seqlets.with_ids(seqlets.call_seqlets(x, threshold=0.05, flank=3)).withColumn("p_value", F.round("p_value", 6))
 
 
 @query(
