@@ -504,18 +504,18 @@ def test_neighbours_by_the_index(spark):
 def test_clustering_beyond_the_limits_of_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 8, (6, 8))
-    points = [(i, (centres[i % 6] + rng.normal(0, 0.4, 8)).tolist()) for i in range(600)]
+    points = [(i, (centres[i % 6] + rng.normal(0, 0.4, 8)).tolist()) for i in range(240)]
     sim = spark.createDataFrame(points, "seqlet_id long, sim array<double>")
     for name, value in (("EXACT_ROWS", 100), ("TSNE_ROWS", 120)):
         monkeypatch.setattr(cluster, name, value)
     obs = sim.select("seqlet_id")
     with pytest.warns(UserWarning):
         out = cluster.cluster_seqlets(obs, sim, ["a"] * 8, resolution=0.3).toPandas()
-    assert len(out) == 600 and np.isfinite(out[["x", "y"]].to_numpy()).all()
+    assert len(out) == 240 and np.isfinite(out[["x", "y"]].to_numpy()).all()
     groups = [out[out["seqlet_id"] % 6 == g]["leiden"] for g in range(6)]
     assert all(g.nunique() == 1 for g in groups) and out["leiden"].nunique() == 6
     again = cluster.second_round(out.pipe(spark.createDataFrame).withColumn("cluster_dbd", F.when(F.col("seqlet_id") % 6 < 2, "Ets").otherwise("nan")), sim, ["a"] * 8, 0.3)
-    assert again.count() == 200
+    assert again.count() == 80
     wide = sim.select(F.col("seqlet_id").cast("string").alias("region_id"), *(F.get("sim", F.lit(i)).alias(f"Topic_{i + 1}") for i in range(8)))
     assert cluster.cluster_regions(wide, 0.3).groupBy("leiden").count().count() == 6
 
