@@ -612,6 +612,15 @@ def test_op9_rows_without_ids_link_like_others(spark, monkeypatch):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [data[0], data[4], data[5], data[6], data[8]]))
 
 
+def test_op9_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words and their complements have one polynomial modulo 2**64, whatever its base."""
+    morse = ["".join("ab"[i.bit_count() & 1] for i in range(1 << k)) for k in (4, 8, 9, 10, 11, 12)]
+    data = list(enumerate([t for x in morse for t in (x, x.translate({97: 98, 98: 97}))]))
+    data += [(20, " ".join([morse[3], data[7][1]] * 9)), (21, "one two three " + morse[4]), (22, "One two three " + data[9][1]), (23, morse[5].upper())]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(data, "doc_id long, text string"), 4, 85).collect()}
+    assert got == components(data, 4, 85) and got[23] == (1, 10) and got[7] == (1, 7) and got[20] == (2, 20)
+
+
 def test_op9_edges(odd, empty):
     got = jaccard_join.join(odd, 4, 85).collect()
     assert len(got) == odd.count() and all(r["component_id"] is not None for r in got if r["doc_id"] is not None)
