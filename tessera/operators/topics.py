@@ -1,7 +1,8 @@
-"""Topics of clusters per region: collapsed Gibbs sampling, model comparison, and matrices by topic."""
+"""Topics of clusters per region: Gibbs sampling, model comparison, and matrices by topic."""
 
 from __future__ import annotations
 
+import zlib
 from math import lgamma
 
 import numpy as np
@@ -80,6 +81,72 @@ def plain_gibbs(docs: np.ndarray, words: np.ndarray, n_docs: int, n_words: int,
     return dt, tw
 
 
+#: Numbers of a chunk of cells that are at work together, and tokens of a cell that are drawn one by one.
+WORK, MANY = 1 << 16, 255
+
+
+class Cells:
+    """A shard's cells, (region, cluster) pairs with the tokens that they hold, in chunks of whole regions.
+
+    Of a chunk: its regions, from ``first`` on; region and word of its cells, those with the most tokens first but for the ones
+    with over ``MANY``, which come last; how many cells have more than j tokens, for each j; and the ways back to regions and words."""
+
+    def __init__(self, docs: np.ndarray, words: np.ndarray, n: np.ndarray, k: int):
+        bounds = np.flatnonzero(np.diff(docs, prepend=-1, append=-1))  # of each region's cells
+        self.chunks, at = [], 0
+        while at < len(bounds) - 1:
+            to = max(int(np.searchsorted(bounds, bounds[at] + max(WORK // k, 1), "right")) - 1, at + 1)
+            d, w, m = (x[bounds[at] : bounds[to]] for x in (docs, words, n))
+            order = np.argsort(np.where(m > MANY, 0, -m), kind="stable")
+            few = int((m <= MANY).sum())
+            more = [int(x) for x in np.searchsorted(-m[order[:few]], -np.arange(m[order[0]] if few else 0), "left")]
+            by_word = np.argsort(w[order], kind="stable")
+            kinds, starts = np.unique(w[order][by_word], return_index=True)
+            self.chunks.append((int(d[0]), d[order] - d[0], w[order], m[order[few:]], more, np.argsort(order), bounds[at:to] - bounds[at], by_word, kinds, starts))
+            at = to
+
+
+def _draw(p: np.ndarray, many: np.ndarray, more: list[int], rng: np.random.Generator) -> np.ndarray:
+    """Tokens by (topic, cell): multinomial draws of each cell under the running sums ``p`` of its topics' weights."""
+    few = p.shape[1] - len(many)
+    out, upto, hit = np.empty(p.shape, np.int32), np.zeros((len(p), few), np.uint8), np.empty((len(p), few), bool)
+    for m in more:
+        u = (1 - rng.random(m, np.float32)) * p[-1, :m]
+        upto[:, :m] += np.greater_equal(p[:, :m], u, out=hit[:, :m]).view(np.uint8)
+    out[0, :few] = upto[0]
+    np.subtract(upto[1:], upto[:-1], out=out[1:, :few])
+    if len(many):
+        weights = np.diff(p[:, few:].astype(float), axis=0, prepend=0)
+        out[:, few:] = rng.multinomial(many, (weights / weights.sum(0)).T).T
+    return out
+
+
+def cell_gibbs(cells: Cells, dt: np.ndarray, own: np.ndarray, wt: np.ndarray, alpha: float, eta: float, sweeps: int, rng: np.random.Generator) -> None:
+    """Gibbs sampling of topics by cells: ``dt``, counts of (region, topic), and ``own``, of (word, topic), of a shard are brought
+    on by some sweeps.  ``wt``: counts of (word, topic), those of other shards included.
+
+    A sweep draws each topic's clusters and each region's topics from their Dirichlet posteriors; given these, tokens are
+    independent, so all tokens of a cell are one multinomial draw.  It leaves the same posterior as the collapsed sampler, and a
+    sweep's cost follows the cells, not the tokens.  Weights are in single precision.
+    """
+    others = wt - own
+    for _ in range(sweeps if dt.shape[1] > 1 else 0):
+        phi = rng.standard_gamma(others + own + eta)
+        phi = np.ascontiguousarray((phi / np.maximum(phi.sum(0), 1e-300)).T, np.float32)
+        phi /= np.maximum(phi.max(), np.float32(1e-30))
+        own[:] = 0
+        for first, docs, words, many, more, back, bounds, by_word, kinds, starts in cells.chunks:
+            here = slice(first, first + len(bounds))
+            theta = rng.standard_gamma(dt[here] + alpha)
+            theta = np.ascontiguousarray((theta / np.maximum(theta.max(1, keepdims=True), 1e-300)).T, np.float32)
+            p = theta.take(docs, 1)
+            p *= phi.take(words, 1)
+            p += np.float32(1e-37)  # no cell is without weight
+            drawn = _draw(np.cumsum(p, 0, out=p), many, more, rng)
+            dt[here] = np.add.reduceat(drawn.take(back, 1), bounds, 1).T
+            own[kinds] += np.add.reduceat(drawn.take(by_word, 1), starts, 1).T
+
+
 def log_likelihood(dt: np.ndarray, tw: np.ndarray, alpha: float, eta: float, mode: str = "exact") -> float:
     """M12.  ``exact``: log p(words, topics).  ``reference``: as ``exact``, but of the terms of the cells only the last one
     counts, and the rows' terms only from the last row with a count on; results can so be compared with those of packages
@@ -112,11 +179,11 @@ def _total(terms: list, prior: float, mode: str) -> float:
 
 
 FITS = "k int, kind string, row string, topic int, prob double, log_likelihood double"
-SHARD = "shard int, regions array<string>, docs binary, words binary"
+SHARD = "shard int, regions array<string>, docs binary, words binary, n binary"
 
 
 def _shards(counts: DataFrame, names: list[str], shards: int) -> DataFrame:
-    """Each shard's regions in order, and the place of the region and of the cluster of each of its tokens."""
+    """Each shard's regions in order, and of each of its cells the place of the region and of the cluster, and its tokens."""
     shared = counts.sparkSession.sparkContext.broadcast({c: i for i, c in enumerate(names)})
 
     def pack(table: pa.Table) -> pa.Table:
@@ -124,16 +191,15 @@ def _shards(counts: DataFrame, names: list[str], shards: int) -> DataFrame:
         regions, docs = np.unique(np.array(table["region_id"].to_pylist(), object).astype(str), return_inverse=True)
         words = np.array([number[c] for c in table["cluster"].to_pylist()], np.int64)
         order = np.lexsort((words, docs))
-        n = table["n"].to_numpy()[order]
-        rows = [table["shard"][0].as_py(), regions.tolist(), np.repeat(docs[order], n).astype("<i4").tobytes(), np.repeat(words[order], n).astype("<i4").tobytes()]
-        return pa.table([pa.array([x], kind) for x, kind in zip(rows, (pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()), strict=True)], [c.split()[0] for c in SHARD.split(", ")])
+        rows = [table["shard"][0].as_py(), regions.tolist(), *(x[order].astype("<i4").tobytes() for x in (docs, words, table["n"].to_numpy()))]
+        return pa.table([pa.array([x], kind) for x, kind in zip(rows, (pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in SHARD.split(", ")])
 
     dealt = counts.withColumn("shard", F.pmod(F.xxhash64("region_id"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(pack, SHARD)
 
 
 def fit_topics(counts: DataFrame, ks: list[int] | None = None, alpha: float = 50.0, eta: float = 0.1, n_iter: int = 150, seed: int = 123, mode: str = "exact", shard_tokens: int = SHARD_TOKENS, shards: int = SHARDS, merge: int = MERGE) -> DataFrame:
-    """Topics of regions and clusters by collapsed Gibbs sampling, for each number of topics, with the likelihood.
+    """Topics of regions and clusters by Gibbs sampling (``cell_gibbs``), for each number of topics, with the likelihood.
 
     Regions are dealt to shards of about ``shard_tokens`` tokens, ``shards`` at least.  A task samples a shard for one number of
     topics; after ``merge`` sweeps the counts of clusters by topic, which are all that shards share, are added up and sent out
@@ -150,14 +216,14 @@ def fit_topics(counts: DataFrame, ks: list[int] | None = None, alpha: float = 50
     parts = max(shards, -(-tokens // shard_tokens))
     fixed, fixed_at = stored(_shards(kept, names, parts), "topic-shards")
     models = fixed.select("shard").crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in ks], "k int")))
-    state, state_at = models.withColumn("z", F.lit(None).cast("binary")), None
+    state, state_at = models.withColumns({"z": F.lit(None).cast("binary"), "own": F.lit(None).cast("array<long>")}), None
     total: dict[int, np.ndarray] = {}
     turns = [min(merge, n_iter - at) for at in range(0, n_iter, merge)]
     for turn, sweeps in enumerate([0, *turns]):
         step, step_at = stored(_turn(fixed, state, len(names), total, alpha, eta, sweeps, seed + 1000 * turn), "topic-turn")
         if state_at:
             drop(spark, state_at)
-        state, state_at = step.select("k", "shard", "z"), step_at
+        state, state_at = step, step_at
         total = {k: np.zeros((len(names), k)) for k in ks}
         for k, cell, n in step.select("k", F.posexplode("own").alias("cell", "n")).where("n > 0").groupBy("k", "cell").agg(F.sum("n")).collect():  # clusters times topics
             total[k].reshape(-1)[cell] = n
@@ -181,24 +247,29 @@ def _places(packed: bytes) -> np.ndarray:
 
 
 def _turn(fixed: DataFrame, state: DataFrame, n_words: int, total: dict[int, np.ndarray], alpha: float, eta: float, sweeps: int, seed: int) -> DataFrame:
-    """(k, shard, z, own): the topics of each shard's tokens after some sweeps, and their counts by cluster and topic."""
+    """(k, shard, z, own): each shard's counts of tokens by region and topic after some sweeps, and by cluster and topic."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                k, docs, words = row["k"], _places(row["docs"]), _places(row["words"])
+                k, (docs, words, n) = row["k"], (_places(row[c]) for c in ("docs", "words", "n"))
                 rng = np.random.default_rng([seed, k, row["shard"]])
                 if row["z"] is None:
-                    z = rng.integers(0, k, len(docs))
+                    dt, own = np.zeros((len(row["regions"]), k), np.int64), np.zeros((n_words, k), np.int64)
+                    for lo in range(0, len(n), WORK):
+                        part = slice(lo, lo + WORK)
+                        drawn = rng.multinomial(n[part], np.full(k, 1 / k))
+                        np.add.at(dt, docs[part], drawn)
+                        np.add.at(own, words[part], drawn)
                 else:
-                    z = gibbs(docs, words, np.frombuffer(row["z"], "<i2"), len(row["regions"]), total[k], alpha / k, eta, sweeps, rng)
-                own = np.bincount(words * k + z, minlength=n_words * k)
-                columns = [pa.array([k], pa.int32()), pa.array([row["shard"]], pa.int32()), pa.array([z.astype("<i2").tobytes()]), pa.array([own.tolist()], pa.list_(pa.int64()))]
+                    dt, own = _places(zlib.decompress(row["z"])).reshape(-1, k), np.array(row["own"], np.int64).reshape(-1, k)
+                    cell_gibbs(Cells(docs, words, n, k), dt, own, total[k], alpha / k, eta, sweeps, rng)
+                columns = [pa.array([k], pa.int32()), pa.array([row["shard"]], pa.int32()), pa.array([zlib.compress(dt.astype("<i4").tobytes(), 1)]), pa.array([own.reshape(-1).tolist()], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "shard", "z", "own"])
 
     # A row is a shard of one model: the sampler costs far more than moving it, and small rows would be gathered in one task.
     n = int(fixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = state.join(fixed, "shard").select("k", "shard", "z", "regions", "docs", "words").repartition(n, "k", "shard")
+    met = state.join(fixed, "shard").select("k", "shard", "z", "own", "regions", "docs", "words", "n").repartition(n, "k", "shard")
     return met.mapInArrow(run, "k int, shard int, z binary, own array<long>")
 
 
@@ -208,14 +279,14 @@ def _regions(fixed: DataFrame, state: DataFrame, alpha: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                k, docs = row["k"], _places(row["docs"])
-                counts = np.bincount(docs * k + np.frombuffer(row["z"], "<i2"), minlength=len(row["regions"]) * k).reshape(-1, k)
+                k = row["k"]
+                counts = _places(zlib.decompress(row["z"])).reshape(-1, k)
                 terms = [_row_terms(c, alpha / k) for c in counts]
                 probs = (counts + alpha / k) / (counts + alpha / k).sum(1, keepdims=True)
                 columns = [pa.array([k] * len(counts), pa.int32()), pa.array(row["regions"]), pa.array(probs.tolist(), pa.list_(pa.float64())), pa.array([t[0] for t in terms]), pa.array([t[1] for t in terms], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "row", "probs", "exact", "last"])
 
-    met = state.join(fixed, "shard").select("k", "shard", "z", "regions", "docs")
+    met = state.join(fixed, "shard").select("k", "shard", "z", "regions")
     return met.mapInArrow(run, "k int, row string, probs array<double>, exact double, last double")
 
 

@@ -681,6 +681,27 @@ def test_topics_of_shards_are_as_good_as_those_of_one_sampler(spark, monkeypatch
     assert abs(fits[fits.k == 5]["log_likelihood"].iloc[0] - topics.log_likelihood(dt, tw, 0.2, 0.1)) < 0.02 * abs(topics.log_likelihood(dt, tw, 0.2, 0.1))
 
 
+def test_tokens_of_a_cell_are_drawn_at_once(monkeypatch):
+    """The work follows the pairs of region and cluster, however many tokens they hold, and draws are multinomial."""
+    monkeypatch.setattr(topics, "WORK", 64)
+    rng = np.random.default_rng(5)
+    docs, words = np.nonzero(rng.random((40, 6)) < 0.7)
+    for scale in (1, 30, 3_000_000):
+        n = scale * rng.integers(1, 20, len(docs))
+        dt, own = np.zeros((40, 3), np.int64), np.zeros((6, 3), np.int64)
+        np.add.at(dt, (docs, 0), n)
+        np.add.at(own, (words, 0), n)
+        sizes, kinds = dt.sum(1), own.sum(1)
+        topics.cell_gibbs(topics.Cells(docs, words, n, 3), dt, own, own.astype(float), 1.0, 0.1, 3, rng)
+        assert (dt.sum(1) == sizes).all() and (own.sum(1) == kinds).all() and (dt >= 0).all() and (own[:, 1:].sum() > 0)
+    weights, many = np.array([0.2, 0.0, 0.5, 0.3]), np.array([400] * 500)
+    for some, more in ((many, []), (many[:0], [500] * 200)):
+        drawn = topics._draw(np.repeat(weights.cumsum()[:, None], 500, 1).astype(np.float32), some, more, rng)
+        size = 400 if len(some) else 200
+        assert (drawn.sum(0) == size).all() and not drawn[1].any() and np.abs(drawn.mean(1) / size - weights).max() < 0.01
+        assert abs(drawn[0].var() / (size * 0.2 * 0.8) - 1) < 0.3
+
+
 def test_likelihood_of_shards_is_that_of_the_whole(spark):
     data = [(f"r{r:02}", f"c{c}", 1 + (r * c) % 3) for r in range(11) for c in range(6) if (r + c) % 3]
     counts = spark.createDataFrame(data, "region_id string, cluster string, n long")
