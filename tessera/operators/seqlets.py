@@ -89,37 +89,43 @@ class Background:
         return out
 
 
-def p_matrix(x: np.ndarray, bg: Background, threshold: float) -> np.ndarray:
-    """P of each (length, start); a span whose shorter span at the same start fails has p of at least the threshold."""
-    n = len(x)
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    out = np.ones((bg.longest + 1, n))
-    failed = np.zeros(n, bool)
+def p_matrices(x: np.ndarray, bg: Background, threshold: float) -> np.ndarray:
+    """P of each (example, length, start) of examples of one length; a span whose shorter span at the same start fails has p
+    of at least the threshold."""
+    rows, n = x.shape
+    sums = np.concatenate([np.zeros((rows, 1)), np.cumsum(x, 1)], 1)
+    out = np.ones((rows, bg.longest + 1, n))
+    failed = np.zeros((rows, n), bool)
     for j in range(bg.shortest, min(bg.longest, n) + 1):
-        s = sums[j:] - sums[:-j]
+        s = sums[:, j:] - sums[:, :-j]
         top = np.where(s > 0, bg.xmax[j], bg.xmin[j])
         bins = np.clip(np.floor(np.divide(BINS * s, top, out=np.zeros_like(s), where=top != 0)), 0, BINS).astype(int)
         p = bg.p[(s > 0).astype(int), j, bins]
         p = np.where((s <= 0) & (bg.xmin[j] == 0), 1.0, p)
-        here = failed[: len(s)]
-        out[j, : len(s)] = np.where(here, np.maximum(threshold, 0), p)
-        failed[: len(s)] = here | (p >= threshold)
+        here = failed[:, : s.shape[1]]
+        out[:, j, : s.shape[1]] = np.where(here, np.maximum(threshold, 0), p)
+        failed[:, : s.shape[1]] = here | (p >= threshold)
     return out
 
 
-def call_one(x: np.ndarray, bg: Background, threshold: float, flank: int) -> list[tuple[int, int, float, float]]:
+def p_matrix(x: np.ndarray, bg: Background, threshold: float) -> np.ndarray:
+    return p_matrices(x[None], bg, threshold)[0]
+
+
+def call_one(x: np.ndarray, bg: Background, threshold: float, flank: int, p: np.ndarray | None = None) -> list[tuple[int, int, float, float]]:
     """M1: the calls of one example: from long to short spans, the most significant first.
 
     A span is taken if the spans one position right of it, each one shorter than the last, are significant too; the starts
-    inside a span taken are closed.
+    inside a span taken are closed.  ``p``: the example's ``p_matrix``, if it is known; it is overwritten.
     """
     n, out = len(x), []
     if n < bg.shortest:
         return out
     sums = np.concatenate([[0.0], np.cumsum(x)])
-    p = p_matrix(x, bg, threshold)
+    p = p_matrix(x, bg, threshold) if p is None else p
+    some = (p < threshold).any(1)
     for j in range(min(bg.longest, n), bg.shortest - 1, -1):
-        while True:
+        while some[j]:
             k = int(np.argmin(p[j]))
             value = p[j, k]
             p[j, k] = 1
@@ -135,16 +141,41 @@ def call_one(x: np.ndarray, bg: Background, threshold: float, flank: int) -> lis
     return out
 
 
+#: Spans whose p-values are looked up together.
+TOGETHER = 1 << 20
+
+
+def call_all(values: list[np.ndarray], bg: Background, threshold: float, flank: int) -> list[list[tuple[int, int, float, float]]]:
+    """``call_one`` of each example, with the p-values of examples of one length at once."""
+    found: list[list] = [[] for _ in values]
+    lengths = np.array([len(x) for x in values])
+    for n in np.unique(lengths[lengths >= bg.shortest]).tolist():
+        same = np.flatnonzero(lengths == n).tolist()
+        step = max(TOGETHER // (n * (bg.longest + 1)), 1)
+        for lo in range(0, len(same), step):
+            part = same[lo : lo + step]
+            for i, p in zip(part, p_matrices(np.stack([values[i] for i in part]), bg, threshold), strict=True):
+                found[i] = call_one(values[i], bg, threshold, flank, p)
+    return found
+
+
+def _spread(examples: DataFrame) -> DataFrame:
+    """Examples dealt out evenly: what is done with one costs far more than moving it, and a small file is one task."""
+    return examples.select("example_idx", "x").repartition(int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "example_idx")
+
+
 def call_seqlets(examples: DataFrame, threshold: float = 0.01, shortest: int = 4, longest: int = 25, flank: int = 0, background_table: Background | None = None) -> DataFrame:
     """M1: calls on (example_idx, x).  The background is that of all examples in the call, or one frozen before."""
-    bg = background_table or Background.of(examples, shortest, longest)
+    bg = background_table or Background.of(_spread(examples), shortest, longest)
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, *c) for i, x in zip(pdf["example_idx"], pdf["x"], strict=True) for c in call_one(np.asarray(x, float), bg, threshold, flank)]
+            calls = call_all([np.asarray(x, float) for x in pdf["x"]], bg, threshold, flank)
+            rows = [(i, *c) for i, found in zip(pdf["example_idx"], calls, strict=True) for c in found]
             yield pd.DataFrame(rows, columns=["example_idx", "start", "end", "attribution", "p_value"])
 
-    return examples.select("example_idx", "x").mapInPandas(run, SEQLETS)
+    dealt = examples.select("example_idx", "x") if examples.isStreaming else _spread(examples)
+    return dealt.mapInPandas(run, SEQLETS)
 
 
 def with_ids(seqlets: DataFrame) -> DataFrame:

@@ -681,6 +681,19 @@ def test_topics_of_shards_are_as_good_as_those_of_one_sampler(spark, monkeypatch
     assert abs(fits[fits.k == 5]["log_likelihood"].iloc[0] - topics.log_likelihood(dt, tw, 0.2, 0.1)) < 0.02 * abs(topics.log_likelihood(dt, tw, 0.2, 0.1))
 
 
+def test_calls_of_many_examples_are_those_of_each(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = [np.round(rng.normal(0, 1, n) * (1 + 3 * (rng.random(n) < 0.2)), 6) for n in [*rng.integers(0, 70, 90), *[64] * 90]]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(values)], "example_idx long, x array<double>").coalesce(1)
+    bg = seqlets.Background.of(rows)
+    monkeypatch.setattr(seqlets, "TOGETHER", 26 * 64 * 7)
+    want = [seqlets.call_one(x, bg, 0.1, 3) for x in values]
+    assert seqlets.call_all(values, bg, 0.1, 3) == want and sum(map(len, want)) > 50
+    called = seqlets.call_seqlets(rows, 0.1, flank=3)
+    assert sorted(map(tuple, called.collect())) == sorted((i, *c) for i, found in enumerate(want) for c in found)
+    assert called.rdd.getNumPartitions() == 4  # one file's rows are dealt to all tasks
+
+
 def test_tokens_of_a_cell_are_drawn_at_once(monkeypatch):
     """The work follows the pairs of region and cluster, however many tokens they hold, and draws are multinomial."""
     monkeypatch.setattr(topics, "WORK", 64)
