@@ -55,7 +55,9 @@ class Layout:
         self.stop = np.minimum(m, lengths[owner] - self.offsets)
         self.owner = owner
         self.spans, span = np.unique(self.first * (m + 1) + self.stop, return_inverse=True)
-        self.row = span.astype(np.int64) * (m * SCORES + 1)  # of the table of tails
+        first, stop = np.divmod(self.spans, m + 1)
+        self.most = int((stop - first).max())  # columns that meet a target, no more than the longest target has
+        self.row = span.astype(np.int64) * (self.most * SCORES + 1)  # of the table of tails
 
 
 class Targets:
@@ -121,26 +123,31 @@ def histogram(bins: np.ndarray, targets: Targets) -> np.ndarray:
     return np.stack([np.bincount(b, targets.counts, SCORES + 1) for b in bins[:, :-1]]).astype(np.int64)
 
 
-def _tails(counts: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """P(sum over columns a .. b - 1 is at least s), a row for each span a * (m + 1) + b, for each s: products of Fourier
-    transforms of the columns' nulls."""
+def _tails(counts: np.ndarray, spans: np.ndarray, most: int) -> np.ndarray:
+    """P(sum over columns a .. b - 1 is at least s), a row for each span a * (m + 1) + b of ``most`` columns at most, for each s:
+    products of Fourier transforms of the columns' nulls."""
     m = len(counts)
     single = counts / counts[0].sum()
-    size = 1 << int(m * SCORES + 1).bit_length()
+    size = 1 << int(m * SCORES + 1).bit_length()  # the same for all parts of the targets
     parts = np.fft.rfft(single, size, axis=1)
     first, stop = np.divmod(spans, m + 1)
     products = np.empty((len(spans), parts.shape[1]), complex)
     at = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(first, stop, strict=True))}
-    for a in np.unique(first).tolist():
+    last = dict(zip(first.tolist(), stop.tolist(), strict=True))  # spans ascend
+    for a, end in last.items():
         running = parts[a]
-        for b in range(a + 1, m + 1):
+        for b in range(a + 1, end + 1):
             if b > a + 1:
                 running = running * parts[b - 1]
             if (a, b) in at:
                 products[at[a, b]] = running
-    pdf = np.maximum(np.fft.irfft(products, size, axis=1)[:, : m * SCORES + 1], 0)
-    pdf[np.arange(m * SCORES + 1)[None] > ((stop - first) * SCORES)[:, None]] = 0
-    return np.minimum(pdf[:, ::-1].cumsum(1)[:, ::-1], 1)
+    pdf = np.fft.irfft(products, size, axis=1)[:, : most * SCORES + 1]
+    np.maximum(pdf, 0, out=pdf)
+    for row, n in zip(pdf, ((stop - first) * SCORES + 1).tolist(), strict=True):
+        row[n:] = 0
+    out = np.empty(pdf.shape)
+    np.cumsum(pdf[:, ::-1], 1, out=out[:, ::-1])
+    return np.minimum(out, 1, out=out)
 
 
 def score(bins: np.ndarray, targets: Targets, counts: np.ndarray, places: bool = True) -> tuple[np.ndarray, ...]:
@@ -150,7 +157,7 @@ def score(bins: np.ndarray, targets: Targets, counts: np.ndarray, places: bool =
     score, the forward strand, the lower offset wins."""
     m = len(bins)
     at = targets.layout(m)
-    tails = _tails(counts, at.spans).reshape(-1)
+    tails = _tails(counts, at.spans, at.most).reshape(-1)
     best = None
     for strand in (0, 1):
         columns, n = at.columns[strand], len(at.offsets)

@@ -681,6 +681,21 @@ def test_topics_of_shards_are_as_good_as_those_of_one_sampler(spark, monkeypatch
     assert abs(fits[fits.k == 5]["log_likelihood"].iloc[0] - topics.log_likelihood(dt, tw, 0.2, 0.1)) < 0.02 * abs(topics.log_likelihood(dt, tw, 0.2, 0.1))
 
 
+def test_tails_are_as_long_as_targets_not_queries():
+    """The nulls of a long query among short targets are those of direct convolution, over the columns that can meet."""
+    rng = np.random.default_rng(9)
+    targets = align.Targets([rng.random((4, n)) for n in (2, 3, 5, 3)])
+    at = targets.layout(20)
+    counts = rng.multinomial(500, np.full(align.SCORES + 1, 1 / (align.SCORES + 1)), 20)
+    tails = align._tails(counts, at.spans, at.most)
+    assert at.most == 5 and tails.shape == (len(at.spans), 5 * align.SCORES + 1)
+    for row, (a, b) in zip(tails, zip(*np.divmod(at.spans, 21))):
+        null = np.ones(1)
+        for c in counts[a:b]:
+            null = np.convolve(null, c / 500)
+        assert np.allclose(row[: len(null)], null[::-1].cumsum()[::-1], atol=1e-12) and not row[len(null) :].any()
+
+
 def test_calls_of_many_examples_are_those_of_each(spark, monkeypatch):
     rng = np.random.default_rng(8)
     values = [np.round(rng.normal(0, 1, n) * (1 + 3 * (rng.random(n) < 0.2)), 6) for n in [*rng.integers(0, 70, 90), *[64] * 90]]
