@@ -20,8 +20,8 @@ INSTANCES = ["leiden", "seqlet_id", "start", "end", "is_revcomp", "is_root", "se
 
 #: Seqlets of a cluster that a task holds; all others of the cluster pass by it.
 BLOCK = 256
-#: Targets that are laid out together as they pass.
-PASSING = 512
+#: Targets that are laid out together as they pass; the tails of a query are computed anew for each group of them.
+PASSING = 2048
 
 
 def _matrices(rows: list) -> list[np.ndarray]:
