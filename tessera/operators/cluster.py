@@ -11,6 +11,8 @@ import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -41,52 +43,151 @@ def pca(rows: DataFrame, id_col: str, values: str, k: int = 50) -> DataFrame:
     return model.transform(centred).select(id_col, F.zip_with(vector_to_array("p"), flip, lambda x, s: x * s).alias("pca"))
 
 
-NEAREST = "id long, neighbor long, distance double"
+NEAREST = "id long, neighbor array<long>, distance array<double>"
+#: Queries and candidates of one product of matrices, and pairs whose distances are computed at a time.
+ROWS, COLUMNS, PAIRS = 256, 4096, 1 << 18
+#: Blocks that even a small table is dealt to on either side, of this many rows at least, so that all cores have some pairs.
+BLOCKS, LEAST_ROWS = 8, 1024
 
 
-def _nearest(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest candidates of each query of a block.  Products of matrices find who may be among them; distances and
-    their order are then computed on the vectors themselves."""
-    q, c = pdf[pdf.is_query], pdf[~pdf.is_query].sort_values("id")
+def _first_copies(y: np.ndarray, m: int) -> np.ndarray:
+    """Places of the first m of equal rows: as ties go to the smaller id, no later ones are among the nearest."""
+    _, kind = np.unique(np.ascontiguousarray(y).view(np.dtype((np.void, y.shape[1] * y.itemsize))).ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    kind = kind[order]
+    return np.sort(order[np.arange(len(y)) - np.searchsorted(kind, kind) < m])
+
+
+def _few(low: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns where ``low`` is not above its row's limit, looked for eight columns at a time."""
+    mask = low <= limit[:, None]
+    eights = np.flatnonzero(mask.view(np.uint64))
+    at = (eights[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(at[mask.ravel()[at]], low.shape[1])
+
+
+def _least(row: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th smallest value of each of n rows; infinite where a row has fewer."""
+    order = np.lexsort((value, row))
+    row = row[order]
+    kth = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+    out = np.full(n, np.inf, value.dtype)
+    out[row[kth]] = value[order][kth]
+    return out
+
+
+def _nearest(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest candidates (``ids``, ``y``) of each query (``own``, ``x``), the smaller id first where they are as near: how
+    many each query has, then the neighbours and the distances of all.
+
+    Products of matrices in single precision find who may be among them: half of the squared distance, less what is the same for
+    all candidates, between bounds for the errors of rounding.  Distances and their order are then computed on the vectors.
+    """
+    counts, neighbors, distances = np.zeros(len(x), np.int64), [np.empty(0, np.int64)], [np.empty(0)]
+    if not len(x) or not len(y):
+        return counts, neighbors[0], distances[0]
+    m = k + int(np.unique(ids, return_counts=True)[1].max())  # a query itself is no neighbour
+    by_id = np.argsort(ids, kind="stable")
+    by_id = by_id[_first_copies(y[by_id], m)]
+    ids, y = ids[by_id], y[by_id]
+    usual = y[np.isfinite(y).all(1)]
+    middle = usual.mean(0) if len(usual) else 0.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.concatenate([(x**2).sum(1), (y**2).sum(1)])
+        squares = np.concatenate([((x - middle) ** 2).sum(1), ((y - middle) ** 2).sum(1)])
+        most = squares[np.isfinite(squares)].max(initial=0.0)
+        single = 1e-20 < most < 1e30 and norms[np.isfinite(norms)].max(initial=0.0) < 1e14 * most
+        if single:  # errors of sums of d + 1 products of rounded numbers; |x| |y| is at most half of both squares
+            kind, unit = np.float32, (x.shape[1] + 8) * float(np.finfo(np.float32).eps) / 2
+        else:
+            kind, unit, middle, squares = np.float64, 1e-9, 0.0, norms
+        ex, ey = unit * squares[: len(x)], 1.5 * unit * squares[len(x) :] + (1e-37 if single else 1e-300)
+        none = -len(y) % 8  # columns come in eights
+        left = np.concatenate([middle - x, np.ones((len(x), 1))], 1).astype(kind)
+        right = np.concatenate([y - middle, (squares[len(x) :] / 2 - ey)[:, None]], 1)
+        right = np.ascontiguousarray(np.concatenate([right, np.full((none, right.shape[1]), np.nan)]).astype(kind).T)
+        more, slack = np.concatenate([2 * ey, np.full(none, np.nan)]).astype(kind), (2 * ex).astype(kind)
+        above = lambda limit, lo: np.nextafter(np.where(np.isnan(limit), np.inf, limit) + slack[lo : lo + ROWS], np.inf, dtype=kind)
+        for lo in range(0, len(x), ROWS):
+            part, mine = left[lo : lo + ROWS], own[lo : lo + ROWS]
+            limit, row, col, low = np.full(len(part), np.inf, kind), np.empty(0, int), np.empty(0, int), np.empty(0, kind)
+            for i, to in enumerate(range(0, right.shape[1], COLUMNS)):
+                found = part @ right[:, to : to + COLUMNS]
+                if not i and found.shape[1] >= m:
+                    limit = above(np.partition(found + more[:COLUMNS], m - 1, axis=1)[:, m - 1], lo)
+                r, c = _few(found, limit)
+                keep = np.isfinite(found[r, c]) & (ids[np.minimum(c + to, len(ids) - 1)] != mine[r])
+                r, c = r[keep], c[keep]
+                row, col, low = np.concatenate([row, r]), np.concatenate([col, c + to]), np.concatenate([low, found[r, c]])
+                if i & (i + 1) == 0 or to + COLUMNS >= right.shape[1]:  # after 1, 2, 4, ... products and the last
+                    limit = np.minimum(limit, above(_least(row, low + more[col], len(part), k), lo))
+                    keep = low <= limit[row]
+                    row, col, low = row[keep], col[keep], low[keep]
+            exact = np.empty(len(row))
+            for p in range(0, len(row), PAIRS):
+                exact[p : p + PAIRS] = np.sqrt(((x[lo + row[p : p + PAIRS]] - y[col[p : p + PAIRS]]) ** 2).sum(1))
+            order = np.lexsort((ids[col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            counts[lo : lo + ROWS] = np.bincount(row[keep], minlength=len(part))
+            neighbors.append(ids[col[keep]])
+            distances.append(exact[keep])
+    return counts, np.concatenate(neighbors), np.concatenate(distances)
+
+
+def _as_rows(own: np.ndarray, counts: np.ndarray, neighbor: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (neighbor.astype(np.int64), distance)]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *lists], ["id", "neighbor", "distance"])
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A matrix of the rows of a column of lists."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if len(sizes) and not (sizes == sizes[0]).all():
+        raise ValueError("vectors must have one length")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+
+
+def _pairs_of_blocks(batches, k: int):
+    """What rows ask for and what they are compared with, told apart by ``is_query``: one pair of blocks a task, or none."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        asked = t["is_query"].to_numpy()
+        own, v = t["id"].to_numpy(), np.concatenate([_vectors(c) for c in t["v"].chunks])
+        yield _as_rows(own[asked], *_nearest(own[asked], v[asked], own[~asked], v[~asked], k))
+
+
+def _nearest_of_group(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    q, c = pdf[pdf.is_query], pdf[~pdf.is_query]
     if q.empty or c.empty:
-        return pd.DataFrame({"id": [], "neighbor": [], "distance": []})
-    x, y, ids = np.stack(q.v), np.stack(c.v), c.id.to_numpy()
-    norms, out = (y**2).sum(1), []
-    slack = 1e-9 * (1 + max(float(norms.max()), float((x**2).sum(1).max())))
-    for lo in range(0, len(x), 256):
-        part, own = x[lo : lo + 256], q.id.to_numpy()[lo : lo + 256]
-        d = (part**2).sum(1)[:, None] + norms[None] - 2 * part @ y.T
-        d[own[:, None] == ids[None]] = np.inf
-        m = min(k, len(ids)) - 1
-        limit = np.partition(d, m, axis=1)[:, m] + slack
-        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        exact = np.sqrt(((part[row] - y[col]) ** 2).sum(1))
-        order = np.lexsort((ids[col], exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - first < k
-        out.append(pd.DataFrame({"id": own[row[keep]], "neighbor": ids[col[keep]], "distance": exact[keep]}))
-    return pd.concat(out)
+        return pd.DataFrame({"id": [], "neighbor": [], "distance": []}, dtype=object)
+    near = _nearest(q.id.to_numpy(), np.stack(q.v), c.id.to_numpy(), np.stack(c.v), k)
+    return _as_rows(q.id.to_numpy(), *near).to_pandas()
 
 
 def _best(found: DataFrame, id_col: str, k: int) -> DataFrame:
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbor"))), 1, k).alias("_n"))
-    return best.select(F.col("id").alias(id_col), F.posexplode("_n").alias("rank", "_x")).select(id_col, F.col("_x.neighbor").alias("neighbor"), F.col("_x.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
+    all_of = found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("distance", "neighbor")))).alias("_n"))
+    once = F.filter("_n", lambda x, i: (i == 0) | (x != F.get("_n", i - 1)))
+    best = all_of.select(F.col("id").alias(id_col), F.posexplode(F.slice(once, 1, k)).alias("rank", "_x"))
+    return best.select(id_col, F.col("_x.neighbor").alias("neighbor"), F.col("_x.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
 
 
-def knn(rows: DataFrame, id_col: str, values: str, k: int = 15, block: int = 16_384) -> DataFrame:
+def knn(rows: DataFrame, id_col: str, values: str, k: int = 15, block: int = 65_536) -> DataFrame:
     """M5: exact nearest neighbours (id, neighbor, distance, rank) by Euclidean distance, ties by the smaller id.
 
     Rows are dealt to blocks; each task holds one block of queries against one block of candidates and keeps k per query, and
     the k nearest of all blocks are merged, so memory is bounded and only k rows per query and block are shuffled.
     """
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(values).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
+    count = rows.count()
+    n = max(1, -(-count // block), min(BLOCKS, count // LEAST_ROWS))
+    dealt = rows.select(F.col(id_col).cast("long").alias("id"), F.col(values).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     everyone = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     queries = dealt.select("id", "v", F.col("b").alias("qb"), everyone.alias("cb"), F.lit(True).alias("is_query"))
     candidates = dealt.select("id", "v", everyone.alias("qb"), F.col("b").alias("cb"), F.lit(False).alias("is_query"))
-    found = queries.unionByName(candidates).groupBy("qb", "cb").applyInPandas(lambda pdf: _nearest(pdf, k), NEAREST)
-    return _best(found, id_col, k)
+    pairs = queries.unionByName(candidates).repartitionById(n * n, F.col("qb") * n + F.col("cb"))
+    return _best(pairs.select("id", "v", "is_query").mapInArrow(lambda batches: _pairs_of_blocks(batches, k), NEAREST), id_col, k)
 
 
 def knn_index(rows: DataFrame, id_col: str, values: str, k: int = 15, cells: int | None = None, probes: int | None = None, queries: DataFrame | None = None, block: int = 16_384) -> DataFrame:
@@ -130,7 +231,7 @@ def knn_index(rows: DataFrame, id_col: str, values: str, k: int = 15, cells: int
     held = candidates.join(F.broadcast(parts), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_query"))
     # Queries of a hot cell are dealt too: each task has some of them and one part of the cell.
     spread = to.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(8)).cast("int")).unionByName(held.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(7)))))
-    found = spread.groupBy("cell", "part", "deal").applyInPandas(lambda pdf: _nearest(pdf, k), NEAREST)
+    found = spread.groupBy("cell", "part", "deal").applyInPandas(lambda pdf: _nearest_of_group(pdf, k), NEAREST)
     return _best(found, id_col, k)
 
 
@@ -143,7 +244,7 @@ def _probes(data: DataFrame, candidates: DataFrame, centres: np.ndarray, k: int)
         asked = shared.value.assign(is_query=True)
         for pdf in batches:
             if len(pdf):
-                yield _nearest(pd.concat([asked, pdf[["id", "v"]].assign(is_query=False)]), k)
+                yield _nearest_of_group(pd.concat([asked, pdf[["id", "v"]].assign(is_query=False)]), k)
 
     true = _best(data.mapInPandas(run, NEAREST), "id", k).join(candidates.select(F.col("id").alias("neighbor"), "cell"), "neighbor").select("id", "cell").toPandas()  # ASKED * k rows
     x = np.stack(local["v"])
@@ -229,43 +330,71 @@ def embed(rows: DataFrame, id_col: str, values: str, seed: int = 42) -> DataFram
 
 #: Turns of moves per level, and the share of nodes that two turns together must still move for another.
 TURNS, STILL = 16, 0.02
+#: Edges that one task of a turn sends.
+EDGES = 65_536
 
 
-def _hash_bit(seed: int, turn: int) -> Column:
+def _goes(node: str, seed: int) -> str:
     """Half of the nodes in one turn and the other half in the next; then another half."""
-    return F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return f"pmod(xxhash64({node}, {seed}, shiftright(turn, 1)), 2) = turn % 2"
+
+
+def _lists(edges: DataFrame, state: DataFrame, refine: bool) -> tuple[DataFrame, int]:
+    """Whom each node meets (b, met: an array of a, w and a's degree), and in how many parts by b: kept for the turns of a level,
+    in which only labels change.  To refine, nodes meet inside communities only."""
+    met = edges.where("a <> b").join(state.selectExpr("node AS a", "degree", "inside AS _in"), "a")
+    if refine:
+        met = met.join(state.selectExpr("node AS b", "inside AS _own"), "b").where("_in = _own")
+    parts = max(1, -(-edges.count() // EDGES))
+    return met.repartition(parts, "b").groupBy("b").agg(F.expr("collect_list(struct(a, w, degree)) AS met")).persist(), parts
 
 
-def _turn(edges: DataFrame, state: DataFrame, total: float, resolution: float, seed: int, turn: int, refine: bool) -> DataFrame:
-    """One turn of moves over ``edges`` (a, b, w), both directions of each pair: (node, degree, label, inside, moved).
+def _turn(lists: DataFrame, parts: int, state: DataFrame, total: float, resolution: float, seed: int, refine: bool) -> DataFrame:
+    """One turn of moves over ``lists``: (node, degree, label, inside, turn, moved).
 
     Half of the nodes go to the neighbouring label of the highest gain, the smallest of equals, if it is higher than where they
     are.  To refine, only nodes that are alone under their label move, and only to labels inside their community (``inside``)
     that a neighbour has who stays in this turn: what they join is connected to them and keeps being so.
+
+    Each node tells its label, with the label's mass, to itself and to those neighbours that may go, so edges are shuffled once.
+    The number of the turn is a column, so that all turns of a level have one plan, whose code is compiled once.
     """
-    mass = state.groupBy("label").agg(F.sum("degree").alias("mass"), F.count("*").alias("n"))
-    there = state.select(F.col("node").alias("b"), F.col("label").alias("to"), F.col("inside").alias("_in"), _hash_bit(seed, turn).alias("_goes"))
-    own = state.select(F.col("node").alias("a"), "degree", F.col("label").alias("here"), F.col("inside").alias("_own"))
-    met = edges.where("a <> b").join(there, "b")
+    itself = "array(struct(s.node AS a, 0D AS w, s.degree))"
+    told = f"concat({itself}, coalesce(met, array()))"
     if refine:
-        met = met.where("NOT _goes").join(own.select("a", "_own"), "a").where("_in = _own")
-    at = met.groupBy("a", "to").agg(F.sum("w").alias("w")).join(own, "a").join(mass.withColumnRenamed("label", "to"), "to")
-    rest = F.col("mass") - F.when(F.col("to") == F.col("here"), F.col("degree")).otherwise(0.0)
-    gain = F.col("w") - resolution * F.col("degree") * rest / total
-    best = at.withColumn("gain", gain).groupBy("a").agg(F.max(F.struct("gain", (-F.col("to")).alias("less"))).alias("best"), F.max(F.when(F.col("to") == F.col("here"), F.col("gain"))).alias("stay"))
-    joined = state.select("node", "degree", "label", "inside").join(best.withColumnRenamed("a", "node"), "node", "left").join(mass, "label")
-    stay = F.coalesce("stay", -resolution * F.col("degree") * (F.col("mass") - F.col("degree")) / total)
-    goes = _hash_bit(seed, turn) & (F.col("best.gain") > stay + 1e-12)
-    moved = F.coalesce(goes & (F.col("n") == 1) if refine else goes, F.lit(False))
-    return joined.select("node", "degree", F.when(moved, -F.col("best.less")).otherwise(F.col("label")).alias("label"), "inside", moved.alias("moved"))
+        told = f"CASE WHEN {_goes('s.node', seed)} THEN {itself} ELSE {told} END"
+    moved = f"{_goes('a', seed)} AND best.gain > stay + 1e-12D" + " AND n = 1" * refine
+    kept = ", ".join(f"max({c}) AS {c}" for c in ("degree", "turn", "n", "inside"))
+    return state.sparkSession.sql(
+        f"""
+        WITH masses AS (SELECT label, sum(degree) AS mass, count(*) AS n FROM {{state}} GROUP BY label),
+        told AS (
+            SELECT /*+ SHUFFLE_HASH(l) */ s.node, s.label AS to, m.mass, m.n, s.inside, s.turn, explode({told}) AS x
+            FROM {{state}} s JOIN masses m ON s.label = m.label LEFT JOIN {{lists}} l ON s.node = l.b),
+        sent AS (SELECT x.a, x.w, x.degree, to, mass, turn, x.a = node AS own, n, inside FROM told),
+        dealt AS (
+            SELECT /*+ REPARTITION({parts}, a) */ a, w, degree, to, mass, turn, own, if(own, n, NULL) AS n, if(own, inside, NULL) AS inside
+            FROM sent WHERE own OR {_goes("a", seed)}),
+        at AS (SELECT a, to, sum(w) AS w, max(mass) AS mass, max(own) AS own, {kept} FROM dealt GROUP BY a, to),
+        gains AS (SELECT *, w - {float(resolution)!r}D * degree * (mass - if(own, degree, 0D)) / {float(total)!r}D AS gain FROM at),
+        best AS (
+            SELECT a, max(struct(gain, -to AS less)) AS best, max(if(own, gain, NULL)) AS stay, max(if(own, to, NULL)) AS label, {kept}
+            FROM gains GROUP BY a),
+        moves AS (SELECT *, coalesce({moved}, false) AS moved FROM best)
+        SELECT a AS node, degree, if(moved, -best.less, label) AS label, inside, turn + 1 AS turn, moved FROM moves""",
+        state=state,
+        lists=lists,
+    )
 
 
 def _settle(edges: DataFrame, state: DataFrame, n: int, total: float, resolution: float, seed: int, refine: bool) -> tuple[DataFrame, str, int]:
     """Turns until the halves that two turns ask hardly move; the last state, its path, and how many moved in all."""
     spark, path, before, moves = edges.sparkSession, None, 0, 0
+    lists, parts = _lists(edges, state, refine)
+    state = state.selectExpr("node", "degree", "label", "inside", "0 AS turn")
     for turn in range(TURNS):
         seen = Observation()
-        step, to = stored(_turn(edges, state, total, resolution, seed + refine, turn, refine).observe(seen, F.count_if("moved").alias("moved")), "communities")
+        step, to = stored(_turn(lists, parts, state, total, resolution, seed + refine, refine).observe(seen, F.count_if("moved").alias("moved")), "communities")
         if path:
             drop(spark, path)
         state, path = step, to
@@ -274,6 +403,7 @@ def _settle(edges: DataFrame, state: DataFrame, n: int, total: float, resolution
         if turn % 2 and before + now <= STILL * n:  # both halves were asked
             break
         before = now
+    lists.unpersist()
     return state, path, moves
 
 

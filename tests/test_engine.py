@@ -838,3 +838,57 @@ def test_entry_and_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("calls").count() > 0
+
+
+def test_nearest_among_copies_and_outliers(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(20, 8)), 40, axis=0), rng.normal(size=(300, 8)), rng.normal(size=(3, 8)) * 1e7, rng.normal(size=(60, 8)) * 1e-3 + 5e3])
+    ids = rng.permutation(len(x)) * 7
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[np.arange(len(x)), np.arange(len(x))] = np.inf
+    want = {int(i): [(int(ids[j]), d[r, j]) for j in np.lexsort((ids, d[r]))[:15]] for r, i in enumerate(ids)}
+    for counts, neighbors, distances in (cluster._nearest(ids, x, ids, x, 15),):
+        got = np.split(np.stack([neighbors, distances], 1), np.cumsum(counts)[:-1])
+    assert {int(i): [(int(a), b) for a, b in g] for i, g in zip(ids, got, strict=True)} == want
+    assert len(cluster._first_copies(np.repeat(x[:1], 5000, axis=0), 16)) == 16  # or all pairs of copies would be held at once
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>")
+    found = {}
+    for r in cluster.knn(rows, "id", "v", block=400).orderBy("id", "rank").collect():
+        found.setdefault(r["id"], []).append((r["neighbor"], r["distance"]))
+    assert found == want
+
+
+def test_a_turn_shuffles_edges_once_and_moves_as_told(spark):
+    rng = np.random.default_rng(2)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 40, (150, 2)).tolist() if p[0] != p[1]}
+    edges = spark.createDataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], "a long, b long, w double").persist()
+    near = {}
+    for p in pairs:
+        for a, b in (p, p[::-1]):
+            near.setdefault(a, set()).add(b)
+    for refine in (False, True):
+        nodes = [(a, float(len(n)), a if refine or a % 3 else a - a % 6, a % 2) for a, n in near.items()]
+        state = spark.createDataFrame(nodes, "node long, degree double, label long, inside long")
+        lists, parts = cluster._lists(edges, state, refine)
+        for turn in (0, 1):
+            now = state.selectExpr("*", f"{turn} AS turn")
+            step = cluster._turn(lists, parts, now, 2.0 * len(pairs), 1.0, 3, refine)
+            assert step._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") - cluster_parts(lists) == 1
+            goes = {r["node"]: r["g"] for r in now.selectExpr("node", f"{cluster._goes('node', 3)} AS g").collect()}
+            at = {a: (k, label, inside) for a, k, label, inside in nodes}
+            want = {}
+            for a, (k, label, inside) in at.items():
+                mass = lambda t, a=a: sum(v[0] for b, v in at.items() if v[1] == t and b != a)
+                met = [b for b in near[a] if not refine or (at[b][2] == inside and not goes[b])]
+                gain = {t: sum(at[b][1] == t for b in met) - k * mass(t) / (2.0 * len(pairs)) for t in {label} | {at[b][1] for b in met}}
+                to = min(gain, key=lambda t: (-gain[t], t))
+                alone = sum(v[1] == label for v in at.values()) == 1
+                want[a] = to if goes[a] and gain[to] > gain[label] + 1e-12 and (alone or not refine) else label
+            got = {r["node"]: (r["label"], r["moved"]) for r in step.collect()}
+            assert got == {a: (t, t != at[a][1]) for a, t in want.items()} and any(m for _, m in got.values())
+        lists.unpersist()
+
+
+def cluster_parts(lists) -> int:
+    """How often the plan of ``lists``, which a plan that reads it shows as well, deals rows to a number of parts."""
+    return lists._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM")
