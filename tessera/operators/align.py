@@ -32,6 +32,8 @@ MOST_BYTES = 256 << 20
 LAYOUTS = 4
 #: Different columns of targets that are compared at a time.
 CHUNK = 4096
+#: Lines that columns of targets are kept by at most, and columns that a line must have.
+LINES, LINE_POINTS = 16, 64
 
 
 class Layout:
@@ -83,10 +85,15 @@ class Targets:
 
 def _scores(query: np.ndarray, targets: Targets) -> np.ndarray:
     """Of each column of the query (4, m) with each different column of the targets: the negative distance."""
-    out = np.empty((query.shape[1], len(targets.distinct)))
+    return _distances(query.T, targets.bases)
+
+
+def _distances(query: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Of each column (n, 4) with each of (4, k): the negative distance."""
+    out = np.empty((len(query), points.shape[1]))
     for lo in range(0, out.shape[1], CHUNK):  # what is at work stays in the cache
         here = out[:, lo : lo + CHUNK]
-        for base, (own, theirs) in enumerate(zip(query, targets.bases[:, lo : lo + CHUNK], strict=True)):
+        for base, (own, theirs) in enumerate(zip(query.T, points[:, lo : lo + CHUNK], strict=True)):
             d = own[:, None] - theirs[None]
             if base:
                 here += np.multiply(d, d, out=d)
@@ -108,6 +115,160 @@ def _bins(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
+class Line:
+    """Points on a line through the origin, up to rounding: in order of their place on it, equal neighbours once."""
+
+    def __init__(self, points: np.ndarray, direction: np.ndarray, places: np.ndarray):
+        order = np.argsort(places, kind="stable")
+        points, places = points[order], places[order]
+        new = np.flatnonzero(np.concatenate([[True], (points[1:] != points[:-1]).any(1)]))
+        self.direction, self.points, self.places = direction, np.ascontiguousarray(points[new].T), places[new]
+        self.weights = np.diff(np.append(new, len(points)))
+        self.before = np.append(new, len(points))
+
+    def seen_from(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of points (n, 4): the place next to each, and the distance there."""
+        t = query @ self.direction
+        return t, np.sqrt(((query - t[:, None] * self.direction) ** 2).sum(1))
+
+
+def _ragged(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of all places of the ranges."""
+    n = np.maximum(stop - first, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, first[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+
+
+def _paired(query: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """``_scores`` of columns (n, 4) with one column each, (4, n), by the same steps and so to the same bits."""
+    out = np.zeros(len(query))
+    for base in range(4):
+        d = query[:, base] - points[base]
+        out = out + d * d if base else d * d
+    return -np.sqrt(out)
+
+
+class Columns:
+    """The columns of targets, of both strands, as the null of a query's columns sees them.
+
+    Where many columns are multiples of one (one base's attribution at each position, or one weight for each base), they are
+    kept by line and counted by binary search: a column of a query costs a few hundred searches, not a distance to each.  A
+    point too near an edge of a bin for that, and every column on no line, is compared itself, so extremes and histograms
+    are those of ``extremes`` and ``histogram`` to the last bit."""
+
+    def __init__(self, forward: np.ndarray):
+        rest = np.concatenate([forward, forward[:, ::-1]])
+        self.n, self.lines = len(rest), []
+        norms = np.sqrt((rest * rest).sum(1))
+        self.reach = float(np.nanmax(norms, initial=0))
+        least = max(LINE_POINTS, len(rest) // 64)
+        while len(self.lines) < LINES and len(rest) >= least:
+            some, best = rest[:: -(-len(rest) // 4096)], (0, None)
+            for lead in some[np.linspace(0, len(some) - 1, 8).astype(int)]:
+                size = np.sqrt((lead * lead).sum())
+                if 0 < size < np.inf:
+                    best = max(best, (self._on(some, lead / size)[0].sum(), lead / size), key=lambda x: x[0])
+            if not best[0]:
+                break
+            direction = best[1]
+            on, t = self._on(rest, direction)
+            if on.sum() < least:
+                break
+            self.lines.append(Line(rest[on], direction, t[on]))
+            rest = rest[~on]
+        self.rest = None
+        if len(rest):
+            distinct, counts = np.unique(rest, axis=0, return_counts=True)
+            self.rest = np.ascontiguousarray(distinct.T), counts
+
+    def _on(self, points: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = points @ direction
+        off = points - t[:, None] * direction
+        return np.einsum("ij,ij->i", off, off) <= (1e-13 * self.reach) ** 2, t
+
+    def _margin(self, query: np.ndarray) -> np.ndarray:
+        return 1e-11 * (self.reach + np.sqrt((query * query).sum(1)))
+
+    def extremes(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest and the highest score of each column (n, 4)."""
+        low, high = np.full(len(query), np.inf), np.full(len(query), -np.inf)
+        if self.rest is not None:
+            for k in range(0, len(query), 64):
+                raw = _distances(query[k : k + 64], self.rest[0])
+                low[k : k + 64], high[k : k + 64] = raw.min(1), raw.max(1)
+        near = self._margin(query)
+        for line in self.lines:
+            t, h = line.seen_from(query)
+            last = len(line.places) - 1
+            far = np.hypot(np.maximum(np.abs(line.places[0] - t), np.abs(line.places[-1] - t)), h)
+            s = np.sqrt(np.maximum((far - near) ** 2 - h * h, 0))
+            at = np.searchsorted(line.places, t)
+            close = np.hypot(np.minimum(np.abs(line.places[np.maximum(at - 1, 0)] - t), np.abs(line.places[np.minimum(at, last)] - t)), h)
+            c = np.sqrt(np.maximum((close + near) ** 2 - h * h, 0)) + near
+            ranges = [(np.zeros(len(t), int), np.searchsorted(line.places, t - s, "right")), (np.searchsorted(line.places, t + s, "left"), np.full(len(t), last + 1))]
+            ranges.append((np.searchsorted(line.places, t - c, "left"), np.searchsorted(line.places, t + c, "right")))
+            for first, stop in ranges:
+                for k in range(0, len(t), 1024):
+                    owner, place = _ragged(first[k : k + 1024], stop[k : k + 1024])
+                    raw = _paired(query[owner + k], line.points[:, place])
+                    np.minimum.at(low, owner + k, raw)
+                    np.maximum.at(high, owner + k, raw)
+        return low, high
+
+    def histogram(self, query: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Counts of the columns by binned score, for each column (n, 4)."""
+        out = np.zeros((len(query), SCORES + 1), np.int64)
+        narrow = ~(high - low > 1e-6 * (self.reach + np.sqrt((query * query).sum(1))))
+        for k in range(0, len(query), 256):
+            some = k + np.flatnonzero(~narrow[k : k + 256])
+            for line in self.lines:
+                if len(some):
+                    out[some] += self._on_line(line, query[some], low[some], high[some])
+        parts = [(self.rest[0], self.rest[1], np.arange(len(query)))] if self.rest is not None else []
+        parts += [(line.points, line.weights, np.flatnonzero(narrow)) for line in self.lines]
+        for points, weights, which in parts:
+            for k in range(0, len(which), 64):
+                own = which[k : k + 64]
+                bins = _bins(_distances(query[own], points), low[own], high[own])
+                for i, b in zip(own, bins[:, :-1], strict=True):
+                    out[i] += np.bincount(b, weights, SCORES + 1).astype(np.int64)
+        return out
+
+    def _on_line(self, line: Line, query: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        t, h = (x[:, None] for x in line.seen_from(query))
+        near, width = self._margin(query)[:, None], (high - low)[:, None]
+        # Distances at the edges between one bin and the next, descending; what lies within the margin of one is compared itself.
+        edges = -(low[:, None] + (np.arange(SCORES) + 0.5) / SCORES * width)
+        reach = lambda e: np.sqrt(np.maximum(e * e - h * h, 0))
+        middle = np.broadcast_to(np.searchsorted(line.places, t), edges.shape)
+        outer, inner = edges + near, edges - near
+        left, right = (np.searchsorted(line.places, t + sign * reach(outer), side) for sign, side in ((-1, "left"), (1, "right")))
+        left, right = np.where(outer < h, middle, left), np.where(outer < h, middle, right)
+        s = reach(inner)
+        tangent = inner <= h
+        last = len(line.places) - 1
+        more = left < right
+        sure_left, sure_right = left.copy(), right.copy()
+        for sure, doubt, edge, side in ((sure_left, more & (line.places[np.minimum(left, last)] < t - s), t - s, "left"), (sure_right, more & (line.places[np.maximum(right - 1, 0)] > t + s), t + s, "right")):
+            at = np.nonzero(doubt)
+            sure[at] = np.searchsorted(line.places, edge[at], side)
+        sure_left, sure_right = np.where(tangent, np.clip(middle, left, right), sure_left), np.where(tangent, np.clip(middle, left, right), sure_right)
+        within, sure = line.before[right] - line.before[left], line.before[sure_right] - line.before[sure_left]
+        out = np.empty((len(query), SCORES + 1), np.int64)
+        out[:, 0] = line.before[-1] - within[:, 0]
+        out[:, 1:-1] = sure[:, :-1] - within[:, 1:]
+        out[:, -1] = sure[:, -1]
+        for first, stop in ((left, sure_left), (sure_right, right)):
+            owner, place = _ragged(first.reshape(-1), stop.reshape(-1))
+            if len(owner):
+                q = owner // SCORES
+                x = _paired(query[q], line.points[:, place]) - low[q]
+                x /= width[q, 0]
+                x *= SCORES
+                np.add.at(out, (q, np.rint(x).astype(int)), line.weights[place])
+        return out
+
+
 def extremes(query: np.ndarray, targets: Targets) -> tuple[np.ndarray, np.ndarray]:
     """The lowest and the highest score of each column of the query."""
     raw = _scores(query, targets)

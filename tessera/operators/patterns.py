@@ -11,145 +11,237 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators.align import SCORES, Targets, binned, extremes, histogram, score
+from tessera.operators.align import SCORES, Columns, Targets, binned, score
+from tessera.operators.bounds import SLACK, Group, lower_bounds
 from tessera.operators.relational import mode_smallest
 from tessera.shared import materialise
 
 ALIGNED = "leiden string, seqlet_id long, offset int, is_revcomp boolean, is_root boolean"
 INSTANCES = ["leiden", "seqlet_id", "start", "end", "is_revcomp", "is_root", "seq_instance", "contrib", "hypothetical"]
 
-#: Seqlets of a cluster that a task holds; all others of the cluster pass by it.
-BLOCK = 256
-#: Targets that are laid out together as they pass; the tails of a query are computed anew for each group of them.
-PASSING = 2048
+#: Seqlets of a cluster that a task asks for at once; all seqlets of the cluster pass by it.
+BLOCK = 2048
+#: Parts for each core, if a part has enough seqlets then.
+PARTS_A_CORE, SMALL_BLOCK = 6, 128
+#: Targets that are laid out together as they pass; what a query needs for them is computed anew for each group.
+PASSING = 1 << 16
+#: Targets of exact alignments at a time.
+EXACT = 2048
+#: Seqlets of a cluster, by their bounds, that are aligned first, so that the others have something to be compared with.
+FIRST = 64
 
 
 def _matrices(rows: list) -> list[np.ndarray]:
     return [np.array(m, float) for m in rows]
 
 
-class _Query:
-    """A seqlet against whose null the others are aligned; ``low`` and ``high``, ``counts`` as far as they are known."""
+PACKED = "leiden string, part int, ids binary, lengths binary, columns binary"
 
-    def __init__(self, row: dict):
-        self.id, self.matrix = row["seqlet_id"], np.array(row["seqlet_matrix"], float)
-        m = self.matrix.shape[1]
-        known = lambda c: row.get(c) is not None
-        self.low = np.array(row["low"]) if known("low") else np.full(m, np.inf)
-        self.high = np.array(row["high"]) if known("high") else np.full(m, -np.inf)
-        self.counts = np.array(row["counts"]).reshape(m, -1) if known("counts") else np.zeros((m, SCORES + 1), np.int64)
 
+def _pack(batches):
+    """Rows sorted by (leiden, part): one row for each part: ids, lengths and columns of its seqlets."""
+    key, ids, columns = None, [], []
 
-def _passes(step, result):
-    """An Arrow kernel over rows sorted by (leiden, part, asked first): the seqlets that a part asks for are held, and all of
-    its cluster pass by in bounded groups: ``step(queries, targets, ids, sums)`` sees each group, ``result`` gives the rows of a part."""
+    def packed():
+        lengths = np.array([len(c) for c in columns], np.int64)
+        values = [key[0], key[1], np.array(ids, np.int64).tobytes(), lengths.tobytes(), np.concatenate(columns).tobytes()]
+        kinds = [pa.string(), pa.int32(), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["leiden"], row["part"]) != key:
+                if ids:
+                    yield packed()
+                key, ids, columns = (row["leiden"], row["part"]), [], []
+            ids.append(row["seqlet_id"])
+            columns.append(np.array(row["seqlet_matrix"], float).T)
+    if ids:
+        yield packed()
+
+
+class _Seqlets:
+    """Rows of ``_pack`` as arrays; of those asked for, what is known of their null: ``low`` and ``high``, ``counts``."""
+
+    def __init__(self, rows: list[dict]):
+        read = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
+        self.ids, self.lengths = read("ids", np.int64), read("lengths", np.int64)
+        self.columns = read("columns", float).reshape(-1, 4)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        n = len(self.columns)
+        known = lambda c: rows[0].get(c) is not None
+        self.low = read("low", float) if known("low") else np.full(n, np.inf)
+        self.high = read("high", float) if known("high") else np.full(n, -np.inf)
+        self.counts = read("counts", np.int64).reshape(n, -1) if known("counts") else np.zeros((n, SCORES + 1), np.int64)
+
+    def matrices(self) -> list[np.ndarray]:
+        return [self.columns[b : b + m].T for b, m in zip(self.begins.tolist(), self.lengths.tolist(), strict=True)]
+
+    def with_nulls(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        parts = zip(self.begins.tolist(), (self.begins + self.lengths).tolist(), strict=True)
+        return [(self.columns[b:e].T, self.low[b:e], self.high[b:e], self.counts[b:e]) for b, e in parts]
+
+
+def _passes(step, result, passing):
+    """An Arrow kernel over packed rows sorted by (leiden, part, asked first): the seqlets that a part asks for are held, and
+    its targets pass by in groups of some ``passing``: ``step(asked, targets, sums)`` sees each group, ``result`` gives the rows."""
 
     def run(batches):
-        part, queries, waiting, sums = None, [], [], {}
+        part, asked, waiting, sums = None, None, [], []
 
         def flush():
-            if waiting:
-                targets = Targets(_matrices([r["seqlet_matrix"] for r in waiting]))
-                step(queries, targets, [r["seqlet_id"] for r in waiting], sums)
-                waiting.clear()
-
-        def finish():
-            flush()
-            return result(part, queries, sums)
+            if waiting and asked is not None:  # a part may be empty
+                step(asked, _Seqlets(waiting), sums)
+            waiting.clear()
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 if (row["leiden"], row["part"]) != part:
-                    if part is not None:
-                        yield finish()
-                    part, queries, sums = (row["leiden"], row["part"]), [], {}
+                    flush()
+                    if asked is not None:
+                        yield result(part, asked, sums)
+                    part, asked, sums = (row["leiden"], row["part"]), None, []
                 if row["asked"]:
-                    queries.append(_Query(row))
+                    asked = _Seqlets([row])
+                    continue
                 waiting.append(row)
-                # Those asked for come first, so all are known before any target is looked at.
-                if len(waiting) >= PASSING and not row["asked"]:
+                if sum(len(r["ids"]) for r in waiting) >= 8 * passing:
                     flush()
-        if part is not None:
-            yield finish()
+        flush()
+        if asked is not None:
+            yield result(part, asked, sums)
 
     return run
 
 
-def _see_extremes(queries, targets, ids, sums):
-    for q in queries:
-        low, high = extremes(q.matrix, targets)
-        q.low, q.high = np.minimum(q.low, low), np.maximum(q.high, high)
+def _see_extremes(asked, targets, sums):
+    low, high = Columns(targets.columns).extremes(asked.columns)
+    asked.low, asked.high = np.minimum(asked.low, low), np.maximum(asked.high, high)
+
+
+def _see_counts(asked, targets, sums):
+    asked.counts += Columns(targets.columns).histogram(asked.columns, asked.low, asked.high)
+
+
+def _see_bounds(asked, targets, sums):
+    sums.append((targets.ids, lower_bounds(asked.with_nulls(), Group(targets.columns, targets.lengths))))
 
 
-def _see_counts(queries, targets, ids, sums):
-    for q in queries:
-        q.counts += histogram(binned(q.matrix, targets, q.low, q.high), targets)
+def _see_scores(asked, targets, sums):
+    laid_out = Targets(targets.matrices())
+    total = np.zeros(len(targets.ids))
+    for matrix, low, high, counts in sorted(asked.with_nulls(), key=lambda q: q[0].shape[1]):
+        total += score(binned(matrix, laid_out, low, high), laid_out, counts, places=False)[0]
+    sums.append((targets.ids, total))
 
 
-def _see_scores(queries, targets, ids, sums):
-    total = np.zeros(len(ids))
-    for q in sorted(queries, key=lambda q: q.matrix.shape[1]):
-        total += score(binned(q.matrix, targets, q.low, q.high), targets, q.counts, places=False)[0]
-    for i, x in zip(ids, total.tolist(), strict=True):
-        sums[i] = x
+def _of_part(**columns):
+    """A row for each part, of arrays of what it asks for."""
 
+    def result(part, asked, sums) -> pa.RecordBatch:
+        values = [pa.array([part[0]]), pa.array([part[1]], pa.int32()), *(pa.array([getattr(asked, c).tobytes()], pa.binary()) for c in columns)]
+        return pa.RecordBatch.from_arrays(values, ["leiden", "part", *columns])
 
-def _nulls(part, queries, sums) -> pa.RecordBatch:
-    columns = [pa.array([part[0]] * len(queries)), pa.array([q.id for q in queries], pa.int64())]
-    columns += [pa.array([x.tolist() for x in c], kind) for c, kind in (([q.low for q in queries], pa.list_(pa.float64())), ([q.high for q in queries], pa.list_(pa.float64())), ([q.counts.reshape(-1) for q in queries], pa.list_(pa.int64())))]
-    return pa.RecordBatch.from_arrays(columns, ["leiden", "seqlet_id", "low", "high", "counts"])
+    return result, "leiden string, part int, " + ", ".join(f"{c} {kind}" for c, kind in columns.items())
 
 
-def _sums(part, queries, sums) -> pa.RecordBatch:
-    columns = [pa.array([part[0]] * len(sums)), pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, ["leiden", "seqlet_id", "total"])
+def _sums(part, asked, sums) -> pa.RecordBatch:
+    ids, totals = (np.concatenate([s[k] for s in sums]) if sums else np.zeros(0, kind) for k, kind in ((0, np.int64), (1, float)))
+    return pa.RecordBatch.from_arrays([pa.array([part[0]] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(totals, pa.float64())], ["leiden", "seqlet_id", "total"])
 
 
-NULLS = "leiden string, seqlet_id long, low array<double>, high array<double>, counts array<long>"
+SUMS = "leiden string, seqlet_id long, total double"
 
 
-def _dealt(seqlets: DataFrame, block: int) -> DataFrame:
-    """Each seqlet once for each part of its cluster; ``asked`` in its own part."""
+def _in_parts(seqlets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Packed rows of seqlets, those of a part together."""
     n = int(seqlets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = F.ceil(F.col("_size") / block).cast("int")
-    own = F.pmod(F.xxhash64("seqlet_id"), parts).cast("int")
-    rows = seqlets.select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    rows = rows.withColumn("asked", F.col("_own") == F.col("part")).drop("_own", "_size")
-    known = [c for c in ("low", "high", "counts") if c in rows.columns]
-    rows = rows.withColumns({c: F.when(F.col("asked"), F.col(c)) for c in known})  # a passing seqlet needs its matrix only
-    # The kernel costs far more than moving its rows: adaptive execution would gather small inputs in one task.
-    return rows.repartition(n, "leiden", "part").sortWithinPartitions("leiden", "part", F.desc("asked"), "seqlet_id")
+    rows = seqlets.select("leiden", "seqlet_id", "seqlet_matrix").join(F.broadcast(parts), "leiden")
+    rows = rows.select("leiden", F.pmod(F.xxhash64("seqlet_id"), "_parts").cast("int").alias("part"), "seqlet_id", "seqlet_matrix")
+    return rows.repartition(n, "leiden", "part").sortWithinPartitions("leiden", "part", "seqlet_id").mapInArrow(_pack, PACKED)
 
 
-def find_roots(seqlets: DataFrame, block: int = BLOCK) -> DataFrame:
+def _dealt(asked: DataFrame, targets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each part of a cluster, and after it all targets of the cluster.  Parts are dealt in turn: the kernel costs far more than
+    moving its rows, and by hash some tasks would get many."""
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    passing = targets.join(F.broadcast(parts), "leiden").withColumns({"_from": F.col("part"), "part": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))})
+    own = asked.join(F.broadcast(parts), "leiden").withColumns({"_from": F.lit(-1), "asked": F.lit(True)})
+    rows = own.unionByName(passing.withColumn("asked", F.lit(False)), allowMissingColumns=True)
+    rows = rows.repartitionById(n, ((F.col("_before") + F.col("part")) % n).cast("int")).drop("_before", "_parts")
+    return rows.sortWithinPartitions("leiden", "part", F.desc("asked"), "_from").drop("_from")
+
+
+def find_roots(seqlets: DataFrame, block: int | None = None) -> DataFrame:
     """(leiden, root_id, root_matrix, low, high, counts): of each cluster the seqlet with the lowest mean p-value as a
-    target of all, the first of equals, and its null.  ``seqlets``: leiden, seqlet_id, seqlet_matrix, _size.
-
-    All against all in three passes (extremes, histograms, p-values), each in parts of ``block`` seqlets that the cluster
-    passes by.  Sums of p-values are added part by part, and to nine digits, so that ties don't hang on their order."""
-    rows = seqlets.select("leiden", "seqlet_id", "seqlet_matrix", "_size")
-    for k, step in enumerate((_see_extremes, _see_counts)):
-        found = _dealt(rows, block).mapInArrow(_passes(step, _nulls), NULLS)
-        keep = found.select("leiden", "seqlet_id", "low", "high", *(["counts"] if k else []))
-        rows = materialise(seqlets.select("leiden", "seqlet_id", "seqlet_matrix", "_size").join(keep, ["leiden", "seqlet_id"]), "pattern-nulls")
-    sums = _dealt(rows, block).mapInArrow(_passes(_see_scores, _sums), "leiden string, seqlet_id long, total double")
-    means = sums.groupBy("leiden", "seqlet_id").agg(F.round(F.sum("total"), 9).alias("total"))
+    target of all, the first of equals, and its null as bytes.  ``seqlets``: leiden, seqlet_id, seqlet_matrix, _size.
+
+    Nulls of all seqlets take two passes (extremes, histograms).  A third finds for each seqlet a lower bound of its sum of
+    p-values, under the nulls of all.  Then those with the lowest bounds are aligned exactly with all, and after them every
+    other whose bound is no higher than the best sum: no seqlet that could be the root is left out.  All passes are in parts
+    of ``block`` seqlets at most that the cluster passes by.  Sums of p-values are added part by part, and to nine digits, so that
+    ties don't hang on their order."""
+    spark, block = seqlets.sparkSession, block or BLOCK
+    sizes = materialise(seqlets.select("leiden", "_size").distinct(), "pattern-sizes")  # a row a cluster
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    even = -(-total // (PARTS_A_CORE * spark.sparkContext.defaultParallelism))
+    parts = sizes.select("leiden", F.ceil(F.col("_size") / min(block, max(even, SMALL_BLOCK))).cast("int").alias("_parts"))
+    parts = parts.withColumn("_before", F.sum("_parts").over(Window.orderBy("leiden")) - F.col("_parts"))
+    packed = materialise(_in_parts(seqlets, parts), "pattern-packed")
+    known = packed
+    for step, found in ((_see_extremes, _of_part(low="binary", high="binary")), (_see_counts, _of_part(counts="binary"))):
+        result, schema = found
+        null = _dealt(known, packed, parts).mapInArrow(_passes(step, result, PASSING), schema)
+        known = materialise(known.join(null, ["leiden", "part"]), "pattern-nulls")
+
+    def sums(step, targets: DataFrame, passing: int, name: str) -> DataFrame:
+        each = _dealt(known, targets, parts).mapInArrow(_passes(step, _sums, passing), SUMS)
+        return materialise(each.groupBy("leiden", "seqlet_id").agg(F.sum("total").alias("total")), name)
+
+    exactly = lambda ids: sums(_see_scores, _in_parts(seqlets.join(ids, ["leiden", "seqlet_id"], "left_semi"), parts), EXACT, "pattern-sums")
+    bounds = sums(_see_bounds, packed, PASSING, "pattern-bounds")
+    order = F.row_number().over(Window.partitionBy("leiden").orderBy("total", "seqlet_id"))
+    first = exactly(bounds.withColumn("_r", order).where(F.col("_r") <= FIRST).select("leiden", "seqlet_id"))
+    best = first.groupBy("leiden").agg(F.min("total").alias("_best")).join(sizes, "leiden")
+    open_ = bounds.join(first, ["leiden", "seqlet_id"], "left_anti").join(F.broadcast(best), "leiden").where(F.col("total") <= F.col("_best") + SLACK * F.col("_size") + 1e-8)
+    open_ = materialise(open_.select("leiden", "seqlet_id"), "pattern-open")
+    if not open_.isEmpty():
+        first = first.unionByName(exactly(open_))
+    means = first.select("leiden", "seqlet_id", F.round("total", 9).alias("total"))
     roots = means.groupBy("leiden").agg(F.min_by("seqlet_id", F.struct("total", "seqlet_id")).alias("root_id"))
-    own = rows.withColumnRenamed("seqlet_id", "root_id")
-    return own.join(roots, ["leiden", "root_id"]).select("leiden", "root_id", F.col("seqlet_matrix").alias("root_matrix"), "low", "high", "counts")
+    at = roots.join(parts, "leiden").select("leiden", "root_id", F.pmod(F.xxhash64("root_id"), "_parts").cast("int").alias("part"))
+    nulls = known.join(F.broadcast(at), ["leiden", "part"]).mapInArrow(_root_nulls, ROOT)
+    own = seqlets.select("leiden", F.col("seqlet_id").alias("root_id"), F.col("seqlet_matrix").alias("root_matrix"))
+    return own.join(F.broadcast(nulls), ["leiden", "root_id"]).select("leiden", "root_id", "root_matrix", "low", "high", "counts")
+
+
+ROOT = "leiden string, root_id long, low binary, high binary, counts binary"
+
+
+def _root_nulls(batches):
+    """The null of a root out of its part's."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            asked = _Seqlets([row])
+            null = asked.with_nulls()[int(np.flatnonzero(asked.ids == row["root_id"])[0])][1:]
+            values = [pa.array([row["leiden"]]), pa.array([row["root_id"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in null)]
+            yield pa.RecordBatch.from_arrays(values, [c.split()[0] for c in ROOT.split(", ")])
 
 
 def _align_to_root(batches):
     """Offset and strand of each seqlet under its cluster's root, from the root's null."""
     for batch in batches:
         out, groups = [], {}
-        for row in batch.to_pylist():
-            groups.setdefault((row["leiden"], row["root_id"]), []).append(row)
-        for (leiden, root_id), rows in groups.items():
-            root, null = np.array(rows[0]["root_matrix"], float), rows[0]
+        for k, row in enumerate(batch.select(["leiden", "root_id", "seqlet_id", "seqlet_matrix"]).to_pylist()):
+            groups.setdefault((row["leiden"], row["root_id"]), []).append((k, row))
+        for (leiden, root_id), places in groups.items():
+            first, rows = batch.slice(places[0][0], 1), [r for _, r in places]
+            root = np.array(first.column("root_matrix")[0].as_py(), float)
+            low, high, counts = (np.frombuffer(first.column(c)[0].as_py(), kind) for c, kind in (("low", float), ("high", float), ("counts", np.int64)))
             targets = Targets(_matrices([r["seqlet_matrix"] for r in rows]))
-            bins = binned(root, targets, np.array(null["low"]), np.array(null["high"]))
-            _, _, offsets, _, strands = score(bins, targets, np.array(null["counts"]).reshape(root.shape[1], -1))
+            _, _, offsets, _, strands = score(binned(root, targets, low, high), targets, counts.reshape(root.shape[1], -1))
             out += [(leiden, r["seqlet_id"], o, bool(x), r["seqlet_id"] == root_id) for r, o, x in zip(rows, offsets.tolist(), strands.tolist(), strict=True)]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [c.split()[0] for c in ALIGNED.split(", ")])
@@ -200,8 +292,12 @@ def align_instances(obs: DataFrame, examples: DataFrame, max_n: int | None = Non
     mine = rows.select("leiden", "seqlet_id", "example_idx", "start", "end", "seqlet_matrix").join(big, "leiden")
     mine = materialise(mine, "pattern-seqlets")  # read again and again
     roots = materialise(find_roots(mine, BLOCK), "pattern-roots")
-    aligned = mine.select("leiden", "seqlet_id", "seqlet_matrix").join(roots, "leiden").mapInArrow(_align_to_root, ALIGNED)
-    placed = mine.drop("_size", "seqlet_matrix").join(aligned, ["leiden", "seqlet_id"]).join(examples.select("example_idx", "oh", "contrib"), "example_idx")
+    # Dealt evenly before what costs far more than moving the rows: adaptive execution would gather small inputs in few tasks.
+    n = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = mine.select("leiden", "seqlet_id", "seqlet_matrix").repartition(n, "seqlet_id").join(F.broadcast(roots), "leiden")  # a root a cluster
+    aligned = materialise(met.mapInArrow(_align_to_root, ALIGNED), "pattern-aligned")
+    placed = mine.drop("_size", "seqlet_matrix").join(aligned, ["leiden", "seqlet_id"]).repartition(n, "example_idx")
+    placed = placed.join(examples.select("example_idx", "oh", "contrib").repartition(n, "example_idx"), "example_idx")
     return aligned_instances(placed).select(*INSTANCES)
 
 

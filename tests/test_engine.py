@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators import align, cluster, dataset, patterns, relational, seqlets, topics
+from tessera.operators import align, bounds, cluster, dataset, patterns, relational, seqlets, topics
 from tessera.plans import plotdata
 from tessera.plans import parity as _parity  # noqa: F401
 from tessera.plans import queries as Q
@@ -610,6 +610,77 @@ def test_patterns_are_made_of_all_seqlets(spark, examples, found, monkeypatch):
     assert {r["leiden"]: r["n_seqlets"] for r in Q.QUERIES["seqlet_patterns"](spark, SF).collect()} == {r["leiden"]: r["count"] for r in size}
 
 
+def _kinds_of_seqlets(rng):
+    """Lists of matrices: multiples of one column, one base at a position, general ones, few values, and copies."""
+    lengths = rng.integers(4, 11, 150)
+    ratios = [np.array([[0.9], [1], [0.9], [1]]) * rng.normal(size=n) for n in lengths]
+    yield [m / np.abs(m).max() for m in ratios]
+    yield [np.eye(4)[rng.integers(0, 4, n)].T * rng.normal(size=n) for n in lengths]
+    yield [rng.normal(size=(4, n)) for n in lengths]
+    yield [rng.integers(-2, 3, (4, n)) / 2 for n in lengths]
+    yield ratios[:20] * 4 + [np.zeros((4, 5))] * 30
+
+
+def test_columns_on_lines_are_counted_without_comparing_all(monkeypatch):
+    rng = np.random.default_rng(5)
+    for kind, ms in enumerate(_kinds_of_seqlets(rng)):
+        targets, columns = align.Targets(ms), align.Columns(np.concatenate([m.T for m in ms]))
+        query = np.concatenate([m.T for m in ms[:40]])
+        low, high = columns.extremes(query)
+        for got, k in ((low, 0), (high, 1)):
+            assert np.array_equal(got, np.concatenate([align.extremes(m, targets)[k] for m in ms[:40]]))
+        whole = [align.histogram(align.binned(m, targets, *align.extremes(m, targets)), targets) for m in ms[:40]]
+        assert np.array_equal(columns.histogram(query, low, high), np.concatenate(whole))
+        assert (len(columns.lines), columns.rest is None) == {0: (2, True), 1: (4, True)}.get(kind, (len(columns.lines), columns.rest is None))
+    # 20 times the columns: binary searches, and hardly more comparisons.
+    compared, plain = [], align._paired
+    monkeypatch.setattr(align, "_paired", lambda q, p: compared.append(len(q)) or plain(q, p))
+    monkeypatch.setattr(align, "_distances", None)
+    for n in (3_000, 60_000):
+        columns = align.Columns(np.array([[0.9, 1, 0.9, 1]]) * rng.normal(size=(n, 1)))
+        query = columns.lines[0].points[:, :200].T
+        compared.clear()
+        columns.histogram(query, *columns.extremes(query))
+        assert sum(compared) < 50 * len(query)
+
+
+def test_bounds_leave_few_seqlets_to_be_aligned():
+    rng = np.random.default_rng(6)
+    for kind, ms in enumerate(_kinds_of_seqlets(rng)):
+        targets = align.Targets(ms)
+        group = bounds.Group(np.concatenate([m.T for m in ms]), targets.lengths)
+        queries, p = [], []
+        for m in ms:
+            low, high = align.extremes(m, targets)
+            bins = align.binned(m, targets, low, high)
+            queries.append((m, low, high, align.histogram(bins, targets)))
+            p.append(align.score(bins, targets, queries[-1][3], places=False)[0])
+        p = np.array(p)
+        for k in range(0, len(ms), 10):
+            assert (bounds.lower_bounds(queries[k : k + 1], group) <= p[k] + bounds.SLACK).all()
+        low, total = bounds.lower_bounds(queries, group), p.sum(0)
+        assert (low <= total + bounds.SLACK * len(ms)).all()
+        if kind < 2:
+            assert (low <= total.min() + bounds.SLACK * len(ms)).sum() < 10
+
+
+@pytest.mark.parametrize("first", [1, 64])
+def test_roots_by_bounds_are_the_roots_of_all_against_all(spark, monkeypatch, first):
+    monkeypatch.setattr(patterns, "FIRST", first)
+    clusters = {str(k): ms[:60] for k, ms in enumerate(_kinds_of_seqlets(np.random.default_rng(7)))}
+    rows = [(c, 100 * int(c) + i, m.tolist(), len(ms)) for c, ms in clusters.items() for i, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "leiden string, seqlet_id long, seqlet_matrix array<array<double>>, _size long")
+    for block in (7, 2048):
+        found = {r["leiden"]: r for r in patterns.find_roots(df, block).collect()}
+        for c, ms in clusters.items():
+            targets = align.Targets(ms)
+            root = np.round(np.stack([align.align(m, targets)[0] for m in ms]).sum(0), 9).argmin()
+            assert found[c]["root_id"] == 100 * int(c) + root
+            low, high = align.extremes(ms[root], targets)
+            assert bytes(found[c]["low"]) == low.tobytes() and bytes(found[c]["high"]) == high.tobytes()
+            assert bytes(found[c]["counts"]) == align.histogram(align.binned(ms[root], targets, low, high), targets).tobytes()
+
+
 def test_topic_and_tsne_queries_do_the_whole_job(spark, monkeypatch):
     fits, sizes, real, embed = [], [], topics.fit_topics, cluster.tsne
     monkeypatch.setattr(topics, "fit_topics", lambda c, ks, **kw: fits.append((list(ks), kw)) or real(c, [2], n_iter=2))
