@@ -116,15 +116,15 @@ def _bins(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 class Line:
-    """Points on a line through the origin, up to rounding: in order of their place on it, equal neighbours once."""
+    """Points on a line through the origin, up to rounding: the different ones, in order of their place on it."""
 
-    def __init__(self, points: np.ndarray, direction: np.ndarray, places: np.ndarray):
+    def __init__(self, points: np.ndarray, direction: np.ndarray):
+        counts = pd.DataFrame(points).groupby([0, 1, 2, 3], sort=False).size()
+        points, weights = counts.index.to_frame().to_numpy(), counts.to_numpy()
+        places = points @ direction
         order = np.argsort(places, kind="stable")
-        points, places = points[order], places[order]
-        new = np.flatnonzero(np.concatenate([[True], (points[1:] != points[:-1]).any(1)]))
-        self.direction, self.points, self.places = direction, np.ascontiguousarray(points[new].T), places[new]
-        self.weights = np.diff(np.append(new, len(points)))
-        self.before = np.append(new, len(points))
+        self.direction, self.points, self.places, self.weights = direction, np.ascontiguousarray(points[order].T), places[order], weights[order]
+        self.before = np.concatenate([[0], np.cumsum(self.weights)])
 
     def seen_from(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of points (n, 4): the place next to each, and the distance there."""
@@ -167,24 +167,23 @@ class Columns:
             for lead in some[np.linspace(0, len(some) - 1, 8).astype(int)]:
                 size = np.sqrt((lead * lead).sum())
                 if 0 < size < np.inf:
-                    best = max(best, (self._on(some, lead / size)[0].sum(), lead / size), key=lambda x: x[0])
+                    best = max(best, (self._on(some, lead / size).sum(), lead / size), key=lambda x: x[0])
             if not best[0]:
                 break
             direction = best[1]
-            on, t = self._on(rest, direction)
+            on = self._on(rest, direction)
             if on.sum() < least:
                 break
-            self.lines.append(Line(rest[on], direction, t[on]))
+            self.lines.append(Line(rest[on], direction))
             rest = rest[~on]
         self.rest = None
         if len(rest):
             distinct, counts = np.unique(rest, axis=0, return_counts=True)
             self.rest = np.ascontiguousarray(distinct.T), counts
 
-    def _on(self, points: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t = points @ direction
-        off = points - t[:, None] * direction
-        return np.einsum("ij,ij->i", off, off) <= (1e-13 * self.reach) ** 2, t
+    def _on(self, points: np.ndarray, direction: np.ndarray) -> np.ndarray:
+        off = points - (points @ direction)[:, None] * direction
+        return np.einsum("ij,ij->i", off, off) <= (1e-13 * self.reach) ** 2
 
     def _margin(self, query: np.ndarray) -> np.ndarray:
         return 1e-11 * (self.reach + np.sqrt((query * query).sum(1)))

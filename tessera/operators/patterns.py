@@ -87,30 +87,30 @@ def _passes(step, result, passing):
     its targets pass by in groups of some ``passing``: ``step(asked, targets, sums)`` sees each group, ``result`` gives the rows."""
 
     def run(batches):
-        part, asked, waiting, sums = None, None, [], []
+        part, asked, held, waiting, sums = None, [], None, [], []
 
         def flush():
-            if waiting and asked is not None:  # a part may be empty
-                step(asked, _Seqlets(waiting), sums)
+            nonlocal held
+            if waiting and asked:  # a part may be empty
+                held = held or _Seqlets(asked)
+                step(held, _Seqlets(waiting), sums)
             waiting.clear()
 
+        def finish():
+            flush()
+            if held is not None:
+                yield from result(part, held, sums)
+
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 if (row["leiden"], row["part"]) != part:
-                    flush()
-                    if asked is not None:
-                        yield result(part, asked, sums)
-                    part, asked, sums = (row["leiden"], row["part"]), None, []
-                if row["asked"]:
-                    asked = _Seqlets([row])
-                    continue
-                waiting.append(row)
+                    yield from finish()
+                    part, asked, held, sums = (row["leiden"], row["part"]), [], None, []
+                (asked if row["asked"] else waiting).append(row)
                 if sum(len(r["ids"]) for r in waiting) >= 8 * passing:
                     flush()
-        flush()
-        if asked is not None:
-            yield result(part, asked, sums)
+        yield from finish()
 
     return run
 
@@ -136,19 +136,29 @@ def _see_scores(asked, targets, sums):
     sums.append((targets.ids, total))
 
 
-def _of_part(**columns):
-    """A row for each part, of arrays of what it asks for."""
+#: Seqlets of a row with nulls: one takes 8 KB or more, and Parquet's writer holds a hundred rows before it looks at their size.
+PIECE = 64
+
+
+def _nulls(part, asked, sums):
+    """What a part asks for with what is known of its nulls, ``PIECE`` seqlets a row."""
+    ends = np.append(asked.begins, len(asked.columns))
+    for k in range(0, len(asked.ids), PIECE):
+        one = slice(k, k + PIECE)
+        own = slice(int(ends[k]), int(ends[min(k + PIECE, len(asked.ids))]))
+        arrays = [asked.ids[one], asked.lengths[one], asked.columns[own], asked.low[own], asked.high[own], *([asked.counts[own]] if asked.counts.any() else [])]
+        values = [pa.array([part[0]]), pa.array([part[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
+        if len(arrays) < 6:
+            values.append(pa.array([None], pa.binary()))
+        yield pa.RecordBatch.from_arrays(values, [c.split()[0] for c in NULLS.split(", ")])
 
-    def result(part, asked, sums) -> pa.RecordBatch:
-        values = [pa.array([part[0]]), pa.array([part[1]], pa.int32()), *(pa.array([getattr(asked, c).tobytes()], pa.binary()) for c in columns)]
-        return pa.RecordBatch.from_arrays(values, ["leiden", "part", *columns])
 
-    return result, "leiden string, part int, " + ", ".join(f"{c} {kind}" for c, kind in columns.items())
+NULLS = PACKED + ", low binary, high binary, counts binary"
 
 
-def _sums(part, asked, sums) -> pa.RecordBatch:
+def _sums(part, asked, sums):
     ids, totals = (np.concatenate([s[k] for s in sums]) if sums else np.zeros(0, kind) for k, kind in ((0, np.int64), (1, float)))
-    return pa.RecordBatch.from_arrays([pa.array([part[0]] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(totals, pa.float64())], ["leiden", "seqlet_id", "total"])
+    yield pa.RecordBatch.from_arrays([pa.array([part[0]] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(totals, pa.float64())], ["leiden", "seqlet_id", "total"])
 
 
 SUMS = "leiden string, seqlet_id long, total double"
@@ -190,10 +200,8 @@ def find_roots(seqlets: DataFrame, block: int | None = None) -> DataFrame:
     parts = parts.withColumn("_before", F.sum("_parts").over(Window.orderBy("leiden")) - F.col("_parts"))
     packed = materialise(_in_parts(seqlets, parts), "pattern-packed")
     known = packed
-    for step, found in ((_see_extremes, _of_part(low="binary", high="binary")), (_see_counts, _of_part(counts="binary"))):
-        result, schema = found
-        null = _dealt(known, packed, parts).mapInArrow(_passes(step, result, PASSING), schema)
-        known = materialise(known.join(null, ["leiden", "part"]), "pattern-nulls")
+    for step in (_see_extremes, _see_counts):
+        known = materialise(_dealt(known, packed, parts).mapInArrow(_passes(step, _nulls, PASSING), NULLS), "pattern-nulls")
 
     def sums(step, targets: DataFrame, passing: int, name: str) -> DataFrame:
         each = _dealt(known, targets, parts).mapInArrow(_passes(step, _sums, passing), SUMS)
@@ -225,6 +233,8 @@ def _root_nulls(batches):
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             asked = _Seqlets([row])
+            if row["root_id"] not in asked.ids:
+                continue
             null = asked.with_nulls()[int(np.flatnonzero(asked.ids == row["root_id"])[0])][1:]
             values = [pa.array([row["leiden"]]), pa.array([row["root_id"]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in null)]
             yield pa.RecordBatch.from_arrays(values, [c.split()[0] for c in ROOT.split(", ")])
